@@ -155,7 +155,7 @@ class LanguageModel:
         """Usual cross-entropy of a language's own texts, its spread between texts, and within a text per symbol."""
         bits, n = self.bits(batch)
         own = (bits[:, j] / np.maximum(n, 1))[n >= 20]
-        return (float(np.median(own)), max(0.05, float(np.std(own))), 3.0) if len(own) else (4.0, 1.0, 3.0)
+        return (float(np.median(own)), max(0.15, float(np.std(own))), 3.0) if len(own) else (4.0, 1.0, 3.0)
 
     def bits(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Code lengths of the texts by language, and their numbers of symbols."""
