@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker takes at a time.
 SLICE_BYTES = 4 << 20
 
+#: Strata whose counts are broadcast; more are joined by a shuffle.
+BROADCAST_STRATA = 10_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,13 +81,14 @@ def bounded_sample(df: DataFrame, strata: str, key: str, per_stratum: int, seed:
 
     A first pass counts each stratum, so only about twice the wanted rows reach the window that ranks them.
     """
-    spark = df.sparkSession
-    counts = df.groupBy(strata).count()
+    counts = cut(df.groupBy(strata).count(), "strata")
+    few = counts.count() <= BROADCAST_STRATA
     share = F.least(F.lit(1.0), F.lit(2.0 * per_stratum + 50) / F.col("count"))
+    shares = counts.select(F.col(strata).alias("_s"), share.alias("_share"))
     mark = F.xxhash64(F.col(key), F.lit(seed))
     kept = (
         df.withColumn("_mark", mark)
-        .join(counts.select(F.col(strata).alias("_s"), share.alias("_share")), F.col(strata) == F.col("_s"))
+        .join(F.broadcast(shares) if few else shares, F.col(strata) == F.col("_s"))
         .where(F.pmod("_mark", F.lit(1 << 20)) < F.col("_share") * F.lit(1 << 20))
     )
     ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_s").orderBy("_mark", key)))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tabulens.llm import bpe, language, quality
+from tabulens.llm import bpe, jaccard, language, lm, mixing, quality, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op2_quality_rules": quality.query,
+    "op4_toxicity": toxicity.query,
     "op5_language_id": language.query,
     "op6_bpe": bpe.query,
+    "op7_jaccard_join": jaccard.query,
+    "op9_lm_scoring": lm.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
