@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulens.llm import bpe, jaccard, language, lm, mixing, quality, toxicity
+from tabulens.llm import ann, bpe, jaccard, language, lm, mixing, pii, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -11,7 +11,9 @@ QUERIES = {
     "op5_language_id": language.query,
     "op6_bpe": bpe.query,
     "op7_jaccard_join": jaccard.query,
+    "op8_pii": pii.query,
     "op9_lm_scoring": lm.query,
+    "op10_ann": ann.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
