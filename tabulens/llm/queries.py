@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tabulens.llm import ann, bpe, jaccard, language, lm, mixing, pii, quality, toxicity
+from tabulens.llm import ann, bpe, jaccard, language, licences, lm, mixing, pii, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality_rules": quality.query,
+    "op3_licence_scan": licences.query,
     "op4_toxicity": toxicity.query,
     "op5_language_id": language.query,
     "op6_bpe": bpe.query,
