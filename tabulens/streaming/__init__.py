@@ -1 +1 @@
-
+"""Reserved: the engine profiles whole tables, and none of its operators has a streaming form."""
