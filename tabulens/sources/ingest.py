@@ -102,7 +102,8 @@ def scan_text(spark: SparkSession, path: str, sep: str, header: list[str], with_
     df = spark.read.csv(path, schema=schema, sep=sep, header=with_header, encoding=charset.replace("-sig", ""), mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, nullValue=sentinel, emptyValue="", multiLine=True, quote='"', escape='"', enforceSchema=True)
     # Both short and long rows are marked; only long ones are errors, short ones have empty cells at the end.
     width = F.size(F.split(F.regexp_replace(F.col(BAD), r'"[^"]*"', ""), "\\" + sep if sep == "|" else sep))
-    too_long = df.agg(F.count_if(F.col(BAD).isNotNull() & (width > len(names)))).first()[0]
+    # The scan refuses to be asked for the marks alone, so the cells are counted beside them.
+    too_long = df.agg(F.count_if(F.col(BAD).isNotNull() & (width > len(names))), *map(F.count, names)).first()[0]
     return df.select(*(F.coalesce(F.col(n), F.lit("")).alias(n) for n in names)), int(too_long)
 
 
