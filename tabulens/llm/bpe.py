@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import slices, table, texts
+from tabulens.llm.common import slices, table, texts, with_fields
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -195,8 +195,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([part.column("key"), lists, pa.array(bpe.decode(ids, edges), pa.string())], ["key", "ids", "decoded"])
 
-    kind = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", id_col)
+    return source.mapInArrow(run, with_fields(source.select("key"), "ids array<int>, decoded string")).withColumnRenamed("key", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

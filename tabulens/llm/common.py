@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run without ASCII white space (JVM regular expression).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,3 +94,8 @@ def bounded_sample(df: DataFrame, strata: str, key: str, per_stratum: int, seed:
     )
     ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_s").orderBy("_mark", key)))
     return ranked.where(F.col("_rank") <= per_stratum).drop("_mark", "_s", "_share", "_rank")
+
+
+def with_fields(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of df, and the fields of ddl after it."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -8,14 +8,14 @@
    meets in a tile.
 3. Each tile's smallest node is its pivot. Pivots are compared with the other members (pairs grow with the members, not
    with their square), and the links' components are found by alternating stars.
-4. Tiles whose members are still in several components are mostly documents that share a passage. Their nodes, and only
-   those, get a second set of keys: the n // 4 + 1 rarest shingles by exact document frequency, where common passages
-   come last. Pivots again, components again.
-5. What is then still split is compared whole, tile against tile in blocks of BLOCK nodes, members of one component
-   left out.
+4. Tiles of up to LARGE members that are still in several components are mostly documents that share a passage. They
+   are compared whole, in blocks of BLOCK nodes, members of one component left out.
+5. The nodes of larger tiles that are still split, and only those, get a second set of keys: the n // 4 + 1 rarest
+   shingles by exact document frequency, where common passages come last. Pivots and components again, then blocks.
 
 A comparison first bounds the overlap by bit counts of hashed bitmaps: every bit of one signature that the other lacks
-is at least one element that it lacks. Pairs that pass have their sorted hash arrays intersected exactly.
+is at least one element that it lacks. Only for pairs that pass are the texts read again, and their sorted hash arrays
+intersected exactly.
 
 Nothing is collected on the driver but counts. A group of copies is one node; a hot tile's rows are pre-aggregated for
 its pivot, and its comparisons are dealt out by pivot and member.
@@ -41,10 +41,15 @@ SHINGLE = 5
 #: Least similarity: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BOTTOM_KEYS = 20
-#: Members of a tile that one task compares at a time, and nodes of a block in step 5.
-DEAL, BLOCK = 2_000, 512
-#: 64-bit words of a bitmap signature.
-SIGNATURE = 16
+#: Members of a tile up to which it is compared whole at once, and nodes of a block.
+LARGE, BLOCK = 2_048, 512
+#: Further rounds of pivots, drawn at random, before tiles are compared whole.
+TURNS = 2
+#: Nodes up to which their texts are picked by a broadcast of their ids (32 bytes each); more are picked by a shuffle.
+BROADCAST_NODES = 200_000
+#: Least bits of a signature; it has the power of two from twice the set's size on. Signatures of sets that can be
+#: linked differ by a factor of two at most, and the halves of the longer one are joined before they are compared.
+LEAST_BITS = 1024
 BAND_RATIO = 100 / PERCENT
 
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -82,11 +87,25 @@ class Shingler:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(SIGNATURE * 64, np.uint8)
-    bits[(hashes >> np.uint64(7)) % np.uint64(SIGNATURE * 64)] = 1
+    size = max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else LEAST_BITS
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes >> np.uint64(7)) & np.uint64(size - 1)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def folded(column: pa.ChunkedArray) -> np.ndarray:
+    """The signatures of a column as rows of one matrix, all joined down to the shortest."""
+    lists = column.combine_chunks()
+    flat = lists.flatten().to_numpy().view(np.uint64)
+    size = lists.value_lengths().to_numpy()
+    start, least = np.cumsum(size) - size, int(size.min())
+    out = np.zeros((len(size), least), np.uint64)
+    for k in range(int(size.max()) // least):
+        rows = np.flatnonzero(size > k * least)
+        out[rows] |= flat[start[rows][:, None] + k * least + np.arange(least)]
+    return out
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets are linked."""
     if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)) or not len(a):
@@ -103,7 +122,7 @@ def may_link(sig: np.ndarray, n: int, sigs: np.ndarray, ns: np.ndarray) -> np.nd
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """(key, t1, t2, f1, f2, n, keys) for docs (key, t1, t2, text): the set's fingerprint, its size, its search keys."""
+    """(key, t1, t2, f1, f2, n, keys, sig) for docs (key, t1, t2, text): the set's fingerprint, size, search keys and signature."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
@@ -113,37 +132,37 @@ def shingled(docs: DataFrame) -> DataFrame:
                 s = shingles(t)
                 f = xxhash.xxh3_128_digest(s.tobytes())
                 keys = s[: min(BOTTOM_KEYS, len(s) // 4 + 1)].view(np.int64)
-                rows.append((*np.frombuffer(f, np.int64).tolist(), len(s), keys))
-            f1, f2, n, keys = zip(*rows, strict=True)
+                rows.append((*np.frombuffer(f, np.int64).tolist(), len(s), keys, signature(s).view(np.int64)))
+            f1, f2, n, keys, sig = zip(*rows, strict=True)
             named = {c: part.column(c) for c in ("key", "t1", "t2")}
-            named |= {"f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "n": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+            named |= {"f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "n": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "sig": pa.array(sig, pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_pydict(named)
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, t1 long, t2 long, f1 long, f2 long, n long, keys array<long>")
+    return docs.mapInArrow(run, f"key {kind}, t1 long, t2 long, f1 long, f2 long, n long, keys array<long>, sig array<long>")
 
 
 def node_sets(rows: DataFrame) -> DataFrame:
-    """(id, n, hashes, sig) for rows (id, text)."""
+    """(id, n, hashes) for rows (id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for part in slices(batches, "text"):
             sets = [shingles(t) for t in texts(part, "text")]
             yield pa.RecordBatch.from_pydict(
-                {"id": part.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary()), "sig": pa.array([signature(s).tobytes() for s in sets], pa.binary())}
+                {"id": part.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())}
             )
 
-    return rows.select("id", "text").mapInArrow(run, "id long, n long, hashes binary, sig binary")
+    return rows.select("id", "text").mapInArrow(run, "id long, n long, hashes binary")
 
 
 def tiled(rows: DataFrame) -> DataFrame:
-    """(tile, id, n) for rows (id, n, keys): each key with the node's size band, and with the band above."""
+    """(tile, key, band, own, id, n) for rows (id, n, keys): each key with the node's own size band, and with the band above."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND_RATIO)) + 1e-9)
     return (
-        rows.select("id", "n", band.alias("band"), F.explode("keys").alias("key"))
-        .select("id", "n", "key", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-        .select(F.xxhash64("key", "band").alias("tile"), "id", "n")
+        rows.select("id", "n", band.alias("own"), F.explode("keys").alias("key"))
+        .select("id", "n", "key", "own", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
+        .select(F.xxhash64("key", "band").alias("tile"), "key", "band", "own", "id", "n")
     )
 
 
@@ -152,35 +171,70 @@ def close(a: str, b: str):
 
 
 def with_pivots(tiles: DataFrame) -> DataFrame:
-    """(tile, id, n, pivot, pivot_n) of the tiles with several members."""
-    pivots = tiles.groupBy("tile").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("p")).where("m > 1").select("tile", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    """The rows of the tiles with m > 1 members, with m, pivot and pivot_n."""
+    pivots = tiles.groupBy("tile").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("p")).where("m > 1").select("tile", "m", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
     return tiles.join(pivots, "tile")
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    return members.where((F.col("id") != F.col("pivot")) & close("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+def star_pairs(members: DataFrame, nodes: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """The distinct pairs (a, b) of pivots and members that pass the bound of bit counts and are not among those tried."""
+    two = F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")
+    pairs = members.where((F.col("id") != F.col("pivot")) & close("n", "pivot_n")).select(*two).distinct()
+    pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    for x in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")), x)
+
+    def fold(x: str, y: str):
+        half = F.size(f"sig_{y}")
+        joined = F.zip_with(F.slice(f"sig_{x}", F.lit(1), half), F.slice(f"sig_{x}", half + 1, half), lambda p, q: p.bitwiseOR(q))
+        return F.when(F.size(f"sig_{x}") > half, joined).otherwise(F.col(f"sig_{x}"))
+
+    pairs = pairs.withColumns({"sig_a": fold("a", "b"), "sig_b": fold("b", "a")})
+
+    def held(x: str, y: str):
+        lacked = F.aggregate(F.zip_with(f"sig_{x}", f"sig_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda acc, v: acc + v)
+        return F.col(f"n_{x}") - lacked
+
+    most = F.least(held("a", "b"), held("b", "a"))
+    return cut(pairs.where(100 * most >= PERCENT * (F.col("n_a") + F.col("n_b") - most)).select("a", "b"), "jaccard-pairs")
+
+
+def pick_sets(ids: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """(id, n, hashes) of the nodes in ids, from the text of each node's smallest row."""
+    picked = cut(nodes.join(ids.distinct(), "id", "left_semi").select("id", F.col("rep.key").alias("k"), F.col("rep.t1").alias("t1"), F.col("rep.t2").alias("t2")), "jaccard-picked")
+    side = F.broadcast(picked) if picked.count() <= BROADCAST_NODES else picked
+    own = source.join(side, (source["t1"] == side["t1"]) & (source["t2"] == side["t2"]) & source["key"].eqNullSafe(side["k"])).select("id", "text")
+    return cut(node_sets(own).dropDuplicates(["id"]), "jaccard-sets")
+
+
+def exact_links(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """The linked ones of the distinct pairs (a, b)."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    return cut(verified(pairs, pick_sets(ids, nodes, source)), "jaccard-links")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The linked ones of the distinct pairs (a, b); the members b of one a are dealt to several tasks."""
     dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(64))), F.lit(1 << 40)))
-    kinds = "a long, deal long, b long, n long, hashes binary, sig binary"
+    kinds = "a long, deal long, b long, hashes binary"
     left = dealt.select("a", "deal").distinct().join(sets.withColumnRenamed("id", "a"), "a").withColumn("b", F.lit(None).cast("long"))
     right = dealt.join(sets.withColumnRenamed("id", "b"), "b")
     names = [x.split()[0] for x in kinds.split(", ")]
     both = left.select(*names).unionByName(right.select(*names)).repartition("deal").sortWithinPartitions("deal", "a", F.col("b").asc_nulls_first())
 
+    names_read = "a", "b", "deal", "hashes"
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
         for batch in batches:
             found = []
-            for a, b, deal, n, hashes, sig in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "deal", "n", "hashes", "sig")), strict=True):
+            for a, b, deal, hashes in zip(*(batch.column(c).to_pylist() for c in names_read), strict=True):
                 if b is None:
-                    head = a, deal, np.frombuffer(hashes, np.uint64), np.frombuffer(sig, np.uint64), n
+                    head = a, deal, np.frombuffer(hashes, np.uint64)
                     continue
                 if head is None or head[:2] != (a, deal):
                     raise ValueError("a member without its pivot")
-                if may_link(head[3], head[4], np.frombuffer(sig, np.uint64)[None], np.array([n]))[0] and similar(head[2], np.frombuffer(hashes, np.uint64)):
+                if similar(head[2], np.frombuffer(hashes, np.uint64)):
                     found.append((a, b))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
@@ -206,12 +260,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def still_split(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(tile, id, n, component) of the tiles whose members are in several components and that hold more than a pivot and one other."""
-    named = members.select("tile", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = named.groupBy("tile").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("m > 2 and x <> y").select("tile")
+    """The rows, with their component, of the tiles whose members are in several components and that hold more than a pivot and one other."""
+    named = members.drop("pivot", "pivot_n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = named.where("m > 2").groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile")
     return named.join(split, "tile", "left_semi")
 
 
+def other_pivots(split: DataFrame, turn: int) -> DataFrame:
+    """The rows of split tiles that are in another component than a pivot drawn anew, with that pivot."""
+    drawn = split.groupBy("tile").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(turn))).alias("p"))
+    drawn = drawn.select("tile", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component"))
+    return split.join(drawn, "tile").where("component <> pivot_component")
+
+
 def rarest_keys(ids: DataFrame, sets: DataFrame) -> DataFrame:
     """(id, n, keys) with the n // 4 + 1 shingles of least document frequency among these nodes, ties by hash."""
 
@@ -230,66 +291,102 @@ def rarest_keys(ids: DataFrame, sets: DataFrame) -> DataFrame:
     return lists.select("id", "n", F.slice("ranked", F.lit(1), (F.floor(F.col("n") / 4) + 1).cast("int"))["key"].alias("keys"))
 
 
-def block_pairs(split: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct pairs of different components that share a tile and pass the bound of bit counts."""
+def block_pairs(split: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs of different components that share a tile and pass the bound of bit counts.
+
+    A pair that shares several tiles is given by the one of its smallest common key and its larger band.
+    """
     place = F.floor((F.row_number().over(Window.partitionBy("tile").orderBy("id")) - 1) / BLOCK)
     rows = split.withColumn("block", place)
     counts = rows.groupBy("tile").agg((F.max("block") + 1).alias("blocks"))
     # A block goes to the tasks (i, j), i <= j, in which it is one of the two.
     spread = rows.join(counts, "tile").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks").join(sets.select("id", "sig"), "id")
+    spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks").join(nodes.select("id", "sig", "keys"), "id")
 
     def run(t: pa.Table) -> pa.Table:
-        ids, ns, comp, block = (t.column(c).to_numpy() for c in ("id", "n", "component", "block"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(-1, SIGNATURE)
+        ids, ns, comp, block, own = (t.column(c).to_numpy() for c in ("id", "n", "component", "block", "own"))
+        i, j, key, band = (t.column(c)[0].as_py() for c in ("i", "j", "key", "band"))
+        lists = t.column("keys").to_pylist()
+        # Keys ahead of this tile's: sharing one of them, or a lower band, a pair is another tile's.
+        ahead = [{x for x in own_keys if x < key} for own_keys in lists]
+        sigs = folded(t.column("sig"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in left:
             rest = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
+            rest = rest[np.maximum(own[rest], own[x]) == band]
             hit = rest[may_link(sigs[x], ns[x], sigs[rest], ns[rest])]
+            hit = np.array([y for y in hit.tolist() if ahead[x].isdisjoint(ahead[y])], int)
             a += [min(ids[x], y) for y in ids[hit]]
             b += [max(ids[x], y) for y in ids[hit]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return spread.groupBy("tile", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return cut(spread.groupBy("tile", "i", "j").applyInArrow(run, "a long, b long").distinct(), "jaccard-pairs")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, n_shingles and component_id."""
-    hashes = [F.xxhash64(F.lit(seed), F.col(text_col)).alias(name) for seed, name in ((3, "t1"), (5, "t2"))]
-    source = docs.select(F.col(id_col).alias("key"), *hashes, F.col(text_col).cast("string").alias("text"))
+def text_marks(text_col: str) -> list:
+    """Two hashes of a text; rows with equal id and marks are equal in both."""
+    return [F.xxhash64(F.lit(seed), F.col(text_col)).alias(name) for seed, name in ((3, "t1"), (5, "t2"))]
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: key (its id), t1, t2, n (the set's size), component (null for the empty set) and component_id."""
+    source = docs.select(F.col(id_col).alias("key"), *text_marks(text_col), F.col(text_col).cast("string").alias("text"))
     rows = cut(shingled(source), "jaccard-rows")
 
     # One node for each set; its text is that of its smallest row.
-    nodes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("key", "t1", "t2")).alias("rep"), F.min("key").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("key", "t1", "t2")).alias("rep"), F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "keys", "sig")))
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "jaccard-nodes")
 
     members = cut(with_pivots(tiled(nodes)), "jaccard-tiles")
-    wanted = members.select("id").distinct()
-    picked = nodes.join(wanted, "id", "left_semi").select("id", F.col("rep.key").alias("k"), F.col("rep.t1").alias("t1"), F.col("rep.t2").alias("t2"))
-    own = source.join(picked, (source["t1"] == picked["t1"]) & (source["t2"] == picked["t2"]) & source["key"].eqNullSafe(picked["k"])).select("id", "text")
-    sets = cut(node_sets(own).dropDuplicates(["id"]), "jaccard-sets")
-
-    links = cut(verified(star_pairs(members), sets), "jaccard-links")
+    tried = star_pairs(members, nodes)
+    links = exact_links(tried, nodes, source)
     found = components(links)
+    for turn in range(TURNS):
+        fresh = star_pairs(other_pivots(cut(still_split(members, found), "jaccard-split"), turn), nodes, tried)
+        tried, links = tried.union(fresh), links.union(exact_links(fresh, nodes, source))
+        found = components(links)
 
     split = cut(still_split(members, found), "jaccard-split")
-    if not split.isEmpty():
-        again = cut(with_pivots(tiled(rarest_keys(split.select("id").distinct(), sets))), "jaccard-tiles")
-        fresh = cut(verified(star_pairs(again).join(star_pairs(members), ["a", "b"], "left_anti"), sets), "jaccard-links")
-        links = links.union(fresh)
-        found = components(links)
-        rest = cut(still_split(again, found), "jaccard-split")
-        if not rest.isEmpty():
-            links = links.union(cut(verified(block_pairs(rest, sets), sets), "jaccard-links"))
-            found = components(links)
+    whole = block_pairs(split.where(F.col("m") <= LARGE), nodes).join(tried, ["a", "b"], "left_anti")
+    links = links.union(exact_links(whole, nodes, source))
+    hot = cut(split.where(F.col("m") > LARGE).select("id").distinct(), "jaccard-hot")
+    if not hot.isEmpty():
+        rare = cut(rarest_keys(hot, pick_sets(hot, nodes, source)), "jaccard-rare")
+        again = cut(with_pivots(tiled(rare)), "jaccard-tiles")
+        links = links.union(exact_links(star_pairs(again, nodes, tried), nodes, source))
+        rest = still_split(again, components(links))
+        links = links.union(exact_links(block_pairs(rest, nodes.drop("keys").join(rare.select("id", "keys"), "id")), nodes, source))
+    found = components(links)
 
     named = nodes.join(found, "id", "left").select("f1", "f2", "least", F.coalesce("component", "id").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = named.join(smallest, "component").select("f1", "f2", "component_id")
-    out = rows.where("n > 0").join(by_set, ["f1", "f2"]).select("key", "n", "component_id").unionByName(rows.where("n = 0").select("key", "n", F.col("key").alias("component_id")))
-    return out.select(F.col("key").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    by_set = named.join(smallest, "component").select("f1", "f2", "component", "component_id")
+    out = rows.where("n > 0").join(by_set, ["f1", "f2"]).select("key", "t1", "t2", "n", "component", "component_id")
+    return out.unionByName(rows.where("n = 0").select("key", "t1", "t2", "n", F.lit(None).cast("long").alias("component"), F.col("key").alias("component_id")))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id_col, n_shingles and component_id."""
+    return classes(docs, id_col, text_col).select(F.col("key").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row, of smallest id, for each component; rows without words stay."""
+    own = cut(classes(docs, id_col, text_col).where("n > 0").groupBy("component", "key", "t1", "t2").agg(F.count("*").alias("copies")), "classes")
+    least = own.groupBy("component").agg(F.min(F.struct(F.col("key").isNull(), "key", "t1", "t2")).alias("least"))
+    joined = own.join(least, "component")
+    stays = F.col("key").eqNullSafe(F.col("least.key")) & (F.col("t1") == F.col("least.t1")) & (F.col("t2") == F.col("least.t2"))
+    gone = cut(joined.where(~stays).select("key", "t1", "t2"), "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("id"), *text_marks(text_col))
+    left = marked.join(side, (marked["t1"] == side["t1"]) & (marked["t2"] == side["t2"]) & marked["id"].eqNullSafe(side["key"]), "left_anti")
+    # Rows that repeat in full are told apart by nothing; one of them stays.
+    again = cut(joined.where(stays & (F.col("copies") > 1)).select("key", "t1", "t2"), "repeated")
+    if not again.isEmpty():
+        same = (left["t1"] == again["t1"]) & (left["t2"] == again["t2"]) & left["id"].eqNullSafe(again["key"])
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["id", "t1", "t2"]))
+    return left.select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import bounded_sample, id_remainder, slices, table, texts
+from tabulens.llm.common import bounded_sample, id_remainder, slices, table, texts, with_fields
 
 ORDER, BITS = 5, 12
 ALPHABET = (1 << BITS) - 2  # besides 0, the boundary, and the last symbol, any other letter
@@ -216,8 +216,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
             columns = [*part.columns, *(pa.array(v, k) for v, k in zip(found, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score", "bits_per_symbol", "rejected"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*names).mapInArrow(run, schema + ", lang_pred string, score double, bits_per_symbol double, rejected boolean")
+    own = docs.select(*(F.col(f"`{c}`") for c in names))
+    return own.mapInArrow(run, with_fields(own, "lang_pred string, score double, bits_per_symbol double, rejected boolean"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ WEIGHTS = (3, 1, 2)
 #: Words of the mix over words of all documents, and the most times that a source may repeat.
 SHARE, REPEATS = 1.5, 2
 #: Rows of a bucket, on average, and slots of a run.
-BUCKET_ROWS, RUN_SLOTS = 20_000, 1 << 16
+BUCKET_ROWS, RUN_SLOTS = 2_000, 1 << 13
 
 #: The golden ratio's fraction in units of 2**-31; odd, so the points of a period are all different.
 GOLDEN, PERIOD = 1327217885, 1 << 31

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import cut, slices, table, texts
+from tabulens.llm.common import cut, slices, table, texts, with_fields
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "local_phone", "secret", "ssn", "iban", "name")
@@ -164,8 +164,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
                 extra.append(rest)
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(base, pa.list_(span)), pa.array(extra, pa.list_(more))], ["key", "base", "more"])
 
-    kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, base array<struct<kind:string,start:int,end:int>>, more array<struct<kind:string,start:int,end:int,pattern:string>>")
+    return docs.mapInArrow(run, with_fields(docs.select("key"), "base array<struct<kind:string,start:int,end:int>>, more array<struct<kind:string,start:int,end:int,pattern:string>>"))
 
 
 def reliabilities(patterns: list[tuple[str, int]], rounds: int = 50) -> np.ndarray:
