@@ -17,4 +17,22 @@ QUERIES = {
     "op10_ann": ann.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Shingle sets, all pairs that share a shingle, links, and what each document reaches through them.
+JACCARD_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from w
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), links as (
+  select a.doc_id as x, b.doc_id as y from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n c on c.doc_id = a.doc_id join n d on d.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, c.n, d.n having 100 * count(*) >= 75 * (c.n + d.n - count(*))
+), reach as (
+  select x, y from links union select r.x, l.y from reach r join links l on l.x = r.y
+)
+select w.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) as n_shingles, least(w.doc_id, coalesce(min(r.y), w.doc_id)) as component_id
+from w left join n on n.doc_id = w.doc_id left join reach r on r.x = w.doc_id group by w.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": JACCARD_SQL}

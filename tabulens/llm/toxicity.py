@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from tabulens.llm.common import bounded_sample, id_remainder, slices, table, texts
 
 SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 30_000
-#: A word or stem joins the lexicon beyond this many standard errors of its log odds, in at least so many toxic rows.
-LEAST_Z, LEAST_DOCS = 4.5, 6
+#: A word or stem joins the lexicon beyond this many standard errors of its log odds, if at least so many toxic rows, and
+#: such a share of them, have it; of stems that contain each other the one with the highest lower bound stays.
+LEAST_ERRORS, LEAST_DOCS, LEAST_SHARE = 2.25, 6, 0.02
 STEM_CHARS = range(3, 11)
 
 SEEDS = {
@@ -52,7 +53,7 @@ def prior(event: tuple) -> float:
     return base * (0.6 if negated else 1) * (0.6 if reported else 1)
 
 
-PRIOR = np.array([BIAS, *map(prior, EVENTS), 1.0])
+PRIOR = np.array([BIAS, *map(prior, EVENTS), 0.5, 2.0])
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 CLAUSES = re.compile(r"[.!?;:\n|]+").split
@@ -109,7 +110,8 @@ class Lexicon:
         return self._set
 
     def features(self, text: str) -> np.ndarray:
-        """Log counts of the matches by event, and of the different inflected words of the most frequent stem."""
+        """Log counts of the matches by event; the different inflected words of the most frequent stem, plain and, as long
+        texts meet some by chance, discounted by the number of different words."""
         out = np.zeros(len(PRIOR))
         out[0] = 1.0
         low = text.lower()
@@ -130,9 +132,10 @@ class Lexicon:
                     aimed = aimed or any(self.symbol(t) == "target" for t in tokens[k + 1 : k + 3])
                     counts[x, int(aimed), negated, reported] += 1
                 state = GRAMMAR.step(state, x)
-        out[1:-1] = [np.log1p(counts[e]) for e in EVENTS]
+        out[1:-2] = [np.log1p(counts[e]) for e in EVENTS]
         heads = Counter(next((w[:n] for n in self.lengths if n < len(w) and w[:n] in self._stems), "") for w in hits if self.symbol(w) == "stem")
-        out[-1] = max(heads.values(), default=0)
+        most = max(heads.values(), default=0)
+        out[-2:] = min(most, 8), min(most, 8) * 150 / (150 + len(words))
         return out
 
 
@@ -140,18 +143,20 @@ def learned(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
     """Words, and stems of several words of a text, that tell toxic rows from the others."""
     seen = {0: Counter(), 1: Counter()}
     size = Counter(y for _, y in rows)
+    least = max(LEAST_DOCS, LEAST_SHARE * size[1])
     for text, y in rows:
         words = {w for w in WORDS(text.lower()) if len(w) <= 30}
         heads = Counter(w[:n] for w in words for n in STEM_CHARS if n < len(w))
         seen[y].update(words)
-        seen[y].update(f"{h}*" for h, k in heads.items() if k >= 3)
+        seen[y].update(f"{h}*" for h, k in heads.items() if k >= 2)
     scored = {}
     for w, k in seen[1].items():
         c = seen[0][w]
-        if k >= LEAST_DOCS:
+        if k >= least:
             odds = np.log((k + 0.5) / (size[1] + 1)) - np.log((c + 0.5) / (size[0] + 1))
-            if odds > 2.0 and (z := odds / np.sqrt(1 / (k + 0.5) + 1 / (c + 0.5))) > LEAST_Z:
-                scored[w] = z
+            error = np.sqrt(1 / (k + 0.5) + 1 / (c + 0.5))
+            if odds > 2.0 and odds > LEAST_ERRORS * error:
+                scored[w] = odds - 2 * error
     stems: list[str] = []
     for w in sorted((w for w in scored if w[-1] == "*"), key=lambda w: (-scored[w], w)):
         stem = w[:-1]
