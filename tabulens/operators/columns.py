@@ -144,10 +144,10 @@ def strings(df: DataFrame, name: str) -> Column:
 def identical_pairs(df: DataFrame) -> list[tuple[str, str]]:
     """Pairs of columns of one type with equal values in every row, null equal to null.
 
-    Sums of hashes pick the candidates, so that the exact comparison, one pass for all, meets few pairs.
+    Combined hashes pick the candidates, so that the exact comparison, one pass for all, meets few pairs.
     """
     fields = [f for f in df.schema if kind(f.dataType) != "nested"]
-    sums = aggregate(df, {(f.name, "h"): F.sum(F.pmod(F.xxhash64(col(f.name)), F.lit((1 << 31) - 1))) for f in fields})
+    sums = aggregate(df, {(f.name, "h"): F.bit_xor(F.xxhash64(col(f.name))) for f in fields})
     pairs = [(a.name, b.name) for i, a in enumerate(fields) for b in fields[i + 1 :] if a.dataType == b.dataType and sums[a.name, "h"] == sums[b.name, "h"]]
     if not pairs:
         return []

@@ -39,3 +39,10 @@ def test_entry_imports_and_runs(spark):
 
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_training_data_part():
+    import subprocess
+
+    code = "import sys; sys.modules['tabulens.llm'] = None; import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith('op')] and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent, timeout=120)
