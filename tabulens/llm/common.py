@@ -77,11 +77,15 @@ def id_remainder(col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string")) % F.lit(modulus), F.lit(-1))
 
 
-def bounded_sample(df: DataFrame, strata: str, key: str, per_stratum: int, seed: int = 7) -> DataFrame:
-    """At most per_stratum rows of each stratum, in the order of a hash of their key.
+def bounded_sample(df: DataFrame, strata: str | None, key: str, per_stratum: int, seed: int = 7) -> DataFrame:
+    """At most per_stratum rows of each stratum (None: of all rows), in the order of a hash of their key.
 
     A first pass counts each stratum, so only about twice the wanted rows reach the window that ranks them.
     """
+    if strata is None:
+        least = min(1.0, (2.0 * per_stratum + 50) / max(1, df.count()))
+        marked = df.withColumn("_mark", F.xxhash64(F.col(key), F.lit(seed))).where(F.pmod("_mark", F.lit(1 << 20)) < least * (1 << 20))
+        return marked.orderBy("_mark", key).limit(per_stratum).drop("_mark")
     counts = cut(df.groupBy(strata).count(), "strata")
     few = counts.count() <= BROADCAST_STRATA
     share = F.least(F.lit(1.0), F.lit(2.0 * per_stratum + 50) / F.col("count"))

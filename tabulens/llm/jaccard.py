@@ -3,13 +3,13 @@
 1. Each whole text gives its set of 64-bit shingle hashes. Documents with equal sets collapse into one node, so copies
    cost nothing further.
 2. A node's search keys are its BOTTOM_KEYS smallest shingle hashes, or its n // 4 + 1 smallest where that is fewer
-   (then sharing none proves two sets unlike; else a link goes unseen with probability 0.25**20, 1e-12). A tile is a
-   key and a size band of ratio 4/3 with the band below it: linked sets differ in size by no more, so each linked pair
-   meets in a tile.
+   (then sharing none proves two sets unlike; else a link goes unseen with probability 0.25**20, 1e-12). The nodes
+   that share a key form a tile.
 3. Each tile's smallest node is its pivot. Pivots are compared with the other members (pairs grow with the members, not
    with their square), and the links' components are found by alternating stars.
 4. Tiles of up to LARGE members that are still in several components are mostly documents that share a passage. They
-   are compared whole, in blocks of BLOCK nodes, members of one component left out.
+   are compared whole, in blocks of nodes by size; blocks whose sizes are too far apart don't meet, and members
+   of one component are left out.
 5. The nodes of larger tiles that are still split, and only those, get a second set of keys: the n // 4 + 1 rarest
    shingles by exact document frequency, where common passages come last. Pivots and components again, then blocks.
 
@@ -41,16 +41,16 @@ SHINGLE = 5
 #: Least similarity: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BOTTOM_KEYS = 20
-#: Members of a tile up to which it is compared whole at once, and nodes of a block.
-LARGE, BLOCK = 2_048, 512
-#: Further rounds of pivots, drawn at random, before tiles are compared whole.
-TURNS = 2
+#: Members of a tile up to which it is compared whole at once. A node then meets LARGE signatures at most, at some 60 ns
+#: each; that is what it costs to shuffle a set of a few hundred shingles for the second keys.
+LARGE = 16_384
+#: A block holds nodes of this weight in all; a node weighs its set's size, and BLOCK_LEAST at least.
+BLOCK, BLOCK_LEAST = 1 << 22, 2_048
 #: Nodes up to which their texts are picked by a broadcast of their ids (32 bytes each); more are picked by a shuffle.
 BROADCAST_NODES = 200_000
-#: Least bits of a signature; it has the power of two from twice the set's size on. Signatures of sets that can be
+#: Least bits of a signature; it has the power of two from four times the set's size on. Signatures of sets that can be
 #: linked differ by a factor of two at most, and the halves of the longer one are joined before they are compared.
-LEAST_BITS = 1024
-BAND_RATIO = 100 / PERCENT
+LEAST_BITS = 512
 
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -87,7 +87,7 @@ class Shingler:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    size = max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else LEAST_BITS
+    size = max(LEAST_BITS, 1 << (4 * len(hashes) - 1).bit_length()) if len(hashes) else LEAST_BITS
     bits = np.zeros(size, np.uint8)
     bits[(hashes >> np.uint64(7)) & np.uint64(size - 1)] = 1
     return np.packbits(bits).view(np.uint64)
@@ -157,13 +157,8 @@ def node_sets(rows: DataFrame) -> DataFrame:
 
 
 def tiled(rows: DataFrame) -> DataFrame:
-    """(tile, key, band, own, id, n) for rows (id, n, keys): each key with the node's own size band, and with the band above."""
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND_RATIO)) + 1e-9)
-    return (
-        rows.select("id", "n", band.alias("own"), F.explode("keys").alias("key"))
-        .select("id", "n", "key", "own", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
-        .select(F.xxhash64("key", "band").alias("tile"), "key", "band", "own", "id", "n")
-    )
+    """(tile, id) for rows (id, keys)."""
+    return rows.select(F.explode("keys").alias("tile"), "id")
 
 
 def close(a: str, b: str):
@@ -171,15 +166,14 @@ def close(a: str, b: str):
 
 
 def with_pivots(tiles: DataFrame) -> DataFrame:
-    """The rows of the tiles with m > 1 members, with m, pivot and pivot_n."""
-    pivots = tiles.groupBy("tile").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("p")).where("m > 1").select("tile", "m", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    return tiles.join(pivots, "tile")
+    """(tile, m, id, pivot) of the tiles with m > 1 members."""
+    pivots = tiles.groupBy("tile").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).where("m > 1")
+    return tiles.join(pivots, "tile").select("tile", "m", "id", "pivot")
 
 
 def star_pairs(members: DataFrame, nodes: DataFrame, tried: DataFrame | None = None) -> DataFrame:
     """The distinct pairs (a, b) of pivots and members that pass the bound of bit counts and are not among those tried."""
-    two = F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")
-    pairs = members.where((F.col("id") != F.col("pivot")) & close("n", "pivot_n")).select(*two).distinct()
+    pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
     for x in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")), x)
@@ -189,7 +183,7 @@ def star_pairs(members: DataFrame, nodes: DataFrame, tried: DataFrame | None = N
         joined = F.zip_with(F.slice(f"sig_{x}", F.lit(1), half), F.slice(f"sig_{x}", half + 1, half), lambda p, q: p.bitwiseOR(q))
         return F.when(F.size(f"sig_{x}") > half, joined).otherwise(F.col(f"sig_{x}"))
 
-    pairs = pairs.withColumns({"sig_a": fold("a", "b"), "sig_b": fold("b", "a")})
+    pairs = pairs.where(close("n_a", "n_b")).withColumns({"sig_a": fold("a", "b"), "sig_b": fold("b", "a")})
 
     def held(x: str, y: str):
         lacked = F.aggregate(F.zip_with(f"sig_{x}", f"sig_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda acc, v: acc + v)
@@ -209,6 +203,8 @@ def pick_sets(ids: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
 
 def exact_links(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
     """The linked ones of the distinct pairs (a, b)."""
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     return cut(verified(pairs, pick_sets(ids, nodes, source)), "jaccard-links")
 
@@ -246,7 +242,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     before = None
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31))).first()
+        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         before = state
@@ -261,18 +257,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def still_split(members: DataFrame, found: DataFrame) -> DataFrame:
     """The rows, with their component, of the tiles whose members are in several components and that hold more than a pivot and one other."""
-    named = members.drop("pivot", "pivot_n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = named.where("m > 2").groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile")
+    named = members.where("m > 2").select("tile", "m", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = named.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile")
     return named.join(split, "tile", "left_semi")
 
 
-def other_pivots(split: DataFrame, turn: int) -> DataFrame:
-    """The rows of split tiles that are in another component than a pivot drawn anew, with that pivot."""
-    drawn = split.groupBy("tile").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(turn))).alias("p"))
-    drawn = drawn.select("tile", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component"))
-    return split.join(drawn, "tile").where("component <> pivot_component")
-
-
 def rarest_keys(ids: DataFrame, sets: DataFrame) -> DataFrame:
     """(id, n, keys) with the n // 4 + 1 shingles of least document frequency among these nodes, ties by hash."""
 
@@ -292,36 +281,66 @@ def rarest_keys(ids: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def block_pairs(split: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs of different components that share a tile and pass the bound of bit counts.
-
-    A pair that shares several tiles is given by the one of its smallest common key and its larger band.
+    """(task, a, b): distinct pairs of different components that share a tile and pass the bound of bit counts; task names
+    the two blocks that they are of. A pair that shares several tiles is given by the smallest one alone.
     """
-    place = F.floor((F.row_number().over(Window.partitionBy("tile").orderBy("id")) - 1) / BLOCK)
-    rows = split.withColumn("block", place)
-    counts = rows.groupBy("tile").agg((F.max("block") + 1).alias("blocks"))
-    # A block goes to the tasks (i, j), i <= j, in which it is one of the two.
-    spread = rows.join(counts, "tile").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks").join(nodes.select("id", "sig", "keys"), "id")
+    before = Window.partitionBy("tile").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.coalesce(F.sum(F.greatest("n", F.lit(BLOCK_LEAST))).over(before), F.lit(0))
+    rows = split.join(nodes.select("id", "n"), "id").withColumn("block", F.floor(weight / BLOCK))
+    sizes = rows.groupBy("tile", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    i, j = (sizes.select("tile", F.col("block").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in ("i", "j"))
+    meet = i.join(j, "tile").where((F.col("i") <= F.col("j")) & (PERCENT * F.col("low_j") <= 100 * F.col("high_i"))).select("tile", "i", "j")
+    sides = meet.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    spread = rows.join(sides, ["tile", "block"]).join(nodes.select("id", "sig", "keys"), "id")
 
     def run(t: pa.Table) -> pa.Table:
-        ids, ns, comp, block, own = (t.column(c).to_numpy() for c in ("id", "n", "component", "block", "own"))
-        i, j, key, band = (t.column(c)[0].as_py() for c in ("i", "j", "key", "band"))
-        lists = t.column("keys").to_pylist()
-        # Keys ahead of this tile's: sharing one of them, or a lower band, a pair is another tile's.
-        ahead = [{x for x in own_keys if x < key} for own_keys in lists]
+        ids, ns, comp, block = (t.column(c).to_numpy() for c in ("id", "n", "component", "block"))
+        i, j, tile = (t.column(c)[0].as_py() for c in ("i", "j", "tile"))
         sigs = folded(t.column("sig"))
+        # Sharing a key ahead of this tile's, a pair is another tile's.
+        ahead = [{x for x in own_keys if x < tile} for own_keys in t.column("keys").to_pylist()]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in left:
             rest = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
-            rest = rest[np.maximum(own[rest], own[x]) == band]
+            rest = rest[(100 * ns[rest] >= PERCENT * ns[x]) & (PERCENT * ns[rest] <= 100 * ns[x])]
             hit = rest[may_link(sigs[x], ns[x], sigs[rest], ns[rest])]
             hit = np.array([y for y in hit.tolist() if ahead[x].isdisjoint(ahead[y])], int)
             a += [min(ids[x], y) for y in ids[hit]]
             b += [max(ids[x], y) for y in ids[hit]]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"task": pa.array([f"{tile} {i} {j}"] * len(a), pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cut(spread.groupBy("tile", "i", "j").applyInArrow(run, "task string, a long, b long"), "jaccard-pairs")
+
+
+def block_links(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """Links among the pairs (task, a, b) that give the same components as all of them: a pair that links found earlier
+    in its task connect is not compared. Each set comes once a task."""
+    pairs = cut(pairs, "jaccard-pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    ends = pairs.select("task", F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = ends.join(pick_sets(ends.select("id"), nodes, source).select("id", "hashes"), "id")
+    none = F.lit(None).cast("long")
+    rows = sets.select("task", "id", "hashes", none.alias("a"), none.alias("b")).unionByName(pairs.select("task", none.alias("id"), F.lit(None).cast("binary").alias("hashes"), "a", "b"))
+
+    def run(t: pa.Table) -> pa.Table:
+        own = {k: np.frombuffer(h, np.uint64) for k, h in zip(t.column("id").to_pylist(), t.column("hashes").to_pylist(), strict=True) if k is not None}
+        up = {k: k for k in own}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        found = []
+        for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
+            if a is not None and (x := top(a)) != (y := top(b)) and similar(own[a], own[b]):
+                up[x] = y
+                found.append((a, b))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return cut(spread.groupBy("tile", "i", "j").applyInArrow(run, "a long, b long").distinct(), "jaccard-pairs")
+    return cut(rows.groupBy("task").applyInArrow(run, "a long, b long"), "jaccard-links")
 
 
 def text_marks(text_col: str) -> list:
@@ -342,21 +361,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tried = star_pairs(members, nodes)
     links = exact_links(tried, nodes, source)
     found = components(links)
-    for turn in range(TURNS):
-        fresh = star_pairs(other_pivots(cut(still_split(members, found), "jaccard-split"), turn), nodes, tried)
-        tried, links = tried.union(fresh), links.union(exact_links(fresh, nodes, source))
-        found = components(links)
 
     split = cut(still_split(members, found), "jaccard-split")
     whole = block_pairs(split.where(F.col("m") <= LARGE), nodes).join(tried, ["a", "b"], "left_anti")
-    links = links.union(exact_links(whole, nodes, source))
+    links = links.union(block_links(whole, nodes, source))
     hot = cut(split.where(F.col("m") > LARGE).select("id").distinct(), "jaccard-hot")
     if not hot.isEmpty():
         rare = cut(rarest_keys(hot, pick_sets(hot, nodes, source)), "jaccard-rare")
         again = cut(with_pivots(tiled(rare)), "jaccard-tiles")
         links = links.union(exact_links(star_pairs(again, nodes, tried), nodes, source))
         rest = still_split(again, components(links))
-        links = links.union(exact_links(block_pairs(rest, nodes.drop("keys").join(rare.select("id", "keys"), "id")), nodes, source))
+        links = links.union(block_links(block_pairs(rest, nodes.drop("keys").join(rare.select("id", "keys"), "id")), nodes, source))
     found = components(links)
 
     named = nodes.join(found, "id", "left").select("f1", "f2", "least", F.coalesce("component", "id").alias("component"))

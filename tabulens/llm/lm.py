@@ -49,21 +49,25 @@ ALL = "block string, kind byte, idx int, code long, token binary, cnt long, payl
 def symbols(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The code of the n-gram that ends at each symbol of each text, text after text; the symbols of each text.
 
-    A code holds the latest context byte on top, then older ones, and the byte itself at the bottom.
+    A code is the n-gram's bytes read as one number, the symbol itself at the bottom.
     """
     pad = bytes([END]) * DEPTH
-    x = np.frombuffer(b"".join([part for t in batch for part in (pad, t, pad[:1])]), np.uint8)
+    x = bytes(8) + b"".join([part for t in batch for part in (pad, t, pad[:1])])
     n = np.array([len(t) + 1 for t in batch])
-    ends = np.cumsum(n + DEPTH)
-    inside = np.ones(len(x), bool)
-    starts = ends - n - DEPTH
+    inside = np.ones(len(x) - 8, bool)
+    starts = np.cumsum(n + DEPTH) - n - DEPTH
     for k in range(DEPTH):
         inside[starts + k] = False
-    code = np.zeros(len(x), np.uint64)
+    windows = np.ndarray((len(x) - 8,), ">u8", x, 1, (1,))  # the eight bytes up to each one
+    return windows[inside].astype(np.uint64) & np.uint64((1 << (8 * (DEPTH + 1))) - 1), n
+
+
+def latest_first(codes: np.ndarray) -> np.ndarray:
+    """Codes with the latest context byte on top, older ones below it, and the symbol at the bottom."""
+    out = codes & 0xFF
     for k in range(1, DEPTH + 1):
-        code[k:] |= x[:-k].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - k))
-    code |= x
-    return code[inside], n
+        out = out | ((codes >> (8 * k)) & 0xFF) << (8 * (DEPTH + 1 - k))
+    return out
 
 
 def normal(text: str) -> bytes:
@@ -145,6 +149,8 @@ class Subtree:
     """The nodes of depths 2 to DEPTH above n-grams that share their two latest context bytes."""
 
     def __init__(self, codes: np.ndarray, cnt: np.ndarray):
+        codes = latest_first(codes)
+        self.latest = int(codes[0] >> (8 * DEPTH))
         byte = (codes & 0xFF).astype(np.int64)
         j = np.arange(8)
         self.bit = (byte[:, None] >> (7 - j)) & 1
@@ -166,7 +172,7 @@ class Subtree:
             deeper = keys, weighted
             self.levels[k] = keys, place, total, b, stop, weighted
 
-    def chances(self, upper: list[tuple[np.ndarray, np.ndarray, np.ndarray]], latest: int) -> np.ndarray:
+    def chances(self, upper: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
         """log10 probability of each n-gram's byte; upper: total, ones and stop weight of depths 0 and 1, by (context, node)."""
         one, reached = None, None
         for k in range(DEPTH, 1, -1):
@@ -174,7 +180,7 @@ class Subtree:
             one, reached = self._step(one, reached, total[place], b[place], stop[place])
         node = self.node.ravel()
         for k in (1, 0):
-            total, b, stop = (x[latest if k else 0][node] for x in upper[k])
+            total, b, stop = (x[self.latest if k else 0][node] for x in upper[k])
             one, reached = self._step(one, reached, total, b, stop)
         return np.log10(np.where(self.bit.ravel() == 1, one, 1 - one)).reshape(-1, 8).sum(axis=1)
 
@@ -201,7 +207,7 @@ def upper_levels(rows: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 def fit_tables(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(code, value) of each n-gram of the blocks: its byte's log10 probability; (block, idx, value, first) of each token of the blocks: its count in training texts, and whether the row stands for the token."""
     grams = listed.where(F.col("kind") == GRAM)
-    tree = grams.groupBy("code").agg(F.sum("cnt").alias("cnt")).withColumn("latest2", F.shiftright("code", 8 * (DEPTH - 1)).cast("int"))
+    tree = grams.groupBy("code").agg(F.sum("cnt").alias("cnt")).withColumn("latest2", F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)).cast("int"))
     tree = cut(tree, "ctw-counts")
 
     def depth_two(group: pa.Table) -> pa.Table:
@@ -214,7 +220,7 @@ def fit_tables(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def values(group: pa.Table) -> pa.Table:
         codes, cnt = (group.column(c).to_numpy() for c in ("code", "cnt"))
-        return pa.table({"code": codes, "value": Subtree(codes, cnt).chances(upper, int(codes[0] >> (8 * DEPTH)))})
+        return pa.table({"code": codes, "value": Subtree(codes, cnt).chances(upper)})
 
     scored = tree.groupBy("latest2").applyInArrow(values, "code long, value double")
 
@@ -229,27 +235,24 @@ def fit_tables(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def score_block(group: pa.Table) -> pa.Table:
-    """Scores of the texts of one block, from its rows (block, kind, idx, value, payload)."""
+    """Scores of the texts of one block, from its rows (block, kind, at, value, payload); at: an n-gram's code, a token's place."""
     kind = group.column("kind").to_numpy()
-    idx, value = (group.column(c).to_numpy(zero_copy_only=False) for c in ("idx", "value"))
 
-    def of(k: int) -> np.ndarray:
-        own = kind == k
-        out = np.zeros(int(own.sum()))
-        out[idx[own].astype(np.int64)] = value[own]
-        return out
+    def of(k: int) -> tuple[np.ndarray, np.ndarray]:
+        own = group.filter(pa.array(kind == k))
+        at, value = own.column("at").to_numpy(), own.column("value").to_numpy()
+        order = np.argsort(at)
+        return at[order], value[order]
 
-    grams, tokens = of(GRAM), of(TOKEN)
+    (codes, grams), (_, tokens) = of(GRAM), of(TOKEN)
+    codes = codes.astype(np.uint64)
     expand = zstandard.ZstdDecompressor().decompress
     payloads = [p for p in group.column("payload").to_pylist() if p is not None]
-    distinct, words = [], {END_TOKEN}
+    words = {END_TOKEN}
     for p in payloads:
         for part in pa.ipc.open_stream(expand(p)):
-            batch = [normal(t) for t in texts(part, "text")]
-            distinct.append(pd.unique(symbols(batch)[0]))
-            for data in batch:
-                words.update(data.split())
-    codes = np.unique(np.concatenate(distinct))
+            for t in texts(part, "text"):
+                words.update(normal(t).split())
     logs = np.log10(tokens + 0.1)
     unknown = float(np.log10(0.1))
     known = dict(zip(sorted(words), logs.tolist(), strict=True))
@@ -281,9 +284,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     v = tokens.where("first and value > 0").count()
 
     empty = F.lit(None).cast("binary").alias("payload")
-    grams = listed.where(F.col("kind") == GRAM).join(scored, "code").select("block", "kind", "idx", "value", empty)
-    words = tokens.select("block", F.lit(TOKEN).cast("byte").alias("kind"), "idx", "value", empty)
-    held = listed.where(F.col("kind") == PAYLOAD).select("block", "kind", "idx", F.lit(None).cast("double").alias("value"), "payload")
+    grams = listed.where(F.col("kind") == GRAM).join(scored, "code").select("block", "kind", F.col("code").alias("at"), "value", empty)
+    words = tokens.select("block", F.lit(TOKEN).cast("byte").alias("kind"), F.col("idx").cast("long").alias("at"), "value", empty)
+    held = listed.where(F.col("kind") == PAYLOAD).select("block", "kind", F.lit(None).cast("long").alias("at"), F.lit(None).cast("double").alias("value"), "payload")
     kind = source.schema["key"].dataType.simpleString()
     found = held.unionByName(grams).unionByName(words).groupBy("block").applyInArrow(score_block, f"key {kind}, n_tokens long, n_known long, raw double, score double")
     base = F.col("raw") - F.col("n_tokens") * float(np.log10(n + 0.1 * (v + 1)))

@@ -116,7 +116,7 @@ def near_rows():
 @pytest.mark.parametrize("large", [2_048, 8])
 def test_jaccard_against_brute_force(spark, monkeypatch, large):
     monkeypatch.setattr(jaccard, "LARGE", large)
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "BLOCK", 16 * jaccard.BLOCK_LEAST)
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("n", F.lit(0))
     got = jaccard.jaccard_join(df).collect()

@@ -131,7 +131,7 @@ def test_context_tree_against_plain_recursion():
     assert n.tolist() == [len(d) + 1 for d in data]
     nodes = collections.defaultdict(lambda: [0, 0])
     for code, count in zip(keys.tolist(), counts.tolist(), strict=True):
-        ctx, byte = [(code >> (8 * (lm.DEPTH - j))) & 255 for j in range(lm.DEPTH)], code & 255
+        ctx, byte = [(code >> (8 * (j + 1))) & 255 for j in range(lm.DEPTH)], code & 255
         for k in range(lm.DEPTH + 1):
             for j in range(8):
                 nodes[tuple(ctx[:k]), 1 << j | byte >> (8 - j)][byte >> (7 - j) & 1] += count
@@ -156,7 +156,7 @@ def test_context_tree_against_plain_recursion():
     rows = []
     groups = collections.defaultdict(list)
     for code, count in zip(keys.astype(np.int64).tolist(), counts.tolist(), strict=True):
-        groups[code >> (8 * (lm.DEPTH - 1))].append((code, count))
+        groups[code >> 8 & 0xFFFF].append((code, count))
     trees = {g: lm.Subtree(np.array([c for c, _ in x]), np.array([k for _, k in x])) for g, x in groups.items()}
     for t in trees.values():
         ks, _, total, b, _, w = t.levels[2]
@@ -167,9 +167,8 @@ def test_context_tree_against_plain_recursion():
     Row = collections.namedtuple("Row", "latest node total ones weighted")
     upper = lm.upper_levels([Row(*k, *v) for k, v in summed.items()])
     for g, x in groups.items():
-        got = trees[g].chances(upper, x[0][0] >> (8 * lm.DEPTH))
-        for (code, _), value in zip(x, got, strict=True):
-            ctx, byte = [(code >> (8 * (lm.DEPTH - j))) & 255 for j in range(lm.DEPTH)], code & 255
+        for (code, _), value in zip(x, trees[g].chances(upper), strict=True):
+            ctx, byte = [(code >> (8 * (j + 1))) & 255 for j in range(lm.DEPTH)], code & 255
             want = sum(math.log10(p if byte >> (7 - j) & 1 else 1 - p) for j in range(8) for p in [one(ctx, 1 << j | byte >> (8 - j))])
             assert value == pytest.approx(want, abs=1e-9)
 
