@@ -10,14 +10,15 @@
 4. Tiles of up to LARGE members that are still in several components are mostly documents that share a passage. They
    are compared whole, in blocks of nodes by size; blocks whose sizes are too far apart don't meet, and members
    of one component are left out.
-5. The nodes of larger tiles that are still split, and only those, get a second set of keys: the n // 4 + 1 rarest
-   shingles by exact document frequency, where common passages come last. Pivots and components again, then blocks.
+5. The nodes of larger tiles that are still split, and only those, get a second set of keys: their first n // 4 + 1
+   shingles, an exact prefix, in an order in which the keys of large tiles (the FREQUENT largest), and so common
+   passages, come last. Pivots and components again, then blocks.
 
 A comparison first bounds the overlap by bit counts of hashed bitmaps: every bit of one signature that the other lacks
 is at least one element that it lacks. Only for pairs that pass are the texts read again, and their sorted hash arrays
 intersected exactly.
 
-Nothing is collected on the driver but counts. A group of copies is one node; a hot tile's rows are pre-aggregated for
+Nothing is collected on the driver but counts and the keys of the largest tiles. A group of copies is one node; a hot tile's rows are pre-aggregated for
 its pivot, and its comparisons are dealt out by pivot and member.
 
 Defined results: a null text, or one without words, has the empty set, is linked with nothing and is its own component;
@@ -42,10 +43,12 @@ SHINGLE = 5
 PERCENT = 75
 BOTTOM_KEYS = 20
 #: Members of a tile up to which it is compared whole at once. A node then meets LARGE signatures at most, at some 60 ns
-#: each; that is what it costs to shuffle a set of a few hundred shingles for the second keys.
+#: each, which is about what second keys cost.
 LARGE = 16_384
 #: A block holds nodes of this weight in all; a node weighs its set's size, and BLOCK_LEAST at least.
 BLOCK, BLOCK_LEAST = 1 << 22, 2_048
+#: Keys of large tiles that are put last; the list is shared with all tasks, 8 bytes each.
+FREQUENT = 1_000_000
 #: Nodes up to which their texts are picked by a broadcast of their ids (32 bytes each); more are picked by a shuffle.
 BROADCAST_NODES = 200_000
 #: Least bits of a signature; it has the power of two from four times the set's size on. Signatures of sets that can be
@@ -262,22 +265,23 @@ def still_split(members: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(split, "tile", "left_semi")
 
 
-def rarest_keys(ids: DataFrame, sets: DataFrame) -> DataFrame:
-    """(id, n, keys) with the n // 4 + 1 shingles of least document frequency among these nodes, ties by hash."""
+def rare_keys(ids: DataFrame, sets: DataFrame, frequent: list[int]) -> DataFrame:
+    """(id, keys) with the first n // 4 + 1 shingles of each node, the frequent ones after all others.
+
+    Under any order that all nodes share, two linked sets have one of these in common; this one keeps common passages out.
+    """
+    last = np.sort(np.array(frequent, np.int64))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.frombuffer(h, np.int64) for h in batch.column("hashes").to_pylist()]
-            for a in range(0, len(sets), 200):
-                part = sets[a : a + 200]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in part])]), pa.int32()), pa.array(np.concatenate(part)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, len(part)), batch.column("n").slice(a, len(part)), lists], ["id", "n", "all"])
+            keys = []
+            for h in batch.column("hashes").to_pylist():
+                s = np.frombuffer(h, np.int64)
+                late = np.isin(s, last)
+                keys.append(np.concatenate([s[~late], s[late]])[: len(s) // 4 + 1])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
 
-    own = sets.join(ids, "id", "left_semi").select("id", "n", "hashes").mapInArrow(run, "id long, n long, all array<long>")
-    each = own.select("id", "n", F.explode("all").alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("df"))
-    lists = each.join(often, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ranked"))
-    return lists.select("id", "n", F.slice("ranked", F.lit(1), (F.floor(F.col("n") / 4) + 1).cast("int"))["key"].alias("keys"))
+    return sets.join(ids, "id", "left_semi").select("id", "hashes").mapInArrow(run, "id long, keys array<long>")
 
 
 def block_pairs(split: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -367,7 +371,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = links.union(block_links(whole, nodes, source))
     hot = cut(split.where(F.col("m") > LARGE).select("id").distinct(), "jaccard-hot")
     if not hot.isEmpty():
-        rare = cut(rarest_keys(hot, pick_sets(hot, nodes, source)), "jaccard-rare")
+        common = members.where(F.col("m") > LARGE // 8).select("tile", "m").distinct().orderBy(F.desc("m"), "tile").limit(FREQUENT)
+        rare = cut(rare_keys(hot, pick_sets(hot, nodes, source), [r["tile"] for r in common.collect()]), "jaccard-rare")
         again = cut(with_pivots(tiled(rare)), "jaccard-tiles")
         links = links.union(exact_links(star_pairs(again, nodes, tried), nodes, source))
         rest = still_split(again, components(links))
