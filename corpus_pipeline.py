@@ -2,18 +2,21 @@
 
 STAGES lists (name, function) in order. A function takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of docs. run() writes what each stage returns as a Parquet table and reads it back for the
-next. SQL can't express the stages, so ORACLE_SQL is None and the tests hold them against brute force.
+next. A stage's result must be written before the next stage is called, which deletes the former's intermediate tables.
+SQL can't express the stages, so ORACLE_SQL is None and the tests hold them against brute force.
 
 Every stage handles empty tables, null texts and ids, repeated rows and further columns as its operator defines it.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulens.llm import bpe, jaccard, language, mixing, pii
-from tabulens.llm.common import cut, table
+from tabulens.llm.common import cut, remove, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +49,29 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select("doc.doc_id", "doc.source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("doc.text")).alias("round_trip"))
 
 
+_done_with: list[str] = []
+
+
+def _tidy(stage):
+    """The stage, after the intermediate tables of the stage before are deleted: by then its result is written."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _done_with)
+        start = len(written)
+        out = stage(spark, docs, sf_dir)
+        _done_with[:] = written[start:]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("near_duplicates", drop_near_duplicates),
-    ("personal_data", mask_personal_data),
-    ("mixing", mix_sources),
-    ("bpe", encode),
+    ("language_id", _tidy(identify_language)),
+    ("near_duplicates", _tidy(drop_near_duplicates)),
+    ("personal_data", _tidy(mask_personal_data)),
+    ("mixing", _tidy(mix_sources)),
+    ("bpe", _tidy(encode)),
 ]
 
 ORACLE_SQL = None
@@ -60,5 +80,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
     return docs

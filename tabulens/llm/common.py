@@ -39,7 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables that cut() wrote, in order; those written to last are not among them.
+written: list[str] = []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of which nothing is read any more."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cut(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs no recomputation; the table goes when the application ends.
@@ -47,6 +58,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not lasting:
+        written.append(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulens.llm import ann, jaccard, mixing
+from tabulens.llm.common import cut
 
 
 def text(rnd, n):
@@ -197,7 +198,7 @@ def test_pipeline_stages(spark):
     for name, stage in cp.STAGES[:-1]:
         out = stage(spark, df, "")
         assert sorted(out.columns) == sorted(df.columns), name
-        df = out.persist()
+        df = cut(out, "test", lasting=True)
         if name == "language_id":
             assert df.where("doc_id >= 300").count() == 0 and df.where("doc_id < 90").count() == 90 and df.where("lang is null").count() == 0
         if name == "near_duplicates":
@@ -209,5 +210,5 @@ def test_pipeline_stages(spark):
     assert len({r.doc_id for r in last}) > 50
     nothing = spark.createDataFrame([], df.schema)
     for _, stage in cp.STAGES:
-        nothing = stage(spark, nothing, "")
+        nothing = cut(stage(spark, nothing, ""), "test", lasting=True)
         assert nothing.count() == 0
