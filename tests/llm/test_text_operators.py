@@ -65,6 +65,22 @@ def test_quality_bands_reject_both_ends(spark, prose):
     assert [r.in_band for r in quality.score_quality(df).orderBy("doc_id").collect()] == [True, False, False]
 
 
+def test_quality_bands_follow_the_corpus(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
+    common = [word() for _ in range(1500)]
+    lines = [" ".join(rnd.choice(common) for _ in range(12)) for _ in range(3)]
+    prose = [" ".join(rnd.choice(common) for _ in range(700)) for _ in range(60)]
+    dull = [" ".join(x for _ in range(29) for x in (*rnd.choice(lines).split(), *(rnd.choice(common) for _ in range(12)))) for _ in range(3)]
+    tail = [" ".join(rnd.choice(common) for _ in range(690)) + " " + " ".join(rnd.choice(lines) for _ in range(45)) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(prose + dull + tail)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.score_quality(df).collect()}
+    assert all(r.n_chunks == -(-r.n_bytes // quality.CHUNK_BYTES) for r in got.values())
+    passing = [i for i in range(60, 66) if not got[i].base_failed]
+    assert len(passing) >= 3 and not any(got[i].kept for i in passing)
+    assert sum(got[i].kept for i in range(60)) >= 54
+
+
 def test_bpe_is_exact(spark, edges):
     from tokenizers import Tokenizer
 
