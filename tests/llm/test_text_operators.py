@@ -247,6 +247,25 @@ def test_licences(spark, prose, edges, empty):
     assert licences.scan_licences(empty, licences.fit(empty)).count() == 0
 
 
+def test_wrapped_licences():
+    import textwrap
+
+    scanner = licences.Scanner(["the road to the river was long and the people of the town went home early"] * 5)
+    cue = re.compile("|".join(sorted({c[:3] for c in scanner.cues}))).search
+    texts = {
+        "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    }
+    for family, text in texts.items():
+        for width in (40, 72, 80):
+            lines = ["The road was long.", "", *textwrap.wrap(text, width), "", "The town slept."]
+            found = scanner.notices(lines, cue)
+            assert [x[2] for x in found if x[2] != "unknown"] == [family], (family, width, found)
+    both = scanner.notices([*textwrap.wrap(texts["ISC"], 72), "Released under the MIT License."], cue)
+    assert {"ISC", "MIT"} <= {x[2] for x in both}
+
+
 def test_digest_matches_its_definition(spark):
     df = spark.createDataFrame([([("email", 3, 10), ("ip", 11, 18)],), ([],)], "s array<struct<kind:string,start:int,end:int>>")
     got = [r[0] for r in df.select(F.sha2(pii.digest("s"), 256)).collect()]
