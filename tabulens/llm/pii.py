@@ -195,7 +195,7 @@ def classifier(rows: list[tuple[str, str, int]]) -> set[tuple[str, str]]:
             continue
         post = reliabilities(own)
         x = np.array([[1.0, *("-0+".index(v) - 1 for v in p[:4]), int(p[4]) / 9] for p, _ in own])
-        weight = np.array([min(n, 1e6) for _, n in own], float)
+        weight = np.array([n for _, n in own], float)
         weight /= weight.sum() / len(weight)
         w = np.zeros(x.shape[1])
         for _ in range(50):

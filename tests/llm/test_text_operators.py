@@ -215,6 +215,14 @@ def test_personal_data(spark, edges, empty):
     assert pii.find_personal_data(edges).count() == 2 * len(EDGES) + 1 and pii.find_personal_data(empty).count() == 0
 
 
+def test_accepted_patterns_do_not_depend_on_the_size_of_the_corpus():
+    rnd = random.Random(9)
+    for _ in range(20):
+        own = {"".join(rnd.choice("-0+") for _ in range(4)) + str(rnd.randint(0, 9)): int(10 ** rnd.uniform(4, 6)) for _ in range(12)}
+        sets = [pii.classifier([("secret", p, n * times) for p, n in own.items()]) for times in (1, 300)]
+        assert sets[0] == sets[1]
+
+
 def test_toxicity_learns_and_reads_clauses(spark, edges, empty):
     rnd = random.Random(7)
     word = lambda: "".join(rnd.choice(["th", "er", "on", "an"]) for _ in range(3))
