@@ -139,7 +139,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                 while right < len(text) and text[right] in TOKEN:
                     right += 1
                 done = right
-                if 20 <= right - left <= 512 and not text[left:right].isdecimal():
+                if right - left >= 20 and not text[left:right].isdecimal():
                     found.append(("secret", left, right))
     if any(t in text for t in TITLES):
         found += [("name", *m.span(1)) for m in TITLE(text)]

@@ -215,6 +215,14 @@ def test_personal_data(spark, edges, empty):
     assert pii.find_personal_data(edges).count() == 2 * len(EDGES) + 1 and pii.find_personal_data(empty).count() == 0
 
 
+def test_long_secrets_are_found_and_masked(spark):
+    rnd = random.Random(10)
+    secrets = ["".join(rnd.choice("ABCDEFGHabcdefgh0123456789_-") for _ in range(n)) for n in (64, 512, 513, 683, 5000)]
+    df = spark.createDataFrame([(i, f'token = "{s}" end') for i, s in enumerate(secrets)], "doc_id long, text string")
+    assert [pii.candidates(r.text) for r in df.orderBy("doc_id").collect()] == [[("secret", 9, 9 + len(s))] for s in secrets]
+    assert {r.text for r in pii.masked_documents(df).collect()} == {'token = "[secret]" end'}
+
+
 def test_accepted_patterns_do_not_depend_on_the_size_of_the_corpus():
     rnd = random.Random(9)
     for _ in range(20):
