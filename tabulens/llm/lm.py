@@ -7,9 +7,11 @@ bytes that end there, so the model is a table of such n-grams, built and looked
 
 1. Texts are taken in blocks of about BLOCK_BYTES. A block lists its distinct n-grams and its distinct tokens with
    their counts in training texts, and keeps its texts compressed.
-2. N-gram counts are summed over blocks. The n-grams that share their two latest context bytes hold whole subtrees,
-   so one group (2**24 n-grams at most) settles the depths from two down; depths 0 and 1 have at most 65 792 nodes,
-   which are summed by Spark and shared. A second visit to the groups writes the log probability of each n-gram.
+2. N-gram counts are summed over blocks. The n-grams that share their HEAD latest context bytes hold whole subtrees; a
+   group of about GROUP_ROWS of them settles the depths from HEAD down. The nodes of depth HEAD that share their two
+   latest bytes settle the depths from two to HEAD; depths 0 and 1 have at most 65 792 nodes, which are summed by Spark
+   and shared. On the way back each node of depth HEAD gets the linear function that the depths above it make of its
+   chance, and a second visit to the groups writes the log probability of each n-gram.
 3. The blocks' n-grams and tokens get their values by joins, return to their block, and the block's texts are scored.
 
 The rows shuffled are the distinct n-grams and tokens of each block: they grow with the input, and a frequent n-gram
@@ -35,8 +37,9 @@ from pyspark.sql import functions as F
 
 from tabulens.llm.common import cut, id_remainder, slices, table, texts
 
-DEPTH = 4
-BLOCK_BYTES = 32 << 20
+#: An n-gram of DEPTH context bytes and the symbol fills a 64-bit number.
+DEPTH, HEAD = 7, 4
+BLOCK_BYTES, GROUP_ROWS = 8 << 20, 250_000
 #: No byte of UTF-8; it stands before and after a text.
 END = 0xFF
 #: The end as a token; no word can be empty.
@@ -64,6 +67,7 @@ def symbols(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def latest_first(codes: np.ndarray) -> np.ndarray:
     """Codes with the latest context byte on top, older ones below it, and the symbol at the bottom."""
+    codes = codes.astype(np.uint64)
     out = codes & 0xFF
     for k in range(1, DEPTH + 1):
         out = out | ((codes >> (8 * k)) & 0xFF) << (8 * (DEPTH + 1 - k))
@@ -90,7 +94,9 @@ def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def listed() -> Iterator[pa.RecordBatch]:
         keys, place = np.unique(np.concatenate(codes), return_inverse=True)
         cnt = np.bincount(place, np.concatenate(counts), len(keys)).astype(np.int64)
-        yield emit(name, GRAM, np.arange(len(keys), dtype=np.int32), keys.astype(np.int64), None, cnt)
+        for a in range(0, len(keys), 200_000):
+            part = keys[a : a + 200_000].astype(np.int64)
+            yield emit(name, GRAM, np.arange(a, a + len(part), dtype=np.int32), part, None, cnt[a : a + 200_000])
         words = sorted(other.union(seen))
         for a in range(0, len(words), 100_000):
             part = words[a : a + 100_000]
@@ -145,43 +151,63 @@ def mixed_with(deeper: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.nda
     return np.logaddexp(own, deeper) - np.log(2), 1 / (1 + np.exp(np.minimum(deeper - own, 700.0)))
 
 
+def lifted(deepest: tuple, depth: int, top: int) -> dict[int, tuple]:
+    """Levels from depth up to top, each (keys, place, total, ones, stop, weighted); a key is context, latest byte on top, then node."""
+    levels = {depth: deepest}
+    for k in range(depth - 1, top - 1, -1):
+        below, place, total, b, _, value = levels[k + 1]
+        keys, at = np.unique((below >> 16) << 8 | below & 0xFF, return_inverse=True)
+        total, b = np.bincount(at, total, len(keys)), np.bincount(at, b, len(keys))
+        weighted, stop = mixed_with(np.bincount(at, value, len(keys)), total - b, b)
+        levels[k] = keys, at[place], total, b, stop, weighted
+    return levels
+
+
+def coefficients(levels: dict[int, tuple], depth: int, upper: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """a and b for each node of depth, such that the chance x of a one there is a + b * x after all depths above; levels: from depth up to two."""
+    keys, _, total, *_ = levels[depth]
+    latest, node = (keys >> (8 * depth)).astype(np.int64), (keys & 0xFF).astype(np.int64)
+    fixed, share, reached = np.zeros(len(keys)), np.ones(len(keys)), total > 0
+    for k in range(depth - 1, -1, -1):
+        if k >= 2:
+            _, place, total, b, stop, _ = levels[k]
+            total, b, stop = total[place], b[place], stop[place]
+        else:
+            total, b, stop = (x[latest if k else 0, node] for x in upper[k])
+        own = (b + 0.5) / (total + 1.0)
+        fixed = np.where(reached, stop * own + (1 - stop) * fixed, own)
+        share = np.where(reached, (1 - stop) * share, 0.0)
+        reached = total > 0
+    return fixed, share
+
+
 class Subtree:
-    """The nodes of depths 2 to DEPTH above n-grams that share their two latest context bytes."""
+    """The nodes of depths top to DEPTH above n-grams; those that share their top latest context bytes are all given."""
 
-    def __init__(self, codes: np.ndarray, cnt: np.ndarray):
+    def __init__(self, codes: np.ndarray, cnt: np.ndarray, top: int = 2):
         codes = latest_first(codes)
-        self.latest = int(codes[0] >> (8 * DEPTH))
-        byte = (codes & 0xFF).astype(np.int64)
-        j = np.arange(8)
-        self.bit = (byte[:, None] >> (7 - j)) & 1
-        self.node = (1 << j) | (byte[:, None] >> (8 - j))
+        self.top = top
+        byte = codes & 0xFF
+        j = np.arange(8, dtype=np.uint64)
+        self.bit = (byte[:, None] >> (np.uint64(7) - j)) & 1
+        node = (np.uint64(1) << j) | (byte[:, None] >> (np.uint64(8) - j))
         both = np.repeat(cnt.astype(np.float64), 8)
-        ones = both * self.bit.ravel()
-        self.levels = {}
-        deeper = None
-        for k in range(DEPTH, 1, -1):
-            key = ((codes >> (8 * (DEPTH + 1 - k)))[:, None] << 8 | self.node).ravel()
-            keys, place = np.unique(key, return_inverse=True)
-            total, b = np.bincount(place, both), np.bincount(place, ones)
-            if deeper is None:
-                weighted, stop = block_probability(total - b, b), np.ones(len(keys))
-            else:
-                below, value = deeper
-                at = np.searchsorted(keys, (below >> 16) << 8 | below & 0xFF)
-                weighted, stop = mixed_with(np.bincount(at, value, len(keys)), total - b, b)
-            deeper = keys, weighted
-            self.levels[k] = keys, place, total, b, stop, weighted
+        keys, place = np.unique((((codes >> 8) << 8)[:, None] | node).ravel(), return_inverse=True)
+        total, b = np.bincount(place, both), np.bincount(place, both * self.bit.ravel())
+        self.levels = lifted((keys, place, total, b, np.ones(len(keys)), block_probability(total - b, b)), DEPTH, top)
 
     def chances(self, upper: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
         """log10 probability of each n-gram's byte; upper: total, ones and stop weight of depths 0 and 1, by (context, node)."""
+        return self.carried(*coefficients(self.levels, self.top, upper))
+
+    def carried(self, fixed: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """log10 probability of each n-gram's byte, given the coefficients of the nodes of depth top."""
         one, reached = None, None
-        for k in range(DEPTH, 1, -1):
+        for k in range(DEPTH, self.top - 1, -1):
             _, place, total, b, stop, _ = self.levels[k]
             one, reached = self._step(one, reached, total[place], b[place], stop[place])
-        node = self.node.ravel()
-        for k in (1, 0):
-            total, b, stop = (x[self.latest if k else 0][node] for x in upper[k])
-            one, reached = self._step(one, reached, total, b, stop)
+        place = self.levels[self.top][1]
+        one = fixed[place] + share[place] * one
         return np.log10(np.where(self.bit.ravel() == 1, one, 1 - one)).reshape(-1, 8).sum(axis=1)
 
     @staticmethod
@@ -207,22 +233,42 @@ def upper_levels(rows: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 def fit_tables(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(code, value) of each n-gram of the blocks: its byte's log10 probability; (block, idx, value, first) of each token of the blocks: its count in training texts, and whether the row stands for the token."""
     grams = listed.where(F.col("kind") == GRAM)
-    tree = grams.groupBy("code").agg(F.sum("cnt").alias("cnt")).withColumn("latest2", F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)).cast("int"))
-    tree = cut(tree, "ctw-counts")
+    counts = cut(grams.groupBy("code").agg(F.sum("cnt").alias("cnt")), "ctw-counts")
+    head = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * HEAD) - 1))
+    tree = counts.withColumn("bucket", F.pmod(F.xxhash64(head), F.lit(max(1, counts.count() // GROUP_ROWS))).cast("int"))
 
-    def depth_two(group: pa.Table) -> pa.Table:
+    def heads_of(group: pa.Table) -> pa.Table:
         codes, cnt = (group.column(c).to_numpy() for c in ("code", "cnt"))
-        keys, _, total, b, _, weighted = Subtree(codes, cnt).levels[2]
-        return pa.table({"latest": pa.array(keys >> 16, pa.int32()), "node": pa.array(keys & 0xFF, pa.int32()), "total": total, "ones": b, "weighted": weighted})
+        keys, _, total, b, _, weighted = Subtree(codes, cnt, HEAD).levels[HEAD]
+        bucket = pa.array(np.full(len(keys), group.column("bucket")[0].as_py(), np.int32))
+        return pa.table({"bucket": bucket, "latest2": pa.array((keys >> (8 * HEAD - 8)).astype(np.int32)), "node": keys.astype(np.int64), "total": total, "ones": b, "weighted": weighted})
 
-    nodes = tree.groupBy("latest2").applyInArrow(depth_two, "latest int, node int, total double, ones double, weighted double")
+    heads = cut(tree.groupBy("bucket").applyInArrow(heads_of, "bucket int, latest2 int, node long, total double, ones double, weighted double"), "ctw-heads")
+
+    def middle(group: pa.Table) -> dict[int, tuple]:
+        keys, total, b, weighted = (group.column(c).to_numpy() for c in ("node", "total", "ones", "weighted"))
+        return lifted((keys.astype(np.uint64), np.arange(len(keys)), total, b, np.ones(len(keys)), weighted), HEAD, 2)
+
+    def depth_two(group: pa.Table) -> pa.Table:
+        keys, _, total, b, _, weighted = middle(group)[2]
+        return pa.table({"latest": pa.array((keys >> 16).astype(np.int32)), "node": pa.array((keys & 0xFF).astype(np.int32)), "total": total, "ones": b, "weighted": weighted})
+
+    nodes = heads.groupBy("latest2").applyInArrow(depth_two, "latest int, node int, total double, ones double, weighted double")
     upper = upper_levels(nodes.groupBy("latest", "node").agg(*(F.sum(c).alias(c) for c in ("total", "ones", "weighted"))).collect())
 
-    def values(group: pa.Table) -> pa.Table:
+    def carry(group: pa.Table) -> pa.Table:
+        fixed, share = coefficients(middle(group), HEAD, upper)
+        return pa.table({"bucket": group.column("bucket"), "node": group.column("node"), "fixed": fixed, "share": share})
+
+    carried = heads.groupBy("latest2").applyInArrow(carry, "bucket int, node long, fixed double, share double")
+
+    def values(group: pa.Table, above: pa.Table) -> pa.Table:
         codes, cnt = (group.column(c).to_numpy() for c in ("code", "cnt"))
-        return pa.table({"code": codes, "value": Subtree(codes, cnt).chances(upper)})
+        order = np.argsort(above.column("node").to_numpy())  # the nodes of depth HEAD, all of them and in their order
+        fixed, share = (above.column(c).to_numpy()[order] for c in ("fixed", "share"))
+        return pa.table({"code": codes, "value": Subtree(codes, cnt, HEAD).carried(fixed, share)})
 
-    scored = tree.groupBy("latest2").applyInArrow(values, "code long, value double")
+    scored = tree.groupBy("bucket").cogroup(carried.groupBy("bucket")).applyInArrow(values, "code long, value double")
 
     # A token has one row a block: its counts are summed where the rows meet, and each row takes the sum back.
     listed.createOrReplaceTempView(view := f"_tokens_{uuid.uuid4().hex}")
@@ -240,12 +286,11 @@ def score_block(group: pa.Table) -> pa.Table:
 
     def of(k: int) -> tuple[np.ndarray, np.ndarray]:
         own = group.filter(pa.array(kind == k))
-        at, value = own.column("at").to_numpy(), own.column("value").to_numpy()
+        at, value = own.column("at").to_numpy().astype(np.uint64), own.column("value").to_numpy()
         order = np.argsort(at)
         return at[order], value[order]
 
     (codes, grams), (_, tokens) = of(GRAM), of(TOKEN)
-    codes = codes.astype(np.uint64)
     expand = zstandard.ZstdDecompressor().decompress
     payloads = [p for p in group.column("payload").to_pylist() if p is not None]
     words = {END_TOKEN}

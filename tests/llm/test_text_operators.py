@@ -189,6 +189,29 @@ def test_context_tree_against_plain_recursion():
             assert value == pytest.approx(want, abs=1e-9)
 
 
+def test_longer_contexts_are_learned(spark, monkeypatch):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(400):  # the byte after "-----" repeats the one six bytes back
+        rows.append((i, "".join(f"{c}-----{c}" for c in (rnd.choice("abcdefgh\xe9") for _ in range(40)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = F.col("doc_id") % 10 != 0
+    got = {r.doc_id: r.score for r in lm.score_texts(df, train).collect()}
+    held = [i for i in got if i % 10 == 0]
+    # 40 choices of 9 letters, log10(9) each, and little for all that follows from them
+    assert sum(got[i] for i in held) / len(held) > -1.25 * 40 * math.log10(9)
+    monkeypatch.setattr(lm, "GROUP_ROWS", 50)
+    again = {r.doc_id: r.score for r in lm.score_texts(df, train).collect()}
+    assert all(again[i] == pytest.approx(got[i]) for i in got)
+    codes, counts = np.unique(lm.symbols([t.encode() for _, t in rows])[0], return_counts=True)
+    keep = (codes >> 8 & 0xFFFF) == int.from_bytes(b"--", "big")
+    whole, part = (lm.Subtree(codes[keep], counts[keep], top) for top in (2, lm.HEAD))
+    upper = [tuple(np.abs(np.random.default_rng(k).normal(size=(n, 256))) % 1 for _ in range(3)) for k, n in ((0, 1), (1, 256))]
+    keys, _, *rest = part.levels[lm.HEAD]
+    middle = lm.lifted((keys, np.arange(len(keys)), *rest), lm.HEAD, 2)
+    assert part.carried(*lm.coefficients(middle, lm.HEAD, upper)) == pytest.approx(whole.chances(upper), abs=1e-12)
+
+
 PII = ["mail a.b+c@x-y.example.com, a@b, x@y.com@z.org, 1.2.3.4 300.1.1.1 01.002.3.255.7", "card 4111 1111 1111 1111 and 4111-1111-1111-1112; +1 (555) 010-9999 +12 3", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ssn 123-45-6789', "@" * 50 + "a" * 5_000 + "@", "9" * 5_000, None]
 
 
