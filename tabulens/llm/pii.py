@@ -8,7 +8,7 @@ estimates each labeler's reliability by kind, and a logistic span classifier tra
 decides by pattern. There are at most a few hundred patterns, whatever the input, so this happens on the driver.
 
 Defined results: offsets are code points, end exclusive; a null text is the empty text, without spans; an accepted
-candidate that overlaps a base span or an earlier candidate is left out. Counts are those of the base spans. Rows are
+candidate that overlaps a base span or an earlier accepted one is left out. Counts are those of the base spans. Rows are
 independent but for the patterns' counts; repeated rows get equal spans.
 """
 
@@ -213,7 +213,13 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     accepted = classifier([(r["kind"], r["pattern"], r["count"]) for r in counted])
     names = [f"{k}/{p}" for k, p in sorted(accepted)]
     kept = F.filter("more", lambda m: F.concat(m["kind"], F.lit("/"), m["pattern"]).isin(names) if names else F.lit(False))
-    plain = F.transform(kept, lambda m: F.struct(m["kind"], m["start"], m["end"]))
+    free = F.aggregate(  # candidates come in order of start
+        kept,
+        F.struct(F.filter(kept, lambda m: F.lit(False)).alias("out"), F.lit(0).alias("at")),
+        lambda acc, m: F.when(m["start"] < acc["at"], acc).otherwise(F.struct(F.concat(acc["out"], F.array(m)).alias("out"), m["end"].alias("at"))),
+        lambda acc: acc["out"],
+    )
+    plain = F.transform(free, lambda m: F.struct(m["kind"], m["start"], m["end"]))
     order = F.array(*map(F.lit, KINDS))
     ranked = F.array_sort(F.transform(F.concat("base", plain), lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     every = F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -225,14 +231,14 @@ def digest(spans: str):
 
 
 def masked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span of the text replaced by its kind in brackets; the columns stay, n_chars follows the text."""
+    """docs with every span of the text replaced by its kind in brackets, overlapping ones as one of the first's kind; the columns stay, n_chars follows the text."""
     names = docs.columns
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("key"), F.col(text_col).cast("string").alias("text"))
     found = find_personal_data(row, "key", "text")
     free = F.aggregate(
         F.array_sort(F.transform("all_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
+        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))).otherwise(
             F.struct(F.concat(acc["out"], F.substring(F.col(f"key.`{text_col}`"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("at"))
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col(f"key.`{text_col}`"), acc["at"] + 1, F.lit(2147483647))),

@@ -246,6 +246,14 @@ def test_long_secrets_are_found_and_masked(spark):
     assert {r.text for r in pii.masked_documents(df).collect()} == {'token = "[secret]" end'}
 
 
+def test_overlapping_spans_are_masked_whole(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "pay 4111 1111 1111 1111@mail.example.com now"), (2, "Dr Anna4abcdefghij1234567890 end")], "doc_id long, text string")
+    monkeypatch.setattr(pii, "classifier", lambda rows: {(k, p) for k, p, _ in rows})
+    got = {r.doc_id: r.all_spans for r in pii.find_personal_data(df).collect()}
+    assert len(pii.candidates(df.where("doc_id = 2").first().text)) == 2 and len(got[2]) == 1
+    assert pii.masked_documents(df).where("doc_id = 1").first().text == "pay [card] now"
+
+
 def test_accepted_patterns_do_not_depend_on_the_size_of_the_corpus():
     rnd = random.Random(9)
     for _ in range(20):
