@@ -5,17 +5,19 @@ has a context tree over the DEPTH bytes before it; all depths are mixed by the w
 block probabilities of the training texts give them. The code length of a byte is then a function of the DEPTH + 1
 bytes that end there, so the model is a table of such n-grams, built and looked up with shuffles, never broadcast:
 
-1. Texts are taken in blocks of about BLOCK_BYTES. A block lists its distinct n-grams and its distinct tokens with
-   their counts in training texts, and keeps its texts compressed.
-2. N-gram counts are summed over blocks. The n-grams that share their HEAD latest context bytes hold whole subtrees; a
-   group of about GROUP_ROWS of them settles the depths from HEAD down. The nodes of depth HEAD that share their two
-   latest bytes settle the depths from two to HEAD; depths 0 and 1 have at most 65 792 nodes, which are summed by Spark
-   and shared. On the way back each node of depth HEAD gets the linear function that the depths above it make of its
-   chance, and a second visit to the groups writes the log probability of each n-gram.
-3. The blocks' n-grams and tokens get their values by joins, return to their block, and the block's texts are scored.
-
-The rows shuffled are the distinct n-grams and tokens of each block: they grow with the input, and a frequent n-gram
-or token comes once a block. A node that the training texts never reached passes its decision to the node above it.
+1. Texts are taken in blocks of about BLOCK_BYTES. A block lists its distinct n-grams with their counts in training
+   texts, sorted, packed and dealt to shards by a hash of their HEAD latest context bytes, and its distinct tokens; it
+   keeps its texts compressed.
+2. A shard merges what all blocks sent it. It holds whole subtrees, which settle the depths from HEAD down. The nodes of
+   depth HEAD go, packed, to groups by their two latest bytes, which settle the depths from two to HEAD; depths 0 and 1
+   have at most 65 792 nodes, which Spark sums and all tasks share. On the way back each node of depth HEAD gets the
+   linear function that the depths above it make of its chance.
+3. A second visit to the shards answers each block with the log probabilities of its n-grams, in the order in which it
+   sent them. The block, whose texts give the same n-grams again, takes them in and scores its texts.
+
+What is shuffled are the distinct n-grams of each block, at about two bytes on the way there and four on the way back,
+and its distinct tokens: they grow with the input. There is a shard for each SHARD_BYTES of text. A node that the
+training texts never reached passes its decision to the node above it.
 
 Defined results: a null text is the empty text, whose only token and symbol is the end. The base score and the model
 read all training texts. Without training texts every count is 0 and each decision has probability one half. Rows are
@@ -29,7 +31,6 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -39,20 +40,49 @@ from tabulens.llm.common import cut, id_remainder, slices, table, texts
 
 #: An n-gram of DEPTH context bytes and the symbol fills a 64-bit number.
 DEPTH, HEAD = 7, 4
-BLOCK_BYTES, GROUP_ROWS = 8 << 20, 250_000
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
+#: Groups of the nodes of depth HEAD.
+MIDDLE = 64
+#: N-grams that a shard gathers before it merges them.
+MERGE_ROWS = 1 << 22
 #: No byte of UTF-8; it stands before and after a text.
 END = 0xFF
 #: The end as a token; no word can be empty.
 END_TOKEN = b""
 
-PAYLOAD, GRAM, TOKEN = 0, 1, 2
-ALL = "block string, kind byte, idx int, code long, token binary, cnt long, payload binary"
+PAYLOAD, GRAM, TOKEN, CARRY = 0, 1, 2, 3
+ALL = "block string, kind byte, shard int, idx long, token binary, cnt long, blob binary"
+NODES = (np.uint64, np.int64, np.int64, np.float64)
+ARROW = pa.schema([("block", pa.string()), ("kind", pa.int8()), ("shard", pa.int32()), ("idx", pa.int64()), ("token", pa.binary()), ("cnt", pa.int64()), ("blob", pa.binary())])
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Arrays of one length as bytes, like bytes of all values side by side, compressed."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
+
+
+def unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    """The arrays that packed() was given, of these kinds."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(data) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes, strict=True):
+        planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+def steps(codes: np.ndarray) -> np.ndarray:
+    """Sorted codes as differences, which pack better."""
+    return np.diff(codes, prepend=np.uint64(0))
 
 
 def symbols(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The code of the n-gram that ends at each symbol of each text, text after text; the symbols of each text.
 
-    A code is the n-gram's bytes read as one number, the symbol itself at the bottom.
+    A code has the latest context byte on top, older ones below it, and the symbol at the bottom.
     """
     pad = bytes([END]) * DEPTH
     x = bytes(8) + b"".join([part for t in batch for part in (pad, t, pad[:1])])
@@ -61,17 +91,24 @@ def symbols(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(n + DEPTH) - n - DEPTH
     for k in range(DEPTH):
         inside[starts + k] = False
-    windows = np.ndarray((len(x) - 8,), ">u8", x, 1, (1,))  # the eight bytes up to each one
-    return windows[inside].astype(np.uint64) & np.uint64((1 << (8 * (DEPTH + 1))) - 1), n
+    windows = np.ndarray((len(x) - 8,), "<u8", x, 1, (1,))[inside]  # the eight bytes up to each one, the last on top
+    older = np.uint64(8 * (8 - DEPTH))
+    return ((windows << np.uint64(8)) >> older) << np.uint64(8) | windows >> np.uint64(56), n
 
 
-def latest_first(codes: np.ndarray) -> np.ndarray:
-    """Codes with the latest context byte on top, older ones below it, and the symbol at the bottom."""
-    codes = codes.astype(np.uint64)
-    out = codes & 0xFF
-    for k in range(1, DEPTH + 1):
-        out = out | ((codes >> (8 * k)) & 0xFF) << (8 * (DEPTH + 1 - k))
-    return out
+def merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, sorted, and the sums of their counts."""
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, int)
+    return codes[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def by_shard(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted codes: their places, in the order of shard, then code, and the number of codes of each shard."""
+    head = codes >> np.uint64(8 * (DEPTH + 1 - HEAD))
+    shard = ((head * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
+    return np.argsort(shard, kind="stable"), np.bincount(shard.astype(np.int64), minlength=shards)
 
 
 def normal(text: str) -> bytes:
@@ -79,53 +116,73 @@ def normal(text: str) -> bytes:
     return text.encode().lower()
 
 
-def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ALL for batches of (key, text, train)."""
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    schema = pa.schema([("block", pa.string()), ("kind", pa.int8()), ("idx", pa.int32()), ("code", pa.int64()), ("token", pa.binary()), ("cnt", pa.int64()), ("payload", pa.binary())])
-
-    def emit(name: str, kind: int, idx=None, code=None, token=None, cnt=None, payload=None) -> pa.RecordBatch:
-        n = len(payload if cnt is None else cnt)
-        given = [pa.array([name] * n), pa.array(np.full(n, kind, np.int8)), idx, code, token, cnt, payload]
-        return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if v is None else v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(given, schema, strict=True)], schema=schema)
-
-    name, size, codes, counts, seen, other = uuid.uuid4().hex, 0, [], [], Counter(), set()
-
-    def listed() -> Iterator[pa.RecordBatch]:
-        keys, place = np.unique(np.concatenate(codes), return_inverse=True)
-        cnt = np.bincount(place, np.concatenate(counts), len(keys)).astype(np.int64)
-        for a in range(0, len(keys), 200_000):
-            part = keys[a : a + 200_000].astype(np.int64)
-            yield emit(name, GRAM, np.arange(a, a + len(part), dtype=np.int32), part, None, cnt[a : a + 200_000])
-        words = sorted(other.union(seen))
+def emitted(name: str, kind: int, **columns) -> pa.RecordBatch:
+    """Rows of ALL."""
+    n = len(next(iter(columns.values())))
+    given = {"block": [name] * n, "kind": np.full(n, kind, np.int8)} | columns
+    return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in ARROW], schema=ARROW)
+
+
+class Block:
+    """What the texts of a block hold, as they come in."""
+
+    def __init__(self):
+        self.name, self.size, self.codes, self.counts = uuid.uuid4().hex, 0, [], []
+        self.seen: Counter = Counter()
+        self.other: set[bytes] = set()
+
+    def take(self, batch: list[bytes], train: np.ndarray) -> None:
+        found, n = symbols(batch)
+        counted = np.repeat(train, n)
+        for codes, own in ((found[counted], True), (found[~counted], False)):
+            distinct, counts = np.unique(codes, return_counts=True)
+            self.codes.append(distinct)
+            self.counts.append(counts if own else np.zeros(len(distinct), np.int64))
+        if len(self.codes) >= 8:
+            self.merge()
+        for data, own in zip(batch, train.tolist(), strict=True):
+            if own:
+                self.seen.update(data.split())
+                self.seen[END_TOKEN] += 1
+            else:
+                self.other.update(data.split())
+                self.other.add(END_TOKEN)
+        self.size += sum(map(len, batch))
+
+    def merge(self) -> None:
+        codes, counts = merged(np.concatenate(self.codes), np.concatenate(self.counts))
+        self.codes, self.counts = [codes], [counts]
+
+    def rows(self, shards: int) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        order, sizes = by_shard(self.codes[0], shards)
+        at = np.cumsum(sizes) - sizes
+        full = np.flatnonzero(sizes)
+        for a in range(0, len(full), 256):
+            part = full[a : a + 256]
+            own = [order[at[s] : at[s] + sizes[s]] for s in part]
+            yield emitted(self.name, GRAM, shard=part, blob=[packed(steps(self.codes[0][x]), self.counts[0][x].astype(np.uint32)) for x in own])
+        words = sorted(self.other.union(self.seen))
         for a in range(0, len(words), 100_000):
             part = words[a : a + 100_000]
-            yield emit(name, TOKEN, np.arange(a, a + len(part), dtype=np.int32), None, pa.array(part, pa.binary()), np.array([seen.get(w, 0) for w in part], np.int64))
+            yield emitted(self.name, TOKEN, idx=np.arange(a, a + len(part)), token=part, cnt=[self.seen.get(w, 0) for w in part])
 
+
+def blocks(batches: Iterable[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ALL for batches of (key, text, train)."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    block = Block()
     for part in slices(batches, "text", 2 << 20):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, part.schema) as out:
             out.write_batch(part)
-        yield emit(name, PAYLOAD, payload=[squeeze(sink.getvalue())])
-        train = part.column("train").to_numpy(zero_copy_only=False)
-        batch = [normal(t) for t in texts(part, "text")]
-        grams, n = symbols(batch)
-        place, distinct = pd.factorize(grams)
-        codes.append(distinct)
-        counts.append(np.bincount(place, np.repeat(train, n), len(distinct)))
-        for data, counted in zip(batch, train.tolist(), strict=True):
-            if counted:
-                seen.update(data.split())
-                seen[END_TOKEN] += 1
-            else:
-                other.update(data.split())
-                other.add(END_TOKEN)
-        size += sum(map(len, batch))
-        if size >= BLOCK_BYTES:
-            yield from listed()
-            name, size, codes, counts, seen, other = uuid.uuid4().hex, 0, [], [], Counter(), set()
-    if codes:
-        yield from listed()
+        yield emitted(block.name, PAYLOAD, blob=[squeeze(sink.getvalue())])
+        block.take([normal(t) for t in texts(part, "text")], part.column("train").to_numpy(zero_copy_only=False))
+        if block.size >= BLOCK_BYTES:
+            yield from block.rows(shards)
+            block = Block()
+    if block.codes:
+        yield from block.rows(shards)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -140,9 +197,21 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - inverse * (1 / 360 - inverse / 1260)) / x - shift
 
 
+#: log_gamma of n + 1/2 and of n + 1 for small n.
+HALVES, WHOLES = log_gamma(np.arange(4096) + 0.5), log_gamma(np.arange(4096) + 1.0)
+
+
+def looked_up(n: np.ndarray, of: np.ndarray, shift: float) -> np.ndarray:
+    out = of[np.minimum(n, len(of) - 1)]
+    large = n >= len(of)
+    out[large] = log_gamma(n[large] + shift)
+    return out
+
+
 def block_probability(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Natural logarithm of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    return looked_up(a, HALVES, 0.5) + looked_up(b, HALVES, 0.5) - looked_up(a + b, WHOLES, 1.0) - np.log(np.pi)
 
 
 def mixed_with(deeper: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,41 +251,75 @@ def coefficients(levels: dict[int, tuple], depth: int, upper: list[tuple[np.ndar
 
 
 class Subtree:
-    """The nodes of depths top to DEPTH above n-grams; those that share their top latest context bytes are all given."""
-
-    def __init__(self, codes: np.ndarray, cnt: np.ndarray, top: int = 2):
-        codes = latest_first(codes)
-        self.top = top
-        byte = codes & 0xFF
-        j = np.arange(8, dtype=np.uint64)
-        self.bit = (byte[:, None] >> (np.uint64(7) - j)) & 1
-        node = (np.uint64(1) << j) | (byte[:, None] >> (np.uint64(8) - j))
-        both = np.repeat(cnt.astype(np.float64), 8)
-        keys, place = np.unique((((codes >> 8) << 8)[:, None] | node).ravel(), return_inverse=True)
-        total, b = np.bincount(place, both), np.bincount(place, both * self.bit.ravel())
-        self.levels = lifted((keys, place, total, b, np.ones(len(keys)), block_probability(total - b, b)), DEPTH, top)
-
-    def chances(self, upper: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-        """log10 probability of each n-gram's byte; upper: total, ones and stop weight of depths 0 and 1, by (context, node)."""
-        return self.carried(*coefficients(self.levels, self.top, upper))
-
-    def carried(self, fixed: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """log10 probability of each n-gram's byte, given the coefficients of the nodes of depth top."""
-        one, reached = None, None
+    """The n-grams of whole subtrees from depth top down, and what follows for one bit of the symbol at a time.
+
+    At each depth the pairs of context and symbol are sorted, so the nodes of a bit, which are contexts with the bits of
+    the symbol before it, are runs of them.
+    """
+
+    def __init__(self, codes: np.ndarray, cnt: np.ndarray, top: int = HEAD):
+        """codes: sorted and distinct."""
+        self.top, self.pairs, self.cnt, self.up = top, {DEPTH: codes}, {DEPTH: cnt.astype(np.int64)}, {}
+        for k in range(DEPTH - 1, top - 1, -1):
+            below = self.pairs[k + 1]
+            pairs, up = np.unique((below >> 16) << 8 | below & 0xFF, return_inverse=True)
+            self.pairs[k], self.up[k + 1] = pairs, up.astype(np.int32)
+            self.cnt[k] = np.bincount(up, self.cnt[k + 1], len(pairs)).astype(np.int64)
+
+    def levels(self, j: int) -> dict[int, tuple]:
+        """Of bit j, from DEPTH to top: the first pair of each node, the node of each pair, total, ones, stop weight and weighted log probability of each node."""
+        out: dict[int, tuple] = {}
         for k in range(DEPTH, self.top - 1, -1):
-            _, place, total, b, stop, _ = self.levels[k]
-            one, reached = self._step(one, reached, total[place], b[place], stop[place])
-        place = self.levels[self.top][1]
-        one = fixed[place] + share[place] * one
-        return np.log10(np.where(self.bit.ravel() == 1, one, 1 - one)).reshape(-1, 8).sum(axis=1)
-
-    @staticmethod
-    def _step(one, reached, total, b, stop) -> tuple[np.ndarray, np.ndarray]:
-        """The chance of a one, given that from the depth below and whether that depth was reached in training."""
-        own = (b + 0.5) / (total + 1.0)
-        if one is not None:
-            own = np.where(reached, stop * own + (1 - stop) * one, own)
-        return own, total > 0
+            prefix = self.pairs[k] >> np.uint64(8 - j)
+            new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+            first, run = np.flatnonzero(new), (np.cumsum(new) - 1).astype(np.int32)
+            total = np.add.reduceat(self.cnt[k], first)
+            ones = np.add.reduceat(np.where(self.pairs[k] & np.uint64(1 << (7 - j)), self.cnt[k], 0), first)
+            if k == DEPTH:
+                weighted, stop = block_probability(total - ones, ones), np.ones(len(first))
+            else:
+                below, deeper = out[k + 1][0], out[k + 1][5]
+                weighted, stop = mixed_with(np.bincount(run[self.up[k + 1][below]], deeper, len(first)), total - ones, ones)
+            out[k] = first, run, total, ones, stop, weighted
+        return out
+
+    def keys(self, j: int, pairs: np.ndarray) -> np.ndarray:
+        """Contexts with the node of bit j below them."""
+        return (pairs >> 8) << 8 | np.uint64(1 << j) | (pairs & 0xFF) >> np.uint64(8 - j)
+
+    def heads(self) -> list[np.ndarray]:
+        """key, total, ones and weighted log probability of each node of depth top."""
+        found = []
+        for j in range(8):
+            first, _, total, ones, _, weighted = self.levels(j)[self.top]
+            found.append((self.keys(j, self.pairs[self.top][first]), total, ones, weighted))
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+    def carried(self, keys: np.ndarray, fixed: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """log10 probability of each n-gram's byte, given the coefficients of the nodes of depth top, by sorted key."""
+        out = np.zeros(len(self.pairs[DEPTH]))
+        for j in range(8):
+            levels, place = self.levels(j), np.arange(len(out))
+            ways = {}
+            for k in range(DEPTH, self.top - 1, -1):
+                ways[k] = levels[k][1][place]
+                above = place
+                place = self.up[k][place] if k > self.top else place
+            one, reached = None, None
+            for k in range(DEPTH, self.top - 1, -1):
+                _, _, total, ones, stop, _ = levels[k]
+                own = ((ones + 0.5) / (total + 1.0))[ways[k]]
+                if one is not None:
+                    stop = stop[ways[k]]
+                    own = np.where(reached, stop * own + (1 - stop) * one, own)
+                one, reached = own, (total > 0)[ways[k]]
+            first = levels[self.top][0]
+            at = np.searchsorted(keys, self.keys(j, self.pairs[self.top][first]))[ways[self.top]]
+            one = fixed[at] + share[at] * one
+            bit = (self.pairs[DEPTH] & np.uint64(1 << (7 - j))) > 0
+            out += np.log10(np.where(bit, one, 1 - one))
+            del levels, ways, above
+        return out
 
 
 def upper_levels(rows: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -230,115 +333,153 @@ def upper_levels(rows: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return [(top, top_ones, mixed_with(weighted.sum(axis=0, keepdims=True), top - top_ones, top_ones)[1]), (total, ones, stop)]
 
 
-def fit_tables(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(code, value) of each n-gram of the blocks: its byte's log10 probability; (block, idx, value, first) of each token of the blocks: its count in training texts, and whether the row stands for the token."""
-    grams = listed.where(F.col("kind") == GRAM)
-    counts = cut(grams.groupBy("code").agg(F.sum("cnt").alias("cnt")), "ctw-counts")
-    head = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * HEAD) - 1))
-    tree = counts.withColumn("bucket", F.pmod(F.xxhash64(head), F.lit(max(1, counts.count() // GROUP_ROWS))).cast("int"))
-
-    def heads_of(group: pa.Table) -> pa.Table:
-        codes, cnt = (group.column(c).to_numpy() for c in ("code", "cnt"))
-        keys, _, total, b, _, weighted = Subtree(codes, cnt, HEAD).levels[HEAD]
-        bucket = pa.array(np.full(len(keys), group.column("bucket")[0].as_py(), np.int32))
-        return pa.table({"bucket": bucket, "latest2": pa.array((keys >> (8 * HEAD - 8)).astype(np.int32)), "node": keys.astype(np.int64), "total": total, "ones": b, "weighted": weighted})
-
-    heads = cut(tree.groupBy("bucket").applyInArrow(heads_of, "bucket int, latest2 int, node long, total double, ones double, weighted double"), "ctw-heads")
-
-    def middle(group: pa.Table) -> dict[int, tuple]:
-        keys, total, b, weighted = (group.column(c).to_numpy() for c in ("node", "total", "ones", "weighted"))
-        return lifted((keys.astype(np.uint64), np.arange(len(keys)), total, b, np.ones(len(keys)), weighted), HEAD, 2)
+def gathered(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct n-grams of packed lists, and the sums of their counts; merged as they come in."""
+    codes, counts, held = [], [], 0
+    for blob in blobs:
+        own, cnt = unpacked(blob, np.uint64, np.uint32)
+        codes.append(np.cumsum(own, dtype=np.uint64))
+        counts.append(cnt.astype(np.int64))
+        held += len(own)
+        if held >= MERGE_ROWS:
+            found = merged(np.concatenate(codes), np.concatenate(counts))
+            codes, counts, held = [found[0]], [found[1]], 0
+    return merged(np.concatenate(codes), np.concatenate(counts))
+
+
+def middle_group(keys: np.ndarray) -> np.ndarray:
+    """The group of nodes of depth HEAD, by their two latest bytes."""
+    return ((keys >> np.uint64(8 * (HEAD - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(MIDDLE)
+
+
+def gram_values(listed: DataFrame) -> DataFrame:
+    """(block, shard, blob): the log10 probabilities of a block's n-grams, in the order in which it sent them."""
+    grams = listed.where(F.col("kind") == GRAM).select("block", "kind", "shard", "blob")
+
+    def heads_of(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = Subtree(*gathered(x for b in batches for x in b.column("blob").to_pylist())).heads()
+        order = np.lexsort((nodes[0], group := middle_group(nodes[0])))
+        nodes, cuts = [x[order] for x in nodes], np.bincount(group.astype(np.int64), minlength=MIDDLE)
+        ends = np.cumsum(cuts)
+        full = np.flatnonzero(cuts)
+        own = [[x[ends[m] - cuts[m] : ends[m]] for x in nodes] for m in full]
+        blobs = [packed(steps(k), total, ones, weighted) for k, total, ones, weighted in own]
+        shard = [key[0].as_py()] * len(full)
+        yield pa.RecordBatch.from_pydict({"middle": pa.array(full, pa.int32()), "shard": pa.array(shard, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    heads = cut(grams.groupBy("shard").applyInArrow(heads_of, "middle int, shard int, blob binary"), "ctw-heads")
+
+    def middle(blobs: list[bytes]) -> tuple[dict[int, tuple], np.ndarray, list[int]]:
+        """The levels from HEAD to two, the order that sorts the nodes of the blobs, and the number of nodes of each blob."""
+        parts = [unpacked(b, *NODES) for b in blobs]
+        keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+        order = np.argsort(keys)
+        total, ones, weighted = (np.concatenate([p[k] for p in parts])[order] for k in (1, 2, 3))
+        return lifted((keys[order], np.arange(len(keys)), total, ones, np.ones(len(keys)), weighted), HEAD, 2), order, [len(p[0]) for p in parts]
 
     def depth_two(group: pa.Table) -> pa.Table:
-        keys, _, total, b, _, weighted = middle(group)[2]
+        keys, _, total, b, _, weighted = middle(group.column("blob").to_pylist())[0][2]
         return pa.table({"latest": pa.array((keys >> 16).astype(np.int32)), "node": pa.array((keys & 0xFF).astype(np.int32)), "total": total, "ones": b, "weighted": weighted})
 
-    nodes = heads.groupBy("latest2").applyInArrow(depth_two, "latest int, node int, total double, ones double, weighted double")
+    nodes = heads.groupBy("middle").applyInArrow(depth_two, "latest int, node int, total double, ones double, weighted double")
     upper = upper_levels(nodes.groupBy("latest", "node").agg(*(F.sum(c).alias(c) for c in ("total", "ones", "weighted"))).collect())
 
     def carry(group: pa.Table) -> pa.Table:
-        fixed, share = coefficients(middle(group), HEAD, upper)
-        return pa.table({"bucket": group.column("bucket"), "node": group.column("node"), "fixed": fixed, "share": share})
-
-    carried = heads.groupBy("latest2").applyInArrow(carry, "bucket int, node long, fixed double, share double")
-
-    def values(group: pa.Table, above: pa.Table) -> pa.Table:
-        codes, cnt = (group.column(c).to_numpy() for c in ("code", "cnt"))
-        order = np.argsort(above.column("node").to_numpy())  # the nodes of depth HEAD, all of them and in their order
-        fixed, share = (above.column(c).to_numpy()[order] for c in ("fixed", "share"))
-        return pa.table({"code": codes, "value": Subtree(codes, cnt, HEAD).carried(fixed, share)})
-
-    scored = tree.groupBy("bucket").cogroup(carried.groupBy("bucket")).applyInArrow(values, "code long, value double")
-
-    # A token has one row a block: its counts are summed where the rows meet, and each row takes the sum back.
-    listed.createOrReplaceTempView(view := f"_tokens_{uuid.uuid4().hex}")
-    tokens = listed.sparkSession.sql(
-        f"""select block, idx, cast(sum(cnt) over (partition by token) as double) as value,
-        row_number() over (partition by token order by block) = 1 as first from {view} where kind = {TOKEN}"""
-    )
-    listed.sparkSession.catalog.dropTempView(view)
-    return cut(scored, "ctw-values"), cut(tokens, "ctw-tokens")
+        levels, order, sizes = middle(group.column("blob").to_pylist())
+        keys, fixed, share = (np.empty(len(order), x.dtype) for x in (levels[HEAD][0], *coefficients(levels, HEAD, upper)))
+        for out, x in zip((keys, fixed, share), (levels[HEAD][0], *coefficients(levels, HEAD, upper)), strict=True):
+            out[order] = x
+        ends = np.cumsum(sizes)
+        blobs = [packed(steps(keys[e - n : e]), fixed[e - n : e], share[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
+        return pa.table({"shard": group.column("shard"), "blob": pa.array(blobs, pa.binary())})
+
+    none = F.lit(None).cast("string").alias("block")
+    carried = heads.groupBy("middle").applyInArrow(carry, "shard int, blob binary").select(none, F.lit(CARRY).cast("byte").alias("kind"), "shard", "blob")
+
+    def values(group: pa.Table) -> pa.Table:
+        kind = group.column("kind").to_numpy()
+        own, above = group.filter(pa.array(kind == GRAM)), group.filter(pa.array(kind == CARRY))
+        blobs = own.column("blob").to_pylist()
+        parts = [unpacked(b, np.uint64, np.float64, np.float64) for b in above.column("blob").to_pylist()]
+        keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+        order = np.argsort(keys)
+        codes, cnt = gathered(blobs)
+        value = Subtree(codes, cnt).carried(keys[order], *(np.concatenate([p[k] for p in parts])[order] for k in (1, 2))).astype(np.float32)
+        found = [packed(value[np.searchsorted(codes, np.cumsum(unpacked(b, np.uint64, np.uint32)[0], dtype=np.uint64))]) for b in blobs]
+        return pa.table({"block": own.column("block"), "shard": own.column("shard"), "blob": pa.array(found, pa.binary())})
+
+    return grams.unionByName(carried).groupBy("shard").applyInArrow(values, "block string, shard int, blob binary")
+
+
+def score_block(group: pa.Table, shards: int) -> pa.Table:
+    """Scores of the texts of one block, from its rows (block, kind, at, value, blob): its texts, the answers of shards (at), the counts of tokens by place (at)."""
+    kind, at = group.column("kind").to_numpy(), group.column("at").to_numpy()
+
+    def blobs(k: int) -> list[bytes]:
+        own = group.filter(pa.array(kind == k)).take(pa.array(np.argsort(at[kind == k])))
+        return own.column("blob").to_pylist()
 
-
-def score_block(group: pa.Table) -> pa.Table:
-    """Scores of the texts of one block, from its rows (block, kind, at, value, payload); at: an n-gram's code, a token's place."""
-    kind = group.column("kind").to_numpy()
-
-    def of(k: int) -> tuple[np.ndarray, np.ndarray]:
-        own = group.filter(pa.array(kind == k))
-        at, value = own.column("at").to_numpy().astype(np.uint64), own.column("value").to_numpy()
-        order = np.argsort(at)
-        return at[order], value[order]
-
-    (codes, grams), (_, tokens) = of(GRAM), of(TOKEN)
     expand = zstandard.ZstdDecompressor().decompress
-    payloads = [p for p in group.column("payload").to_pylist() if p is not None]
-    words = {END_TOKEN}
-    for p in payloads:
-        for part in pa.ipc.open_stream(expand(p)):
-            for t in texts(part, "text"):
-                words.update(normal(t).split())
-    logs = np.log10(tokens + 0.1)
+    parts = [part for p in blobs(PAYLOAD) for part in pa.ipc.open_stream(expand(p))]
+    words, found, distinct = {END_TOKEN}, [], np.empty(0, np.uint64)
+    for part in parts:
+        batch = [normal(t) for t in texts(part, "text")]
+        for t in batch:
+            words.update(t.split())
+        codes, n = symbols(batch)
+        own, place = np.unique(codes, return_inverse=True)
+        found.append((own, place.astype(np.int32), n))
+        distinct = np.union1d(distinct, own)
+    grams = np.empty(len(distinct))
+    answers = [unpacked(b, np.float32)[0] for b in blobs(GRAM)]
+    grams[by_shard(distinct, shards)[0]] = np.concatenate(answers)
+
+    is_token = kind == TOKEN
+    tokens = group.column("value").to_numpy()[is_token][np.argsort(at[is_token])]
     unknown = float(np.log10(0.1))
-    known = dict(zip(sorted(words), logs.tolist(), strict=True))
+    known = dict(zip(sorted(words), np.log10(tokens + 0.1).tolist(), strict=True))
     end = known[END_TOKEN]
-    keys, rows = [], []
-    for p in payloads:
-        for part in pa.ipc.open_stream(expand(p)):
-            batch = [normal(t) for t in texts(part, "text")]
-            found, n = symbols(batch)
-            place, own = pd.factorize(found)
-            bits = grams[np.searchsorted(codes, own)][place]
-            model = np.add.reduceat(bits, np.cumsum(n) - n)
-            keys.append(part.column("key"))
-            for data, score in zip(batch, model.tolist(), strict=True):
-                got = list(map(known.__getitem__, data.split()))
-                got.append(end)
-                rows.append((len(got), len(got) - got.count(unknown), sum(got), score))
+    rows = []
+    for part, (own, place, n) in zip(parts, found, strict=True):
+        bits = grams[np.searchsorted(distinct, own)][place]
+        model = np.add.reduceat(bits, np.cumsum(n) - n)
+        for text, score, size in zip(texts(part, "text"), model.tolist(), n.tolist(), strict=True):
+            got = list(map(known.__getitem__, normal(text).split()))
+            got.append(end)
+            rows.append((len(got), len(got) - got.count(unknown), sum(got), score, size))
     columns = zip(*rows, strict=True)
-    kinds = pa.int64(), pa.int64(), pa.float64(), pa.float64()
-    return pa.table([pa.chunked_array(keys), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "n_tokens", "n_known", "raw", "score"])
+    kinds = pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()
+    keys = pa.chunked_array([p.column("key") for p in parts])
+    return pa.table([keys, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "n_tokens", "n_known", "raw", "score", "n_symbols"])
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, train, n_tokens, n_known, train_tokens, base_score, score. The rows that train admits are learned from; all are scored."""
+    """Per row: id_col, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (the end mark is a byte). The rows that train admits are learned from; all are scored."""
     source = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    listed = cut(source.mapInArrow(blocks, ALL), "ctw-blocks")
-    scored, tokens = fit_tables(listed)
-    n = listed.where(F.col("kind") == TOKEN).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first()["n"]
-    v = tokens.where("first and value > 0").count()
-
-    empty = F.lit(None).cast("binary").alias("payload")
-    grams = listed.where(F.col("kind") == GRAM).join(scored, "code").select("block", "kind", F.col("code").alias("at"), "value", empty)
-    words = tokens.select("block", F.lit(TOKEN).cast("byte").alias("kind"), F.col("idx").cast("long").alias("at"), "value", empty)
-    held = listed.where(F.col("kind") == PAYLOAD).select("block", "kind", F.lit(None).cast("long").alias("at"), F.lit(None).cast("double").alias("value"), "payload")
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+    shards = max(1, -(-size // SHARD_BYTES))
+    listed = cut(source.mapInArrow(lambda batches: blocks(batches, shards), ALL), "ctw-blocks")
+
+    # A token has one row a block: the counts are summed, and each row takes the sum back.
+    tokens = listed.where(F.col("kind") == TOKEN).select("block", "idx", "token", "cnt")
+    counts = cut(tokens.groupBy("token").agg(F.sum("cnt").alias("sum")), "ctw-tokens")
+    facts = counts.agg(F.coalesce(F.sum("sum"), F.lit(0)).alias("n"), F.count(F.when(F.col("sum") > 0, 1)).alias("v")).first()
+    n, v = facts["n"], facts["v"]
+
+    nothing = F.lit(None).cast("binary").alias("blob")
+    words = tokens.join(counts, "token").select("block", F.lit(TOKEN).cast("byte").alias("kind"), F.col("idx").alias("at"), F.col("sum").cast("double").alias("value"), nothing)
+    no_value = F.lit(None).cast("double").alias("value")
+    grams = gram_values(listed).select("block", F.lit(GRAM).cast("byte").alias("kind"), F.col("shard").cast("long").alias("at"), no_value, "blob")
+    held = listed.where(F.col("kind") == PAYLOAD).select("block", "kind", F.xxhash64("blob").alias("at"), no_value, "blob")
     kind = source.schema["key"].dataType.simpleString()
-    found = held.unionByName(grams).unionByName(words).groupBy("block").applyInArrow(score_block, f"key {kind}, n_tokens long, n_known long, raw double, score double")
+    of_block = held.unionByName(grams).unionByName(words).groupBy("block")
+    found = of_block.applyInArrow(lambda t: score_block(t, shards), f"key {kind}, n_tokens long, n_known long, raw double, score double, n_symbols long")
     base = F.col("raw") - F.col("n_tokens") * float(np.log10(n + 0.1 * (v + 1)))
-    return found.select(F.col("key").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    bits = F.col("score") * (-1 / float(np.log10(2))) / F.col("n_symbols")
+    return found.select(F.col("key").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     remainder = id_remainder("doc_id", 10)
     scored = score_texts(table(spark, sf_dir, "documents"), remainder != 0)
-    return scored.withColumn("held_out", remainder == 0)
+    return scored.select("doc_id", (remainder == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -139,77 +139,81 @@ def test_lm_base_is_exact_and_model_is_proper(spark, prose, edges, empty):
     assert lm.score_texts(empty, F.lit(True)).count() == 0
 
 
-def test_context_tree_against_plain_recursion():
-    rnd = random.Random(4)
-    data = [bytes(rnd.choice(b"abca") for _ in range(rnd.randint(1, 40))) for _ in range(12)]
-    codes, n = lm.symbols(data)
-    keys, counts = np.unique(codes, return_counts=True)
-    assert n.tolist() == [len(d) + 1 for d in data]
+def plain_context_tree(learned, scored):
+    """log10 probabilities of the texts scored, by recursion over dictionaries."""
+    grams = lambda t: [(t.encode().lower() + b"\xff", i) for i in range(len(t.encode()) + 1)]
+    pad = b"\xff" * lm.DEPTH
+
+    def split(data, i):
+        return tuple((pad + data)[i : i + lm.DEPTH][::-1]), data[i]
+
     nodes = collections.defaultdict(lambda: [0, 0])
-    for code, count in zip(keys.tolist(), counts.tolist(), strict=True):
-        ctx, byte = [(code >> (8 * (j + 1))) & 255 for j in range(lm.DEPTH)], code & 255
+    for data, i in (g for t in learned for g in grams(t)):
+        ctx, byte = split(data, i)
         for k in range(lm.DEPTH + 1):
             for j in range(8):
-                nodes[tuple(ctx[:k]), 1 << j | byte >> (8 - j)][byte >> (7 - j) & 1] += count
+                nodes[ctx[:k], 1 << j | byte >> (8 - j)][byte >> (7 - j) & 1] += 1
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
     below = collections.defaultdict(list)
     for ctx, q in nodes:
         if ctx:
             below[ctx[:-1], q].append((ctx, q))
+    known = {}
 
     def weighted(node):
-        own = kt(*nodes[node])
-        return own if len(node[0]) == lm.DEPTH else np.logaddexp(own, sum(map(weighted, below[node]))) - math.log(2)
+        if node not in known:
+            own = kt(*nodes[node])
+            known[node] = own if len(node[0]) == lm.DEPTH else np.logaddexp(own, sum(map(weighted, below[node]))) - math.log(2)
+        return known[node]
 
     def one(ctx, q, k=0):
-        a, b = nodes[tuple(ctx[:k]), q]
+        a, b = nodes.get((ctx[:k], q), (0, 0))
         own = (b + 0.5) / (a + b + 1)
-        if k == lm.DEPTH or not sum(nodes.get((tuple(ctx[: k + 1]), q), [0, 0])):
+        if k == lm.DEPTH or not sum(nodes.get((ctx[: k + 1], q), [0, 0])):
             return own
-        stop = 1 / (1 + math.exp(sum(map(weighted, below[tuple(ctx[:k]), q])) - kt(a, b)))
+        stop = 1 / (1 + math.exp(sum(map(weighted, below[ctx[:k], q])) - kt(a, b)))
         return stop * own + (1 - stop) * one(ctx, q, k + 1)
 
-    rows = []
-    groups = collections.defaultdict(list)
-    for code, count in zip(keys.astype(np.int64).tolist(), counts.tolist(), strict=True):
-        groups[code >> 8 & 0xFFFF].append((code, count))
-    trees = {g: lm.Subtree(np.array([c for c, _ in x]), np.array([k for _, k in x])) for g, x in groups.items()}
-    for t in trees.values():
-        ks, _, total, b, _, w = t.levels[2]
-        rows += list(zip((ks >> 16).tolist(), (ks & 255).tolist(), total.tolist(), b.tolist(), w.tolist(), strict=True))
-    summed = collections.defaultdict(lambda: np.zeros(3))
-    for latest, node, *x in rows:
-        summed[latest, node] += x
-    Row = collections.namedtuple("Row", "latest node total ones weighted")
-    upper = lm.upper_levels([Row(*k, *v) for k, v in summed.items()])
-    for g, x in groups.items():
-        for (code, _), value in zip(x, trees[g].chances(upper), strict=True):
-            ctx, byte = [(code >> (8 * (j + 1))) & 255 for j in range(lm.DEPTH)], code & 255
-            want = sum(math.log10(p if byte >> (7 - j) & 1 else 1 - p) for j in range(8) for p in [one(ctx, 1 << j | byte >> (8 - j))])
-            assert value == pytest.approx(want, abs=1e-9)
-
-
-def test_longer_contexts_are_learned(spark, monkeypatch):
+    def bits(ctx, byte):
+        return sum(math.log10(p if byte >> (7 - j) & 1 else 1 - p) for j in range(8) for p in [one(ctx, 1 << j | byte >> (8 - j))])
+
+    return [sum(bits(*split(*g)) for g in grams(t)) for t in scored]
+
+
+def test_context_tree_against_plain_recursion(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(i, "".join(rnd.choice("abcaB \xe9") for _ in range(rnd.randint(0, 60)))) for i in range(40)] + [(40, "ab" * 200), (41, "ab" * 200), (42, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_context_tree([t or "" for i, t in rows if i % 10], [t or "" for _, t in rows])
+    for shard, block, rows_held in ((lm.SHARD_BYTES, lm.BLOCK_BYTES, lm.MERGE_ROWS), (100, 300, 50)):  # one shard; many shards and blocks
+        monkeypatch.setattr(lm, "SHARD_BYTES", shard)
+        monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+        monkeypatch.setattr(lm, "MERGE_ROWS", rows_held)
+        got = {r.doc_id: r.score for r in lm.score_texts(df, F.col("doc_id") % 10 != 0).collect()}
+        assert [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-5)
+    nothing = {r.doc_id: r.score for r in lm.score_texts(df, F.lit(False)).collect()}
+    assert nothing[42] == pytest.approx(8 * math.log10(0.5))
+
+
+def test_context_tree_packs_what_it_sends():
+    codes = np.sort(np.random.default_rng(1).integers(0, 2**64, 500, np.uint64))
+    assert (np.cumsum(lm.unpacked(lm.packed(lm.steps(codes), codes), np.uint64, np.uint64)[0], dtype=np.uint64) == codes).all()
+    found, n = lm.symbols([b"abc", b""])
+    assert n.tolist() == [4, 1] and [hex(c) for c in found.tolist()] == ["0xffffffffffffff61", "0x61ffffffffffff62", "0x6261ffffffffff63", "0x636261ffffffffff", "0xffffffffffffffff"]
+
+
+def test_longer_contexts_are_learned(spark):
     rnd = random.Random(11)
     rows = []
     for i in range(400):  # the byte after "-----" repeats the one six bytes back
         rows.append((i, "".join(f"{c}-----{c}" for c in (rnd.choice("abcdefgh\xe9") for _ in range(40)))))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    train = F.col("doc_id") % 10 != 0
-    got = {r.doc_id: r.score for r in lm.score_texts(df, train).collect()}
+    got = {r.doc_id: r for r in lm.score_texts(df, F.col("doc_id") % 10 != 0).collect()}
     held = [i for i in got if i % 10 == 0]
     # 40 choices of 9 letters, log10(9) each, and little for all that follows from them
-    assert sum(got[i] for i in held) / len(held) > -1.25 * 40 * math.log10(9)
-    monkeypatch.setattr(lm, "GROUP_ROWS", 50)
-    again = {r.doc_id: r.score for r in lm.score_texts(df, train).collect()}
-    assert all(again[i] == pytest.approx(got[i]) for i in got)
-    codes, counts = np.unique(lm.symbols([t.encode() for _, t in rows])[0], return_counts=True)
-    keep = (codes >> 8 & 0xFFFF) == int.from_bytes(b"--", "big")
-    whole, part = (lm.Subtree(codes[keep], counts[keep], top) for top in (2, lm.HEAD))
-    upper = [tuple(np.abs(np.random.default_rng(k).normal(size=(n, 256))) % 1 for _ in range(3)) for k, n in ((0, 1), (1, 256))]
-    keys, _, *rest = part.levels[lm.HEAD]
-    middle = lm.lifted((keys, np.arange(len(keys)), *rest), lm.HEAD, 2)
-    assert part.carried(*lm.coefficients(middle, lm.HEAD, upper)) == pytest.approx(whole.chances(upper), abs=1e-12)
+    assert sum(got[i].score for i in held) / len(held) > -1.25 * 40 * math.log10(9)
+    size = len(rows[0][1].encode()) + 1
+    assert got[0].bits_per_byte == pytest.approx(-got[0].score / math.log10(2) / size)
 
 
 PII = ["mail a.b+c@x-y.example.com, a@b, x@y.com@z.org, 1.2.3.4 300.1.1.1 01.002.3.255.7", "card 4111 1111 1111 1111 and 4111-1111-1111-1112; +1 (555) 010-9999 +12 3", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ssn 123-45-6789', "@" * 50 + "a" * 5_000 + "@", "9" * 5_000, None]
