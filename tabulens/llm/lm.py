@@ -5,17 +5,17 @@ has a context tree over the DEPTH bytes before it; all depths are mixed by the w
 block probabilities of the training texts give them. The code length of a byte is then a function of the DEPTH + 1
 bytes that end there, so the model is a table of such n-grams, built and looked up with shuffles, never broadcast:
 
-1. Texts are taken in blocks of about BLOCK_BYTES. A block lists its distinct n-grams with their counts in training
-   texts, sorted, packed and dealt to shards by a hash of their HEAD latest context bytes, and its distinct tokens; it
-   keeps its texts compressed.
+1. Texts are packed in blocks of about BLOCK_BYTES. A block lists its distinct n-grams with their counts in training
+   texts, sorted, packed and dealt to shards by a hash of their HEAD latest context bytes, and its distinct tokens, by
+   a hash of theirs. The lists follow from the block alone, so they are made anew where they are needed, not kept.
 2. A shard merges what all blocks sent it. It holds whole subtrees, which settle the depths from HEAD down. The nodes of
    depth HEAD go, packed, to groups by their two latest bytes, which settle the depths from two to HEAD; depths 0 and 1
    have at most 65 792 nodes, which Spark sums and all tasks share. On the way back each node of depth HEAD gets the
    linear function that the depths above it make of its chance.
-3. A second visit to the shards answers each block with the log probabilities of its n-grams, in the order in which it
-   sent them. The block, whose texts give the same n-grams again, takes them in and scores its texts.
+3. A second visit to the shards answers each block with the log probabilities of its n-grams (to 16 bits behind the
+   leading one), in the order in which it sent them; a shard of tokens answers with counts. The block scores its texts.
 
-What is shuffled are the distinct n-grams of each block, at about two bytes on the way there and four on the way back,
+What is shuffled are the distinct n-grams of each block, at about two bytes on the way there and three on the way back,
 and its distinct tokens: they grow with the input. There is a shard for each SHARD_BYTES of text. A node that the
 training texts never reached passes its decision to the node above it.
 
@@ -27,11 +27,13 @@ scored on their own; repeated rows get equal results; a null id is a training ro
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,9 @@ from tabulens.llm.common import cut, id_remainder, slices, table, texts
 
 #: An n-gram of DEPTH context bytes and the symbol fills a 64-bit number.
 DEPTH, HEAD = 7, 4
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 28 << 20, 8 << 20
+#: Bytes of text whose n-grams are looked up at a time.
+LOOKUP_BYTES = 1 << 18
 #: Groups of the nodes of depth HEAD.
 MIDDLE = 64
 #: N-grams that a shard gathers before it merges them.
@@ -51,9 +55,8 @@ END = 0xFF
 END_TOKEN = b""
 
 PAYLOAD, GRAM, TOKEN, CARRY = 0, 1, 2, 3
-ALL = "block string, kind byte, shard int, idx long, token binary, cnt long, blob binary"
+#: key, total, ones and weighted log probability of nodes.
 NODES = (np.uint64, np.int64, np.int64, np.float64)
-ARROW = pa.schema([("block", pa.string()), ("kind", pa.int8()), ("shard", pa.int32()), ("idx", pa.int64()), ("token", pa.binary()), ("cnt", pa.int64()), ("blob", pa.binary())])
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -106,9 +109,15 @@ def merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def by_shard(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """For sorted codes: their places, in the order of shard, then code, and the number of codes of each shard."""
+    if not len(codes):
+        return np.empty(0, np.int64), np.zeros(shards, np.int64)
     head = codes >> np.uint64(8 * (DEPTH + 1 - HEAD))
-    shard = ((head * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
-    return np.argsort(shard, kind="stable"), np.bincount(shard.astype(np.int64), minlength=shards)
+    starts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+    sizes = np.diff(starts, append=len(codes))
+    shard = (((head[starts] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    starts, own = starts[order], sizes[order]
+    return np.repeat(starts - (np.cumsum(own) - own), own) + np.arange(len(codes)), np.bincount(shard, sizes, shards).astype(np.int64)
 
 
 def normal(text: str) -> bytes:
@@ -116,73 +125,132 @@ def normal(text: str) -> bytes:
     return text.encode().lower()
 
 
-def emitted(name: str, kind: int, **columns) -> pa.RecordBatch:
-    """Rows of ALL."""
-    n = len(next(iter(columns.values())))
-    given = {"block": [name] * n, "kind": np.full(n, kind, np.int8)} | columns
-    return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in ARROW], schema=ARROW)
-
-
-class Block:
-    """What the texts of a block hold, as they come in."""
-
-    def __init__(self):
-        self.name, self.size, self.codes, self.counts = uuid.uuid4().hex, 0, [], []
-        self.seen: Counter = Counter()
-        self.other: set[bytes] = set()
-
-    def take(self, batch: list[bytes], train: np.ndarray) -> None:
-        found, n = symbols(batch)
-        counted = np.repeat(train, n)
-        for codes, own in ((found[counted], True), (found[~counted], False)):
-            distinct, counts = np.unique(codes, return_counts=True)
-            self.codes.append(distinct)
-            self.counts.append(counts if own else np.zeros(len(distinct), np.int64))
-        if len(self.codes) >= 8:
-            self.merge()
-        for data, own in zip(batch, train.tolist(), strict=True):
-            if own:
-                self.seen.update(data.split())
-                self.seen[END_TOKEN] += 1
-            else:
-                self.other.update(data.split())
-                self.other.add(END_TOKEN)
-        self.size += sum(map(len, batch))
-
-    def merge(self) -> None:
-        codes, counts = merged(np.concatenate(self.codes), np.concatenate(self.counts))
-        self.codes, self.counts = [codes], [counts]
-
-    def rows(self, shards: int) -> Iterator[pa.RecordBatch]:
-        self.merge()
-        order, sizes = by_shard(self.codes[0], shards)
-        at = np.cumsum(sizes) - sizes
-        full = np.flatnonzero(sizes)
-        for a in range(0, len(full), 256):
-            part = full[a : a + 256]
-            own = [order[at[s] : at[s] + sizes[s]] for s in part]
-            yield emitted(self.name, GRAM, shard=part, blob=[packed(steps(self.codes[0][x]), self.counts[0][x].astype(np.uint32)) for x in own])
-        words = sorted(self.other.union(self.seen))
-        for a in range(0, len(words), 100_000):
-            part = words[a : a + 100_000]
-            yield emitted(self.name, TOKEN, idx=np.arange(a, a + len(part)), token=part, cnt=[self.seen.get(w, 0) for w in part])
-
-
-def blocks(batches: Iterable[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Rows of ALL for batches of (key, text, train)."""
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    block = Block()
-    for part in slices(batches, "text", 2 << 20):
+def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, blob) for batches of (key, text, train): the rows of a block, compressed."""
+
+    def closed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, part.schema) as out:
-            out.write_batch(part)
-        yield emitted(block.name, PAYLOAD, blob=[squeeze(sink.getvalue())])
-        block.take([normal(t) for t in texts(part, "text")], part.column("train").to_numpy(zero_copy_only=False))
-        if block.size >= BLOCK_BYTES:
-            yield from block.rows(shards)
-            block = Block()
-    if block.codes:
-        yield from block.rows(shards)
+        with pa.ipc.new_stream(sink, parts[0].schema) as out:
+            for part in parts:
+                out.write_batch(part)
+        blob = zstandard.ZstdCompressor(level=5).compress(sink.getvalue())
+        return pa.RecordBatch.from_pydict({"block": [uuid.uuid4().hex], "blob": pa.array([blob], pa.binary())})
+
+    parts, size = [], 0
+    for part in slices(batches, "text", 2 << 20):
+        parts.append(part)
+        size += part.column("text").nbytes
+        if size >= BLOCK_BYTES:
+            yield closed(parts)
+            parts, size = [], 0
+    if parts:
+        yield closed(parts)
+
+
+def opened(blob: bytes) -> Iterator[pa.RecordBatch]:
+    """The rows of a block, some texts at a time."""
+    return iter(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)))
+
+
+def distinct_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct n-grams of a block, and their counts in training texts."""
+    room = {True: 0, False: 0}
+    for part in opened(blob):
+        train = part.column("train").to_numpy(zero_copy_only=False)
+        n = pa.compute.binary_length(part.column("text")).fill_null(0).to_numpy(zero_copy_only=False) + 1
+        room[True] += int(n[train].sum())
+        room[False] += int(n[~train].sum())
+    every, at = {own: np.empty(n, np.uint64) for own, n in room.items()}, {True: 0, False: 0}
+    for part in opened(blob):
+        codes, n = symbols([normal(t) for t in texts(part, "text")])
+        train = np.repeat(part.column("train").to_numpy(zero_copy_only=False), n)
+        for own in (True, False):
+            some = codes[train == own]
+            every[own][at[own] : at[own] + len(some)] = some
+            at[own] += len(some)
+    listed = {}
+    for own in (True, False):
+        codes = every.pop(own)
+        codes.sort()
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]]))
+        listed[own] = codes[starts], np.diff(starts, append=len(codes)) if own else np.zeros(len(starts), np.int64)
+        del codes
+    return merged(*(np.concatenate(x) for x in zip(listed[True], listed[False], strict=True)))
+
+
+def gram_lists(held: DataFrame, shards: int) -> DataFrame:
+    """(shard, block, kind, blob): the n-grams, as steps, that each block sends to each shard, and their counts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                codes, counts = distinct_grams(blob)
+                counts = counts.astype(np.uint32)
+                order, sizes = by_shard(codes, shards)
+                ends = np.cumsum(sizes)
+                full = np.flatnonzero(sizes)
+                for a in range(0, len(full), 256):
+                    part = full[a : a + 256]
+                    own = [order[ends[s] - sizes[s] : ends[s]] for s in part]
+                    blobs = [packed(steps(codes[x]), counts[x]) for x in own]
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array(part, pa.int32()), "block": [name] * len(part), "kind": pa.array([GRAM] * len(part), pa.int8()), "blob": pa.array(blobs, pa.binary())})
+
+    return held.mapInArrow(run, "shard int, block string, kind byte, blob binary")
+
+
+def counted_tokens(blob: bytes) -> Counter:
+    """The distinct tokens of a block, and their counts in training texts."""
+    seen: Counter = Counter()
+    for part in opened(blob):
+        for t, train in zip(texts(part, "text"), part.column("train").to_pylist(), strict=True):
+            words = normal(t).split()
+            if train:
+                seen.update(words)
+                seen[END_TOKEN] += 1
+            else:
+                for w in {END_TOKEN, *words}:
+                    seen[w] += 0
+    return seen
+
+
+def tokens_by_shard(tokens: Iterable[bytes], shards: int) -> list[list[bytes]]:
+    """The tokens of each shard, sorted; a token holds no blank, so blanks can join a list."""
+    out: list[list[bytes]] = [[] for _ in range(shards)]
+    for w in sorted(tokens):
+        out[zlib.crc32(w) % shards].append(w)
+    return out
+
+
+def token_counts(held: DataFrame, shards: int) -> DataFrame:
+    """(block, shard, blob, tokens, kinds): counts in all training texts of the tokens that a block has of a shard; their
+    sum over all blocks and number stand at one block of each shard, and 0 at the others."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for name, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                seen = counted_tokens(blob)
+                own = [(s, ws) for s, ws in enumerate(tokens_by_shard(seen, shards)) if ws]
+                for a in range(0, len(own), 256):
+                    part = own[a : a + 256]
+                    lists = [squeeze(b" ".join(ws)) for _, ws in part]
+                    counts = [packed(np.array([seen[w] for w in ws], np.int64)) for _, ws in part]
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([s for s, _ in part], pa.int32()), "block": [name] * len(part), "words": pa.array(lists, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    def count(group: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor().decompress
+        total: dict[bytes, int] = {}
+        lists = group.column("words").to_pylist()
+        for words, counts in zip(lists, group.column("counts").to_pylist(), strict=True):
+            for w, k in zip(expand(words).split(b" "), unpacked(counts, np.int64)[0].tolist(), strict=True):
+                total[w] = total.get(w, 0) + k
+        blobs = [packed(np.array([total[w] for w in expand(x).split(b" ")], np.int64)) for x in lists]
+        facts = [np.zeros(len(lists), np.int64) for _ in range(2)]
+        facts[0][0], facts[1][0] = sum(total.values()), sum(map(bool, total.values()))
+        return pa.table([group.column("block"), group.column("shard"), pa.array(blobs, pa.binary()), *map(pa.array, facts)], names=["block", "shard", "blob", "tokens", "kinds"])
+
+    sent = held.mapInArrow(run, "shard int, block string, words binary, counts binary")
+    return cut(sent.groupBy("shard").applyInArrow(count, "block string, shard int, blob binary, tokens long, kinds long"), "ctw-tokens")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -202,9 +270,10 @@ HALVES, WHOLES = log_gamma(np.arange(4096) + 0.5), log_gamma(np.arange(4096) + 1
 
 
 def looked_up(n: np.ndarray, of: np.ndarray, shift: float) -> np.ndarray:
-    out = of[np.minimum(n, len(of) - 1)]
-    large = n >= len(of)
-    out[large] = log_gamma(n[large] + shift)
+    out = of.take(n, mode="clip")
+    if n.size and n.max() >= len(of):
+        large = n >= len(of)
+        out[large] = log_gamma(n[large] + shift)
     return out
 
 
@@ -217,7 +286,8 @@ def block_probability(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def mixed_with(deeper: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The weighted log probability of nodes, given the sum over their children; the weight of stopping there."""
     own = block_probability(a, b)
-    return np.logaddexp(own, deeper) - np.log(2), 1 / (1 + np.exp(np.minimum(deeper - own, 700.0)))
+    less = np.exp(-np.abs(deeper - own))
+    return np.maximum(own, deeper) + np.log((1 + less) / 2), np.where(deeper > own, less, 1.0) / (1 + less)
 
 
 def lifted(deepest: tuple, depth: int, top: int) -> dict[int, tuple]:
@@ -352,9 +422,8 @@ def middle_group(keys: np.ndarray) -> np.ndarray:
     return ((keys >> np.uint64(8 * (HEAD - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(MIDDLE)
 
 
-def gram_values(listed: DataFrame) -> DataFrame:
+def gram_values(held: DataFrame, shards: int) -> DataFrame:
     """(block, shard, blob): the log10 probabilities of a block's n-grams, in the order in which it sent them."""
-    grams = listed.where(F.col("kind") == GRAM).select("block", "kind", "shard", "blob")
 
     def heads_of(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = Subtree(*gathered(x for b in batches for x in b.column("blob").to_pylist())).heads()
@@ -367,7 +436,7 @@ def gram_values(listed: DataFrame) -> DataFrame:
         shard = [key[0].as_py()] * len(full)
         yield pa.RecordBatch.from_pydict({"middle": pa.array(full, pa.int32()), "shard": pa.array(shard, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    heads = cut(grams.groupBy("shard").applyInArrow(heads_of, "middle int, shard int, blob binary"), "ctw-heads")
+    heads = cut(gram_lists(held, shards).groupBy("shard").applyInArrow(heads_of, "middle int, shard int, blob binary"), "ctw-heads")
 
     def middle(blobs: list[bytes]) -> tuple[dict[int, tuple], np.ndarray, list[int]]:
         """The levels from HEAD to two, the order that sorts the nodes of the blobs, and the number of nodes of each blob."""
@@ -386,15 +455,16 @@ def gram_values(listed: DataFrame) -> DataFrame:
 
     def carry(group: pa.Table) -> pa.Table:
         levels, order, sizes = middle(group.column("blob").to_pylist())
-        keys, fixed, share = (np.empty(len(order), x.dtype) for x in (levels[HEAD][0], *coefficients(levels, HEAD, upper)))
-        for out, x in zip((keys, fixed, share), (levels[HEAD][0], *coefficients(levels, HEAD, upper)), strict=True):
+        found = levels[HEAD][0], *coefficients(levels, HEAD, upper)
+        keys, fixed, share = (np.empty_like(x) for x in found)
+        for out, x in zip((keys, fixed, share), found, strict=True):
             out[order] = x
         ends = np.cumsum(sizes)
         blobs = [packed(steps(keys[e - n : e]), fixed[e - n : e], share[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
         return pa.table({"shard": group.column("shard"), "blob": pa.array(blobs, pa.binary())})
 
     none = F.lit(None).cast("string").alias("block")
-    carried = heads.groupBy("middle").applyInArrow(carry, "shard int, blob binary").select(none, F.lit(CARRY).cast("byte").alias("kind"), "shard", "blob")
+    carried = heads.groupBy("middle").applyInArrow(carry, "shard int, blob binary").select("shard", none, F.lit(CARRY).cast("byte").alias("kind"), "blob")
 
     def values(group: pa.Table) -> pa.Table:
         kind = group.column("kind").to_numpy()
@@ -404,53 +474,65 @@ def gram_values(listed: DataFrame) -> DataFrame:
         keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         order = np.argsort(keys)
         codes, cnt = gathered(blobs)
-        value = Subtree(codes, cnt).carried(keys[order], *(np.concatenate([p[k] for p in parts])[order] for k in (1, 2))).astype(np.float32)
-        found = [packed(value[np.searchsorted(codes, np.cumsum(unpacked(b, np.uint64, np.uint32)[0], dtype=np.uint64))]) for b in blobs]
+        value = Subtree(codes, cnt).carried(keys[order], *(np.concatenate([p[k] for p in parts])[order] for k in (1, 2)))
+        value = rounded(value)
+        found = [packed(*value[:, np.searchsorted(codes, np.cumsum(unpacked(b, np.uint64, np.uint32)[0], dtype=np.uint64))]) for b in blobs]
         return pa.table({"block": own.column("block"), "shard": own.column("shard"), "blob": pa.array(found, pa.binary())})
 
-    return grams.unionByName(carried).groupBy("shard").applyInArrow(values, "block string, shard int, blob binary")
+    return gram_lists(held, shards).unionByName(carried).groupBy("shard").applyInArrow(values, "block string, shard int, blob binary")
+
+
+def rounded(values: np.ndarray) -> np.ndarray:
+    """Three rows of bytes, the upper ones of each value as a 32-bit number, rounded to 16 bits behind the leading one."""
+    bits = values.astype("<f4").view(np.uint32) + np.uint32(0x80)
+    return np.ascontiguousarray(bits.view(np.uint8).reshape(-1, 4)[:, 1:].T)
+
+
+def restored(blob: bytes) -> np.ndarray:
+    """The values of packed(*rounded(values))."""
+    planes = unpacked(blob, np.uint8, np.uint8, np.uint8)
+    bits = np.zeros((len(planes[0]), 4), np.uint8)
+    for k, plane in enumerate(planes, 1):
+        bits[:, k] = plane
+    return bits.view("<f4").ravel()
 
 
 def score_block(group: pa.Table, shards: int) -> pa.Table:
-    """Scores of the texts of one block, from its rows (block, kind, at, value, blob): its texts, the answers of shards (at), the counts of tokens by place (at)."""
-    kind, at = group.column("kind").to_numpy(), group.column("at").to_numpy()
+    """Scores of the texts of one block, from its rows (block, kind, shard, blob): its texts, and the answers of all shards."""
+    kind, shard = group.column("kind").to_numpy(), group.column("shard").to_numpy()
 
     def blobs(k: int) -> list[bytes]:
-        own = group.filter(pa.array(kind == k)).take(pa.array(np.argsort(at[kind == k])))
+        own = group.filter(pa.array(kind == k)).take(pa.array(np.argsort(shard[kind == k])))
         return own.column("blob").to_pylist()
 
-    expand = zstandard.ZstdDecompressor().decompress
-    parts = [part for p in blobs(PAYLOAD) for part in pa.ipc.open_stream(expand(p))]
-    words, found, distinct = {END_TOKEN}, [], np.empty(0, np.uint64)
-    for part in parts:
-        batch = [normal(t) for t in texts(part, "text")]
-        for t in batch:
-            words.update(t.split())
-        codes, n = symbols(batch)
-        own, place = np.unique(codes, return_inverse=True)
-        found.append((own, place.astype(np.int32), n))
-        distinct = np.union1d(distinct, own)
-    grams = np.empty(len(distinct))
-    answers = [unpacked(b, np.float32)[0] for b in blobs(GRAM)]
-    grams[by_shard(distinct, shards)[0]] = np.concatenate(answers)
-
-    is_token = kind == TOKEN
-    tokens = group.column("value").to_numpy()[is_token][np.argsort(at[is_token])]
-    unknown = float(np.log10(0.1))
-    known = dict(zip(sorted(words), np.log10(tokens + 0.1).tolist(), strict=True))
-    end = known[END_TOKEN]
-    rows = []
-    for part, (own, place, n) in zip(parts, found, strict=True):
-        bits = grams[np.searchsorted(distinct, own)][place]
-        model = np.add.reduceat(bits, np.cumsum(n) - n)
-        for text, score, size in zip(texts(part, "text"), model.tolist(), n.tolist(), strict=True):
-            got = list(map(known.__getitem__, normal(text).split()))
-            got.append(end)
-            rows.append((len(got), len(got) - got.count(unknown), sum(got), score, size))
+    (payload,) = blobs(PAYLOAD)
+    distinct = distinct_grams(payload)[0]
+    grams = np.empty(len(distinct), np.float32)
+    grams[by_shard(distinct, shards)[0]] = np.concatenate([restored(b) for b in blobs(GRAM)])
+
+    words = [w for ws in tokens_by_shard(counted_tokens(payload), shards) for w in ws]
+    counts = np.concatenate([unpacked(b, np.int64)[0] for b in blobs(TOKEN)])
+    known = dict(zip(words, np.log10(counts + 0.1).tolist(), strict=True))
+    unknown, end = float(np.log10(0.1)), known[END_TOKEN]
+    keys, rows = [], []
+    for batch in opened(payload):
+        for part in slices([batch], "text", LOOKUP_BYTES):
+            own = [normal(t) for t in texts(part, "text")]
+            codes, n = symbols(own)
+            order = np.argsort(codes)
+            codes = codes[order]
+            starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            bits = np.empty(len(codes))
+            bits[order] = np.repeat(grams[np.searchsorted(distinct, codes[starts])], np.diff(starts, append=len(codes)))
+            model = np.add.reduceat(bits, np.cumsum(n) - n)
+            keys.append(part.column("key"))
+            for data, score, size in zip(own, model.tolist(), n.tolist(), strict=True):
+                got = list(map(known.__getitem__, data.split()))
+                got.append(end)
+                rows.append((len(got), len(got) - got.count(unknown), sum(got), score, size))
     columns = zip(*rows, strict=True)
     kinds = pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()
-    keys = pa.chunked_array([p.column("key") for p in parts])
-    return pa.table([keys, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "n_tokens", "n_known", "raw", "score", "n_symbols"])
+    return pa.table([pa.chunked_array(keys), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "n_tokens", "n_known", "raw", "score", "n_symbols"])
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -458,22 +540,17 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     source = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-size // SHARD_BYTES))
-    listed = cut(source.mapInArrow(lambda batches: blocks(batches, shards), ALL), "ctw-blocks")
-
-    # A token has one row a block: the counts are summed, and each row takes the sum back.
-    tokens = listed.where(F.col("kind") == TOKEN).select("block", "idx", "token", "cnt")
-    counts = cut(tokens.groupBy("token").agg(F.sum("cnt").alias("sum")), "ctw-tokens")
-    facts = counts.agg(F.coalesce(F.sum("sum"), F.lit(0)).alias("n"), F.count(F.when(F.col("sum") > 0, 1)).alias("v")).first()
-    n, v = facts["n"], facts["v"]
-
-    nothing = F.lit(None).cast("binary").alias("blob")
-    words = tokens.join(counts, "token").select("block", F.lit(TOKEN).cast("byte").alias("kind"), F.col("idx").alias("at"), F.col("sum").cast("double").alias("value"), nothing)
-    no_value = F.lit(None).cast("double").alias("value")
-    grams = gram_values(listed).select("block", F.lit(GRAM).cast("byte").alias("kind"), F.col("shard").cast("long").alias("at"), no_value, "blob")
-    held = listed.where(F.col("kind") == PAYLOAD).select("block", "kind", F.xxhash64("blob").alias("at"), no_value, "blob")
+    held = cut(source.mapInArrow(blocks, "block string, blob binary"), "ctw-blocks")
+    tokens = token_counts(held, shards)
+    facts = tokens.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds"))).first()
+    n, v = facts["tokens"], facts["kinds"]
+
+    def of_kind(df: DataFrame, kind: int, shard: Column) -> DataFrame:
+        return df.select("block", F.lit(kind).cast("byte").alias("kind"), shard.cast("int").alias("shard"), "blob")
+
+    rows = of_kind(held, PAYLOAD, F.lit(0)).unionByName(of_kind(gram_values(held, shards), GRAM, F.col("shard"))).unionByName(of_kind(tokens, TOKEN, F.col("shard")))
     kind = source.schema["key"].dataType.simpleString()
-    of_block = held.unionByName(grams).unionByName(words).groupBy("block")
-    found = of_block.applyInArrow(lambda t: score_block(t, shards), f"key {kind}, n_tokens long, n_known long, raw double, score double, n_symbols long")
+    found = rows.groupBy("block").applyInArrow(lambda t: score_block(t, shards), f"key {kind}, n_tokens long, n_known long, raw double, score double, n_symbols long")
     base = F.col("raw") - F.col("n_tokens") * float(np.log10(n + 0.1 * (v + 1)))
     bits = F.col("score") * (-1 / float(np.log10(2))) / F.col("n_symbols")
     return found.select(F.col("key").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
