@@ -42,7 +42,7 @@ from tabulens.llm.common import cut, id_remainder, slices, table, texts
 
 #: An n-gram of DEPTH context bytes and the symbol fills a 64-bit number.
 DEPTH, HEAD = 7, 4
-BLOCK_BYTES, SHARD_BYTES = 28 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 14 << 20, 8 << 20
 #: Bytes of text whose n-grams are looked up at a time.
 LOOKUP_BYTES = 1 << 18
 #: Groups of the nodes of depth HEAD.
