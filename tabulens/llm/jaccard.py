@@ -1,25 +1,23 @@
 """N-gram Jaccard join (op7): documents linked where their word shingle sets have Jaccard similarity of 0.75 or more.
 
 1. Each whole text gives its set of 64-bit shingle hashes. Documents with equal sets collapse into one node, so copies
-   cost nothing further.
-2. A node's search keys are its BOTTOM_KEYS smallest shingle hashes, or its n // 4 + 1 smallest where that is fewer
-   (then sharing none proves two sets unlike; else a link goes unseen with probability 0.25**20, 1e-12). The nodes
-   that share a key form a tile.
-3. Each tile's smallest node is its pivot. Pivots are compared with the other members (pairs grow with the members, not
-   with their square), and the links' components are found by alternating stars.
-4. Tiles of up to LARGE members that are still in several components are mostly documents that share a passage. They
-   are compared whole, in blocks of nodes by size; blocks whose sizes are too far apart don't meet, and members
-   of one component are left out.
-5. The nodes of larger tiles that are still split, and only those, get a second set of keys: their first n // 4 + 1
-   shingles, an exact prefix, in an order in which the keys of large tiles (the FREQUENT largest), and so common
-   passages, come last. Pivots and components again, then blocks.
+   cost nothing further. Each task also counts its shingles in BUCKETS hash buckets; the sums, as powers of two, give
+   every shingle a class of frequency in a table of BUCKETS bytes that all tasks share, whatever the input.
+2. A node's search keys are its first n // 4 + 1 shingles in the order of class, then hash: under any order that all
+   nodes share, two linked sets have one of these in common, and this one puts common passages last. The nodes that
+   share a key form a tile, in which they are dealt by bands of like sizes; linked sets are in one band or in adjacent ones.
+3. Each band of a tile has its smallest node as its pivot. Pivots are compared with the other members and with the next
+   band's pivot (pairs grow with the members, not with their square), and the links' components are found by
+   alternating stars.
+4. Tiles whose members are still in several components are compared in blocks of nodes of one band. The members of the
+   tile's largest component aren't compared with each other, nor are members of any one component.
 
 A comparison first bounds the overlap by bit counts of hashed bitmaps: every bit of one signature that the other lacks
 is at least one element that it lacks. Only for pairs that pass are the texts read again, and their sorted hash arrays
 intersected exactly.
 
-Nothing is collected on the driver but counts and the keys of the largest tiles. A group of copies is one node; a hot tile's rows are pre-aggregated for
-its pivot, and its comparisons are dealt out by pivot and member.
+Nothing is collected on the driver but counts and the table of classes. A group of copies is one node; the comparisons of a
+hot pivot or tile are dealt to many tasks, of at most TASK_PAIRS pairs in the last step.
 
 Defined results: a null text, or one without words, has the empty set, is linked with nothing and is its own component;
 fewer words than SHINGLE give one shingle of them all. Rows with the same doc_id are linked by it as well only if their
@@ -33,6 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,14 +40,14 @@ from tabulens.llm.common import cut, slices, table, texts
 SHINGLE = 5
 #: Least similarity: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BOTTOM_KEYS = 20
-#: Members of a tile up to which it is compared whole at once. A node then meets LARGE signatures at most, at some 60 ns
-#: each, which is about what second keys cost.
-LARGE = 16_384
+#: Hash buckets in which shingles are counted, and the parts in which the counts are summed.
+BUCKETS, CHUNKS = 1 << 22, 64
+#: Sizes of a band differ by less than this factor; it must be above 100 / PERCENT.
+BAND = 1.34
 #: A block holds nodes of this weight in all; a node weighs its set's size, and BLOCK_LEAST at least.
 BLOCK, BLOCK_LEAST = 1 << 22, 2_048
-#: Keys of large tiles that are put last; the list is shared with all tasks, 8 bytes each.
-FREQUENT = 1_000_000
+#: Pairs that one task intersects, and tasks that a hot pivot's pairs are dealt to.
+TASK_PAIRS, DEALS = 4_096, 32
 #: Nodes up to which their texts are picked by a broadcast of their ids (32 bytes each); more are picked by a shuffle.
 BROADCAST_NODES = 200_000
 #: Least bits of a signature; it has the power of two from four times the set's size on. Signatures of sets that can be
@@ -124,8 +123,56 @@ def may_link(sig: np.ndarray, n: int, sigs: np.ndarray, ns: np.ndarray) -> np.nd
     return 100 * most >= PERCENT * (n + ns - most)
 
 
+def bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The hash bucket of each shingle, by its upper bits."""
+    return (hashes >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+
+
 def shingled(docs: DataFrame) -> DataFrame:
-    """(key, t1, t2, f1, f2, n, keys, sig) for docs (key, t1, t2, text): the set's fingerprint, size, search keys and signature."""
+    """For docs (key, t1, t2, text): (key, t1, t2, f1, f2, n), the set's fingerprint and size; and a task's counts of shingles by bucket, as rows (chunk, load) without any of these."""
+    kind = docs.schema["key"].dataType.simpleString()
+    schema = pa.schema([*(pa.field(c, pa.int64()) for c in ("t1", "t2", "f1", "f2", "n")), pa.field("chunk", pa.int32()), pa.field("load", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, load, key_kind = Shingler(), None, None
+        for part in slices(batches, "text"):
+            load = np.zeros(BUCKETS, np.int64) if load is None else load
+            key_kind = part.column("key").type
+            sets = [shingles(t) for t in texts(part, "text")]
+            load += np.bincount(bucket(np.concatenate(sets), BUCKETS), minlength=BUCKETS)
+            f1, f2 = zip(*(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist() for s in sets), strict=True)
+            named = {"key": part.column("key"), "t1": part.column("t1"), "t2": part.column("t2"), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "n": pa.array(list(map(len, sets)), pa.int64())}
+            yield pa.RecordBatch.from_pydict(named | {c: pa.nulls(part.num_rows, schema.field(c).type) for c in ("chunk", "load")})
+        if load is not None:
+            squeeze = zstandard.ZstdCompressor(level=1).compress
+            blobs = [squeeze(np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes()) for x in np.split(load, CHUNKS)]
+            none = {"key": pa.nulls(CHUNKS, key_kind)} | {c: pa.nulls(CHUNKS, pa.int64()) for c in ("t1", "t2", "f1", "f2", "n")}
+            yield pa.RecordBatch.from_pydict(none | {"chunk": pa.array(range(CHUNKS), pa.int32()), "load": pa.array(blobs, pa.binary())})
+
+    return docs.mapInArrow(run, f"key {kind}, t1 long, t2 long, f1 long, f2 long, n long, chunk int, load binary")
+
+
+def frequency_classes(loads: DataFrame) -> np.ndarray:
+    """The class of each bucket, the power of two of its count, from rows (chunk, load)."""
+
+    def summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        total = np.zeros(BUCKETS // CHUNKS, np.int64)
+        for batch in batches:
+            for blob in batch.column("load").to_pylist():
+                total += np.frombuffer(expand(blob), np.uint32)
+        classes = np.ceil(np.log2(total + 1)).astype(np.uint8)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([classes.tobytes()], pa.binary())})
+
+    out = np.zeros((CHUNKS, BUCKETS // CHUNKS), np.uint8)
+    for r in loads.groupBy("chunk").applyInArrow(summed, "chunk int, classes binary").collect():
+        out[r.chunk] = np.frombuffer(r.classes, np.uint8)
+    return out.ravel()
+
+
+def keyed(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(key, t1, t2, f1, f2, n, keys, sig) for docs (key, t1, t2, text) with words: the set's fingerprint, size, search keys and signature."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes)  # BUCKETS bytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
@@ -133,16 +180,15 @@ def shingled(docs: DataFrame) -> DataFrame:
             rows = []
             for t in texts(part, "text"):
                 s = shingles(t)
-                f = xxhash.xxh3_128_digest(s.tobytes())
-                keys = s[: min(BOTTOM_KEYS, len(s) // 4 + 1)].view(np.int64)
-                rows.append((*np.frombuffer(f, np.int64).tolist(), len(s), keys, signature(s).view(np.int64)))
+                order = np.argsort(shared.value[bucket(s, len(shared.value))], kind="stable")[: len(s) // 4 + 1]
+                rows.append((*np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist(), len(s), s[order].view(np.int64), signature(s).view(np.int64)))
             f1, f2, n, keys, sig = zip(*rows, strict=True)
             named = {c: part.column(c) for c in ("key", "t1", "t2")}
             named |= {"f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "n": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "sig": pa.array(sig, pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_pydict(named)
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, t1 long, t2 long, f1 long, f2 long, n long, keys array<long>, sig array<long>")
+    return docs.mapInArrow(run, f"key {kind}, t1 long, t2 long, f1 long, f2 long, n long, keys array<long>, sig array<long>").where("n > 0")
 
 
 def node_sets(rows: DataFrame) -> DataFrame:
@@ -159,27 +205,35 @@ def node_sets(rows: DataFrame) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id long, n long, hashes binary")
 
 
-def tiled(rows: DataFrame) -> DataFrame:
-    """(tile, id) for rows (id, keys)."""
-    return rows.select(F.explode("keys").alias("tile"), "id")
-
-
 def close(a: str, b: str):
     return (PERCENT * F.col(a) <= 100 * F.col(b)) & (PERCENT * F.col(b) <= 100 * F.col(a))
 
 
-def with_pivots(tiles: DataFrame) -> DataFrame:
-    """(tile, m, id, pivot) of the tiles with m > 1 members."""
-    pivots = tiles.groupBy("tile").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).where("m > 1")
-    return tiles.join(pivots, "tile").select("tile", "m", "id", "pivot")
+def band(n: str):
+    return F.floor(F.log(F.col(n)) / float(np.log(BAND))).cast("int")
+
+
+def tiled(nodes: DataFrame) -> DataFrame:
+    """(tile, id, band) of the tiles with several members, for nodes (id, n, keys)."""
+    rows = nodes.select(F.explode("keys").alias("tile"), "id", band("n").alias("band"))
+    return rows.withColumn("m", F.count("*").over(Window.partitionBy("tile"))).where("m > 1").drop("m")
+
 
+def star_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), a < b, of pivots and members, and of the pivots of adjacent bands, that pass the bound of bit counts."""
+    rows = members.withColumn("pivot", F.min("id").over(Window.partitionBy("tile", "band")))
+    heads = members.groupBy("tile", "band").agg(F.min("id").alias("id"))
+    last = Window.partitionBy("tile").orderBy("band")
+    bridges = heads.withColumn("pivot", F.when(F.lag("band").over(last) == F.col("band") - 1, F.lag("id").over(last))).where("pivot is not null")
+    pairs = rows.select("pivot", "id").unionByName(bridges.select("pivot", "id")).where("id <> pivot")
+    pairs = pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
 
-def star_pairs(members: DataFrame, nodes: DataFrame, tried: DataFrame | None = None) -> DataFrame:
-    """The distinct pairs (a, b) of pivots and members that pass the bound of bit counts and are not among those tried."""
-    pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-    for x in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")), x)
+    def named(x: str) -> DataFrame:
+        return nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+
+    # A hot pivot's pairs are dealt to several tasks before its signature joins them.
+    pairs = pairs.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(DEALS)))
+    pairs = pairs.join(pairs.select("a", "deal").distinct().join(named("a"), "a"), ["a", "deal"]).join(named("b"), "b")
 
     def fold(x: str, y: str):
         half = F.size(f"sig_{y}")
@@ -259,62 +313,56 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def still_split(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows, with their component, of the tiles whose members are in several components and that hold more than a pivot and one other."""
-    named = members.where("m > 2").select("tile", "m", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    """The rows, with their component, of the tiles whose members are in several components."""
+    named = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = named.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile")
     return named.join(split, "tile", "left_semi")
 
 
-def rare_keys(ids: DataFrame, sets: DataFrame, frequent: list[int]) -> DataFrame:
-    """(id, keys) with the first n // 4 + 1 shingles of each node, the frequent ones after all others.
-
-    Under any order that all nodes share, two linked sets have one of these in common; this one keeps common passages out.
-    """
-    last = np.sort(np.array(frequent, np.int64))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = []
-            for h in batch.column("hashes").to_pylist():
-                s = np.frombuffer(h, np.int64)
-                late = np.isin(s, last)
-                keys.append(np.concatenate([s[~late], s[late]])[: len(s) // 4 + 1])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
-
-    return sets.join(ids, "id", "left_semi").select("id", "hashes").mapInArrow(run, "id long, keys array<long>")
-
-
 def block_pairs(split: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(task, a, b): distinct pairs of different components that share a tile and pass the bound of bit counts; task names
-    the two blocks that they are of. A pair that shares several tiles is given by the smallest one alone.
+    """(task, a, b): distinct pairs of different components that share a tile and pass the bound of bit counts; the pairs of
+    a task are few. A pair that shares several tiles is given by the smallest one alone.
     """
-    before = Window.partitionBy("tile").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
-    weight = F.coalesce(F.sum(F.greatest("n", F.lit(BLOCK_LEAST))).over(before), F.lit(0))
-    rows = split.join(nodes.select("id", "n"), "id").withColumn("block", F.floor(weight / BLOCK))
-    sizes = rows.groupBy("tile", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    i, j = (sizes.select("tile", F.col("block").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in ("i", "j"))
-    meet = i.join(j, "tile").where((F.col("i") <= F.col("j")) & (PERCENT * F.col("low_j") <= 100 * F.col("high_i"))).select("tile", "i", "j")
-    sides = meet.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    spread = rows.join(sides, ["tile", "block"]).join(nodes.select("id", "sig", "keys"), "id")
+    largest = split.groupBy("tile", "component").count().groupBy("tile").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+    rows = split.join(largest, "tile").withColumn("minor", F.col("component") != F.col("largest")).drop("largest")
+    rows = rows.join(nodes.select("id", "n"), "id")
+    parts = rows.groupBy("tile", "minor", "band").agg(F.ceil(F.sum(F.greatest("n", F.lit(BLOCK_LEAST))) / BLOCK).alias("parts"))
+    rows = rows.join(parts, ["tile", "minor", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    blocks = parts.select("tile", "minor", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+    # Blocks of the largest component don't meet each other; two others meet once.
+    x, y = (blocks.select("tile", *(F.col(c).alias(f"{side}_{c}") for c in ("minor", "band", "part"))) for side in ("x", "y"))
+    later = F.struct("y_band", "y_part") >= F.struct(F.col("x_band").alias("y_band"), F.col("x_part").alias("y_part"))
+    meet = x.where("x_minor").join(y, "tile").where((F.abs(F.col("x_band") - F.col("y_band")) <= 1) & (~F.col("y_minor") | later))
+    group = ["tile", "x_band", "x_part", "y_minor", "y_band", "y_part"]
+
+    def side(name: str) -> DataFrame:
+        keys = [F.col(f"{name}_{c}").alias(c) for c in ("minor", "band", "part")]
+        own = meet.select("tile", *keys, F.struct(*group).alias("meet"))
+        return rows.join(own, ["tile", "minor", "band", "part"]).select("meet.*", F.lit(name == "x").alias("left"), "id", "component")
+
+    spread = side("x").unionByName(side("y")).join(nodes.select("id", "n", "sig", "keys"), "id")
 
     def run(t: pa.Table) -> pa.Table:
-        ids, ns, comp, block = (t.column(c).to_numpy() for c in ("id", "n", "component", "block"))
-        i, j, tile = (t.column(c)[0].as_py() for c in ("i", "j", "tile"))
+        ids, ns, comp, left = (t.column(c).to_numpy() for c in ("id", "n", "component", "left"))
+        name = " ".join(str(t.column(c)[0].as_py()) for c in group)
+        tile = t.column("tile")[0].as_py()
+        same = t.column("y_minor")[0].as_py() and all(t.column(f"x_{c}")[0].as_py() == t.column(f"y_{c}")[0].as_py() for c in ("band", "part"))
         sigs = folded(t.column("sig"))
         # Sharing a key ahead of this tile's, a pair is another tile's.
         ahead = [{x for x in own_keys if x < tile} for own_keys in t.column("keys").to_pylist()]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        right = np.flatnonzero(~left)
         a, b = [], []
-        for x in left:
-            rest = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
+        for x in np.flatnonzero(left):
+            rest = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if same else True)]
             rest = rest[(100 * ns[rest] >= PERCENT * ns[x]) & (PERCENT * ns[rest] <= 100 * ns[x])]
             hit = rest[may_link(sigs[x], ns[x], sigs[rest], ns[rest])]
             hit = np.array([y for y in hit.tolist() if ahead[x].isdisjoint(ahead[y])], int)
             a += [min(ids[x], y) for y in ids[hit]]
             b += [max(ids[x], y) for y in ids[hit]]
-        return pa.table({"task": pa.array([f"{tile} {i} {j}"] * len(a), pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"task": pa.array([f"{name} {k // TASK_PAIRS}" for k in range(len(a))], pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cut(spread.groupBy("tile", "i", "j").applyInArrow(run, "task string, a long, b long"), "jaccard-pairs")
+    return cut(spread.groupBy(*group).applyInArrow(run, "task string, a long, b long"), "jaccard-pairs")
 
 
 def block_links(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
@@ -355,28 +403,19 @@ def text_marks(text_col: str) -> list:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: key (its id), t1, t2, n (the set's size), component (null for the empty set) and component_id."""
     source = docs.select(F.col(id_col).alias("key"), *text_marks(text_col), F.col(text_col).cast("string").alias("text"))
-    rows = cut(shingled(source), "jaccard-rows")
+    every = cut(shingled(source), "jaccard-rows")
+    rows = every.where("chunk is null").drop("chunk", "load")
+    order = frequency_classes(every.where("chunk is not null").select("chunk", "load"))
 
     # One node for each set; its text is that of its smallest row.
-    nodes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("key", "t1", "t2")).alias("rep"), F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "keys", "sig")))
+    nodes = keyed(source, order).groupBy("f1", "f2").agg(F.min(F.struct("key", "t1", "t2")).alias("rep"), F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "keys", "sig")))
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "jaccard-nodes")
 
-    members = cut(with_pivots(tiled(nodes)), "jaccard-tiles")
+    members = cut(tiled(nodes), "jaccard-tiles")
     tried = star_pairs(members, nodes)
     links = exact_links(tried, nodes, source)
-    found = components(links)
-
-    split = cut(still_split(members, found), "jaccard-split")
-    whole = block_pairs(split.where(F.col("m") <= LARGE), nodes).join(tried, ["a", "b"], "left_anti")
-    links = links.union(block_links(whole, nodes, source))
-    hot = cut(split.where(F.col("m") > LARGE).select("id").distinct(), "jaccard-hot")
-    if not hot.isEmpty():
-        common = members.where(F.col("m") > LARGE // 8).select("tile", "m").distinct().orderBy(F.desc("m"), "tile").limit(FREQUENT)
-        rare = cut(rare_keys(hot, pick_sets(hot, nodes, source), [r["tile"] for r in common.collect()]), "jaccard-rare")
-        again = cut(with_pivots(tiled(rare)), "jaccard-tiles")
-        links = links.union(exact_links(star_pairs(again, nodes, tried), nodes, source))
-        rest = still_split(again, components(links))
-        links = links.union(block_links(block_pairs(rest, nodes.drop("keys").join(rare.select("id", "keys"), "id")), nodes, source))
+    split = cut(still_split(members, components(links)), "jaccard-split")
+    links = links.union(block_links(block_pairs(split, nodes).join(tried, ["a", "b"], "left_anti"), nodes, source))
     found = components(links)
 
     named = nodes.join(found, "id", "left").select("f1", "f2", "least", F.coalesce("component", "id").alias("component"))

@@ -114,10 +114,11 @@ def near_rows():
     return rows + [(400, None), (401, ""), (402, " \n"), (403, "one two"), (404, "One  two"), (5, rows[5][1]), (None, rows[7][1]), (405, "漢 字 a b c d"), (406, "漢 字 a b c d")]
 
 
-@pytest.mark.parametrize("large", [2_048, 8])
-def test_jaccard_against_brute_force(spark, monkeypatch, large):
-    monkeypatch.setattr(jaccard, "LARGE", large)
+@pytest.mark.parametrize("buckets", [1 << 22, 64])
+def test_jaccard_against_brute_force(spark, monkeypatch, buckets):
+    monkeypatch.setattr(jaccard, "BUCKETS", buckets)
     monkeypatch.setattr(jaccard, "BLOCK", 16 * jaccard.BLOCK_LEAST)
+    monkeypatch.setattr(jaccard, "TASK_PAIRS", 5)
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("n", F.lit(0))
     got = jaccard.jaccard_join(df).collect()
