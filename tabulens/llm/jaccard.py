@@ -46,8 +46,12 @@ BUCKETS, CHUNKS = 1 << 22, 64
 BAND = 1.34
 #: A block holds nodes of this weight in all; a node weighs its set's size, and BLOCK_LEAST at least.
 BLOCK, BLOCK_LEAST = 1 << 22, 2_048
-#: Pairs that one task intersects, and tasks that a hot pivot's pairs are dealt to.
-TASK_PAIRS, DEALS = 4_096, 32
+#: Rows of blocks that are compared in one task, on average, at once.
+BIN_ROWS = 8_192
+#: Pairs that one task intersects, and elements of their sets in all.
+TASK_PAIRS, TASK_ELEMENTS = 4_096, 1 << 23
+#: Tasks that a hot pivot's pairs are dealt to.
+DEALS = 32
 #: Nodes up to which their texts are picked by a broadcast of their ids (32 bytes each); more are picked by a shuffle.
 BROADCAST_NODES = 200_000
 #: Least bits of a signature; it has the power of two from four times the set's size on. Signatures of sets that can be
@@ -214,9 +218,13 @@ def band(n: str):
 
 
 def tiled(nodes: DataFrame) -> DataFrame:
-    """(tile, id, band) of the tiles with several members, for nodes (id, n, keys)."""
+    """(tile, id, band, m) of the tiles with m > 1 members, for nodes (id, n, keys); of tiles with the same members, the least alone."""
     rows = nodes.select(F.explode("keys").alias("tile"), "id", band("n").alias("band"))
-    return rows.withColumn("m", F.count("*").over(Window.partitionBy("tile"))).where("m > 1").drop("m")
+    of_tile = Window.partitionBy("tile")
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "id")).over(of_tile).alias(name) for seed, name in ((1, "x1"), (2, "x2"))]
+    shared = cut(rows.select("*", F.count("*").over(of_tile).alias("m"), *marks).where("m > 1"), "jaccard-shared")
+    kept = shared.groupBy("m", "x1", "x2").agg(F.min("tile").alias("tile"))
+    return cut(shared.join(kept.select("tile"), "tile", "left_semi").select("tile", "id", "band", "m"), "jaccard-tiles")
 
 
 def star_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -313,15 +321,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def still_split(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows, with their component, of the tiles whose members are in several components."""
-    named = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    """The rows, with their component, of the tiles whose members are in several components; two members alone have been compared."""
+    named = members.where("m > 2").drop("m").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = named.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile")
     return named.join(split, "tile", "left_semi")
 
 
 def block_pairs(split: DataFrame, nodes: DataFrame) -> DataFrame:
     """(task, a, b): distinct pairs of different components that share a tile and pass the bound of bit counts; the pairs of
-    a task are few. A pair that shares several tiles is given by the smallest one alone.
+    a task are few, and a pair that shares several tiles is in one of them.
     """
     largest = split.groupBy("tile", "component").count().groupBy("tile").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
     rows = split.join(largest, "tile").withColumn("minor", F.col("component") != F.col("largest")).drop("largest")
@@ -335,34 +343,40 @@ def block_pairs(split: DataFrame, nodes: DataFrame) -> DataFrame:
     later = F.struct("y_band", "y_part") >= F.struct(F.col("x_band").alias("y_band"), F.col("x_part").alias("y_part"))
     meet = x.where("x_minor").join(y, "tile").where((F.abs(F.col("x_band") - F.col("y_band")) <= 1) & (~F.col("y_minor") | later))
     group = ["tile", "x_band", "x_part", "y_minor", "y_band", "y_part"]
+    same = F.col("y_minor") & (F.col("x_band") == F.col("y_band")) & (F.col("x_part") == F.col("y_part"))
+    meet = meet.withColumn("meet", F.xxhash64(*group)).withColumn("same", same)
 
     def side(name: str) -> DataFrame:
         keys = [F.col(f"{name}_{c}").alias(c) for c in ("minor", "band", "part")]
-        own = meet.select("tile", *keys, F.struct(*group).alias("meet"))
-        return rows.join(own, ["tile", "minor", "band", "part"]).select("meet.*", F.lit(name == "x").alias("left"), "id", "component")
+        own = meet.select("tile", *keys, "meet", "same")
+        return rows.join(own, ["tile", "minor", "band", "part"]).select("meet", "same", F.lit(name == "x").alias("left"), "id", "component")
 
-    spread = side("x").unionByName(side("y")).join(nodes.select("id", "n", "sig", "keys"), "id")
+    spread = side("x").unionByName(side("y")).join(nodes.select("id", "n", "sig"), "id")
+    bins = max(1, 2 * split.count() // BIN_ROWS)
+    spread = spread.withColumn("bin", F.pmod("meet", F.lit(bins)))
 
-    def run(t: pa.Table) -> pa.Table:
+    def compared(t: pa.Table) -> Iterator[tuple[int, int, int]]:
+        """The pairs of one meeting of two blocks, and the elements of their sets."""
         ids, ns, comp, left = (t.column(c).to_numpy() for c in ("id", "n", "component", "left"))
-        name = " ".join(str(t.column(c)[0].as_py()) for c in group)
-        tile = t.column("tile")[0].as_py()
-        same = t.column("y_minor")[0].as_py() and all(t.column(f"x_{c}")[0].as_py() == t.column(f"y_{c}")[0].as_py() for c in ("band", "part"))
-        sigs = folded(t.column("sig"))
-        # Sharing a key ahead of this tile's, a pair is another tile's.
-        ahead = [{x for x in own_keys if x < tile} for own_keys in t.column("keys").to_pylist()]
-        right = np.flatnonzero(~left)
-        a, b = [], []
+        sigs, right, same = folded(t.column("sig")), np.flatnonzero(~left), t.column("same")[0].as_py()
         for x in np.flatnonzero(left):
-            rest = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if same else True)]
-            rest = rest[(100 * ns[rest] >= PERCENT * ns[x]) & (PERCENT * ns[rest] <= 100 * ns[x])]
-            hit = rest[may_link(sigs[x], ns[x], sigs[rest], ns[rest])]
-            hit = np.array([y for y in hit.tolist() if ahead[x].isdisjoint(ahead[y])], int)
-            a += [min(ids[x], y) for y in ids[hit]]
-            b += [max(ids[x], y) for y in ids[hit]]
-        return pa.table({"task": pa.array([f"{name} {k // TASK_PAIRS}" for k in range(len(a))], pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            rest = right[(comp[right] != comp[x]) & (100 * ns[right] >= PERCENT * ns[x]) & (PERCENT * ns[right] <= 100 * ns[x])]
+            rest = rest[ids[rest] > ids[x]] if same else rest
+            if len(rest):
+                hit = rest[may_link(sigs[x], ns[x], sigs[rest], ns[rest])]
+                yield from zip(np.minimum(ids[hit], ids[x]).tolist(), np.maximum(ids[hit], ids[x]).tolist(), (ns[hit] + ns[x]).tolist(), strict=True)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(t.column("meet").to_numpy(), kind="stable"))).combine_chunks()
+        meets, name = t.column("meet").to_numpy(), t.column("bin")[0].as_py()
+        edges = [0, *(np.flatnonzero(meets[1:] != meets[:-1]) + 1).tolist(), len(meets)]
+        found = [pair for a, b in zip(edges, edges[1:], strict=False) for pair in compared(t.slice(a, b - a))]
+        a, b, elements = zip(*found, strict=True) if found else ((), (), ())
+        tasks = [f"{name} {k // TASK_PAIRS} {e // TASK_ELEMENTS}" for k, e in enumerate(np.cumsum(elements, dtype=np.int64).tolist())]
+        return pa.table({"task": pa.array(tasks, pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cut(spread.groupBy(*group).applyInArrow(run, "task string, a long, b long"), "jaccard-pairs")
+    found = spread.groupBy("bin").applyInArrow(run, "task string, a long, b long")
+    return cut(found.groupBy("a", "b").agg(F.min("task").alias("task")), "jaccard-pairs")
 
 
 def block_links(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
@@ -411,7 +425,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = keyed(source, order).groupBy("f1", "f2").agg(F.min(F.struct("key", "t1", "t2")).alias("rep"), F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "keys", "sig")))
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "jaccard-nodes")
 
-    members = cut(tiled(nodes), "jaccard-tiles")
+    members = tiled(nodes)
     tried = star_pairs(members, nodes)
     links = exact_links(tried, nodes, source)
     split = cut(still_split(members, components(links)), "jaccard-split")
