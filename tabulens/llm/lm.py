@@ -42,7 +42,7 @@ from tabulens.llm.common import cut, id_remainder, slices, table, texts
 
 #: An n-gram of DEPTH context bytes and the symbol fills a 64-bit number.
 DEPTH, HEAD = 7, 4
-BLOCK_BYTES, SHARD_BYTES = 14 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 14 << 20, 4 << 20
 #: Bytes of text whose n-grams are looked up at a time.
 LOOKUP_BYTES = 1 << 18
 #: Groups of the nodes of depth HEAD.
@@ -222,8 +222,8 @@ def tokens_by_shard(tokens: Iterable[bytes], shards: int) -> list[list[bytes]]:
 
 
 def token_counts(held: DataFrame, shards: int) -> DataFrame:
-    """(block, shard, blob, tokens, kinds): counts in all training texts of the tokens that a block has of a shard; their
-    sum over all blocks and number stand at one block of each shard, and 0 at the others."""
+    """(block, shard, words, blob, tokens, kinds): the tokens that a block has of a shard, and their counts in all training
+    texts; the sum over all blocks and number of these stand at one block of each shard, and 0 at the others."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -247,10 +247,10 @@ def token_counts(held: DataFrame, shards: int) -> DataFrame:
         blobs = [packed(np.array([total[w] for w in expand(x).split(b" ")], np.int64)) for x in lists]
         facts = [np.zeros(len(lists), np.int64) for _ in range(2)]
         facts[0][0], facts[1][0] = sum(total.values()), sum(map(bool, total.values()))
-        return pa.table([group.column("block"), group.column("shard"), pa.array(blobs, pa.binary()), *map(pa.array, facts)], names=["block", "shard", "blob", "tokens", "kinds"])
+        return pa.table([group.column("block"), group.column("shard"), group.column("words"), pa.array(blobs, pa.binary()), *map(pa.array, facts)], names=["block", "shard", "words", "blob", "tokens", "kinds"])
 
     sent = held.mapInArrow(run, "shard int, block string, words binary, counts binary")
-    return cut(sent.groupBy("shard").applyInArrow(count, "block string, shard int, blob binary, tokens long, kinds long"), "ctw-tokens")
+    return cut(sent.groupBy("shard").applyInArrow(count, "block string, shard int, words binary, blob binary, tokens long, kinds long"), "ctw-tokens")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -369,26 +369,22 @@ class Subtree:
         """log10 probability of each n-gram's byte, given the coefficients of the nodes of depth top, by sorted key."""
         out = np.zeros(len(self.pairs[DEPTH]))
         for j in range(8):
-            levels, place = self.levels(j), np.arange(len(out))
-            ways = {}
-            for k in range(DEPTH, self.top - 1, -1):
-                ways[k] = levels[k][1][place]
-                above = place
-                place = self.up[k][place] if k > self.top else place
+            levels, place = self.levels(j), np.arange(len(out), dtype=np.int32)
             one, reached = None, None
             for k in range(DEPTH, self.top - 1, -1):
-                _, _, total, ones, stop, _ = levels[k]
-                own = ((ones + 0.5) / (total + 1.0))[ways[k]]
+                _, run, total, ones, stop, _ = levels[k]
+                way = run[place]
+                own = ((ones + 0.5) / (total + 1.0))[way]
                 if one is not None:
-                    stop = stop[ways[k]]
+                    stop = stop[way]
                     own = np.where(reached, stop * own + (1 - stop) * one, own)
-                one, reached = own, (total > 0)[ways[k]]
+                one, reached = own, (total > 0)[way]
+                place = self.up[k][place] if k > self.top else place
             first = levels[self.top][0]
-            at = np.searchsorted(keys, self.keys(j, self.pairs[self.top][first]))[ways[self.top]]
+            at = np.searchsorted(keys, self.keys(j, self.pairs[self.top][first]))[way]
             one = fixed[at] + share[at] * one
             bit = (self.pairs[DEPTH] & np.uint64(1 << (7 - j))) > 0
             out += np.log10(np.where(bit, one, 1 - one))
-            del levels, ways, above
         return out
 
 
@@ -498,21 +494,22 @@ def restored(blob: bytes) -> np.ndarray:
 
 
 def score_block(group: pa.Table, shards: int) -> pa.Table:
-    """Scores of the texts of one block, from its rows (block, kind, shard, blob): its texts, and the answers of all shards."""
+    """Scores of the texts of one block, from its rows (block, kind, shard, words, blob): its texts, and the answers of all shards."""
     kind, shard = group.column("kind").to_numpy(), group.column("shard").to_numpy()
 
-    def blobs(k: int) -> list[bytes]:
+    def blobs(k: int, column: str = "blob") -> list[bytes]:
         own = group.filter(pa.array(kind == k)).take(pa.array(np.argsort(shard[kind == k])))
-        return own.column("blob").to_pylist()
+        return own.column(column).to_pylist()
 
     (payload,) = blobs(PAYLOAD)
     distinct = distinct_grams(payload)[0]
     grams = np.empty(len(distinct), np.float32)
     grams[by_shard(distinct, shards)[0]] = np.concatenate([restored(b) for b in blobs(GRAM)])
 
-    words = [w for ws in tokens_by_shard(counted_tokens(payload), shards) for w in ws]
-    counts = np.concatenate([unpacked(b, np.int64)[0] for b in blobs(TOKEN)])
-    known = dict(zip(words, np.log10(counts + 0.1).tolist(), strict=True))
+    expand = zstandard.ZstdDecompressor().decompress
+    known: dict[bytes, float] = {}
+    for words, counts in zip(blobs(TOKEN, "words"), blobs(TOKEN), strict=True):
+        known.update(zip(expand(words).split(b" "), np.log10(unpacked(counts, np.int64)[0] + 0.1).tolist(), strict=True))
     unknown, end = float(np.log10(0.1)), known[END_TOKEN]
     keys, rows = [], []
     for batch in opened(payload):
@@ -545,10 +542,12 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     facts = tokens.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds"))).first()
     n, v = facts["tokens"], facts["kinds"]
 
-    def of_kind(df: DataFrame, kind: int, shard: Column) -> DataFrame:
-        return df.select("block", F.lit(kind).cast("byte").alias("kind"), shard.cast("int").alias("shard"), "blob")
+    nothing = F.lit(None).cast("binary")
+
+    def of_kind(df: DataFrame, kind: int, shard: Column, words: Column = nothing) -> DataFrame:
+        return df.select("block", F.lit(kind).cast("byte").alias("kind"), shard.cast("int").alias("shard"), words.alias("words"), "blob")
 
-    rows = of_kind(held, PAYLOAD, F.lit(0)).unionByName(of_kind(gram_values(held, shards), GRAM, F.col("shard"))).unionByName(of_kind(tokens, TOKEN, F.col("shard")))
+    rows = of_kind(held, PAYLOAD, F.lit(0)).unionByName(of_kind(gram_values(held, shards), GRAM, F.col("shard"))).unionByName(of_kind(tokens, TOKEN, F.col("shard"), F.col("words")))
     kind = source.schema["key"].dataType.simpleString()
     found = rows.groupBy("block").applyInArrow(lambda t: score_block(t, shards), f"key {kind}, n_tokens long, n_known long, raw double, score double, n_symbols long")
     base = F.col("raw") - F.col("n_tokens") * float(np.log10(n + 0.1 * (v + 1)))
