@@ -9,8 +9,10 @@
 3. Each band of a tile has its smallest node as its pivot. Pivots are compared with the other members and with the next
    band's pivot (pairs grow with the members, not with their square), and the links' components are found by
    alternating stars.
-4. Tiles whose members are still in several components are compared in blocks of nodes of one band. The members of the
-   tile's largest component aren't compared with each other, nor are members of any one component.
+4. In tiles whose members are still in several components, the members outside the largest one are compared with
+   PIVOTS members of it, chosen by hash.
+5. Tiles that are split even then are compared in blocks of nodes of one band. The members of the tile's largest
+   component aren't compared with each other, nor are members of any one component.
 
 A comparison first bounds the overlap by bit counts of hashed bitmaps: every bit of one signature that the other lacks
 is at least one element that it lacks. Only for pairs that pass are the texts read again, and their sorted hash arrays
@@ -48,6 +50,8 @@ BAND = 1.34
 BLOCK, BLOCK_LEAST = 1 << 22, 2_048
 #: Rows of blocks that are compared in one task, on average, at once.
 BIN_ROWS = 8_192
+#: Members of a split tile's largest component that the others are compared with first.
+PIVOTS = 8
 #: Pairs that one task intersects, and elements of their sets in all.
 TASK_PAIRS, TASK_ELEMENTS = 4_096, 1 << 23
 #: Tasks that a hot pivot's pairs are dealt to.
@@ -222,19 +226,41 @@ def tiled(nodes: DataFrame) -> DataFrame:
     rows = nodes.select(F.explode("keys").alias("tile"), "id", band("n").alias("band"))
     of_tile = Window.partitionBy("tile")
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), "id")).over(of_tile).alias(name) for seed, name in ((1, "x1"), (2, "x2"))]
-    shared = cut(rows.select("*", F.count("*").over(of_tile).alias("m"), *marks).where("m > 1"), "jaccard-shared")
+    shared = cut(rows.select("*", F.count("*").over(of_tile).alias("m"), *marks).where("m > 1"), "jaccard-members")
     kept = shared.groupBy("m", "x1", "x2").agg(F.min("tile").alias("tile"))
     return cut(shared.join(kept.select("tile"), "tile", "left_semi").select("tile", "id", "band", "m"), "jaccard-tiles")
 
 
-def star_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b), a < b, of pivots and members, and of the pivots of adjacent bands, that pass the bound of bit counts."""
+def star_pairs(members: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), a < b, of pivots and members, and of the pivots of adjacent bands."""
     rows = members.withColumn("pivot", F.min("id").over(Window.partitionBy("tile", "band")))
     heads = members.groupBy("tile", "band").agg(F.min("id").alias("id"))
     last = Window.partitionBy("tile").orderBy("band")
     bridges = heads.withColumn("pivot", F.when(F.lag("band").over(last) == F.col("band") - 1, F.lag("id").over(last))).where("pivot is not null")
-    pairs = rows.select("pivot", "id").unionByName(bridges.select("pivot", "id")).where("id <> pivot")
-    pairs = pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    return ordered(rows.select("pivot", "id").unionByName(bridges.select("pivot", "id")))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), a < b, of rows (pivot, id)."""
+    return pairs.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+
+
+def by_component(split: DataFrame) -> DataFrame:
+    """split, and minor: whether a row is outside the largest component of its tile."""
+    largest = split.groupBy("tile", "component").count().groupBy("tile").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+    return split.join(largest, "tile").withColumn("minor", F.col("component") != F.col("largest")).drop("largest")
+
+
+def further_pairs(split: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of the members outside a tile's largest component and PIVOTS members of it."""
+    rows = by_component(split)
+    chosen = [F.min_by("id", F.xxhash64(F.lit(seed), "id")) for seed in range(PIVOTS)]
+    pivots = rows.where(~F.col("minor")).groupBy("tile").agg(F.array_distinct(F.array(*chosen)).alias("pivots"))
+    return ordered(rows.where("minor").join(pivots, "tile").select(F.explode("pivots").alias("pivot"), "id"))
+
+
+def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) that pass the bound of bit counts."""
 
     def named(x: str) -> DataFrame:
         return nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
@@ -331,9 +357,7 @@ def block_pairs(split: DataFrame, nodes: DataFrame) -> DataFrame:
     """(task, a, b): distinct pairs of different components that share a tile and pass the bound of bit counts; the pairs of
     a task are few, and a pair that shares several tiles is in one of them.
     """
-    largest = split.groupBy("tile", "component").count().groupBy("tile").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    rows = split.join(largest, "tile").withColumn("minor", F.col("component") != F.col("largest")).drop("largest")
-    rows = rows.join(nodes.select("id", "n"), "id")
+    rows = by_component(split).join(nodes.select("id", "n"), "id")
     parts = rows.groupBy("tile", "minor", "band").agg(F.ceil(F.sum(F.greatest("n", F.lit(BLOCK_LEAST))) / BLOCK).alias("parts"))
     rows = rows.join(parts, ["tile", "minor", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
     blocks = parts.select("tile", "minor", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
@@ -370,8 +394,8 @@ def block_pairs(split: DataFrame, nodes: DataFrame) -> DataFrame:
         t = t.take(pa.array(np.argsort(t.column("meet").to_numpy(), kind="stable"))).combine_chunks()
         meets, name = t.column("meet").to_numpy(), t.column("bin")[0].as_py()
         edges = [0, *(np.flatnonzero(meets[1:] != meets[:-1]) + 1).tolist(), len(meets)]
-        found = [pair for a, b in zip(edges, edges[1:], strict=False) for pair in compared(t.slice(a, b - a))]
-        a, b, elements = zip(*found, strict=True) if found else ((), (), ())
+        found = {pair for a, b in zip(edges, edges[1:], strict=False) for pair in compared(t.slice(a, b - a))}
+        a, b, elements = zip(*sorted(found), strict=True) if found else ((), (), ())
         tasks = [f"{name} {k // TASK_PAIRS} {e // TASK_ELEMENTS}" for k, e in enumerate(np.cumsum(elements, dtype=np.int64).tolist())]
         return pa.table({"task": pa.array(tasks, pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -426,10 +450,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "jaccard-nodes")
 
     members = tiled(nodes)
-    tried = star_pairs(members, nodes)
-    links = exact_links(tried, nodes, source)
+    shared = cut(nodes.select("id", "n", "sig", "rep").join(members.select("id").distinct(), "id", "left_semi"), "jaccard-shared")
+    tried = bounded(star_pairs(members), shared)
+    links = exact_links(tried, shared, source)
+    split = cut(still_split(members, components(links)), "jaccard-split")
+    more = bounded(further_pairs(split).join(tried, ["a", "b"], "left_anti"), shared)
+    links, tried = links.union(exact_links(more, shared, source)), tried.union(more)
     split = cut(still_split(members, components(links)), "jaccard-split")
-    links = links.union(block_links(block_pairs(split, nodes).join(tried, ["a", "b"], "left_anti"), nodes, source))
+    links = links.union(block_links(block_pairs(split, shared).join(tried, ["a", "b"], "left_anti"), shared, source))
     found = components(links)
 
     named = nodes.join(found, "id", "left").select("f1", "f2", "least", F.coalesce("component", "id").alias("component"))

@@ -43,8 +43,8 @@ from tabulens.llm.common import cut, id_remainder, slices, table, texts
 #: An n-gram of DEPTH context bytes and the symbol fills a 64-bit number.
 DEPTH, HEAD = 7, 4
 BLOCK_BYTES, SHARD_BYTES = 14 << 20, 4 << 20
-#: Bytes of text whose n-grams are looked up at a time.
-LOOKUP_BYTES = 1 << 18
+#: Bytes of text that are listed, and that are looked up, at a time.
+SLICE_BYTES, LOOKUP_BYTES = 1 << 19, 1 << 18
 #: Groups of the nodes of depth HEAD.
 MIDDLE = 64
 #: N-grams that a shard gathers before it merges them.
@@ -137,7 +137,7 @@ def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"block": [uuid.uuid4().hex], "blob": pa.array([blob], pa.binary())})
 
     parts, size = [], 0
-    for part in slices(batches, "text", 2 << 20):
+    for part in slices(batches, "text", SLICE_BYTES):
         parts.append(part)
         size += part.column("text").nbytes
         if size >= BLOCK_BYTES:
@@ -173,9 +173,12 @@ def distinct_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
         codes = every.pop(own)
         codes.sort()
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]]))
-        listed[own] = codes[starts], np.diff(starts, append=len(codes)) if own else np.zeros(len(starts), np.int64)
-        del codes
-    return merged(*(np.concatenate(x) for x in zip(listed[True], listed[False], strict=True)))
+        listed[own] = codes[starts], np.diff(starts, append=len(codes))
+        del codes, starts
+    codes = np.union1d(listed[True][0], listed[False][0])
+    counts = np.zeros(len(codes), np.uint32)
+    counts[np.searchsorted(codes, listed[True][0])] = listed[True][1]
+    return codes, counts
 
 
 def gram_lists(held: DataFrame, shards: int) -> DataFrame:
@@ -185,7 +188,6 @@ def gram_lists(held: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for name, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 codes, counts = distinct_grams(blob)
-                counts = counts.astype(np.uint32)
                 order, sizes = by_shard(codes, shards)
                 ends = np.cumsum(sizes)
                 full = np.flatnonzero(sizes)
