@@ -3,7 +3,8 @@
 A bounded sample (SAMPLE rows in hash order of their ids) gives a neighbour graph, which is cut into parts of equal
 size with few edges between them. A small network learns to tell a vector's part from the vector. Every row of the
 table is then indexed under its most probable part, and a query visits its PROBES most probable parts, PROBES being
-the least number that finds RECALL of the sample's own neighbours. Within a part the search is exact.
+the least number that finds RECALL of the sample's own neighbours, and further ones until these hold enough candidates.
+Within a part the search is exact.
 
 A part is searched in tiles of at most about TILE candidates by TILE queries, so neither a large part nor a frequent
 query direction ends in one task. Equal vectors are one candidate with its k + 1 smallest ids, which is all that an
@@ -25,8 +26,8 @@ from tabulens.llm.common import cut, table
 
 SAMPLE = 4_000
 NEIGHBOURS = 10
-#: Sampled rows of a part, and the most parts; a table of n rows gets about n / PART_ROWS parts.
-PART_ROWS, LEAST_PARTS, MOST_PARTS = 2_500, 4, 48
+#: A table of n rows gets about n / PART_ROWS parts, each of at least PART_SAMPLE rows of the sample.
+PART_ROWS, LEAST_PARTS, PART_SAMPLE = 2_500, 4, 16
 RECALL = 0.98
 TILE = 4_096
 HIDDEN = 96
@@ -69,7 +70,7 @@ class Router:
 
     def __init__(self, x: np.ndarray, rows: int, k: int):
         rng = np.random.default_rng(5)
-        self.parts = int(min(MOST_PARTS, max(LEAST_PARTS, -(-rows // PART_ROWS)), len(x)))
+        self.parts = int(min(max(LEAST_PARTS, -(-rows // PART_ROWS)), max(LEAST_PARTS, SAMPLE // PART_SAMPLE), len(x)))
         self.scale = float(np.sqrt((x * x).sum(axis=1).mean()))
         x = x / self.scale
         label = balanced_parts(x, self.parts, rng)
@@ -149,12 +150,15 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
     def route(batches):
         for b in batches:
             if b.num_rows:
-                parts = shared.value.ranked(matrix(b.column("v")))[:, : shared.value.probes]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(parts.tolist(), pa.list_(pa.int32()))], ["id", "v", "parts"])
+                ranked = shared.value.ranked(matrix(b.column("v")))
+                enough = (np.cumsum(rows_of[ranked], axis=1) <= k).sum(axis=1) + 1
+                parts = [r[: max(shared.value.probes, e)] for r, e in zip(ranked.tolist(), enough.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(parts, pa.list_(pa.int32()))], ["id", "v", "parts"])
 
     indexed = cut(vectors.mapInArrow(index, "part int, h long, ids array<long>, v array<double>"), "ann-index")
-    queries = cut(source.where("query").select("id", "v").mapInArrow(route, "id long, v array<double>, parts array<int>"), "ann-queries")
     held = {r["part"]: r["count"] for r in indexed.groupBy("part").count().collect()}
+    rows_of = np.array([held.get(p, 0) for p in range(router.parts)])
+    queries = cut(source.where("query").select("id", "v").mapInArrow(route, "id long, v array<double>, parts array<int>"), "ann-queries")
     asked = {r["part"]: r["count"] for r in queries.select(F.explode("parts").alias("part")).groupBy("part").count().collect()}
 
     def tiles(of: dict) -> Column:

@@ -27,12 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset and Spark runs in this process alone."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
         if chosen.isDefined():
             return chosen.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tabulens-")
         spark.sparkContext.setCheckpointDir(path)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -90,26 +92,25 @@ def id_remainder(col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string")) % F.lit(modulus), F.lit(-1))
 
 
-def bounded_sample(df: DataFrame, strata: str | None, key: str, per_stratum: int, seed: int = 7) -> DataFrame:
-    """At most per_stratum rows of each stratum (None: of all rows), in the order of a hash of their key.
+def bounded_sample(df: DataFrame, strata: str | None, keys: list[str], per_stratum: int, seed: int = 7) -> DataFrame:
+    """At most per_stratum of the different rows of each stratum (None: of all rows), in the order of a hash of their keys.
 
-    A first pass counts each stratum, so only about twice the wanted rows reach the window that ranks them.
+    Rows with equal keys count once, so neither a repeated row nor a repeated or null id fills or empties a sample as long
+    as keys tells rows apart. A first pass counts each stratum's hashes, so only about twice the wanted rows reach the
+    window that ranks them.
     """
+    marked = df.withColumn("_mark", F.xxhash64(F.lit(seed), *keys))
+    hashes = F.approx_count_distinct("_mark", 0.02)
     if strata is None:
-        least = min(1.0, (2.0 * per_stratum + 50) / max(1, df.count()))
-        marked = df.withColumn("_mark", F.xxhash64(F.col(key), F.lit(seed))).where(F.pmod("_mark", F.lit(1 << 20)) < least * (1 << 20))
-        return marked.orderBy("_mark", key).limit(per_stratum).drop("_mark")
-    counts = cut(df.groupBy(strata).count(), "strata")
+        least = min(1.0, (2.0 * per_stratum + 50) / max(1, marked.agg(hashes.alias("n")).first()["n"]))
+        near = marked.where(F.pmod("_mark", F.lit(1 << 20)) < least * (1 << 20)).dropDuplicates(["_mark"])
+        return near.orderBy("_mark").limit(per_stratum).drop("_mark")
+    counts = cut(marked.groupBy(strata).agg(hashes.alias("count")), "strata")
     few = counts.count() <= BROADCAST_STRATA
     share = F.least(F.lit(1.0), F.lit(2.0 * per_stratum + 50) / F.col("count"))
     shares = counts.select(F.col(strata).alias("_s"), share.alias("_share"))
-    mark = F.xxhash64(F.col(key), F.lit(seed))
-    kept = (
-        df.withColumn("_mark", mark)
-        .join(F.broadcast(shares) if few else shares, F.col(strata) == F.col("_s"))
-        .where(F.pmod("_mark", F.lit(1 << 20)) < F.col("_share") * F.lit(1 << 20))
-    )
-    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_s").orderBy("_mark", key)))
+    kept = marked.join(F.broadcast(shares) if few else shares, F.col(strata) == F.col("_s")).where(F.pmod("_mark", F.lit(1 << 20)) < F.col("_share") * F.lit(1 << 20))
+    ranked = kept.dropDuplicates(["_s", "_mark"]).withColumn("_rank", F.row_number().over(Window.partitionBy("_s").orderBy("_mark")))
     return ranked.where(F.col("_rank") <= per_stratum).drop("_mark", "_s", "_share", "_rank")
 
 

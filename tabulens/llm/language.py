@@ -3,8 +3,10 @@
 One interpolated Kneser-Ney character model per language. A text is lower-cased and folded to letters, with one
 boundary symbol for each run of anything else; up to five symbols pack into 60 bits, and the models' probabilities
 stand beside the sorted hashes of these n-grams. A text gets the language of least cross-entropy per symbol. It is
-rejected where that entropy lies far above what texts of the language reach, by a limit calibrated on rows that the
-models have not seen, which widens for short texts.
+rejected where that entropy lies far above what texts of the language reach, in units of its spread for texts of that
+length. Both spread and limit are calibrated on rows that the models have not seen: the spread is that of the language's
+own rows, between texts and between symbols; the limit lies midway between the largest excess of its own rows and what
+rows of other languages reach (all but FOREIGN of them), but no lower than MARGIN times the former.
 
 The models are fitted on a bounded sample: SAMPLE_DOCS rows per language, each of at most SAMPLE_CHARS characters,
 in hash order of their ids. Every row is then scored over its whole text.
@@ -30,8 +32,8 @@ ALPHABET = (1 << BITS) - 2  # besides 0, the boundary, and the last symbol, any
 SAMPLE_DOCS, SAMPLE_CHARS = 500, 20_000
 #: Every fifth sampled row calibrates the rejection and trains nothing.
 CALIBRATION = 5
-#: Standard deviations above the usual cross-entropy at which a text is rejected.
-REJECT_Z = 8.0
+#: Share of other languages' calibration rows that may lie below the limit's upper end; least room above a language's own rows.
+FOREIGN, MARGIN = 0.05, 1.5
 
 
 def mixed(code: np.ndarray) -> np.ndarray:
@@ -69,7 +71,7 @@ class Folding:
 
         A text begins after a row of boundaries, and a run of boundaries counts once.
         """
-        sizes = np.array([len(t) for t in batch])
+        sizes = np.array([len(t) for t in batch], np.int64)
         sym = self.table[points("".join(batch))]
         doc = np.repeat(np.arange(len(batch)), sizes)
         before = np.concatenate([[0], sym[:-1]]) if len(sym) else sym
@@ -134,6 +136,7 @@ class LanguageModel:
 
     def __init__(self, rows: list[tuple[str, str]]):
         """rows: language and text, in a fixed order."""
+        rows = [(lang, t) for lang, t in rows if any(map(str.isalpha, t))]  # the JVM's letters are not all Python's
         self.langs = sorted({lang for lang, _ in rows})
         seen: dict[str, int] = {}
         for _, text in rows:
@@ -144,23 +147,37 @@ class LanguageModel:
         by = {lang: [t for x, t in rows if x == lang] for lang in self.langs}
         held = {lang: [t for i, t in enumerate(ts) if i % CALIBRATION == CALIBRATION - 1] for lang, ts in by.items()}
         fitted = [kneser_ney(g) for lang in self.langs if len(g := self.folding.grams([t for i, t in enumerate(by[lang]) if i % CALIBRATION != CALIBRATION - 1 or len(by[lang]) < CALIBRATION])[0])]
-        if len(fitted) < len(self.langs):
-            raise ValueError("a language without any letters in its sample")
         self.unseen = np.array([u for _, _, u in fitted], np.float32)
         self.probs = [Sorted([p[k] for p, _, _ in fitted], np.nan) for k in range(ORDER)]
         self.weights = [Sorted([w[k] for _, w, _ in fitted], 1.0) for k in range(ORDER - 1)]
-        self.limits = np.array([self._limit(held[lang] or by[lang], j) for j, lang in enumerate(self.langs)])
-
-    def _limit(self, batch: list[str], j: int) -> tuple[float, float, float]:
-        """Usual cross-entropy of a language's own texts, its spread between texts, and within a text per symbol."""
-        bits, n = self.bits(batch)
-        own = (bits[:, j] / np.maximum(n, 1))[n >= 20]
-        return (float(np.median(own)), max(0.15, float(np.std(own))), 3.0) if len(own) else (4.0, 1.0, 3.0)
+        held = {lang: held[lang] or by[lang] for lang in self.langs}
+        self.limits = np.array([self._limit([t for x in self.langs if x != lang for t in held[x]], held[lang], j) for j, lang in enumerate(self.langs)])
+
+    def _limit(self, foreign: list[str], own: list[str], j: int) -> tuple[float, float, float, float]:
+        """For language j: the usual cross-entropy of its own texts, its variance between texts and of single symbols, and the limit of the excess in units of the spread."""
+        found = []
+        for batch in (own, foreign):
+            sums, squares, n = self._sums(batch)
+            some = n >= 20
+            found.append((sums[some, j], squares[some, j], n[some]))
+        (sums, squares, n), (other, _, n_other) = found
+        if not len(n):
+            return 4.0, 1.0, 9.0, 8.0
+        usual, symbol = float(np.median(sums / n)), float(squares.sum() / n.sum() - (sums.sum() / n.sum()) ** 2)
+        between = max(0.01, float(np.mean((sums / n - usual) ** 2) - symbol * np.mean(1 / n)))
+        most = max(1.0, float(((sums / n - usual) / np.sqrt(between + symbol / n)).max()))
+        least = float(np.quantile((other / n_other - usual) / np.sqrt(between + symbol / n_other), FOREIGN)) if len(n_other) else 0.0
+        return usual, between, symbol, max(MARGIN * most, (most + least) / 2)
 
     def bits(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Code lengths of the texts by language, and their numbers of symbols."""
+        out, _, n = self._sums(batch, squares=False)
+        return out, n
+
+    def _sums(self, batch: list[str], squares: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums, by text and language, of the symbols' code lengths and of their squares; the texts' numbers of symbols."""
         grams, n = self.folding.grams(batch)
-        out = np.zeros((len(batch), len(self.langs)))
+        out, square = (np.zeros((len(batch), len(self.langs))) for _ in range(2))
         if len(grams):
             place, codes = pd.factorize(grams)
             p = self.probs[0][low(codes, 1)]
@@ -172,8 +189,11 @@ class LanguageModel:
             full = np.flatnonzero(n)
             starts = (np.cumsum(n) - n)[full]
             for j in range(len(self.langs)):
-                out[full, j] = np.add.reduceat(cost[place, j].astype(np.float64), starts)
-        return out, n
+                own = cost[place, j].astype(np.float64)
+                out[full, j] = np.add.reduceat(own, starts)
+                if squares:
+                    square[full, j] = np.add.reduceat(own * own, starts)
+        return out, square, n
 
     def predict(self, batch: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, bits per symbol, and whether it is rejected, of each text."""
@@ -183,8 +203,8 @@ class LanguageModel:
         least = rate[np.arange(len(batch)), best]
         share = np.exp2(-(rate - least[:, None]) * np.minimum(n, 200)[:, None])
         score = np.where(n > 0, 1 / share.sum(axis=1), 0.0)
-        usual, between, within = self.limits[best].T
-        rejected = (n == 0) | (least > usual + REJECT_Z * np.sqrt(between**2 + within**2 / np.maximum(n, 1)))
+        usual, between, symbol, limit = self.limits[best].T
+        rejected = (n == 0) | (least > usual + limit * np.sqrt(between + symbol / np.maximum(n, 1)))
         return ["und" if not k else self.langs[b] for b, k in zip(best, n, strict=True)], score, least, rejected
 
 
@@ -192,9 +212,9 @@ def fit(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", te
     """Fit on a bounded sample of the rows that train admits; None where no row has a language and letters."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.length(text_col) <= SAMPLE_CHARS))
     rows = (rows if train is None else rows.where(train)).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    found = bounded_sample(rows, "lang", "key", SAMPLE_DOCS).collect()
+    found = bounded_sample(rows, "lang", ["key", "text"], SAMPLE_DOCS).collect()
     found.sort(key=lambda r: (r.lang, str(r.key), r.text))
-    return LanguageModel([(r.lang, r.text) for r in found]) if found else None
+    return LanguageModel([(r.lang, r.text) for r in found]) if any(map(str.isalpha, "".join(r.text for r in found))) else None
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

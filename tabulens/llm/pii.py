@@ -3,9 +3,10 @@
 Four base kinds - email, ip, card, phone - are found by fixed rules and always kept. Further kinds - local phone
 numbers, secrets, social security numbers, bank accounts, named persons - start as candidates, on which labelers vote
 for, against or not at all: a format or checksum labeler, a gazetteer, the words before the span, and the span's shape.
-Candidates with equal votes and size class form a pattern. Expectation maximisation over the counts of all patterns
-estimates each labeler's reliability by kind, and a logistic span classifier trained on the resulting posteriors
-decides by pattern. There are at most a few hundred patterns, whatever the input, so this happens on the driver.
+Candidates with equal votes and classes form a pattern. Expectation maximisation over the counts of all patterns
+estimates each labeler's reliability by kind, and a logistic span classifier, which also reads the span's size, share of
+digits and different characters, is trained on the resulting posteriors and decides by pattern. The patterns are a
+bounded set (some thousands at most), whatever the input, so this happens on the driver.
 
 Defined results: offsets are code points, end exclusive; a null text is the empty text, without spans; an accepted
 candidate that overlaps a base span or an earlier accepted one is left out. Counts are those of the base spans. Rows are
@@ -48,12 +49,16 @@ TITLE = re.compile(r"\b(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Sra?|Mme)\.? ([A-Z]\w+(?: [A
 TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Sr", "Mme")
 TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=")
 
+#: Whole words, except that other letters than a-z may stand beside them, as in `api_key`.
 CUES = {
-    "local_phone": ("call", "tel", "phone", "mobile", "fax", "contact"),
-    "secret": ("token", "key", "secret", "passw", "pwd", "bearer", "auth"),
-    "ssn": ("ssn", "social", "security", "tax"),
-    "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
-    "name": ("name", "by", "contact", "dear", "from", "to"),
+    kind: re.compile(rf"(?<![a-z])(?:{'|'.join(words.split())})(?![a-z])").search
+    for kind, words in {
+        "local_phone": "call tel phone telephone mobile cell fax contact",
+        "secret": "token tokens key keys apikey secret secrets password passwd pwd bearer auth authorization",
+        "ssn": "ssn social security tax",
+        "iban": "iban account bank konto cuenta compte",
+        "name": "name named by contact dear from to",
+    }.items()
 }
 FIRST_NAMES = frozenset("james john robert michael david william mary patricia jennifer linda elizabeth anna maria peter paul thomas hans karl jean marie pierre jose carlos juan sofia lucia laura martin daniel".split())
 
@@ -94,11 +99,11 @@ def entropy(s: str) -> float:
 
 
 def votes(kind: str, text: str, start: int, end: int) -> str:
-    """The labelers' votes, as + for, - against, 0 none: format, gazetteer, context, shape; then the size class."""
+    """The labelers' votes, as + for, - against, 0 none: format, gazetteer, context, shape; then what only the classifier reads: classes of size, of the share of digits, and of different characters."""
     span = text[start:end]
     before = text[max(0, start - CONTEXT) : start].lower()
     after = text[end : end + 1]
-    context = "+" if any(c in before for c in CUES[kind]) else "0"
+    context = "+" if CUES[kind](before) else "0"
     alone = (not start or not text[start - 1].isalnum()) and not after.isalnum()
     if kind == "local_phone":
         form = "+" if span[:1] == "(" or span.count("-") == 2 else "0"
@@ -117,7 +122,7 @@ def votes(kind: str, text: str, start: int, end: int) -> str:
     else:
         form = "+" if " " in span else "0"
         gazetteer = "+" if span.split()[0].lower() in FIRST_NAMES else "0"
-    return f"{form}{gazetteer}{context}{'+' if alone else '-'}{min(9, len(span) // 8)}"
+    return f"{form}{gazetteer}{context}{'+' if alone else '-'}{min(9, len(span) // 8)}{round(3 * sum(map(str.isdecimal, span)) / len(span))}{min(9, len(set(span)) // 4)}"
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -194,7 +199,7 @@ def classifier(rows: list[tuple[str, str, int]]) -> set[tuple[str, str]]:
         if not own:
             continue
         post = reliabilities(own)
-        x = np.array([[1.0, *("-0+".index(v) - 1 for v in p[:4]), int(p[4]) / 9] for p, _ in own])
+        x = np.array([[1.0, *("-0+".index(v) - 1 for v in p[:4]), int(p[4]) / 9, int(p[5]) / 3, int(p[6]) / 9] for p, _ in own])
         weight = np.array([n for _, n in own], float)
         weight /= weight.sum() / len(weight)
         w = np.zeros(x.shape[1])

@@ -202,8 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on a bounded sample of labelled rows."""
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
-    chosen = bounded_sample(marked, "label", "key", SAMPLE_DOCS)
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "key").collect()
+    chosen = bounded_sample(marked, "label", ["key"], SAMPLE_DOCS)
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "key")
+    rows = bounded_sample(rows, "label", ["key", "text"], SAMPLE_DOCS).collect()  # an id may have many rows
     return Model([(r.text, r.label) for r in sorted(rows, key=lambda r: (str(r.key), r.text, r.label))], sizes)
 
 
@@ -225,4 +226,5 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(id_remainder("doc_id", 5) != 0))
-    return score_toxicity(docs, model).withColumn("held_out", id_remainder("doc_id", 5) == 0)
+    held = (id_remainder("doc_id", 5) == 0).alias("held_out")
+    return score_toxicity(docs, model).select("doc_id", held, "score", "predicted")

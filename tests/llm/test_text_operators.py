@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulens.llm import bpe, language, licences, lm, pii, quality, toxicity
+from tabulens.llm.common import bounded_sample
 
 EDGES = [None, "", "   \n\t", "a", "word " * 30_000, "x" * 5_000, "a b c a b c a b c", "ünï códe 漢字 \U0001f600\x1c\x85", "line one\nline two\nline one\n\n"]
 
@@ -114,6 +115,26 @@ def test_language_on_held_out_rows(spark, prose, edges, empty):
     assert language.fit(empty) is None and language.identify(empty.select("doc_id", "text"), None).count() == 0
 
 
+def test_language_rejection_is_calibrated(spark, prose):
+    rnd = random.Random(2)
+    noise = ["".join(rnd.choice("qxzjwkvy ") for _ in range(300)) for _ in range(20)]
+    rows = [(i, t, lang) for i, lang, t in prose]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert not model.predict([t for _, _, t in prose])[3].any() and model.predict(noise)[3].all()
+    lone = language.fit(spark.createDataFrame([(1, "the only text of all", "en")], "doc_id long, text string, lang string"))
+    assert lone.predict(["the only text"])[0] == ["en"]
+
+
+def test_samples_hold_different_rows(spark):
+    same = [(i % 3, f"text {i % 3}", "a") for i in range(3000)] + [(None, f"null {i}", "b") for i in range(500)] + [(7, "copies", "c")] * 400
+    df = spark.createDataFrame(same, "doc_id long, text string, lang string")
+    for strata, want in (("lang", {"a": 3, "b": 40, "c": 1}), (None, None)):
+        found = [tuple(r) for r in bounded_sample(df, strata, ["doc_id", "text"], 40).collect()]
+        again = [tuple(r) for r in bounded_sample(df.repartition(7), strata, ["doc_id", "text"], 40).collect()]
+        assert sorted(map(str, found)) == sorted(map(str, again)) and len(set(found)) == len(found)
+        assert len(found) == 40 if want is None else collections.Counter(r[2] for r in found) == want
+
+
 def test_kneser_ney_sums_to_one():
     grams, _ = language.Folding("abc").grams(["abc abca cab", "bca b c"])
     probs, weights, unseen = language.kneser_ney(grams)
@@ -261,7 +282,7 @@ def test_overlapping_spans_are_masked_whole(spark, monkeypatch):
 def test_accepted_patterns_do_not_depend_on_the_size_of_the_corpus():
     rnd = random.Random(9)
     for _ in range(20):
-        own = {"".join(rnd.choice("-0+") for _ in range(4)) + str(rnd.randint(0, 9)): int(10 ** rnd.uniform(4, 6)) for _ in range(12)}
+        own = {"".join(rnd.choice("-0+") for _ in range(4)) + f"{rnd.randint(0, 9)}{rnd.randint(0, 3)}{rnd.randint(0, 9)}": int(10 ** rnd.uniform(4, 6)) for _ in range(12)}
         sets = [pii.classifier([("secret", p, n * times) for p, n in own.items()]) for times in (1, 300)]
         assert sets[0] == sets[1]
 
