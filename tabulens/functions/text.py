@@ -49,7 +49,11 @@ def blanks_out(c: Column) -> Column:
 
 def to_number(c: Column) -> Column:
     """Plain numbers, and numbers grouped by thousands or the Indian way; anything else is null."""
-    s = strip(c)
+    return number_in(strip(c))
+
+
+def number_in(s: Column) -> Column:
+    """to_number of a stripped cell."""
     return F.when(s.rlike(PLAIN_NUMBER) | s.rlike(GROUPED_NUMBER), F.regexp_replace(s, ",", "").try_cast("double"))
 
 
@@ -61,7 +65,11 @@ def to_number_generic(c: Column) -> Column:
 
 
 def to_boolean(c: Column) -> Column:
-    t = token(c)
+    return boolean_in(token(c))
+
+
+def boolean_in(t: Column) -> Column:
+    """to_boolean of a cell's token."""
     return F.when(t.isin(*TRUE_WORDS), F.lit(True)).when(t.isin(*FALSE_WORDS), F.lit(False))
 
 
@@ -77,14 +85,18 @@ def to_timestamp(c: Column, day_first: bool | None = None) -> Column:
 
     Free-form words such as `now`, bare times and bare years are no dates: they would depend on the clock.
     """
-    s = strip(c)
+    return timestamp_in(strip(c), day_first)
+
+
+def timestamp_in(s: Column, day_first: bool | None = None) -> Column:
+    """to_timestamp of a stripped cell. Every form has a year of four digits and a sign or blank beside it, so other cells try none."""
     numeric = (DAY_FIRST + MONTH_FIRST) if day_first else (MONTH_FIRST + DAY_FIRST)
     named = F.initcap(s)
     tries = [F.when(s.rlike(ISO_TIME), F.regexp_replace(s, r"\s+(Z|[+-]\d{2}:?\d{2})$", "$1").try_cast("timestamp"))]
     tries += [F.when(s.rlike(ISO_DATE), F.try_to_timestamp(s, F.lit(p))) for p in DATE_PATTERNS[:3]]
     tries += [F.when(s.rlike(r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}$"), F.try_to_timestamp(s, F.lit(p))) for p in numeric]
     tries += [F.when(s.rlike("[A-Za-z]{3}"), F.try_to_timestamp(named, F.lit(p))) for p in DATE_PATTERNS[3:]]
-    return F.coalesce(*tries)
+    return F.when(s.rlike(r"\d{4}") & s.rlike(r"[-/. ]"), F.coalesce(*tries))
 
 
 def lower(c: Column) -> Column:

@@ -95,9 +95,7 @@ def exact_quantiles(values: DataFrame, q: tuple[float, ...]) -> list[float | Non
 def _interpolated(values: DataFrame, n: int, q: float) -> float:
     place = q * (n - 1)
     ranks = math.floor(place), math.ceil(place)
-    low, high, below = None, None, 0
-    inside = values
-    size = n
+    below, inside, size, room = 0, values, n, 2e-4
     while True:
         if inside.select("v").distinct().limit(BRACKET_VALUES + 1).count() <= BRACKET_VALUES:
             at, found = below, {}
@@ -109,11 +107,12 @@ def _interpolated(values: DataFrame, n: int, q: float) -> float:
             a, b = found[ranks[0]], found[ranks[1]]
             return float(a + (b - a) * (place - ranks[0]))
         share = (ranks[0] - below) / size, (ranks[1] - below) / size
-        cuts = inside.agg(F.percentile_approx("v", F.array(F.lit(max(0.0, share[0] - 2e-4)), F.lit(min(1.0, share[1] + 2e-4))), F.lit(20_000)).alias("c")).first()["c"]
+        cuts = inside.agg(F.percentile_approx("v", F.array(F.lit(max(0.0, share[0] - room)), F.lit(min(1.0, share[1] + room))), F.lit(20_000)).alias("c")).first()["c"]
         low, high = cuts[0], cuts[1]
         facts = inside.agg(F.count_if(F.col("v") < low).alias("less"), F.count_if(F.col("v").between(low, high)).alias("held")).first()
-        if facts["less"] > ranks[0] - below or facts["less"] + facts["held"] <= ranks[1] - below or facts["held"] == size:
-            return float(inside.agg(F.percentile("v", F.lit((place - below) / (size - 1)))).first()[0])
+        if facts["less"] > ranks[0] - below or facts["less"] + facts["held"] <= ranks[1] - below:
+            room *= 4  # the sketch erred by more than the bracket's room
+            continue
         below, size = below + facts["less"], facts["held"]
         inside = inside.where(F.col("v").between(low, high))
 

@@ -1,8 +1,8 @@
 """The raw profile: every measure of every column, and what they add up to for the table.
 
-Jobs per table, whatever its width: one aggregate for the counts and likeness shares (in batches of columns), one
-shuffle of value counts for everything that needs distinct values, quartiles, and one aggregate for what depends on
-them. Decisions are plain Python over these rows.
+Jobs per table, whatever its width: one aggregate for the counts (in batches of columns), one shuffle of value counts for
+everything that reads texts or needs distinct values, so that a text is parsed once however often it occurs, quartiles,
+and one aggregate for what depends on them. Decisions are plain Python over these rows.
 """
 
 from __future__ import annotations
@@ -20,32 +20,50 @@ MIN_OUTLIER_ROWS = 4
 INDEX_NAMES = ("", "unnamed: 0", "index")
 
 
+#: What a column without text has in place of text_measures.
+NO_TEXT = dict.fromkeys(("string_count", "whitespace_count", "empty_string_count", "whitespace_only_count", "total_length", "shortest", "longest", *(f"null_like:{w}" for w in text.NULL_WORDS)), 0)
+SIGNATURES = ("iso_date", "numeric_date", "named_date")
+
+
 def measures(c: Column, physical: str) -> dict[str, Column]:
     """Counts over one column; null is no value."""
-    is_text = physical == "string"
-    s = c.cast("string") if is_text else F.lit(None).cast("string")
-    stripped, token = text.strip(s), text.token(s)
     none = F.lit(0).cast("long")
-    out = {
+    return {
         "null_count": F.count_if(c.isNull()),
         "non_null_count": F.count(c),
-        "string_count": F.count(s) if is_text else none,
-        "whitespace_count": F.count_if(s != stripped) if is_text else none,
-        "empty_string_count": F.count_if(stripped == "") if is_text else none,
-        "whitespace_only_count": F.count_if((stripped == "") & (s != "")) if is_text else none,
-        "total_length": F.coalesce(F.sum(F.char_length(s)), F.lit(0)) if is_text else none,
-        "shortest": F.min(F.char_length(s)) if is_text else none,
-        "longest": F.max(F.char_length(s)) if is_text else none,
+        "numeric_like": F.count(c) if physical == "numeric" else none,
+        "datetime_like": F.count(c) if physical == "datetime" else none,
+        "boolean_like": F.count(c) if physical == "boolean" else F.count_if(c.isin(0, 1)) if physical == "numeric" else none,
     }
-    for word in text.NULL_WORDS:
-        out[f"null_like:{word}"] = F.count_if(token == word) if is_text else none
-    out["numeric_like"] = F.count_if(text.to_number(s).isNotNull()) if is_text else F.count(c) if physical == "numeric" else none
-    out["datetime_like"] = F.count_if(text.to_timestamp(s).isNotNull()) if is_text else F.count(c) if physical == "datetime" else none
-    out["boolean_like"] = F.count_if(text.to_boolean(s).isNotNull()) if is_text else F.count(c) if physical == "boolean" else F.count_if(c.isin(0, 1)) if physical == "numeric" else none
-    if is_text:
-        signatures = F.array_compact(F.array(text.date_signature(s), text.unit_signature(s)))
-        out["signatures"] = F.array_sort(F.array_distinct(F.flatten(F.collect_set(signatures))))
-    return out
+
+
+def text_measures(counts: DataFrame) -> dict[str, dict]:
+    """What the cells of each text column look like, from rows (column, value, n); the state of a column is bounded."""
+    cells = counts.select("column", "value", "n", text.strip(F.col("value")).alias("stripped"))
+    cells = cells.select("*", F.lower("stripped").alias("token"), text.date_signature(F.col("stripped")).alias("date"), text.unit_signature(F.col("stripped")).alias("unit"))
+    value, stripped, token, size = F.col("value"), F.col("stripped"), F.col("token"), F.char_length("value")
+
+    def cases(which: Column) -> Column:
+        return F.sum(F.when(which, F.col("n")).otherwise(0))
+
+    wanted = {
+        "string_count": F.sum("n"),
+        "whitespace_count": cases(value != stripped),
+        "empty_string_count": cases(stripped == ""),
+        "whitespace_only_count": cases((stripped == "") & (value != "")),
+        "total_length": F.sum(F.col("n") * size),
+        "shortest": F.min(size),
+        "longest": F.max(size),
+        **{f"null_like:{word}": cases(token == word) for word in text.NULL_WORDS},
+        "numeric_like": cases(text.number_in(stripped).isNotNull()),
+        "datetime_like": cases(text.timestamp_in(stripped).isNotNull()),
+        "boolean_like": cases(text.boolean_in(token).isNotNull()),
+        **{f"signature:{x}": cases(F.col("date") == x) for x in SIGNATURES},
+        "first_unit": F.min("unit"),
+        "last_unit": F.max("unit"),
+    }
+    rows = cells.groupBy("column").agg(*(e.alias(m) for m, e in wanted.items())).collect()
+    return {r["column"]: r.asDict() for r in rows}
 
 
 def numeric_view(c: Column, physical: str) -> Column | None:
@@ -55,9 +73,8 @@ def numeric_view(c: Column, physical: str) -> Column | None:
     return stats.clean(text.to_number_generic(c)) if physical == "string" else None
 
 
-def distinct_measures(df: DataFrame, names: list[str]) -> dict[str, dict]:
-    """unique, and distinct stripped values with and without case, of each column, off one table of value counts."""
-    counts = value_counts(df, names)
+def distinct_measures(counts: DataFrame) -> dict[str, dict]:
+    """unique, and distinct stripped values with and without case, of each column, from rows (column, value, n)."""
     stripped = text.strip(F.col("value"))
     shown = F.when(stripped != "", stripped)
     rows = counts.groupBy("column").agg(F.count("*").alias("unique"), F.countDistinct(shown).alias("stripped"), F.countDistinct(F.lower(shown)).alias("folded"))
@@ -84,7 +101,10 @@ def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None =
     wanted = {("", "rows"): F.count("*")} | {(n, m): e for n, k in flat for m, e in measures(present(df, n), k).items()}
     found = aggregate(df, wanted)
     rows = int(found["", "rows"])
-    distinct = distinct_measures(df, [n for n, _ in flat])
+    counts = value_counts(df, [n for n, _ in flat]).persist()
+    distinct = distinct_measures(counts)
+    cells = text_measures(counts.where(F.col("column").isin([n for n, k in flat if k == "string"]))) if any(k == "string" for _, k in flat) else {}
+    counts.unpersist()
     views = {n: v for n, k in flat if (v := numeric_view(col(n), k)) is not None}
     views = {n: F.when(~F.isnan(v), v) for n, v in views.items()}
     first = aggregate(df, {(n, m): e for n, v in views.items() for m, e in (("n", F.count(v)), ("skew", stats.adjusted_skewness(v)))})
@@ -100,13 +120,15 @@ def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None =
         if k == "nested":
             columns.append(_nested(df, n, original, rows))
             continue
-        get = lambda m, n=n: found[n, m]
+        own = NO_TEXT | {m: found[n, m] for m in measures(col(n), k)} | cells.get(n, {})
+        get = own.__getitem__
         d = distinct.get(n, {"unique": 0, "stripped": 0, "folded": 0})
         values = get("non_null_count")
         ratio = d["unique"] / rows if rows else 0.0
         breakdown = {w: int(get(f"null_like:{w}")) for w in text.NULL_WORDS}
         skew = first[n, "skew"] if n in views and first[n, "n"] >= MIN_OUTLIER_ROWS else None
-        signatures = list(get("signatures") or []) if k == "string" else []
+        units = {own.get("first_unit"), own.get("last_unit")} - {None}
+        signatures = sorted({x for x in SIGNATURES if own.get(f"signature:{x}")} | units)
         p = {
             "name": original,
             "column": n,
@@ -232,7 +254,7 @@ def samples(df: DataFrame, limit: int = SAMPLES) -> dict[str, list]:
     out = {}
     for n, k in kinds(df):
         rows = df.where(present(df, n).isNotNull())
-        rows = rows.orderBy("__row_idx") if "__row_idx" in df.columns else rows
+        rows = rows.orderBy("__row_idx" if "__row_idx" in df.columns else col(n)) if k != "nested" else rows
         out[n] = [] if k == "nested" else [r[0] for r in rows.select(col(n)).limit(limit).collect()]
     return out
 

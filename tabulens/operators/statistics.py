@@ -114,7 +114,7 @@ def statistical_profile(df: DataFrame, summary: dict, approximate: int = 0) -> d
     of = lambda kind: [n for n in eligible if types[n]["semantic_type"] == kind]
     rows = summary["cleaned_profile"]["row_count"]
     numeric = of("numeric")
-    distinct = distinct_measures(df, eligible) if eligible else {}
+    distinct = distinct_measures(value_counts(df, eligible)) if eligible else {}
     columns = {}
     for n in eligible:
         p, unique = types[n], distinct.get(n, {"unique": 0})["unique"]

@@ -308,7 +308,7 @@ scalar("percentage_cells", "text_percent", r"regexp_full_match(trim(v), '[+-]?\d
 scalar("currency_cells", "text_currency", r"regexp_full_match(v, '\s*[$€£₹]\s*[+-]?\d[\d,]*(\.\d+)?\s*')", text.is_currency)
 
 
-@query()
+@query(cte("dirty_orders") + r"select o_orderkey, case when v is not null then coalesce(list_aggregate(list_transform(regexp_extract_all(v, '\p{L}+|[^\p{L}]+'), lambda w: concat(upper(w[1:1]), lower(w[2:]))), 'string_agg', ''), '') end as v from t")
 def case_title(spark, sf_dir):
     return dirty(spark, sf_dir, "dirty_orders").select("o_orderkey", text.title(F.col("v")).alias("v"))
 
@@ -384,6 +384,26 @@ def raw_profile_table(spark, sf_dir):
     return raw_profile.profile_table(spark, raw_profile.profile(table(spark, sf_dir, "orders")))
 
 
+ORDERS = (("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_totalprice", True), ("o_orderdate", False), ("o_orderpriority", False))
+MEASURES_SQL = " union all ".join(
+    f"select '{c}' as name, cast(sum(case when {c} is null then 1 else 0 end) as bigint) as null_count, cast(count(distinct {c}) as bigint) as unique_count, round(1.0 * count(distinct {c}) / count(*), 4) as uniqueness_ratio, "
+    + (f"cast(sum(case when {c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1) then 1 else 0 end) as bigint)" if number else "cast(0 as bigint)")
+    + " as outlier_count, "
+    + (f"round(skewness({c}), 4)" if number else "cast(null as double)")
+    + " as skewness from orders"
+    + (f", (select quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.75) as q3 from orders)" if number else "")
+    for c, number in ORDERS
+)
+
+
+@query(MEASURES_SQL)
+def profile_measures(spark, sf_dir):
+    """The measures of raw_profile_table that SQL expresses."""
+    found = raw_profile.profile(table(spark, sf_dir, "orders").select(*(c for c, _ in ORDERS)))
+    rows = raw_profile.profile_table(spark, found)
+    return rows.select("name", "null_count", "unique_count", "uniqueness_ratio", "outlier_count", F.round("skewness", 4).alias("skewness"))
+
+
 @query()
 def chart_candidates(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
