@@ -152,33 +152,40 @@ def opened(blob: bytes) -> Iterator[pa.RecordBatch]:
     return iter(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)))
 
 
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, and how often they occur; sorts codes in place."""
+    codes.sort()
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]]))
+    return codes[starts], np.diff(starts, append=len(codes)).astype(np.uint32)
+
+
 def distinct_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct n-grams of a block, and their counts in training texts."""
-    room = {True: 0, False: 0}
-    for part in opened(blob):
-        train = part.column("train").to_numpy(zero_copy_only=False)
-        n = pa.compute.binary_length(part.column("text")).fill_null(0).to_numpy(zero_copy_only=False) + 1
-        room[True] += int(n[train].sum())
-        room[False] += int(n[~train].sum())
-    every, at = {own: np.empty(n, np.uint64) for own, n in room.items()}, {True: 0, False: 0}
+    """The sorted distinct n-grams of a block, and their counts in training texts; in two passes by the latest context byte, to hold half of them at a time."""
+    seen = {True: np.zeros(256, np.int64), False: np.zeros(256, np.int64)}
     for part in opened(blob):
-        codes, n = symbols([normal(t) for t in texts(part, "text")])
-        train = np.repeat(part.column("train").to_numpy(zero_copy_only=False), n)
-        for own in (True, False):
-            some = codes[train == own]
-            every[own][at[own] : at[own] + len(some)] = some
-            at[own] += len(some)
-    listed = {}
-    for own in (True, False):
-        codes = every.pop(own)
-        codes.sort()
-        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]]))
-        listed[own] = codes[starts], np.diff(starts, append=len(codes))
-        del codes, starts
-    codes = np.union1d(listed[True][0], listed[False][0])
-    counts = np.zeros(len(codes), np.uint32)
-    counts[np.searchsorted(codes, listed[True][0])] = listed[True][1]
-    return codes, counts
+        for t, own in zip(texts(part, "text"), part.column("train").to_pylist(), strict=True):
+            seen[own] += np.bincount(np.frombuffer(normal(t) + bytes([END]), np.uint8), minlength=256)
+    total = np.cumsum(seen[True] + seen[False])
+    middle = int(np.searchsorted(total, total[-1] // 2)) + 1
+    codes, counts = [], []
+    for low, high in ((0, middle), (middle, 256)):
+        every, at = {own: np.empty(int(n[low:high].sum()), np.uint64) for own, n in seen.items()}, {True: 0, False: 0}
+        for part in opened(blob):
+            own_codes, n = symbols([normal(t) for t in texts(part, "text")])
+            train = np.repeat(part.column("train").to_numpy(zero_copy_only=False), n)
+            latest = own_codes >> np.uint64(8 * DEPTH)
+            inside = (latest >= low) & (latest < high)
+            for own in (True, False):
+                some = own_codes[inside & (train == own)]
+                every[own][at[own] : at[own] + len(some)] = some
+                at[own] += len(some)
+        learned, times = distinct(every.pop(True))
+        found = distinct(np.concatenate([learned, distinct(every.pop(False))[0]]))[0]
+        count = np.zeros(len(found), np.uint32)
+        count[np.searchsorted(found, learned)] = times
+        codes.append(found)
+        counts.append(count)
+    return np.concatenate(codes), np.concatenate(counts)
 
 
 def gram_lists(held: DataFrame, shards: int) -> DataFrame:
@@ -504,9 +511,9 @@ def score_block(group: pa.Table, shards: int) -> pa.Table:
         return own.column(column).to_pylist()
 
     (payload,) = blobs(PAYLOAD)
-    distinct = distinct_grams(payload)[0]
-    grams = np.empty(len(distinct), np.float32)
-    grams[by_shard(distinct, shards)[0]] = np.concatenate([restored(b) for b in blobs(GRAM)])
+    known_codes = distinct_grams(payload)[0]
+    grams = np.empty(len(known_codes), np.float32)
+    grams[by_shard(known_codes, shards)[0]] = np.concatenate([restored(b) for b in blobs(GRAM)])
 
     expand = zstandard.ZstdDecompressor().decompress
     known: dict[bytes, float] = {}
@@ -522,7 +529,7 @@ def score_block(group: pa.Table, shards: int) -> pa.Table:
             codes = codes[order]
             starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
             bits = np.empty(len(codes))
-            bits[order] = np.repeat(grams[np.searchsorted(distinct, codes[starts])], np.diff(starts, append=len(codes)))
+            bits[order] = np.repeat(grams[np.searchsorted(known_codes, codes[starts])], np.diff(starts, append=len(codes)))
             model = np.add.reduceat(bits, np.cumsum(n) - n)
             keys.append(part.column("key"))
             for data, score, size in zip(own, model.tolist(), n.tolist(), strict=True):
