@@ -162,17 +162,20 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def distinct_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct n-grams of a block, and their counts in training texts; in two passes by the latest context byte, to hold half of them at a time."""
     seen = {True: np.zeros(256, np.int64), False: np.zeros(256, np.int64)}
-    for part in opened(blob):
-        for t, own in zip(texts(part, "text"), part.column("train").to_pylist(), strict=True):
-            seen[own] += np.bincount(np.frombuffer(normal(t) + bytes([END]), np.uint8), minlength=256)
+    parts = [([normal(t) for t in texts(part, "text")], part.column("train").to_numpy(zero_copy_only=False)) for part in opened(blob)]
+    for batch, train in parts:
+        for own, n in seen.items():
+            some = [t for t, learned in zip(batch, train.tolist(), strict=True) if learned == own]
+            n += np.bincount(np.frombuffer(b"".join(some), np.uint8), minlength=256)
+            n[END] += len(some)
     total = np.cumsum(seen[True] + seen[False])
     middle = int(np.searchsorted(total, total[-1] // 2)) + 1
     codes, counts = [], []
     for low, high in ((0, middle), (middle, 256)):
         every, at = {own: np.empty(int(n[low:high].sum()), np.uint64) for own, n in seen.items()}, {True: 0, False: 0}
-        for part in opened(blob):
-            own_codes, n = symbols([normal(t) for t in texts(part, "text")])
-            train = np.repeat(part.column("train").to_numpy(zero_copy_only=False), n)
+        for batch, train in parts:
+            own_codes, n = symbols(batch)
+            train = np.repeat(train, n)
             latest = own_codes >> np.uint64(8 * DEPTH)
             inside = (latest >= low) & (latest < high)
             for own in (True, False):
