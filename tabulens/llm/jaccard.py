@@ -6,6 +6,8 @@
 2. A node's search keys are its first n // 4 + 1 shingles in the order of class, then hash: under any order that all
    nodes share, two linked sets have one of these in common, and this one puts common passages last. The nodes that
    share a key form a tile, in which they are dealt by bands of like sizes; linked sets are in one band or in adjacent ones.
+   What precedes the first key that two sets share is in one of them alone, so a key's place bounds the sizes of the sets
+   that it can link its own set with (reach). A tile keeps the members that such a bound admits to another one.
 3. Each band of a tile has its smallest node as its pivot. Pivots are compared with the other members and with the next
    band's pivot (pairs grow with the members, not with their square), and the links' components are found by
    alternating stars.
@@ -58,9 +60,9 @@ TASK_PAIRS, TASK_ELEMENTS = 4_096, 1 << 23
 DEALS = 32
 #: Nodes up to which their texts are picked by a broadcast of their ids (32 bytes each); more are picked by a shuffle.
 BROADCAST_NODES = 200_000
-#: Least bits of a signature; it has the power of two from four times the set's size on. Signatures of sets that can be
+#: Least bits of a signature; it has the power of two from twice the set's size on. Signatures of sets that can be
 #: linked differ by a factor of two at most, and the halves of the longer one are joined before they are compared.
-LEAST_BITS = 512
+LEAST_BITS = 256
 
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -97,7 +99,7 @@ class Shingler:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    size = max(LEAST_BITS, 1 << (4 * len(hashes) - 1).bit_length()) if len(hashes) else LEAST_BITS
+    size = max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else LEAST_BITS
     bits = np.zeros(size, np.uint8)
     bits[(hashes >> np.uint64(7)) & np.uint64(size - 1)] = 1
     return np.packbits(bits).view(np.uint64)
@@ -222,9 +224,19 @@ def band(n: str):
 
 
 def tiled(nodes: DataFrame) -> DataFrame:
-    """(tile, id, band, m) of the tiles with m > 1 members, for nodes (id, n, keys); of tiles with the same members, the least alone."""
-    rows = nodes.select(F.explode("keys").alias("tile"), "id", band("n").alias("band"))
+    """(tile, id, band, m) of the tiles with m > 1 members, for nodes (id, n, keys); of tiles with the same members, the least alone.
+
+    Sets of sizes x and y are linked if they share 3 / 7 * (x + y) elements. If the first shared key has the place i in the
+    order of the first set (j in the other's), they share x - i at most, so y <= (4 * x - 7 * i) / 3, the reach of that set,
+    and x <= the other's reach. The smaller of two linked sets thus reaches its own size. A member stays in a tile if it
+    reaches the size of the least member that does.
+    """
+    by_place = nodes.select(F.posexplode("keys").alias("place", "tile"), "id", F.col("n").cast("int").alias("n"))
+    reach = F.floor((100 * F.col("n").cast("long") - (100 + PERCENT) * F.col("place")) / F.lit(PERCENT)).cast("int")
     of_tile = Window.partitionBy("tile")
+    least = F.min(F.when(F.col("reach") >= F.col("n"), F.col("n"))).over(of_tile)
+    rows = by_place.select("tile", "id", "n", reach.alias("reach")).withColumn("least", least).where("reach >= least")
+    rows = rows.select("tile", "id", band("n").alias("band"))
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), "id")).over(of_tile).alias(name) for seed, name in ((1, "x1"), (2, "x2"))]
     shared = cut(rows.select("*", F.count("*").over(of_tile).alias("m"), *marks).where("m > 1"), "jaccard-members")
     kept = shared.groupBy("m", "x1", "x2").agg(F.min("tile").alias("tile"))
@@ -266,7 +278,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         return nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
 
     # A hot pivot's pairs are dealt to several tasks before its signature joins them.
-    pairs = pairs.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(DEALS)))
+    pairs = cut(pairs.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(DEALS))), "jaccard-tried")
     pairs = pairs.join(pairs.select("a", "deal").distinct().join(named("a"), "a"), ["a", "deal"]).join(named("b"), "b")
 
     def fold(x: str, y: str):
@@ -357,9 +369,10 @@ def block_pairs(split: DataFrame, nodes: DataFrame) -> DataFrame:
     """(task, a, b): distinct pairs of different components that share a tile and pass the bound of bit counts; the pairs of
     a task are few, and a pair that shares several tiles is in one of them.
     """
-    rows = by_component(split).join(nodes.select("id", "n"), "id")
+    rows = cut(by_component(split).join(nodes.select("id", "n"), "id"), "jaccard-minor")
     parts = rows.groupBy("tile", "minor", "band").agg(F.ceil(F.sum(F.greatest("n", F.lit(BLOCK_LEAST))) / BLOCK).alias("parts"))
     rows = rows.join(parts, ["tile", "minor", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    rows = cut(rows, "jaccard-parts")
     blocks = parts.select("tile", "minor", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
     # Blocks of the largest component don't meet each other; two others meet once.
