@@ -73,29 +73,65 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Shingler:
-    """Shingle sets; word hashes are remembered for a worker's next texts."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        """The sorted distinct hashes of the text's shingles."""
-        words = text.encode().lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.known) > 500_000:
-            self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = min(SHINGLE, len(h))
-        n = len(h) - k + 1
-        out = np.full(n, k, np.uint64)
-        for j in range(k):
-            out = mixed(out * FACTORS[j] + h[j : j + n])
-        return np.unique(out)
+#: Bytes with A-Z lowered, and white space as blanks.
+PLAIN = bytes(32 if c in b"\t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Words are hashed as polynomials over the values of their bytes, modulo 2**64, some PIECE bytes of text at a time.
+STEP, PIECE = 0x9E3779B97F4A7C15, 1 << 18
+VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
+
+
+UP, DOWN = powers(STEP, 2 * PIECE), powers(pow(STEP, -1, 1 << 64), 2 * PIECE)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The place and the hash of each word of data, whose words stand between blanks; data ends with one."""
+    places, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while at < len(data):
+        end = data.find(b" ", at + PIECE - 1) + 1 or len(data)
+        x = np.frombuffer(data, np.uint8, end - at, at)
+        up, down = (UP, DOWN) if len(x) <= len(UP) else (powers(STEP, len(x)), powers(pow(STEP, -1, 1 << 64), len(x)))
+        blank = np.ones(len(x) + 1, bool)
+        np.equal(x, 32, out=blank[1:])
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(VALUES[x] * up[: len(x)], out=sums[1:])
+        places.append(starts + at)
+        hashes.append(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        at = end
+    return np.concatenate(places), np.concatenate(hashes)
+
+
+def windows(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each k words that follow each other."""
+    n = max(0, len(h) - k + 1)
+    out = np.full(n, k, np.uint64)
+    for j in range(k):
+        out = mixed(out * FACTORS[j] + h[j : j + n])
+    return out
+
+
+def shingle_sets(batch: list[str]) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles."""
+    data = [t.encode().translate(PLAIN) for t in batch]
+    places, h = word_hashes(b"".join(part for d in data for part in (d, b" ")))
+    edges = np.searchsorted(places, np.cumsum([0, *(len(d) + 1 for d in data)])).tolist()
+    full, out = windows(h, SHINGLE), []
+    for a, b in zip(edges, edges[1:], strict=False):
+        s = np.sort(full[a : b - SHINGLE + 1] if b - a >= SHINGLE else windows(h[a:b], b - a)[: b - a])
+        new = np.ones(len(s), bool)
+        np.not_equal(s[1:], s[:-1], out=new[1:])
+        out.append(s[new])
+    return out
+
+
+def list_column(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), pa.int64()))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -144,12 +180,12 @@ def shingled(docs: DataFrame) -> DataFrame:
     schema = pa.schema([*(pa.field(c, pa.int64()) for c in ("t1", "t2", "f1", "f2", "n")), pa.field("chunk", pa.int32()), pa.field("load", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, load, key_kind = Shingler(), None, None
+        load, key_kind = None, None
         for part in slices(batches, "text"):
             load = np.zeros(BUCKETS, np.int64) if load is None else load
             key_kind = part.column("key").type
-            sets = [shingles(t) for t in texts(part, "text")]
-            load += np.bincount(bucket(np.concatenate(sets), BUCKETS), minlength=BUCKETS)
+            sets = shingle_sets(texts(part, "text"))
+            np.add.at(load, bucket(np.concatenate(sets), BUCKETS), 1)
             f1, f2 = zip(*(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist() for s in sets), strict=True)
             named = {"key": part.column("key"), "t1": part.column("t1"), "t2": part.column("t2"), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "n": pa.array(list(map(len, sets)), pa.int64())}
             yield pa.RecordBatch.from_pydict(named | {c: pa.nulls(part.num_rows, schema.field(c).type) for c in ("chunk", "load")})
@@ -185,16 +221,14 @@ def keyed(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # BUCKETS bytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
         for part in slices(batches, "text"):
             rows = []
-            for t in texts(part, "text"):
-                s = shingles(t)
+            for s in shingle_sets(texts(part, "text")):
                 order = np.argsort(shared.value[bucket(s, len(shared.value))], kind="stable")[: len(s) // 4 + 1]
                 rows.append((*np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist(), len(s), s[order].view(np.int64), signature(s).view(np.int64)))
             f1, f2, n, keys, sig = zip(*rows, strict=True)
             named = {c: part.column(c) for c in ("key", "t1", "t2")}
-            named |= {"f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "n": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "sig": pa.array(sig, pa.list_(pa.int64()))}
+            named |= {"f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "n": pa.array(n, pa.int64()), "keys": list_column(keys), "sig": list_column(sig)}
             yield pa.RecordBatch.from_pydict(named)
 
     kind = docs.schema["key"].dataType.simpleString()
@@ -205,9 +239,8 @@ def node_sets(rows: DataFrame) -> DataFrame:
     """(id, n, hashes) for rows (id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
         for part in slices(batches, "text"):
-            sets = [shingles(t) for t in texts(part, "text")]
+            sets = shingle_sets(texts(part, "text"))
             yield pa.RecordBatch.from_pydict(
                 {"id": part.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())}
             )
