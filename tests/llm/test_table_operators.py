@@ -137,6 +137,30 @@ def test_near_duplicates_leave_one_of_each(spark):
     assert jaccard.without_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_shingles_are_those_of_the_words(monkeypatch):
+    rnd = random.Random(3)
+    blanks = [" ", "\n", "\t", "\v", "\f", "\r", "  ", " \r\n"]
+    batch = ["", " \n ", "One", "a b c d", "A b C d e", "\u00c4b \u00e4b \u00a0 \u2003x", "x" * 500, "y " * 400, "z" * 300 + " " + "z" * 301]
+    batch += ["".join(rnd.choice("abAB\u00e9") * rnd.randint(1, 3) + rnd.choice(blanks) for _ in range(rnd.randint(0, 60))) for _ in range(200)]
+
+    def plain(t):
+        words = t.encode().lower().split()
+        k = min(jaccard.SHINGLE, len(words))
+        return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if k else set()
+
+    whole = jaccard.shingle_sets(batch)
+    monkeypatch.setattr(jaccard, "PIECE", 64)  # texts, and words longer than a piece, are cut in pieces
+    monkeypatch.setattr(jaccard, "UP", jaccard.UP[:128])
+    pieces, alone = jaccard.shingle_sets(batch), [jaccard.shingle_sets([t])[0] for t in batch]
+    names = {}
+    for t, *found in zip(batch, whole, pieces, alone, strict=True):
+        assert all(f.tolist() == found[0].tolist() for f in found)
+        assert len(found[0]) == len(plain(t)) and (np.diff(found[0].astype(object)) > 0).all()
+        names |= {s: None for s in plain(t)}
+    assert len(set(np.concatenate(whole).tolist())) == len(names)
+    assert jaccard.shingle_sets([]) == []
+
+
 def test_signatures_bound_the_overlap():
     rng = np.random.default_rng(2)
     for _ in range(200):
