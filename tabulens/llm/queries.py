@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulens.llm import ann, bpe, jaccard, language, licences, lm, mixing, pii, quality, toxicity
+from tabulens.llm import ann, bpe, infill, jaccard, language, licences, lm, mixing, pii, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_lm_scoring": lm.query,
     "op10_ann": ann.query,
+    "op11_infill": infill.query,
 }
 
 #: Shingle sets, all pairs that share a shingle, links, and what each document reaches through them.
@@ -35,4 +36,4 @@ select w.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) as n_shingles, leas
 from w left join n on n.doc_id = w.doc_id left join reach r on r.x = w.doc_id group by w.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": JACCARD_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": JACCARD_SQL, "op11_infill": infill.SQL}
