@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulens.llm import ann, bpe, infill, jaccard, language, licences, lm, mixing, pii, quality, toxicity
+from tabulens.llm import ann, bpe, infill, jaccard, language, licences, lm, mixing, pii, quality, repair, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_scoring": lm.query,
     "op10_ann": ann.query,
     "op11_infill": infill.query,
+    "op13_conversation_repair": repair.query,
 }
 
 #: Shingle sets, all pairs that share a shingle, links, and what each document reaches through them.
