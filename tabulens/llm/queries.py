@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulens.llm import ann, bpe, infill, jaccard, language, licences, lm, mixing, pii, quality, repair, toxicity
+from tabulens.llm import ann, bpe, infill, jaccard, language, licences, lm, mixing, pii, quality, repair, substrings, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_scoring": lm.query,
     "op10_ann": ann.query,
     "op11_infill": infill.query,
+    "op12_substring_dedup": substrings.query,
     "op13_conversation_repair": repair.query,
 }
 
@@ -37,4 +38,4 @@ select w.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) as n_shingles, leas
 from w left join n on n.doc_id = w.doc_id left join reach r on r.x = w.doc_id group by w.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": JACCARD_SQL, "op11_infill": infill.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": JACCARD_SQL, "op11_infill": infill.SQL, "op12_substring_dedup": substrings.SQL}
