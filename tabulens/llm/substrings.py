@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import cut, slices, table, texts, with_fields
+from tabulens.llm.common import cut, remove, slices, table, texts, with_fields, written
 from tabulens.llm.jaccard import mixed, powers, text_marks, word_hashes
 
 #: Words of a window, and of the sequences of which the least hash is its anchor.
@@ -272,11 +272,16 @@ def matched(found: DataFrame, window: int, shard_words: int, query_words: int) -
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, query_words: int = QUERY_WORDS) -> tuple[DataFrame, DataFrame]:
     """For docs (id, t1, t2, text): the distinct texts (t1, t2, id), and the repeated spans of words of each (id, t1, spans)."""
+    spark, start = docs.sparkSession, len(written)
     known = cut(distinct_texts(docs, window, gram), "texts")
+    remove(spark, written[start:-1])
     some = cut(candidates(docs, known).dropDuplicates(["id", "t1", "t2"]), "candidates")
+    start = len(written)
     windows = cut(repeated_windows(some, window, gram), "repeated")
+    remove(spark, written[start:-1])
     reference = windows.where("id = first").count()
     found = cut(passages(some, windows, window, max(1, -(-reference // shard_words))), "passages")
+    remove(spark, written[start - 1 : -1])
     spans = matched(found, window, shard_words, query_words)
     return known.select("t1", "t2", "id"), spans.groupBy("id", "t1").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
