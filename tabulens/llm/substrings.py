@@ -271,7 +271,7 @@ def matched(found: DataFrame, window: int, shard_words: int, query_words: int) -
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, query_words: int = QUERY_WORDS) -> tuple[DataFrame, DataFrame]:
-    """For docs (id, t1, t2, text): the distinct texts (t1, t2, id), and the repeated spans of words of each (id, t1, spans)."""
+    """What docs (id, t1, t2, text) lose: id, t1, t2, copy (all words go) and spans of words; and the candidate texts (id, t1, t2, text), which hold all of those with spans."""
     spark, start = docs.sparkSession, len(written)
     known = cut(distinct_texts(docs, window, gram), "texts")
     remove(spark, written[start:-1])
@@ -281,22 +281,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     remove(spark, written[start:-1])
     reference = windows.where("id = first").count()
     found = cut(passages(some, windows, window, max(1, -(-reference // shard_words))), "passages")
-    remove(spark, written[start - 1 : -1])
-    spans = matched(found, window, shard_words, query_words)
-    return known.select("t1", "t2", "id"), spans.groupBy("id", "t1").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    remove(spark, written[start:-1])
+    spans = matched(found, window, shard_words, query_words).groupBy("id", "t1").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    least = known.select("t1", "t2", F.col("id").alias("least"))
+    rows = docs.where("id is not null").select("id", "t1", "t2").distinct().join(least, ["t1", "t2"]).join(spans, ["id", "t1"], "left")
+    losses = rows.select("id", "t1", "t2", (F.col("id") > F.col("least")).alias("copy"), "spans").where("copy or spans is not null")
+    return cut(losses, "losses"), some.drop("anchors")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, query_words: int = QUERY_WORDS) -> DataFrame:
-    """Per row: id_col, n_words, n_removed, and kept, its remaining words joined by one space."""
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    source = source.select("id", *text_marks("text"), "text")
-    known, spans = repeated_spans(source, window, gram, shard_words, query_words)
-    fates = cut(
-        source.where("id is not null").select("id", "t1", "t2").distinct().join(known.withColumnRenamed("id", "least"), ["t1", "t2"]).join(spans, ["id", "t1"], "left")
-        .select("id", "t1", "t2", (F.col("id") > F.col("least")).alias("copy"), "spans").where("copy or spans is not null"),
-        "fates",
-    )
-    joined = source.join(fates, ["id", "t1", "t2"], "left").select("id", "text", "copy", "spans")
+def kept_words(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys of rows (text, copy, spans), n_words, n_removed, and kept, the words outside the spans joined by one space."""
+    packed = rows.select(F.struct(*keys).alias("keys"), "text", "copy", "spans")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -312,14 +307,40 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 counts.append(len(words))
                 removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column("keys"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["keys", "n_words", "n_removed", "kept"])
+
+    return packed.mapInArrow(run, with_fields(packed.select("keys"), "n_words long, n_removed long, kept string")).select("keys.*", "n_words", "n_removed", "kept")
+
+
+def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return source.select("id", *text_marks("text"), "text")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+    """Per row: id_col, n_words, n_removed, and kept, its remaining words joined by one space; limits as in repeated_spans()."""
+    source = prepared(docs, id_col, text_col)
+    losses, _ = repeated_spans(source, **limits)
+    return kept_words(source.join(losses, ["id", "t1", "t2"], "left"), ["id"]).withColumnRenamed("id", id_col)
+
 
-    return joined.mapInArrow(run, with_fields(joined.select("id"), "n_words long, n_removed long, kept string")).withColumnRenamed("id", id_col)
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+    """without_repeats() with the SHA-256 of kept for its text; only texts that lose some words are shuffled, the others are digested where they are read."""
+    source = prepared(docs, id_col, text_col)
+    losses, some = repeated_spans(source, **limits)
+    joined = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    n = F.when(joined == "", 0).otherwise(F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) + 1).cast("long")
+    whole = source.select("id", "t1", "t2", n.alias("n_words"), F.sha2(joined, 256).alias("sha"))
+    partly = kept_words(some.join(losses.where("not copy"), ["id", "t1", "t2"]), ["id", "t1", "t2"])
+    lost = partly.select("id", "t1", "t2", F.col("n_removed").alias("lost"), F.sha2("kept", 256).alias("left_sha"))
+    lost = lost.unionByName(losses.where("copy").select("id", "t1", "t2", F.lit(None).cast("long").alias("lost"), F.sha2(F.lit(""), 256).alias("left_sha")))
+    both = whole.join(lost, ["id", "t1", "t2"], "left")
+    removed = F.when(F.col("left_sha").isNull(), F.lit(0).cast("long")).otherwise(F.coalesce("lost", "n_words"))
+    return both.select(F.col("id").alias(id_col), "n_words", removed.alias("n_removed"), F.coalesce("left_sha", "sha").alias("kept_sha256"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    done = without_repeats(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return digests(table(spark, sf_dir, "documents"))
 
 
 #: All windows by the MD5 of their words, and for each word the latest start of a repeated window up to it.

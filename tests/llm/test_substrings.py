@@ -1,5 +1,6 @@
 """Substring dedup: automata against plain sets of sequences, and whole results against brute force."""
 
+import hashlib
 import random
 
 import pytest
@@ -81,7 +82,10 @@ def test_against_brute_force(spark, rows, window, gram, shard_words, query_words
     df = spark.createDataFrame([(i, t, 1, "a", 2, 3) for i, t in rows], "doc_id long, text string, id int, words string, t1 int, start int").repartition(5)
     got = substrings.without_repeats(df, window=window, gram=gram, shard_words=shard_words, query_words=query_words)
     assert got.columns == ["doc_id", "n_words", "n_removed", "kept"]
-    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, window)
+    want = brute(rows, window)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    hashed = substrings.digests(df, window=window, gram=gram, shard_words=shard_words, query_words=query_words)
+    assert sorted((tuple(r) for r in hashed.collect()), key=str) == sorted(((*w[:3], hashlib.sha256(w[3].encode()).hexdigest()) for w in want), key=str)
 
 
 def test_reference_holds_a_passage_once(spark):
@@ -100,4 +104,4 @@ def test_reference_holds_a_passage_once(spark):
 
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert substrings.without_repeats(none).count() == 0
+    assert substrings.without_repeats(none).count() == 0 and substrings.digests(none).count() == 0
