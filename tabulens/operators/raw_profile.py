@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.functions import stats, text
-from tabulens.operators import classify
+from tabulens.operators import classify, row_order
 from tabulens.operators.columns import aggregate, col, identical_pairs, kinds, outlier_bounds, outside, present, quantiles, rounded, share, value_counts
 
 SAMPLES, OUTLIER_LIST = 5, 1_000
@@ -82,12 +82,12 @@ def distinct_measures(counts: DataFrame) -> dict[str, dict]:
 
 
 def index_like(df: DataFrame, original: str, name: str, physical: str, rows: int) -> bool:
-    """Whether a column named like an index holds 0 to n - 1; the order of rows plays no part."""
+    """Whether a column named like an index holds 0 to n - 1, in the order of the rows where the table's source has one."""
     if original.strip().lower() not in INDEX_NAMES or physical != "numeric" or not rows:
         return False
     c = col(name)
     r = df.agg(F.min(c), F.max(c), F.countDistinct(c), F.count(c)).first()
-    return (r[0], r[1], r[2], r[3]) == (0, rows - 1, rows, rows)
+    return (r[0], r[1], r[2], r[3]) == (0, rows - 1, rows, rows) and row_order.in_order(df, c) is not False
 
 
 def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None = None, approximate: int = 0) -> dict:
@@ -250,12 +250,12 @@ def correlation_warnings(df: DataFrame, names: list[str]) -> list[dict]:
 
 
 def samples(df: DataFrame, limit: int = SAMPLES) -> dict[str, list]:
-    """The first non-null values of each column, in the order of the source where it has a row number, else of value."""
-    out = {}
-    for n, k in kinds(df):
-        rows = df.where(present(df, n).isNotNull())
-        rows = rows.orderBy("__row_idx" if "__row_idx" in df.columns else col(n)) if k != "nested" else rows
-        out[n] = [] if k == "nested" else [r[0] for r in rows.select(col(n)).limit(limit).collect()]
+    """The first non-null values of each column, in the order of the rows in the files (or by its row number); one pass for all columns."""
+    shapes = [(n, k) for n, k in kinds(df) if n != row_order.ROW]
+    out: dict[str, list] = {n: [] for n, _ in shapes}
+    cells = {n: present(df, n) for n, k in shapes if k not in ("nested", "timedelta")}
+    for r in row_order.first_values(df, cells, limit).orderBy("column", "place").collect() if cells else ():
+        out[r["column"]].append(r["value"].toPython())
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulens import pipeline
 from tabulens.functions import text
-from tabulens.operators import executor, legacy, raw_profile, statistics, structure, summary, transforms
+from tabulens.operators import executor, legacy, raw_profile, row_order, statistics, structure, summary, transforms
 from tabulens.operators.columns import duplicate_rows, identical_pairs
 from tabulens.plans import charts, evidence
 from tabulens.plans.planner import Action, Plan, plan_cleaning
@@ -268,12 +268,30 @@ def identical_columns(spark, sf_dir):
     return spark.createDataFrame([(a, b, True) for a, b in identical_pairs(dirty(spark, sf_dir, "twin_columns"))], "a string, b string, same boolean")
 
 
-@query(cte("twin_columns") + "select min(c_row) = 0 and max(c_row) = count(*) - 1 and count(distinct c_row) = count(*) as index_like from t")
+@query("select min(c_row) = 0 and bool_and(c_row = place) as index_like from (select c_custkey - 1 as c_row, row_number() over () - 1 as place from customer)")
 def index_like(spark, sf_dir):
-    df = dirty(spark, sf_dir, "twin_columns")
+    df = table(spark, sf_dir, "customer").select((F.col("c_custkey") - 1).alias("c_row"))
     return spark.createDataFrame([(raw_profile.index_like(df, "Unnamed: 0", "c_row", "numeric", df.count()),)], "index_like boolean")
 
 
+@query("select o_orderkey, row_number() over () - 1 as row_idx from orders")
+def row_numbers(spark, sf_dir):
+    return row_order.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "row_idx")
+
+
+@query(
+    "with t as (select row_number() over () as place, case when event_id % 6 = 0 then null else value end as value, event_type from events), "
+    "n as (select 'value' as column_name, cast(value as varchar) as shown, value as number, place from t where value is not null union all select 'event_type', event_type, null, place from t where event_type is not null), "
+    "r as (select *, row_number() over (partition by column_name order by place) as p from n) select column_name, cast(p as int) as place, case when number is null then shown end as shown, number from r where p <= 5"
+)
+def first_values(spark, sf_dir):
+    """Samples of columns in file order, nulls left out."""
+    df = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 6 != 0, F.col("value")).alias("value"), "event_type")
+    found = row_order.first_values(df, {n: F.col(n) for n in df.columns}, raw_profile.SAMPLES)
+    number = F.when(F.col("column") == "value", F.try_variant_get("value", "$", "double"))
+    return found.select(F.col("column").alias("column_name"), "place", F.when(number.isNull(), F.try_variant_get("value", "$", "string")).alias("shown"), number.alias("number"))
+
+
 @query("select * from (values ('customer_name', 0), ('column_2', 1), ('a_b', 2), ('a_b_2', 3), ('column_5', 4), ('total_2024', 5)) as x(name, place)")
 def header_normalisation(spark, sf_dir):
     names = structure.normalised_names([" Customer Name ", "Unnamed: 1", "a b", "A-B", "", "Total (2024)"])

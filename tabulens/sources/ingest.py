@@ -6,7 +6,6 @@ it decides each column's type. Errors are reported, not raised.
 
 from __future__ import annotations
 
-import codecs
 import csv
 import io
 import os
@@ -20,11 +19,11 @@ from tabulens.functions import text
 from tabulens.operators import raw_profile, structure
 from tabulens.operators.columns import aggregate, col
 from tabulens.plans.planner import Plan, plan_cleaning
+from tabulens.sources import encodings
 
 EXTENSIONS = ("csv", "tsv", "xlsx", "xls", "xlsm", "json", "parquet")
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_BYTES = 1 << 20
-ROW = "__row_idx"
 BAD = "__bad_line"
 
 
@@ -58,25 +57,19 @@ def head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
         stream.close()
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path on any file system that Spark reads is a folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(system.exists(where) and system.getFileStatus(where).isDirectory())
+
+
 def kind_by_magic(data: bytes) -> str:
     if data.startswith(b"PK"):
         return "xlsx"
     return "xls" if data.startswith(bytes.fromhex("D0CF11E0")) else "parquet" if data.startswith(b"PAR1") else "csv"
 
 
-def encoding(data: bytes) -> str:
-    """By its mark, else UTF-8 where the head decodes as such, else Latin-1, which always does."""
-    if data.startswith(codecs.BOM_UTF8):
-        return "utf-8-sig"
-    if data.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
-        return "utf-16"
-    try:
-        codecs.getincrementaldecoder("utf-8")("strict").decode(data)  # a cut character at the end is no error
-        return "utf-8"
-    except UnicodeDecodeError:
-        return "iso-8859-1"
-
-
 def delimiter(sample: str) -> tuple[str, bool]:
     """The delimiter under which most rows are as wide as a first row of several cells; whether any gave several."""
     best, chosen = (False, 0), ","
@@ -94,17 +87,17 @@ def has_header(sample: str) -> bool:
         return True
 
 
-def scan_text(spark: SparkSession, path: str, sep: str, header: list[str], with_header: bool, charset: str) -> tuple[DataFrame, int]:
-    """All columns as text under positional names, and the number of rows that are too long."""
+def scan_text(spark: SparkSession, path: str, sep: str, header: list[str], with_header: bool, charset: str, quoted_breaks: bool = True) -> tuple[DataFrame, int]:
+    """All columns as text under positional names, and the number of rows that are too long. Without quoted line breaks the file is read in splits."""
     names = [f"c{i}" for i in range(len(header))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD]])
     sentinel = "\u0001null\u0001"
-    df = spark.read.csv(path, schema=schema, sep=sep, header=with_header, encoding=charset.replace("-sig", ""), mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, nullValue=sentinel, emptyValue="", multiLine=True, quote='"', escape='"', enforceSchema=True)
+    df = spark.read.csv(path, schema=schema, sep=sep, header=with_header, encoding=encodings.reader_charset(charset), mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, nullValue=sentinel, emptyValue="", multiLine=quoted_breaks, quote='"', escape='"', enforceSchema=True)
     # Both short and long rows are marked; only long ones are errors, short ones have empty cells at the end.
     width = F.size(F.split(F.regexp_replace(F.col(BAD), r'"[^"]*"', ""), "\\" + sep if sep == "|" else sep))
     # The scan refuses to be asked for the marks alone, so the cells are counted beside them.
     too_long = df.agg(F.count_if(F.col(BAD).isNotNull() & (width > len(names))), *map(F.count, names)).first()[0]
-    return df.select(*(F.coalesce(F.col(n), F.lit("")).alias(n) for n in names)), int(too_long)
+    return df.select(*(encodings.decoded(F.coalesce(F.col(n), F.lit("")), charset).alias(n) for n in names)), int(too_long)
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -137,7 +130,7 @@ def read(spark: SparkSession, path: str, report: dict) -> tuple[DataFrame | None
     if ext and ext not in EXTENSIONS:
         report["errors"].append(f"Files of type .{ext} are not supported.")
         return None, []
-    if os.path.isdir(path) or ext == "parquet":
+    if ext == "parquet" or is_folder(spark, path):
         df = spark.read.parquet(path)
         return nan_to_null(df), df.columns
     data = head(spark, path)
@@ -156,7 +149,9 @@ def read(spark: SparkSession, path: str, report: dict) -> tuple[DataFrame | None
         return nan_to_null(df), df.columns
     if ext in ("xlsx", "xls", "xlsm"):
         return read_excel(spark, path, report)
-    charset = encoding(data)
+    facts = encodings.examine(spark, path, data)
+    charset = facts.charset
+    report["warnings"] += facts.warnings
     sample = data.decode(charset, "replace")
     if len(data) == HEAD_BYTES:
         sample = sample[: sample.rfind("\n") + 1] or sample
@@ -167,10 +162,10 @@ def read(spark: SparkSession, path: str, report: dict) -> tuple[DataFrame | None
     with_header = has_header(sample) if several else True
     first = next(r for r in csv.reader(io.StringIO(sample), delimiter=sep) if r)
     header = first if with_header else [str(i) for i in range(len(first))]
-    report |= {"encoding": charset, "delimiter": sep, "has_header": with_header}
+    report |= {"encoding": charset, "encoding_confidence": facts.confidence, "delimiter": sep, "has_header": with_header}
     if len(first) == 1:
         report["warnings"].append("Only one column was found.")
-    df, too_long = scan_text(spark, path, sep, header, with_header, charset)
+    df, too_long = scan_text(spark, path, sep, header, with_header, charset, facts.quoted_breaks)
     if too_long:
         report["errors"].append(f"{too_long} rows have more cells than the header.")
         return None, header

@@ -3,8 +3,9 @@ import json
 import pytest
 
 from tabulens import pipeline
+from tabulens.operators import raw_profile, row_order
 from tabulens.plans import charts, evidence
-from tabulens.sources import ingest, sinks
+from tabulens.sources import encodings, ingest, sinks
 
 
 @pytest.fixture
@@ -41,7 +42,9 @@ def test_ragged_rows(spark, put):
 
 
 def test_encodings_and_empty_files(spark, put):
-    assert ingest.encoding(b"\xef\xbb\xbfa") == "utf-8-sig" and ingest.encoding("é".encode()) == "utf-8" and ingest.encoding(b"\xe9t\xe9") == "iso-8859-1"
+    assert encodings.by_mark(b"\xef\xbb\xbfa") == "utf-8-sig" and encodings.by_mark("a".encode("utf-16")) == "utf-16" and encodings.by_mark("é".encode()) is None
+    assert ingest.ingest(spark, put("u.csv", "name,v\né,1\nb,2\n".encode("utf-8-sig"))).report["encoding"] == "utf-8-sig"
+    assert ingest.ingest(spark, put("w.csv", "name,v\né,1\nb,2\n".encode("utf-16"))).frame.first()["name"] == "é"
     got = ingest.ingest(spark, put("a.csv", "name,v\n\xe9,1\nb,2\nc,3\n".encode("latin-1")))
     assert got.frame.first()["name"] == "é"
     assert ingest.ingest(spark, put("b.csv", "")).report["errors"] == ["The file is empty."]
@@ -95,3 +98,76 @@ def test_selection_keeps_its_limits():
 def test_evidence_is_scrubbed():
     x = {"a": [{"sample_values": [1], "b": 2}], "html": "x", "deep": {"outlier_values": [3], "frame": 4}}
     assert evidence.scrub(x) == {"a": [{"b": 2}], "deep": {}}
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_odd_bytes_far_into_a_file(spark, put):
+    """A byte past the head decides the encoding of an ASCII file; among valid UTF-8 it is replaced with a warning."""
+    rows = "name,v\n" + "".join(f"plain,{i}\n" for i in range(150_000))
+    assert len(rows) > ingest.HEAD_BYTES
+    got = ingest.Ingested()
+    df, _ = ingest.read(spark, put("a.csv", rows.encode() + "café,1\n".encode("latin-1")), got.report)
+    assert got.report["encoding"] == "iso-8859-1" and df.where("c0 = 'café'").count() == 1
+    got = ingest.Ingested()
+    df, _ = ingest.read(spark, put("b.csv", rows.encode() + ("café,1\n" * 5).encode() + b"caf\xe9,1\n"), got.report)
+    assert got.report["encoding"] == "utf-8" and got.report["warnings"] == ["1 lines hold bytes that are no UTF-8; these were replaced."]
+    assert df.where("c0 = 'café'").count() == 5
+
+
+SAMPLES = {
+    "windows-1251": "Съешь же ещё этих мягких французских булок, да выпей чаю. Привет, Москва и Россия",
+    "koi8-r": "Съешь же ещё этих мягких французских булок, да выпей чаю. Привет, Москва и Россия",
+    "iso-8859-5": "Съешь же ещё этих мягких французских булок, да выпей чаю. Привет, Москва и Россия",
+    "windows-1250": "Příliš žluťoučký kůň úpěl ďábelské ódy, zażółć gęślą jaźń w Łodzi",
+    "windows-1252": "Der Bürger aß heiße Brühe für zehn € – déjà vu à l’hôtel, ça coûte où tu sais",
+    "iso-8859-1": "Der Bürger aß heiße Brühe für zehn Mark, déjà vu à la fenêtre, el niño comió",
+    "windows-1253": "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία και θέλω να πάω στην Ελλάδα",
+}
+
+
+@pytest.mark.parametrize("charset", sorted(SAMPLES))
+def test_eight_bit_character_sets(spark, put, charset):
+    content = "text;n\n" + "".join(f"{SAMPLES[charset]};{i}\n" for i in range(5))
+    got = ingest.ingest(spark, put("a.csv", content.encode(charset)))
+    assert got.report["encoding"] == charset
+    assert {r["text"] for r in got.frame.collect()} == {SAMPLES[charset]}
+    assert 0 < got.report["encoding_confidence"] <= 1
+
+
+def test_quoted_line_breaks_and_splits(spark, put, small_splits):
+    plain = "id,name\n" + "".join(f"{i},name {i}\n" for i in range(10_000))
+    df, _ = ingest.read(spark, put("a.csv", plain), {"errors": [], "warnings": []})
+    assert df.rdd.getNumPartitions() > 3 and df.count() == 10_000
+    quoted = plain + '10000,"two\nlines"\n'
+    df, _ = ingest.read(spark, put("b.csv", quoted), {"errors": [], "warnings": []})
+    assert df.count() == 10_001 and df.where("c1 = 'two\nlines'").count() == 1
+
+
+def test_row_order_over_splits(spark, put, tmp_path, small_splits):
+    content = "Unnamed: 0,v,w\n" + "".join(f"{i},{'' if i < 4000 else (i * 7919) % 10_007},x{9_999 - i}\n" for i in range(10_000))
+    got = ingest.ingest(spark, put("a.csv", content))
+    numbers = row_order.numbered(got.frame)
+    assert got.frame.rdd.getNumPartitions() > 3
+    assert numbers.where("unnamed_0 <> __row_idx").count() == 0 and numbers.count() == 10_000 if "unnamed_0" in numbers.columns else numbers.where(f"`{got.frame.columns[0]}` <> __row_idx").count() == 0
+    assert raw_profile.samples(got.frame)["w"] == [f"x{9_999 - i}" for i in range(5)]
+    filled = got.frame.where("v <> ''")
+    assert raw_profile.samples(filled)["v"] == [str((i * 7919) % 10_007) for i in range(4000, 4005)]
+    assert [r[0] for r in row_order.numbered(filled).orderBy("__row_idx").select("w").take(2)] == ["x5999", "x5998"]
+    assert got.structure["index_like_columns"] == [got.frame.columns[0]]
+    shuffled = "Unnamed: 0,v\n" + "".join(f"{(i * 7919) % 10_007},a\n" for i in range(10_007))
+    assert ingest.ingest(spark, put("b.csv", shuffled)).structure["index_like_columns"] == []
+    # Two files: the rows of the first by name come first.
+    folder = tmp_path / "t.parquet"
+    for k in (1, 0):
+        spark.range(k * 500, k * 500 + 500, numPartitions=1).write.mode("append").parquet(str(folder))
+    many = row_order.numbered(spark.read.parquet(str(folder)))
+    assert sorted(r["__row_idx"] for r in many.collect()) == list(range(1000))
+    assert row_order.in_order(spark.range(5), row_order.F.col("id")) is None
