@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +12,8 @@ from tabulens.functions import stats
 
 #: Columns whose aggregates go into one plan; wider tables take several.
 BATCH = 25
-#: Rows up to which quantiles are exact in one aggregate; beyond, brackets are narrowed until they hold few values.
-PERCENTILE_ROWS, BRACKET_VALUES = 5_000_000, 50_000
+#: Rows up to which quantiles are exact in one aggregate, which holds a count of every value; beyond, all columns' brackets are narrowed together.
+PERCENTILE_ROWS = 5_000_000
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 DATETIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -81,40 +81,9 @@ def quantiles(df: DataFrame, columns: dict[str, Column], q: tuple[float, ...], r
     if approximate or rows <= PERCENTILE_ROWS:
         found = aggregate(df, {(n, "q"): stats.quantiles(c, *q, approximate=approximate) for n, c in columns.items()})
         return {n: found[n, "q"] or [None] * len(q) for n in columns}
-    return {n: exact_quantiles(df.select(c.alias("v")).where("v is not null"), q) for n, c in columns.items()}
-
-
-def exact_quantiles(values: DataFrame, q: tuple[float, ...]) -> list[float | None]:
-    """Exact linear quantiles of the column v by narrowing brackets: bounded state, a few passes."""
-    n = values.count()
-    if not n:
-        return [None] * len(q)
-    return [_interpolated(values, n, x) for x in q]
-
-
-def _interpolated(values: DataFrame, n: int, q: float) -> float:
-    place = q * (n - 1)
-    ranks = math.floor(place), math.ceil(place)
-    below, inside, size, room = 0, values, n, 2e-4
-    while True:
-        if inside.select("v").distinct().limit(BRACKET_VALUES + 1).count() <= BRACKET_VALUES:
-            at, found = below, {}
-            for r in inside.groupBy("v").count().orderBy("v").collect():  # at most BRACKET_VALUES rows
-                for k in ranks:
-                    if at <= k < at + r["count"]:
-                        found[k] = r["v"]
-                at += r["count"]
-            a, b = found[ranks[0]], found[ranks[1]]
-            return float(a + (b - a) * (place - ranks[0]))
-        share = (ranks[0] - below) / size, (ranks[1] - below) / size
-        cuts = inside.agg(F.percentile_approx("v", F.array(F.lit(max(0.0, share[0] - room)), F.lit(min(1.0, share[1] + room))), F.lit(20_000)).alias("c")).first()["c"]
-        low, high = cuts[0], cuts[1]
-        facts = inside.agg(F.count_if(F.col("v") < low).alias("less"), F.count_if(F.col("v").between(low, high)).alias("held")).first()
-        if facts["less"] > ranks[0] - below or facts["less"] + facts["held"] <= ranks[1] - below:
-            room *= 4  # the sketch erred by more than the bracket's room
-            continue
-        below, size = below + facts["less"], facts["held"]
-        inside = inside.where(F.col("v").between(low, high))
+    from tabulens.operators.selection import joint_quantiles
+
+    return joint_quantiles(df, columns, q)
 
 
 def outlier_bounds(q1: float | None, q3: float | None) -> tuple[float, float] | None:
@@ -146,18 +115,27 @@ def identical_pairs(df: DataFrame) -> list[tuple[str, str]]:
     Combined hashes pick the candidates, so that the exact comparison, one pass for all, meets few pairs.
     """
     fields = [f for f in df.schema if kind(f.dataType) != "nested"]
-    sums = aggregate(df, {(f.name, "h"): F.bit_xor(F.xxhash64(col(f.name))) for f in fields})
-    pairs = [(a.name, b.name) for i, a in enumerate(fields) for b in fields[i + 1 :] if a.dataType == b.dataType and sums[a.name, "h"] == sums[b.name, "h"]]
+    # Equal values cancel out in one sum and not in the other; the row's place plays no part in either.
+    sums = aggregate(df, {(f.name, m): e for f in fields for m, e in (("xor", F.bit_xor(F.xxhash64(col(f.name)))), ("sum", F.sum(F.xxhash64(col(f.name)).cast("decimal(38,0)"))))})
+    mark = lambda f: (f.dataType.simpleString(), sums[f.name, "xor"], sums[f.name, "sum"])
+    pairs = [(a.name, b.name) for i, a in enumerate(fields) for b in fields[i + 1 :] if mark(a) == mark(b)]
     if not pairs:
         return []
     same = df.agg(*(F.bool_and(col(a).eqNullSafe(col(b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs))).first()
     return [p for i, p in enumerate(pairs) if same[i] or same[i] is None]
 
 
+def _groupable(c: Column, data_type: T.DataType) -> Column:
+    """A column that can be grouped by; maps and variants can't, so maps go as sorted entries and what holds them deeper, or variants, as JSON."""
+    if isinstance(data_type, T.MapType) and not re.search(r"map<|variant", data_type.simpleString()[4:]):
+        return F.array_sort(F.map_entries(c))
+    return F.to_json(F.struct(c)) if re.search(r"map<|variant", data_type.simpleString()) else c
+
+
 def duplicate_rows(df: DataFrame) -> tuple[int, int]:
     """Rows that have an equal (every member counts), and rows beyond the first of each kind."""
-    names = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
-    row = df.groupBy(*map(col, names)).count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("any"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("extra")).first()
+    keys = [_groupable(col(f.name), f.dataType).alias(f"k{i}") for i, f in enumerate(df.schema)]
+    row = df.groupBy(*keys).count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("any"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("extra")).first()
     return int(row["any"]), int(row["extra"])
 
 

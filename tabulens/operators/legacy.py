@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.functions import stats, text
-from tabulens.operators import classify
+from tabulens.operators import classify, mixed
 from tabulens.operators.columns import aggregate, col, duplicate_rows, kinds, outlier_bounds, outside, present, quantiles, share, value_counts
 
 
@@ -39,6 +39,8 @@ def measures(c: Column, physical: str) -> dict[str, Column]:
 
 def profile(df: DataFrame, approximate: int = 0) -> dict:
     """Per column: missing and null-like counts, parse shares among values that are no null words, flags, inferred type."""
+    types = mixed.type_counts(df) if mixed.names(df) else {}
+    df = mixed.as_text(df)
     shapes = [(n, k) for n, k in kinds(df) if k != "nested"]
     found = aggregate(df, {("", "rows"): F.count("*")} | {(n, m): e for n, k in shapes for m, e in measures(present(df, n), k).items()})
     rows = int(found["", "rows"])
@@ -63,7 +65,7 @@ def profile(df: DataFrame, approximate: int = 0) -> dict:
         p["all_integral"] = f["numeric"] == f["whole"]
         p["integral"] = p["dtype"] in ("tinyint", "smallint", "int", "bigint")
         p["has_case_variations"] = k == "string" and n in distinct and distinct[n]["folded"] < unique
-        p["has_mixed_types"] = False
+        p["has_mixed_types"] = len(types.get(n, ())) > 1
         p["is_potential_id"] = classify.legacy_potential_id(n, unique)
         p["outlier_count"] = int(late[n, "o"]) if n in fences else 0
         p["outlier_percentage"] = share(p["outlier_count"], f["non_null_count"])

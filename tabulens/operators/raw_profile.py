@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.functions import stats, text
-from tabulens.operators import classify, row_order
+from tabulens.operators import classify, gram, mixed, row_order
 from tabulens.operators.columns import aggregate, col, identical_pairs, kinds, outlier_bounds, outside, present, quantiles, rounded, share, value_counts
 
 SAMPLES, OUTLIER_LIST = 5, 1_000
 HIGH_MISSING, HIGH_SKEW, HIGH_CORRELATION = 50.0, 1.0, 0.95
 MIN_OUTLIER_ROWS = 4
+#: Pairs whose correlations go into one aggregate.
+FEW_PAIRS = 100
 INDEX_NAMES = ("", "unnamed: 0", "index")
 
 
@@ -96,6 +98,9 @@ def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None =
     original_names are the header names where df's were normalised. approximate > 0 takes sketched quartiles.
     """
     names = original_names or df.columns
+    types = mixed.type_counts(df) if mixed.names(df) else {}
+    own_strings, dtypes = mixed.strings_only(df) if types else df, {f.name: f.dataType.simpleString() for f in df.schema}
+    df = mixed.as_text(df)
     shapes = kinds(df)
     flat = [(n, k) for n, k in shapes if k != "nested"]
     wanted = {("", "rows"): F.count("*")} | {(n, m): e for n, k in flat for m, e in measures(present(df, n), k).items()}
@@ -105,6 +110,11 @@ def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None =
     distinct = distinct_measures(counts)
     cells = text_measures(counts.where(F.col("column").isin([n for n, k in flat if k == "string"]))) if any(k == "string" for _, k in flat) else {}
     counts.unpersist()
+    if types:
+        # Of a column of several types, only the strings count as text; what parses is taken over all cells.
+        parsed = ("numeric_like", "datetime_like", "boolean_like")
+        texts = text_measures(value_counts(own_strings, list(types)))
+        cells |= {n: NO_TEXT | texts.get(n, {}) | {m: cells[n][m] for m in parsed if n in cells} for n in types}
     views = {n: v for n, k in flat if (v := numeric_view(col(n), k)) is not None}
     views = {n: F.when(~F.isnan(v), v) for n, v in views.items()}
     first = aggregate(df, {(n, m): e for n, v in views.items() for m, e in (("n", F.count(v)), ("skew", stats.adjusted_skewness(v)))})
@@ -132,7 +142,7 @@ def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None =
         p = {
             "name": original,
             "column": n,
-            "dtype": df.schema[n].dataType.simpleString(),
+            "dtype": dtypes[n],
             "physical_type": k,
             "null_count": int(get("null_count")),
             "null_percentage": share(get("null_count"), rows),
@@ -146,8 +156,8 @@ def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None =
             "empty_string_count": int(get("empty_string_count")),
             "whitespace_only_count": int(get("whitespace_only_count")),
             "average_string_length": rounded(get("total_length") / get("string_count")) if get("string_count") else 0.0,
-            "mixed_type_count": int(values > 0),
-            "has_mixed_types": False,
+            "mixed_type_count": len(types[n]) if n in types else int(values > 0),
+            "has_mixed_types": len(types.get(n, ())) > 1,
             "has_case_variations": d["folded"] < d["stripped"] if k == "string" else False,
             "numeric_like_percentage": share(get("numeric_like"), values),
             "datetime_like_percentage": share(get("datetime_like"), values),
@@ -234,14 +244,12 @@ def null_summary(columns: list[dict], rows: int) -> dict:
 
 
 def correlations(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float | None]:
-    """Pearson r of each pair, upper triangle, in one aggregate per batch."""
+    """Pearson r of each pair, upper triangle: in one aggregate for few pairs, by sums of products for many."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    found = {}
-    for k in range(0, len(pairs), 200):
-        part = pairs[k : k + 200]
-        row = df.agg(*(stats.correlation(stats.clean(col(a)), stats.clean(col(b))).alias(f"r{i}") for i, (a, b) in enumerate(part))).first()
-        found |= {p: row[i] for i, p in enumerate(part)}
-    return found
+    if len(pairs) > FEW_PAIRS:
+        return gram.correlations(df, names)
+    row = df.agg(*(stats.correlation(stats.clean(col(a)), stats.clean(col(b))).alias(f"r{i}") for i, (a, b) in enumerate(pairs))).first() if pairs else ()
+    return {p: row[i] for i, p in enumerate(pairs)}
 
 
 def correlation_warnings(df: DataFrame, names: list[str]) -> list[dict]:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulens.operators import executor, raw_profile, statistics, structure, summary
+from tabulens.operators import executor, mixed, raw_profile, statistics, structure, summary
 from tabulens.plans import charts, evidence, report
 from tabulens.plans.planner import plan_cleaning
 from tabulens.sources import ingest
@@ -24,6 +24,7 @@ def run(spark: SparkSession, source: str | DataFrame, data_loss_threshold: float
             if not out["ingestion"]["errors"]:
                 out["raw_profile"] = raw_profile.profile(frame, "raw", source.columns, approximate)
                 out["plan"] = plan_cleaning(out["raw_profile"], frame.columns, date_dayfirst)
+            frame = mixed.as_text(frame)
         else:
             found = ingest.ingest(spark, source, date_dayfirst, approximate)
             frame, out["ingestion"], out["structure"], out["raw_profile"], out["plan"] = found.frame, found.report, found.structure, found.profile, found.plan

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulens import pipeline
 from tabulens.functions import text
-from tabulens.operators import executor, legacy, raw_profile, row_order, statistics, structure, summary, transforms
+from tabulens.operators import executor, gram, legacy, mixed, raw_profile, row_order, selection, statistics, structure, summary, transforms
 from tabulens.operators.columns import duplicate_rows, identical_pairs
 from tabulens.plans import charts, evidence
 from tabulens.plans.planner import Action, Plan, plan_cleaning
@@ -363,6 +363,50 @@ def before_after_diff(spark, sf_dir):
     return spark.createDataFrame([("v", c["unique_count"]["before"], c["unique_count"]["after"], c["null_percentage"]["after"])], "column_name string, unique_before long, unique_after long, null_percentage double")
 
 
+# --- all columns together -----------------------------------------------------------------------------------------
+
+WIDE = {f"x{i}": f"case when (l_orderkey + {i}) % 11 <> 0 then l_quantity * {i % 5} + l_extendedprice * {i % 3} / 1000 + l_linenumber * {i % 7} + l_discount * {i} end" for i in range(1, 25)}
+
+
+@query(
+    f"with t as (select {', '.join(f'{e} as {n}' for n, e in WIDE.items())} from lineitem) "
+    + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as correlation from t" for i, a in enumerate(WIDE) for b in list(WIDE)[i + 1 :])
+)
+def wide_correlations(spark, sf_dir):
+    """Pairwise complete correlations of 24 columns by one pass of block sums."""
+    df = table(spark, sf_dir, "lineitem").select(*(F.expr(e).alias(n) for n, e in WIDE.items()))
+    rows = [(a, b, round(r, 6)) for (a, b), r in gram.correlations(df, list(WIDE)).items()]
+    return spark.createDataFrame(rows, "a string, b string, correlation double")
+
+
+RANKED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_orderkey")
+
+
+@query(" union all ".join(f"select '{n}' as column_name, cast({q} as double) as q, round(cast(quantile_cont({n}, {q}) as double), 6) as value from lineitem" for n in RANKED for q in (0.1, 0.25, 0.5, 0.75, 0.9)))
+def joint_quantiles(spark, sf_dir):
+    """Quantiles of all columns by narrowing their brackets together, as tables beyond PERCENTILE_ROWS get them."""
+    found = selection.joint_quantiles(table(spark, sf_dir, "lineitem"), {n: F.col(n) for n in RANKED}, (0.1, 0.25, 0.5, 0.75, 0.9))
+    return spark.createDataFrame([(n, q, round(v, 6)) for n, values in found.items() for q, v in zip((0.1, 0.25, 0.5, 0.75, 0.9), values, strict=True)], "column_name string, q double, value double")
+
+
+MIXED = """select o_orderkey, case when o_orderkey % 7 = 0 then concat('"', o_orderpriority, '"') when o_orderkey % 5 = 0 then 'true' when o_orderkey % 11 = 0 then 'null'
+  when o_orderkey % 3 = 0 then cast(o_orderkey as varchar(20)) when o_orderkey % 13 = 0 then '" na"' else '12.5' end as cell from orders"""
+
+
+@query(
+    f"with t as (select *, json_type(cell) as kind from ({MIXED})) select cast(count(distinct kind) filter (kind <> 'NULL') as bigint) as mixed_type_count, count(distinct kind) filter (kind <> 'NULL') > 1 as has_mixed_types, "
+    "cast(count(*) filter (kind = 'NULL') as bigint) as null_count, cast(count(*) filter (kind = 'VARCHAR') as bigint) as string_count, cast(count(*) filter (kind = 'BOOLEAN') as bigint) as n_bool, "
+    "cast(count(*) filter (kind = 'DOUBLE') as bigint) as n_float, cast(count(*) filter (kind in ('UBIGINT', 'BIGINT')) as bigint) as n_int, cast(count(*) filter (cell = '\" na\"') as bigint) as null_like_count from t"
+)
+def mixed_types(spark, sf_dir):
+    """What the profile says of a column of JSON cells of several types."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    df = spark.sql(MIXED).select(F.parse_json("cell").alias("cell"))
+    p, counts = raw_profile.profile(df)["columns"][0], mixed.type_counts(df)["cell"]
+    row = (p["mixed_type_count"], p["has_mixed_types"], p["null_count"], p["string_count"], counts["bool"], counts["float"], counts["int"], p["null_like_count"])
+    return spark.createDataFrame([row], "mixed_type_count long, has_mixed_types boolean, null_count long, string_count long, n_bool long, n_float long, n_int long, null_like_count long")
+
+
 # --- transforms ---------------------------------------------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulens.functions import text
-from tabulens.operators import raw_profile, structure
+from tabulens.operators import mixed, raw_profile, structure
 from tabulens.operators.columns import aggregate, col
 from tabulens.plans.planner import Plan, plan_cleaning
 from tabulens.sources import encodings
@@ -145,7 +145,7 @@ def read(spark: SparkSession, path: str, report: dict) -> tuple[DataFrame | None
         df = spark.read.parquet(path)
         return nan_to_null(df), df.columns
     if ext == "json":
-        df = spark.read.json(path, multiLine=data.lstrip()[:1] == b"[")
+        df = mixed.read_json(spark, path, data.lstrip()[:1] == b"[")
         return nan_to_null(df), df.columns
     if ext in ("xlsx", "xls", "xlsm"):
         return read_excel(spark, path, report)
@@ -205,7 +205,7 @@ def ingest(spark: SparkSession, path: str, date_dayfirst: bool | None = None, ap
         out.profile = raw_profile.profile(named, "raw", header, approximate)
         out.plan = plan_cleaning(out.profile, named.columns, date_dayfirst)
         out.report |= {"row_count": out.profile["row_count"], "column_count": out.profile["column_count"]}
-        out.frame = named
+        out.frame = mixed.as_text(named)
     except Exception as e:  # the report is the interface for faults of the input
         out.report["errors"].append(f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
     return out

@@ -3,8 +3,9 @@ import json
 import pytest
 
 from tabulens import pipeline
-from tabulens.operators import raw_profile, row_order
+from tabulens.operators import legacy, mixed, raw_profile, row_order
 from tabulens.plans import charts, evidence
+from tabulens.plans.planner import plan_legacy
 from tabulens.sources import encodings, ingest, sinks
 
 
@@ -171,3 +172,29 @@ def test_row_order_over_splits(spark, put, tmp_path, small_splits):
     many = row_order.numbered(spark.read.parquet(str(folder)))
     assert sorted(r["__row_idx"] for r in many.collect()) == list(range(1000))
     assert row_order.in_order(spark.range(5), row_order.F.col("id")) is None
+
+
+def test_json_cells_of_several_types(spark, put):
+    rows = [{"k": i, "v": v, "s": "x", "n.o": {"d": 1}} for i, v in enumerate([1, 2.5, "three", " na ", True, None, {"a": 1}, [1], "4"])]
+    for content in (json.dumps(rows), "\n".join(map(json.dumps, rows))):
+        got = ingest.ingest(spark, put("a.json", content))
+        assert not got.report["errors"]
+        by = {p["name"]: p for p in got.profile["columns"]}
+        v = by["v"]
+        assert (v["mixed_type_count"], v["has_mixed_types"], v["dtype"], v["null_count"]) == (6, True, "variant", 1)
+        assert (v["string_count"], v["whitespace_count"], v["null_like_count"]) == (3, 1, 1)
+        assert (by["s"]["mixed_type_count"], by["s"]["has_mixed_types"], by["k"]["has_mixed_types"]) == (1, False, False)
+        assert got.frame.schema["v"].dataType.simpleString() == "string"
+        assert [r["v"] for r in got.frame.orderBy("k").collect()] == ["1", "2.5", "three", " na ", "true", None, '{"a":1}', "[1]", "4"]
+    out = pipeline.run(spark, put("b.json", json.dumps(rows)))
+    assert out["pipeline_error"] is None
+
+
+def test_variants_in_a_frame(spark):
+    df = spark.sql("select id, parse_json(case when id % 3 = 0 then '1' when id % 3 = 1 then '\"a\"' else 'null' end) as v from range(9)")
+    assert mixed.type_counts(df) == {"v": {"int": 3, "str": 3}}
+    assert [p["has_mixed_types"] for p in legacy.profile(df)["columns"]] == [False, True]
+    assert raw_profile.profile(df)["columns"][1]["null_count"] == 3
+    numbers = spark.sql("select parse_json(if(id % 2 = 0, cast(id as string), concat('\"', id, '\"'))) as amount from range(40)")
+    plan = plan_legacy(legacy.profile(numbers))
+    assert [a.columns for a in plan.actions if a.action == "review_mixed_types"] == [["amount"]]

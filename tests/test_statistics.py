@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tabulens.functions import stats
-from tabulens.operators import columns, raw_profile, statistics, transforms
+from tabulens.operators import columns, gram, raw_profile, selection, statistics, transforms
 
 
 def frame(spark, values):
@@ -43,12 +43,76 @@ def test_quartiles_equal_means_no_raw_outliers_but_statistical_ones(spark):
     assert statistics.numeric_statistics(df, ["v"])["v"]["outlier_count"] == 1
 
 
-def test_narrowed_quantiles_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(columns, "BRACKET_VALUES", 50)
+def counting(monkeypatch):
+    """How often tables are scanned for quantiles."""
+    scans = []
+    for name in ("aggregate", "histograms"):
+        real = getattr(selection, name)
+        monkeypatch.setattr(selection, name, lambda *a, real=real, name=name: (scans.append(name), real(*a))[1])
+    return scans
+
+
+def test_joint_quantiles_of_many_columns(spark, monkeypatch):
+    """25 columns, three quantiles each, in four scans: exact, whatever the shape of the values."""
+    monkeypatch.setattr(columns, "PERCENTILE_ROWS", 0)
+    scans = counting(monkeypatch)
     rng = np.random.default_rng(1)
-    values = np.concatenate([rng.normal(size=4000), np.full(500, 0.25)])
-    got = columns.exact_quantiles(frame(spark, values), (0.25, 0.5, 0.75))
-    assert got == pytest.approx(np.quantile(values, [0.25, 0.5, 0.75]).tolist(), abs=1e-12)
+    shapes = [rng.normal, rng.standard_cauchy, lambda size: rng.integers(0, 5, size).astype(float), lambda size: np.exp(rng.normal(0, 30, size)), lambda size: np.concatenate([np.full(size - 3, 7.0), [1e300, -1e300, 5e-324]])]
+    data = {f"c{i}": shapes[i % 5](size=3000) for i in range(25)}
+    df = spark.createDataFrame(pd.DataFrame(data))
+    got = columns.quantiles(df, {n: F.col(n) for n in data}, (0.25, 0.5, 0.75), 3000)
+    assert len(scans) <= 4
+    for n, v in data.items():
+        assert got[n] == pytest.approx(np.quantile(v, [0.25, 0.5, 0.75]).tolist(), rel=1e-12), n
+
+
+def test_joint_quantiles_at_the_edges(spark, monkeypatch):
+    rows = [(1.0, None, float("inf"), 1), (None, None, float("-inf"), 2), (2.0, None, 5.0, 2**60), (2.0, None, float("inf"), -4)]
+    df = spark.createDataFrame(rows, "a double, none double, ends double, whole long")
+    got = selection.joint_quantiles(df, {n: F.col(n) for n in df.columns}, (0.0, 0.5, 1.0))
+    assert got == {"a": [1.0, 2.0, 2.0], "none": [None] * 3, "ends": [float("-inf"), float("inf"), float("inf")], "whole": [-4.0, 1.5, float(2**60)]}
+    # Sketches that miss: brackets are widened until they hold the ranks; few bins take more passes and give the same.
+    monkeypatch.setattr(selection, "ACCURACY", 2)
+    values = np.random.default_rng(3).normal(size=5000)
+    got = selection.joint_quantiles(frame(spark, values), {"v": F.col("v")}, (0.1, 0.9, 0.999), bins=3)
+    assert got["v"] == pytest.approx(np.quantile(values, [0.1, 0.9, 0.999]).tolist(), rel=1e-12)
+
+
+def test_correlations_of_200_columns(spark):
+    """Pairwise complete, by blocks of any size, equal to pandas; constants have none."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(600, 8))
+    x = base @ rng.normal(size=(8, 200)) + rng.normal(size=(600, 200)) * 0.5 + 1e6 * rng.normal(size=200)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 7], x[:, 9] = 3.0, np.nan
+    x[5:, 11] = np.nan
+    names = [f"c{i}" for i in range(200)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(5)
+    centred = x - np.nan_to_num(pd.DataFrame(x).mean().to_numpy())  # pandas itself is off by 1e-8 beside large means
+    want = pd.DataFrame(centred, columns=names).corr(min_periods=2)
+    for some, block in ((names, gram.BLOCK), (names[:30], 7)):
+        got = gram.correlations(df, some, block)
+        assert list(got) == [(a, b) for i, a in enumerate(some) for b in some[i + 1 :]]
+        for (a, b), r in got.items():
+            w = want.loc[a, b]
+            assert (r is None) == bool(np.isnan(w)), (a, b, r, w)
+            assert r is None or r == pytest.approx(w, abs=1e-9)
+    assert raw_profile.correlations(df, names[:20])["c0", "c1"] == pytest.approx(want.loc["c0", "c1"], abs=1e-9)
+    assert set(gram.correlations(df.where("c0 is null and c0 is not null"), names[:3]).values()) == {None}
+
+
+def test_identical_columns_of_even_counts(spark):
+    """Values that come in even numbers cancel out in one checksum; the other tells the columns apart."""
+    df = spark.createDataFrame([(i % 2, i // 2 % 2, i % 2, i % 2 + 2) for i in range(8)], "a int, b int, c int, d int")
+    assert columns.identical_pairs(df) == [("a", "c")]
+    assert columns.identical_pairs(df.where("a > 9")) == columns.identical_pairs(df.where("a > 9"))
+
+
+def test_duplicates_of_rows_with_maps_and_variants(spark):
+    df = spark.sql("select 1 as v, map('a', i % 2, 'b', 1) as m from range(4) t(i)")
+    assert columns.duplicate_rows(df) == (4, 2)
+    assert columns.duplicate_rows(spark.sql("select map('a', 1, 'b', 2) as m union all select map('b', 2, 'a', 1)")) == (2, 1)
+    assert columns.duplicate_rows(spark.sql("select parse_json(if(i < 3, '1', '\"1\"')) as v from range(4) t(i)")) == (3, 2)
 
 
 def test_topk_ties_go_by_value(spark):
