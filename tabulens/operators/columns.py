@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.functions import stats
+from tabulens.functions import stats, text
 
 #: Columns whose aggregates go into one plan; wider tables take several.
 BATCH = 25
@@ -66,6 +66,46 @@ def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*cells)).alias("cell")).where("cell.value is not null").groupBy("cell.column", "cell.value").agg(F.count("*").alias("n"))
 
 
+def cells_of(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, value, n) of every non-null cell as text, n = 1; what is grouped by column alone shuffles no text."""
+    cells = [F.struct(F.lit(n).alias("column"), present(df, n).cast("string").alias("value"), F.lit(1).cast("long").alias("n")) for n in names]
+    return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where("value is not null")
+
+
+def cell_marks(df: DataFrame, names: list[str], blanks: bool = False) -> DataFrame:
+    """(column, mark1, mark2, stripped, folded) of each distinct non-null value: 128 bits of hashes stand for the value, and for texts 64 each for it stripped and in lower case.
+
+    Texts are hashed where they are read, so a row in the shuffle has the same small size for any column. Blank texts
+    have no stripped form unless blanks is set.
+    """
+    none = F.lit(None).cast("long")
+    cells = []
+    for n, k in kinds(df):
+        if n not in names:
+            continue
+        c = present(df, n)
+        shown = text.strip(c) if k == "string" else None
+        shown = shown if shown is None or blanks else F.when(shown != "", shown)
+        hashed = lambda x: F.when(x.isNotNull(), F.xxhash64(x))
+        forms = (none, none) if shown is None else (hashed(shown), hashed(F.lower(shown)))
+        cells.append(F.struct(F.lit(n).alias("column"), F.when(c.isNotNull(), F.xxhash64(c)).alias("mark1"), F.xxhash64(F.lit(1), c).alias("mark2"), forms[0].alias("stripped"), forms[1].alias("folded")))
+    long = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where("mark1 is not null")
+    return long.groupBy("column", "mark1", "mark2").agg(F.max("stripped").alias("stripped"), F.max("folded").alias("folded"))
+
+
+def distinct_measures(df: DataFrame, names: list[str], blanks: bool = False) -> dict[str, dict]:
+    """unique, and distinct stripped values with (stripped) and without (folded) case, of each column."""
+    if not names:
+        return {}
+    marks = cell_marks(df, names, blanks)
+    texts = [F.countDistinct("stripped").alias("stripped"), F.countDistinct("folded").alias("folded")]
+    shapes = dict(kinds(df))
+    if not any(shapes[n] == "string" for n in names):
+        texts = [F.lit(0).cast("long").alias(c) for c in ("stripped", "folded")]
+    rows = marks.groupBy("column").agg(F.count("*").alias("unique"), *texts)
+    return {r["column"]: r.asDict() for r in rows.collect()}
+
+
 def top_values(counts: DataFrame, limit: int) -> DataFrame:
     """The most frequent values of each column with their rank; ties by value. The limit holds within tasks before the shuffle."""
     from pyspark.sql import Window

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulens.functions import stats, text
 from tabulens.operators import classify, mixed
-from tabulens.operators.columns import aggregate, col, duplicate_rows, kinds, outlier_bounds, outside, present, quantiles, share, value_counts
+from tabulens.operators.columns import aggregate, col, distinct_measures, duplicate_rows, kinds, outlier_bounds, outside, present, quantiles, share
 
 
 def measures(c: Column, physical: str) -> dict[str, Column]:
@@ -44,9 +44,7 @@ def profile(df: DataFrame, approximate: int = 0) -> dict:
     shapes = [(n, k) for n, k in kinds(df) if k != "nested"]
     found = aggregate(df, {("", "rows"): F.count("*")} | {(n, m): e for n, k in shapes for m, e in measures(present(df, n), k).items()})
     rows = int(found["", "rows"])
-    counts = value_counts(df, [n for n, _ in shapes])
-    folded = F.lower(text.strip(F.col("value")))
-    distinct = {r["column"]: r for r in counts.groupBy("column").agg(F.count("*").alias("unique"), F.countDistinct(folded).alias("folded")).collect()}
+    distinct = distinct_measures(df, [n for n, _ in shapes], blanks=True)
     numeric = {n: stats.clean(col(n)) for n, k in shapes if k == "numeric"}
     quarts = quantiles(df, numeric, (0.25, 0.75), rows, approximate)
     fences = {n: b for n, (a, z) in quarts.items() if a is not None and a != z and (b := outlier_bounds(a, z))}

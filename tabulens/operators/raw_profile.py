@@ -1,8 +1,9 @@
 """The raw profile: every measure of every column, and what they add up to for the table.
 
-Jobs per table, whatever its width: one aggregate for the counts (in batches of columns), one shuffle of value counts for
-everything that reads texts or needs distinct values, so that a text is parsed once however often it occurs, quartiles,
-and one aggregate for what depends on them. Decisions are plain Python over these rows.
+Jobs per table, whatever its width: one aggregate for the counts (in batches of columns), one shuffle of hashes for
+distinct values, one aggregate over texts, quartiles, and one aggregate for what depends on them. Texts of columns with
+few values are counted first, so that each is parsed once; the others are parsed where they are read, so that no more
+than FEW_VALUES of a text column's cells are shuffled as such. Decisions are plain Python over these rows.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 
 from tabulens.functions import stats, text
 from tabulens.operators import classify, gram, mixed, row_order
-from tabulens.operators.columns import aggregate, col, identical_pairs, kinds, outlier_bounds, outside, present, quantiles, rounded, share, value_counts
+from tabulens.operators.columns import aggregate, cells_of, col, distinct_measures, identical_pairs, kinds, outlier_bounds, outside, present, quantiles, rounded, share, value_counts
 
 SAMPLES, OUTLIER_LIST = 5, 1_000
 HIGH_MISSING, HIGH_SKEW, HIGH_CORRELATION = 50.0, 1.0, 0.95
 MIN_OUTLIER_ROWS = 4
+#: Distinct values of a text column, as a share of its rows, up to which they are counted before they are parsed.
+FEW_VALUES = 0.2
 #: Pairs whose correlations go into one aggregate.
 FEW_PAIRS = 100
 INDEX_NAMES = ("", "unnamed: 0", "index")
@@ -39,8 +42,15 @@ def measures(c: Column, physical: str) -> dict[str, Column]:
     }
 
 
-def text_measures(counts: DataFrame) -> dict[str, dict]:
-    """What the cells of each text column look like, from rows (column, value, n); the state of a column is bounded."""
+def text_cells(df: DataFrame, about: dict[str, int], rows: int) -> DataFrame:
+    """(column, value, n) of text columns, of which about[n] says how many values they have: counted where these are few, else a row a cell."""
+    few = [n for n, values in about.items() if values <= FEW_VALUES * rows]
+    many = [n for n in about if n not in few]
+    return cells_of(df, many).unionByName(value_counts(df, few)) if few and many else value_counts(df, few) if few else cells_of(df, many)
+
+
+def text_measures(counts: DataFrame, only: tuple[str, ...] = ()) -> dict[str, dict]:
+    """What the cells of each text column look like (or some of it), from rows (column, value, n); the state of a column is bounded."""
     cells = counts.select("column", "value", "n", text.strip(F.col("value")).alias("stripped"))
     cells = cells.select("*", F.lower("stripped").alias("token"), text.date_signature(F.col("stripped")).alias("date"), text.unit_signature(F.col("stripped")).alias("unit"))
     value, stripped, token, size = F.col("value"), F.col("stripped"), F.col("token"), F.char_length("value")
@@ -64,7 +74,7 @@ def text_measures(counts: DataFrame) -> dict[str, dict]:
         "first_unit": F.min("unit"),
         "last_unit": F.max("unit"),
     }
-    rows = cells.groupBy("column").agg(*(e.alias(m) for m, e in wanted.items())).collect()
+    rows = cells.groupBy("column").agg(*(e.alias(m) for m, e in wanted.items() if not only or m in only)).collect()
     return {r["column"]: r.asDict() for r in rows}
 
 
@@ -75,14 +85,6 @@ def numeric_view(c: Column, physical: str) -> Column | None:
     return stats.clean(text.to_number_generic(c)) if physical == "string" else None
 
 
-def distinct_measures(counts: DataFrame) -> dict[str, dict]:
-    """unique, and distinct stripped values with and without case, of each column, from rows (column, value, n)."""
-    stripped = text.strip(F.col("value"))
-    shown = F.when(stripped != "", stripped)
-    rows = counts.groupBy("column").agg(F.count("*").alias("unique"), F.countDistinct(shown).alias("stripped"), F.countDistinct(F.lower(shown)).alias("folded"))
-    return {r["column"]: r.asDict() for r in rows.collect()}
-
-
 def index_like(df: DataFrame, original: str, name: str, physical: str, rows: int) -> bool:
     """Whether a column named like an index holds 0 to n - 1, in the order of the rows where the table's source has one."""
     if original.strip().lower() not in INDEX_NAMES or physical != "numeric" or not rows:
@@ -104,12 +106,12 @@ def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None =
     shapes = kinds(df)
     flat = [(n, k) for n, k in shapes if k != "nested"]
     wanted = {("", "rows"): F.count("*")} | {(n, m): e for n, k in flat for m, e in measures(present(df, n), k).items()}
+    wanted |= {(n, "about"): F.approx_count_distinct(col(n)) for n, k in flat if k == "string"}
     found = aggregate(df, wanted)
     rows = int(found["", "rows"])
-    counts = value_counts(df, [n for n, _ in flat]).persist()
-    distinct = distinct_measures(counts)
-    cells = text_measures(counts.where(F.col("column").isin([n for n, k in flat if k == "string"]))) if any(k == "string" for _, k in flat) else {}
-    counts.unpersist()
+    distinct = distinct_measures(df, [n for n, _ in flat])
+    about = {n: found[n, "about"] for n, k in flat if k == "string"}
+    cells = text_measures(text_cells(df, about, rows)) if about else {}
     if types:
         # Of a column of several types, only the strings count as text; what parses is taken over all cells.
         parsed = ("numeric_like", "datetime_like", "boolean_like")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.functions import stats, text
-from tabulens.operators.columns import aggregate, col, kinds, outlier_bounds, outside, quantiles, share, top_values, value_counts
-from tabulens.operators.raw_profile import correlations, distinct_measures
+from tabulens.operators.columns import aggregate, col, distinct_measures, kinds, outlier_bounds, outside, quantiles, share, top_values, value_counts
+from tabulens.operators.raw_profile import correlations
 
 TOP = 10
 
@@ -114,7 +114,7 @@ def statistical_profile(df: DataFrame, summary: dict, approximate: int = 0) -> d
     of = lambda kind: [n for n in eligible if types[n]["semantic_type"] == kind]
     rows = summary["cleaned_profile"]["row_count"]
     numeric = of("numeric")
-    distinct = distinct_measures(value_counts(df, eligible)) if eligible else {}
+    distinct = distinct_measures(df, eligible)
     columns = {}
     for n in eligible:
         p, unique = types[n], distinct.get(n, {"unique": 0})["unique"]

@@ -57,4 +57,7 @@ def run(spark: SparkSession, source: str | DataFrame, data_loss_threshold: float
         out["markdown"] = report.markdown(out)
     except Exception as e:  # the result is the interface for faults
         out["pipeline_error"] = {"stage": stage, "type": type(e).__name__, "message": str(e).splitlines()[0] if str(e) else ""}
+    finally:
+        if "cleaned_frame" in out:
+            out["cleaned_frame"].unpersist()  # the stages read it often; a caller who does so too persists it again
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabulens import pipeline
 from tabulens.functions import text
 from tabulens.operators import executor, gram, legacy, mixed, raw_profile, row_order, selection, statistics, structure, summary, transforms
-from tabulens.operators.columns import duplicate_rows, identical_pairs
+from tabulens.operators.columns import cells_of, distinct_measures, duplicate_rows, identical_pairs, rounded, share, value_counts
 from tabulens.plans import charts, evidence
 from tabulens.plans.planner import Action, Plan, plan_cleaning
 
@@ -192,7 +192,12 @@ UNIQUE = (("customer", ("c_custkey", "c_name", "c_mktsegment")), ("part", ("p_br
 
 @query(" union all ".join(f"select '{c}' as column_name, cast(count(distinct {c}) as bigint) as unique_count, round(1.0 * count(distinct {c}) / count(*), 4) as uniqueness_ratio from {t}" for t, cs in UNIQUE for c in cs))
 def uniqueness(spark, sf_dir):
-    rows = [(p["name"], p["unique_count"], p["uniqueness_ratio"]) for t, cs in UNIQUE for p in raw_profile.profile(table(spark, sf_dir, t).select(*cs))["columns"]]
+    """Distinct values by their hashes: no text is shuffled."""
+    rows = []
+    for t, cs in UNIQUE:
+        df = table(spark, sf_dir, t).select(*cs)
+        found, n = distinct_measures(df, list(cs)), df.count()
+        rows += [(c, found[c]["unique"], rounded(found[c]["unique"] / n)) for c in cs]
     return spark.createDataFrame(rows, "column_name string, unique_count long, uniqueness_ratio double")
 
 
@@ -208,15 +213,15 @@ NUMBER_SQL = r"(regexp_full_match(trim(v), '[+-]?(?:\d+(?:\.\d*)?|\.\d+)') or re
 @query(cte("text_numbers") + f"select round(100.0 * sum(case when {NUMBER_SQL} then 1 else 0 end) / count(v), 4) as numeric_like, cast(sum(case when {NUMBER_SQL} then 1 else 0 end) as bigint) as parsed, round(sum(case when {NUMBER_SQL} then try_cast(replace(trim(v), ',', '') as double) end), 2) as total from t")
 def numeric_parse_rate(spark, sf_dir):
     df = dirty(spark, sf_dir, "text_numbers")
-    p = raw_profile.profile(df.select("v"))["columns"][0]
+    found = raw_profile.text_measures(cells_of(df, ["v"]), ("string_count", "numeric_like"))["v"]
     c = text.to_number(F.col("v"))
-    return df.agg(F.lit(p["numeric_like_percentage"]).alias("numeric_like"), F.count(c).alias("parsed"), F.round(F.sum(c), 2).alias("total"))
+    return df.agg(F.lit(share(found["numeric_like"], found["string_count"])).alias("numeric_like"), F.count(c).alias("parsed"), F.round(F.sum(c), 2).alias("total"))
 
 
 @query(cte("text_dates") + "select round(100.0 * count(coalesce(try_strptime(v, '%Y-%m-%d'), try_strptime(v, '%m/%d/%Y'), try_strptime(v, '%d/%m/%Y'))) / count(v), 4) as datetime_like from t")
 def datetime_parse_rate(spark, sf_dir):
-    p = raw_profile.profile(dirty(spark, sf_dir, "text_dates").select("v"))["columns"][0]
-    return spark.createDataFrame([(p["datetime_like_percentage"],)], "datetime_like double")
+    found = raw_profile.text_measures(value_counts(dirty(spark, sf_dir, "text_dates"), ["v"]), ("string_count", "datetime_like"))["v"]
+    return spark.createDataFrame([(share(found["datetime_like"], found["string_count"]),)], "datetime_like double")
 
 
 @query(cte("text_booleans") + "select round(100.0 * sum(case when lower(trim(v)) in ('true','yes','y','1','false','no','n','0') then 1 else 0 end) / count(v), 4) as boolean_like from t")
