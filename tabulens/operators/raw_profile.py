@@ -3,7 +3,7 @@
 Jobs per table, whatever its width: one aggregate for the counts (in batches of columns), one shuffle of hashes for
 distinct values, one aggregate over texts, quartiles, and one aggregate for what depends on them. Texts of columns with
 few values are counted first, so that each is parsed once; the others are parsed where they are read, so that no more
-than FEW_VALUES of a text column's cells are shuffled as such. Decisions are plain Python over these rows.
+than FEW_VALUES of a text column's cells (or SMALL of them) are shuffled as such. Decisions are plain Python over these rows.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from tabulens.operators.columns import aggregate, cells_of, col, distinct_measur
 SAMPLES, OUTLIER_LIST = 5, 1_000
 HIGH_MISSING, HIGH_SKEW, HIGH_CORRELATION = 50.0, 1.0, 0.95
 MIN_OUTLIER_ROWS = 4
-#: Distinct values of a text column, as a share of its rows, up to which they are counted before they are parsed.
-FEW_VALUES = 0.2
+#: Distinct values of a text column, as a share of its rows or a number, up to which they are counted before they are parsed.
+FEW_VALUES, SMALL = 0.2, 100_000
 #: Pairs whose correlations go into one aggregate.
 FEW_PAIRS = 100
 INDEX_NAMES = ("", "unnamed: 0", "index")
@@ -44,7 +44,7 @@ def measures(c: Column, physical: str) -> dict[str, Column]:
 
 def text_cells(df: DataFrame, about: dict[str, int], rows: int) -> DataFrame:
     """(column, value, n) of text columns, of which about[n] says how many values they have: counted where these are few, else a row a cell."""
-    few = [n for n, values in about.items() if values <= FEW_VALUES * rows]
+    few = [n for n, values in about.items() if values <= max(FEW_VALUES * rows, SMALL)]
     many = [n for n in about if n not in few]
     return cells_of(df, many).unionByName(value_counts(df, few)) if few and many else value_counts(df, few) if few else cells_of(df, many)
 

@@ -368,6 +368,95 @@ def before_after_diff(spark, sf_dir):
     return spark.createDataFrame([("v", c["unique_count"]["before"], c["unique_count"]["after"], c["null_percentage"]["after"])], "column_name string, unique_before long, unique_after long, null_percentage double")
 
 
+# --- profiles and what follows from them, as SQL over aggregates -----------------------------------------------------
+
+WORDS = ", ".join(f"'{w}'" for w in text.NULL_WORDS)
+YES_NO = ", ".join(f"'{w}'" for w in (*text.TRUE_WORDS, *text.FALSE_WORDS))
+GENERIC_SQL = rf"try_cast(case when regexp_full_match(trim(@c), '{text.GENERIC_NUMBER.strip('^$')}') then trim(@c) end as double)"
+DATE_SQL = "coalesce(try_strptime(@c, '%Y-%m-%d'), try_strptime(@c, '%m/%d/%Y'), try_strptime(@c, '%d/%m/%Y'))"
+UNIT_SQL = rf"case when regexp_matches(trim(@c), '{text.MEASURE}') then case when len(regexp_extract_all(trim(@c), '{text.UNIT}')) > 0 then 'unit:' || array_to_string(list_sort(list_transform(regexp_extract_all(trim(@c), '{text.UNIT}'), lambda x: lower(x))), ' ') when @number then 'unit:none' end end"
+SIGNATURE_SQL = rf"case when regexp_matches(trim(@c), '{text.ISO_DATE}') then 'iso_date' when regexp_matches(trim(@c), '{text.NUMERIC_DATE}') then 'numeric_date' end"
+
+
+def column_sql(at: int, name: str, kind: str, relation: str) -> str:
+    """One row of a column's measures: kind is text, numeric or datetime."""
+    number = f"case when {name} is not null then cast({name} as double) end" if kind == "numeric" else GENERIC_SQL.replace("@c", name) if kind == "text" else "cast(null as double)"
+    parsed = NUMBER_SQL.replace("trim(v)", f"trim({name})")
+    like = f"sum(case when {{}} then 1 else 0 end) / nullif(count({name}), 0)"
+    shares = {
+        "text": (like.format(parsed), f"count({DATE_SQL.replace('@c', f'trim({name})')}) / nullif(count({name}), 0)", like.format(f"lower(trim({name})) in ({YES_NO})")),
+        "numeric": ("1", "0", like.format(f"{name} in (0, 1)")),
+        "datetime": ("0", "1", "0"),
+    }[kind]
+    of_text = lambda sql, other: sql.replace("@number", parsed).replace("@c", name) if kind == "text" else other
+    return f"""select {at} as position, '{name}' as name, '{kind}' as kind, any_value(lower(typeof({name}))) as type, count(*) as n_rows, count(*) - count({name}) as null_count, count({name}) as n_values, count(distinct {name}) as unique_count,
+      round(count(distinct {name}) / count(*), 4) as ratio, {of_text("sum(case when lower(trim(@c)) in (" + WORDS + ") then 1 else 0 end)", "0")} as null_like_count, {of_text("sum(case when @c <> trim(@c) then 1 else 0 end)", "0")} as whitespace_count,
+      round(100.0 * {shares[0]}, 4) as numeric_like, round(100.0 * {shares[1]}, 4) as datetime_like, round(100.0 * {shares[2]}, 4) as boolean_like,
+      {of_text("min(length(@c)) <> max(length(@c))", "false")} as varies, {of_text("count(distinct case when trim(@c) <> '' then lower(trim(@c)) end) < count(distinct case when trim(@c) <> '' then trim(@c) end)", "false")} as case_variations,
+      {of_text("count(distinct " + SIGNATURE_SQL + ") + count(distinct " + UNIT_SQL + ")", "0")} as signatures,
+      case when count(x) >= 4 and max(q3) <> max(q1) then sum(case when x < q1 - 1.5 * (q3 - q1) or x > q3 + 1.5 * (q3 - q1) then 1 else 0 end) else 0 end as outlier_count, case when count(x) >= 4 then skewness(x) end as skewness
+      from (select *, {number} as x, quantile_cont({number}, 0.25) over () as q1, quantile_cont({number}, 0.75) over () as q3 from {relation})"""
+
+
+def profile_sql(relation: str, columns: tuple[tuple[str, str], ...]) -> str:
+    """CTEs facts and typed: the measures of a relation's columns and their semantic types."""
+    return f"""facts as ({" union all ".join(column_sql(i, n, k, relation) for i, (n, k) in enumerate(columns))}), typed as (
+      select *, case when kind = 'numeric' then 'numeric' when kind = 'datetime' then 'datetime' when numeric_like >= 80 then 'numeric' when datetime_like >= 80 then 'datetime' when boolean_like >= 80 then 'boolean'
+        when unique_count / n_rows <= 0.2 and unique_count > 1 then 'categorical' when unique_count / n_rows >= 0.9 and varies then 'free_text' else 'unresolved' end as semantic_type from facts)"""
+
+
+ORDER_KINDS = (("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "text"), ("o_totalprice", "numeric"), ("o_orderdate", "datetime"), ("o_orderpriority", "text"))
+PART_KINDS = (("p_partkey", "numeric"), ("p_name", "text"), ("p_brand", "text"), ("p_type", "text"), ("p_size", "numeric"), ("p_retailprice", "numeric"))
+
+PROFILE_SQL = f"""with {profile_sql("orders", ORDER_KINDS)} select cast(position as int) as position, name, case type when 'varchar' then 'string' when 'double' then 'double' when 'timestamp' then 'timestamp_ntz' else type end as dtype, semantic_type,
+  round(case when semantic_type = 'categorical' then 1 - unique_count / n_rows when semantic_type = 'free_text' then unique_count / n_rows when semantic_type = 'unresolved' then 0 else 1.0 end, 4) as confidence, cast(null_count as bigint) as null_count, cast(unique_count as bigint) as unique_count, ratio as uniqueness_ratio,
+  cast(null_like_count as bigint) as null_like_count, cast(whitespace_count as bigint) as whitespace_count, numeric_like as numeric_like_percentage, datetime_like as datetime_like_percentage, boolean_like as boolean_like_percentage, cast(outlier_count as bigint) as outlier_count, round(skewness, 4) as skewness from typed"""
+
+#: The planner's rules in the order of their ids, each a condition and a confidence in percent.
+PLAN_RULES = (
+    ("strip_whitespace", "whitespace_count > 0", "100.0 * whitespace_count / n_rows"),
+    ("convert_to_numeric", "kind = 'text' and numeric_like >= 80 and semantic_type = 'numeric'", "numeric_like"),
+    ("convert_to_datetime", "kind = 'text' and datetime_like >= 80 and semantic_type = 'datetime' and signatures <= 1", "datetime_like"),
+    ("convert_to_boolean", "kind = 'text' and boolean_like >= 80 and semantic_type = 'boolean'", "boolean_like"),
+    ("classify_as_categorical", "unique_count / n_rows <= 0.2 and unique_count > 1 and semantic_type in ('categorical', 'free_text')", "100 - 100.0 * unique_count / n_rows"),
+    ("preserve_free_text", "semantic_type = 'free_text'", "100.0 * unique_count / n_rows"),
+    ("normalize_case", "case_variations and unique_count / n_rows <= 0.2 and unique_count > 1", "100"),
+    ("review_outliers", "outlier_count > 0", "100"),
+    ("review_skewness", "abs(skewness) >= 1", "100"),
+    ("review_mixed_format", "signatures > 1", "100"),
+    ("review_semantic_type", "semantic_type = 'unresolved'", "0"),
+)
+PLAN_KINDS = (("l_orderkey", "numeric"), ("l_linenumber", "numeric"), ("v", "text"), ("priority", "text"))
+PLAN_SQL = (
+    f"with a as ({DIRTY['text_numbers'][1]}), b as ({DIRTY['dirty_orders'][1]}), t as (select a.l_orderkey, l_linenumber, a.v, b.v as priority from a join b on o_orderkey = l_orderkey), {profile_sql('t', PLAN_KINDS)} "
+    + " union all ".join(f"select name as column_name, '{action}' as action, round(least(1.0, greatest(0.0, cast({percent} as double) / 100)), 4) as confidence from typed where {when}" for action, when, percent in PLAN_RULES)
+)
+
+#: The chart rules over typed columns: how many columns each takes, from what, and on which condition.
+PAIR = "from c a join c b on a.semantic_type = '{}' and b.semantic_type = '{}'"
+CHART_SQL = (
+    ("NUMERIC_HISTOGRAM", "histogram", "name from c where semantic_type = 'numeric'", 0.95, "high"),
+    ("NUMERIC_BOX_PLOT", "box_plot", "name from c where semantic_type = 'numeric'", 0.95, "medium"),
+    ("CATEGORICAL_BAR", "bar_chart", "name from c where semantic_type = 'categorical'", 0.95, "high"),
+    ("LOW_CARDINALITY_PIE", "pie_donut_chart", "name from c where semantic_type = 'categorical' and unique_count between 2 and 6", 0.85, "medium"),
+    ("NUMERIC_NUMERIC_SCATTER", "scatter_plot", "a.name || ',' || b.name " + PAIR.format("numeric", "numeric") + " and a.position < b.position", 0.90, "high"),
+    ("DATETIME_NUMERIC_LINE", "line_chart", "a.name || ',' || b.name " + PAIR.format("datetime", "numeric"), 0.95, "high"),
+    ("CATEGORICAL_NUMERIC_GROUPED_BAR", "grouped_bar_chart", "a.name || ',' || b.name " + PAIR.format("categorical", "numeric") + " and a.unique_count between 2 and 20", 0.85, "medium"),
+    *((r, k, "a.name || ',' || b.name " + PAIR.format("categorical", "categorical") + " and a.position < b.position and a.unique_count between 2 and 20 and b.unique_count between 2 and 10", 0.85, "medium") for r, k in (("CATEGORICAL_CATEGORICAL_STACKED_BAR", "stacked_bar_chart"), ("CATEGORICAL_CATEGORICAL_100_PERCENT", "100_percent_stacked_bar_chart"))),
+    ("MULTIPLE_NUMERIC_CORRELATION", "correlation_heatmap", "string_agg(name, ',' order by position) from c where semantic_type = 'numeric' having count(*) >= 2", 0.95, "high"),
+    ("MISSINGNESS_BAR", "missingness_bar_chart", "string_agg(name, ',' order by position) from c where null_count > 0 having count(*) >= 1", 0.95, "high"),
+    ("MULTIPLE_COLUMN_MISSINGNESS", "missingness_heatmap", "string_agg(name, ',' order by position) from c where null_count > 0 having count(*) >= 2", 0.90, "medium"),
+    ("NUMERIC_VIOLIN", "violin_plot", "name from c where semantic_type = 'numeric' and n_rows >= 20", 0.85, "medium"),
+    ("NUMERIC_QQ", "qq_plot", "name from c where semantic_type = 'numeric' and n_rows >= 20", 0.80, "low"),
+    ("MULTIPLE_NUMERIC_PAIR_PLOT", "pair_plot", "string_agg(name, ',' order by position) from c where semantic_type = 'numeric' having count(*) between 2 and 8", 0.85, "medium"),
+)
+
+
+def charts_sql(relation: str, columns: tuple[tuple[str, str], ...]) -> str:
+    rules = " union all ".join(f"select '{rule}' as rule_id, '{chart}' as chart_type, columns, cast({conf} as double) as confidence, '{priority}' as priority from (select {what.replace(' from ', ' as columns from ', 1)})" for rule, chart, what, conf, priority in CHART_SQL)
+    return f"with {profile_sql(relation, columns)}, c as (select * from typed where semantic_type not in ('identifier', 'free_text', 'unresolved')), charts as ({rules})"
+
+
 # --- all columns together -----------------------------------------------------------------------------------------
 
 WIDE = {f"x{i}": f"case when (l_orderkey + {i}) % 11 <> 0 then l_quantity * {i % 5} + l_extendedprice * {i % 3} / 1000 + l_linenumber * {i % 7} + l_discount * {i} end" for i in range(1, 25)}
@@ -439,16 +528,16 @@ def log_transform(spark, sf_dir):
 # --- plans, charts, legacy, pipeline ------------------------------------------------------------------------------
 
 
-@query()
+@query(PLAN_SQL)
 def plan_actions(spark, sf_dir):
     df = dirty(spark, sf_dir, "text_numbers").join(dirty(spark, sf_dir, "dirty_orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("v").alias("priority")), "l_orderkey")
     plan = plan_cleaning(raw_profile.profile(df), df.columns)
     return spark.createDataFrame([(a.columns[0], a.action, float(a.confidence)) for a in plan.actions], "column_name string, action string, confidence double")
 
 
-@query()
+@query(PROFILE_SQL)
 def raw_profile_table(spark, sf_dir):
-    return raw_profile.profile_table(spark, raw_profile.profile(table(spark, sf_dir, "orders")))
+    return raw_profile.profile_table(spark, raw_profile.profile(table(spark, sf_dir, "orders"))).withColumn("skewness", F.round("skewness", 4))
 
 
 ORDERS = (("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_totalprice", True), ("o_orderdate", False), ("o_orderpriority", False))
@@ -471,7 +560,7 @@ def profile_measures(spark, sf_dir):
     return rows.select("name", "null_count", "unique_count", "uniqueness_ratio", "outlier_count", F.round("skewness", 4).alias("skewness"))
 
 
-@query()
+@query(charts_sql("orders", ORDER_KINDS) + " select * from charts")
 def chart_candidates(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
     found = statistics.statistical_profile(df, summary.summarise(raw_profile.profile(df), df, []))
@@ -496,7 +585,7 @@ def constant_column(spark, sf_dir):
     return spark.createDataFrame([(p["is_constant"], p["non_null_count"])], "is_constant boolean, n long")
 
 
-@query()
+@query(charts_sql("part", PART_KINDS) + " select rule_id, cast(count(*) as bigint) as n from charts group by rule_id")
 def evidence_groups(spark, sf_dir):
     df = table(spark, sf_dir, "part")
     found = statistics.statistical_profile(df, summary.summarise(raw_profile.profile(df), df, []))
