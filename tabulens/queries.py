@@ -297,10 +297,15 @@ def first_values(spark, sf_dir):
     return found.select(F.col("column").alias("column_name"), "place", F.when(number.isNull(), F.try_variant_get("value", "$", "string")).alias("shown"), number.alias("number"))
 
 
-@query("select * from (values ('customer_name', 0), ('column_2', 1), ('a_b', 2), ('a_b_2', 3), ('column_5', 4), ('total_2024', 5)) as x(name, place)")
+@query(
+    "with h as (select n_nationkey, lower(trim(regexp_replace(concat(' ', r_name, ' (', n_nationkey % 3, ') '), '[^0-9a-zA-Z]+', '_', 'g'), '_')) as base from nation join region on r_regionkey = n_regionkey), "
+    "k as (select *, row_number() over (partition by base order by n_nationkey) as k from h) select case when k = 1 then base else base || '_' || k end as name, cast(n_nationkey as int) as place from k"
+)
 def header_normalisation(spark, sf_dir):
-    names = structure.normalised_names([" Customer Name ", "Unnamed: 1", "a b", "A-B", "", "Total (2024)"])
-    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, place int")
+    """A header made of the table's own values, with repeated names, blanks and signs."""
+    named = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    header = [r[0] for r in named.orderBy("n_nationkey").select(F.concat(F.lit(" "), "r_name", F.lit(" ("), (F.col("n_nationkey") % 3).cast("string"), F.lit(") "))).collect()]
+    return spark.createDataFrame([(n, i) for i, n in enumerate(structure.normalised_names(header))], "name string, place int")
 
 
 # --- cleaning -----------------------------------------------------------------------------------------------------
@@ -593,7 +598,16 @@ def evidence_groups(spark, sf_dir):
     return spark.createDataFrame([(k, len(v)) for k, v in groups.items()], "rule_id string, n long")
 
 
-@query()
+LOG_SQL = (
+    f"with t as ({DIRTY['text_numbers'][1]}), {profile_sql('t', PLAN_KINDS[:3])}, actions as ("
+    + " union all ".join(f"select name as columns, '{action}' as action, numeric_like from typed where {when}" for action, when, _ in PLAN_RULES)
+    + "), twice as (select count(*) as n from (select l_orderkey, l_linenumber, trim(v) from t group by all having count(*) > 1)) "
+    "select columns, action, case when action like 'review_%' then 'needs_review' when action like 'preserve_%' then 'skipped' when action = 'convert_to_numeric' and 1 - numeric_like / 100 > 0.3 then 'rejected' else 'executed' end as status from actions "
+    "union all select '', 'report_duplicate_columns', 'executed' union all select '', 'report_duplicate_rows', case when n > 0 then 'needs_review' else 'executed' end from twice"
+)
+
+
+@query(LOG_SQL)
 def pipeline_log(spark, sf_dir):
     out = pipeline.run(spark, dirty(spark, sf_dir, "text_numbers"))
     if out["pipeline_error"]:
