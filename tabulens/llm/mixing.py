@@ -210,4 +210,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return taken(mix(table(spark, sf_dir, "documents"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -161,4 +161,6 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return score_quality(table(spark, sf_dir, "documents"))
+    done = score_quality(table(spark, sf_dir, "documents"))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return done.select(*first, *(c for c in done.columns if c not in first))
