@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulens import pipeline
 from tabulens.functions import text
-from tabulens.operators import executor, gram, legacy, mixed, raw_profile, row_order, selection, statistics, structure, summary, transforms
+from tabulens.operators import chart_data, executor, gram, legacy, mixed, raw_profile, row_order, selection, statistics, structure, summary, transforms
 from tabulens.operators.columns import cells_of, distinct_measures, duplicate_rows, identical_pairs, rounded, share, value_counts
 from tabulens.plans import charts, evidence
 from tabulens.plans.planner import Action, Plan, plan_cleaning
@@ -373,6 +373,57 @@ def before_after_diff(spark, sf_dir):
     return spark.createDataFrame([("v", c["unique_count"]["before"], c["unique_count"]["after"], c["null_percentage"]["after"])], "column_name string, unique_before long, unique_after long, null_percentage double")
 
 
+# --- chart data ---------------------------------------------------------------------------------------------------
+
+MEASURED = ("l_quantity", "l_extendedprice", "l_discount")
+BIN_SQL = "cast(least(floor(({c} - {c}_a) / ({c}_z - {c}_a) * 20), 19) as int)"
+RANGE_SQL = "with r as (select " + ", ".join(f"cast(min({c}) as double) as {c}_a, cast(max({c}) as double) as {c}_z" for c in MEASURED) + " from lineitem), t as (select * from lineitem, r) "
+
+
+@query(RANGE_SQL + " union all ".join(f"select '{c}' as column_name, {BIN_SQL.format(c=c)} as bin, cast(count(*) as bigint) as n from t where {c} is not null group by all" for c in MEASURED))
+def numeric_histograms(spark, sf_dir):
+    return chart_data.histograms(table(spark, sf_dir, "lineitem"), list(MEASURED)).select(F.col("column").alias("column_name"), "bin", "n")
+
+
+@query(RANGE_SQL + " union all ".join(f"select '{a}' as a, '{b}' as b, {BIN_SQL.format(c=a)} as bin_a, {BIN_SQL.format(c=b)} as bin_b, cast(count(*) as bigint) as n from t where {a} is not null and {b} is not null group by all" for i, a in enumerate(MEASURED) for b in MEASURED[i + 1 :]))
+def scatter_bins(spark, sf_dir):
+    return chart_data.pair_bins(table(spark, sf_dir, "lineitem"), list(MEASURED))
+
+
+CROSSED = "select o_orderpriority, o_orderstatus, case when o_orderkey % 9 <> 0 then cast(o_custkey % 4 as varchar(4)) end as desk, o_totalprice from orders"
+CROSS_KEYS = ("o_orderpriority", "o_orderstatus", "desk")
+
+
+@query(
+    f"with t as ({CROSSED}) "
+    + " union all ".join(
+        f"select '{a}' as a, '{b}' as b, {a} as value_a, {b} as value_b, cast(count(*) as bigint) as n, round(count(*) / sum(count(*)) over (partition by {a}), 6) as share, cast(null as double) as mean from t where {a} is not null and {b} is not null group by {a}, {b}"
+        for i, a in enumerate(CROSS_KEYS)
+        for b in CROSS_KEYS[i + 1 :]
+    )
+    + " union all "
+    + " union all ".join(f"select '{a}', null, {a}, null, cast(count(*) as bigint), round(count(*) / sum(count(*)) over (), 6), round(avg(o_totalprice), 2) from t where {a} is not null group by {a}" for a in CROSS_KEYS)
+)
+def cross_tables(spark, sf_dir):
+    """All crossed categories and category means by one pass of grouping sets."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    df = spark.sql(CROSSED)
+    cardinality = {n: f["unique"] for n, f in distinct_measures(df, list(CROSS_KEYS)).items()}
+    found = chart_data.cross_tables(df, {n: cardinality[n] for n in CROSS_KEYS}, ["o_totalprice"])
+    mean = F.when(F.col("second").isNull(), F.round(F.col("means")["o_totalprice"], 2))
+    return found.select(F.col("first").alias("a"), F.col("second").alias("b"), F.col("first_value").alias("value_a"), F.col("second_value").alias("value_b"), "n", F.round("share", 6).alias("share"), mean.alias("mean"))
+
+
+LACKING = "select case when event_id % 6 <> 0 then value end as value, case when event_id % 4 <> 0 then event_type end as event_type, case when event_id % 10 <> 0 then event_id end as event_id from events"
+LACKING_KEYS = ("value", "event_type", "event_id")
+
+
+@query(f"with t as ({LACKING}) " + " union all ".join(f"select '{a}' as a, '{b}' as b, cast(count(*) as bigint) as n from t where {a} is null and {b} is null having count(*) > 0" for i, a in enumerate(LACKING_KEYS) for b in LACKING_KEYS[i:]))
+def missing_together(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return chart_data.missing_together(spark.sql(LACKING))
+
+
 # --- profiles and what follows from them, as SQL over aggregates -----------------------------------------------------
 
 WORDS = ", ".join(f"'{w}'" for w in text.NULL_WORDS)
