@@ -19,7 +19,7 @@ from tabulens.functions import text
 from tabulens.operators import mixed, raw_profile, structure
 from tabulens.operators.columns import aggregate, col
 from tabulens.plans.planner import Plan, plan_cleaning
-from tabulens.sources import encodings
+from tabulens.sources import encodings, workbook
 
 EXTENSIONS = ("csv", "tsv", "xlsx", "xls", "xlsm", "json", "parquet")
 DELIMITERS = (",", ";", "\t", "|")
@@ -147,6 +147,9 @@ def read(spark: SparkSession, path: str, report: dict) -> tuple[DataFrame | None
     if ext == "json":
         df = mixed.read_json(spark, path, data.lstrip()[:1] == b"[")
         return nan_to_null(df), df.columns
+    if ext == "xls" and not data.startswith(b"PK"):
+        report["errors"].append("Workbooks of the binary kind (.xls) are not read; save them as .xlsx.")
+        return None, []
     if ext in ("xlsx", "xls", "xlsm"):
         return read_excel(spark, path, report)
     facts = encodings.examine(spark, path, data)
@@ -173,21 +176,20 @@ def read(spark: SparkSession, path: str, report: dict) -> tuple[DataFrame | None
 
 
 def read_excel(spark: SparkSession, path: str, report: dict) -> tuple[DataFrame | None, list[str]]:
-    """The first sheet, read on the driver: a workbook is no format that splits."""
-    try:
-        import openpyxl  # noqa: F401
-        import pandas as pd
-    except ImportError:
-        report["errors"].append("Reading workbooks needs openpyxl, which is not installed.")
-        return None, []
-    book = pd.ExcelFile(io.BytesIO(head(spark, path, 1 << 30)))
-    report["skipped_sheets"] = book.sheet_names[1:]
+    """The first sheet under the header of its first row; a cell without a value is null."""
+    names = workbook.sheet_names(spark, path)
+    report["skipped_sheets"] = names[1:]
     if report["skipped_sheets"]:
         report["warnings"].append("Only the first sheet was read.")
-    frame = book.parse(book.sheet_names[0])
-    header = [str(c) for c in frame.columns]
-    frame.columns = [f"c{i}" for i in range(len(header))]
-    return nan_to_null(spark.createDataFrame(frame)), header
+    rows = workbook.rows(spark, path)
+    first = rows.where("place = 0").first()
+    if first is None:
+        report["errors"].append("The sheet is empty.")
+        return None, []
+    # Cells beside the header's are dropped by no one: the widest row names the columns.
+    width = rows.agg(F.max(F.size("cells"))).first()[0]
+    header = [x if x is not None else f"Unnamed: {i}" for i, x in enumerate(list(first["cells"]) + [None] * (width - len(first["cells"])))]
+    return typed(rows.where("place > 0").select(*(F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(width)))), header
 
 
 def ingest(spark: SparkSession, path: str, date_dayfirst: bool | None = None, approximate: int = 0) -> Ingested:

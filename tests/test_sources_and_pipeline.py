@@ -198,3 +198,38 @@ def test_variants_in_a_frame(spark):
     numbers = spark.sql("select parse_json(if(id % 2 = 0, cast(id as string), concat('\"', id, '\"'))) as amount from range(40)")
     plan = plan_legacy(legacy.profile(numbers))
     assert [a.columns for a in plan.actions if a.action == "review_mixed_types"] == [["amount"]]
+
+
+def workbook_bytes():
+    """A small workbook, made by hand: two sheets, shared, inline and rich strings, a date, a flag, an error, gaps."""
+    import io
+    import zipfile
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    head = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>amount</t></is></c><c r="C1" t="s"><v>1</v></c><c r="D1" t="str"><v>flag</v></c></row>'
+    body = "".join(f'<row r="{i + 2}"><c r="A{i + 2}" t="s"><v>2</v></c>' + (f'<c r="B{i + 2}"><v>{i}.5</v></c>' if i != 3 else "") + f'<c r="C{i + 2}" s="1"><v>{45000 + i}</v></c><c r="D{i + 2}" t="{"e" if i == 5 else "b"}"><v>{"#N/A" if i == 5 else i % 2}</v></c></row>' for i in range(6))
+    files = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Data" sheetId="1" r:id="rId1"/><sheet name="Notes" sheetId="2" r:id="rId2"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}"><si><t>Full Name</t></si><si><t>day</t></si><si><r><t>An</t></r><r><t>na é</t></r></si></sst>',
+        "xl/styles.xml": f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{head}{body}<row r="9"/></sheetData></worksheet>',
+        "xl/worksheets/sheet2.xml": f'<worksheet xmlns="{main}"><sheetData/></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_workbooks(spark, put):
+    got = ingest.ingest(spark, put("a.xlsx", workbook_bytes()))
+    assert got.report["errors"] == [] and got.report["skipped_sheets"] == ["Notes"] and "Only the first sheet was read." in got.report["warnings"]
+    assert [f.dataType.simpleString() for f in got.frame.schema] == ["string", "double", "string", "boolean"] and got.frame.columns[0] == "full_name"
+    rows = [tuple(r) for r in got.frame.collect()]
+    assert rows[0] == ("Anna é", 0.5, "2023-03-15", False) and rows[3][1] is None and rows[5][3] is None and len(rows) == 6
+    assert {p["name"]: p["semantic_type"] for p in got.profile["columns"]}["day"] == "datetime"
+    assert ".xlsx" in ingest.ingest(spark, put("b.xls", bytes.fromhex("D0CF11E0") + b"x" * 50)).report["errors"][0]
+    assert ingest.ingest(spark, put("c", workbook_bytes())).report["file_type"] == "xlsx"
