@@ -649,6 +649,71 @@ def evidence_groups(spark, sf_dir):
     return spark.createDataFrame([(k, len(v)) for k, v in groups.items()], "rule_id string, n long")
 
 
+def legacy_sql(name: str, kind: str) -> str:
+    """The older profile's measures of one column of t: whole numbers, or text."""
+    is_text = kind == "text"
+    on = lambda sql, other="0": sql.replace("@c", name) if is_text else other
+    number = GENERIC_SQL.replace("@c", "r")
+    share_of = lambda which: f"coalesce(round(100.0 * sum(case when {which} then 1 else 0 end) / nullif(count(r), 0), 4), 0.0)"
+    return f"""select '{name}' as name, '{"string" if is_text else "numeric"}' as physical_type, count({name}) as non_null_count, count(*) - count({name}) as missing_count, count(distinct {name}) as unique_count, count(distinct {name}) < count({name}) as has_duplicates,
+      count(distinct {name}) = 1 as is_constant, {on("sum(case when @c <> trim(@c) then 1 else 0 end)")} as whitespace_count, {on("sum(case when trim(@c) = '' then 1 else 0 end)")} as empty_string_count, {on(f"sum(case when lower(trim(@c)) in ({WORDS}) then 1 else 0 end)")} as null_like_text_count,
+      {share_of(f"{number} is not null") if is_text else "100.0"} as numeric_parse, {share_of("lower(trim(r)) in ('true','false','yes','no','y','n')") if is_text else "0.0"} as boolean_parse, {on("count(distinct lower(trim(@c))) < count(distinct @c)", "false")} as has_case_variations,
+      {"0" if is_text else f"case when max(q3) <> max(q1) then sum(case when {name} < q1 - 1.5 * (q3 - q1) or {name} > q3 + 1.5 * (q3 - q1) then 1 else 0 end) else 0 end"} as outlier_count,
+      {f"case when count(r) > 0 and 100.0 * sum(case when {number} is not null then 1 else 0 end) / count(r) >= 70 then case when sum(case when {number} % 1 = 0 then 1 else 0 end) = count({number}) then 'integer' else 'float' end when 100.0 * count(distinct {name}) / count({name}) >= 70 and avg(length({name})) >= 30 then 'text' else 'categorical' end" if is_text else "'integer'"} as inferred_type
+      from (select *, {f"case when lower(trim({name})) in ({WORDS}) then null else {name} end" if is_text else name} as r, {"0" if is_text else f"quantile_cont({name}, 0.25) over ()"} as q1, {"0" if is_text else f"quantile_cont({name}, 0.75) over ()"} as q3 from t)"""
+
+
+LEGACY_FIELDS = ("name", "physical_type", "non_null_count", "missing_count", "unique_count", "has_duplicates", "is_constant", "whitespace_count", "empty_string_count", "null_like_text_count", "numeric_parse_percentage", "boolean_parse_percentage", "has_case_variations", "outlier_count", "inferred_type")
+LEGACY_TYPES = ("string", "string", "long", "long", "long", "boolean", "boolean", "long", "long", "long", "double", "double", "boolean", "long", "string")
+
+
+def legacy_table(name: str, view: str, columns: tuple[tuple[str, str], ...]) -> None:
+    """A query of the older profile of a table with faults."""
+
+    def run(spark, sf_dir):
+        found = legacy.profile(dirty(spark, sf_dir, view).select(*(c for c, _ in columns)))["columns"]
+        as_type = {"string": str, "long": int, "double": float, "boolean": bool}
+        rows = [tuple(as_type[t](p[f]) for f, t in zip(LEGACY_FIELDS, LEGACY_TYPES, strict=True)) for p in found]
+        return spark.createDataFrame(rows, ", ".join(f"{f.removesuffix('_percentage')} {t}" for f, t in zip(LEGACY_FIELDS, LEGACY_TYPES, strict=True)))
+
+    QUERIES[name] = run
+    casts = ", ".join(f"cast({f.removesuffix('_percentage')} as {'bigint' if t == 'long' else 'varchar' if t == 'string' else t}) as {f.removesuffix('_percentage')}" for f, t in zip(LEGACY_FIELDS, LEGACY_TYPES, strict=True))
+    ORACLE_SQL[name] = cte(view) + f"select {casts} from (" + " union all ".join(legacy_sql(c, k) for c, k in columns) + ")"
+
+
+legacy_table("legacy_profile_numbers", "text_numbers", (("l_orderkey", "numeric"), ("l_linenumber", "numeric"), ("v", "text")))
+legacy_table("legacy_profile_categories", "dirty_orders", (("o_orderkey", "numeric"), ("v", "text")))
+
+#: Actions of a plan over text_booleans, what becomes of each, and why.
+TRIED = (
+    ("v", "convert_to_numeric", 0.95),
+    ("v", "convert_to_boolean", 0.99),
+    ("v", "convert_to_datetime", 0.10),
+    ("o_orderkey", "convert_to_numeric", 0.95),
+    ("absent", "convert_to_boolean", 0.95),
+    ("v", "classify_as_categorical", 0.99),
+    ("o_orderkey", "classify_as_categorical", 0.10),
+    ("v", "review_skewness", 1.0),
+    ("o_orderkey", "preserve_identifier", 1.0),
+)
+
+
+@query(
+    cte("text_booleans")
+    + f"""select 'v' as column_name, 'convert_to_numeric' as action, case when sum(case when regexp_full_match(trim(v), '[+-]?[0-9]+([.][0-9]*)?') then 0 else 1 end) > 0.3 * count(v) then 'rejected' else 'executed' end as status, cast(sum(case when regexp_full_match(trim(v), '[+-]?[0-9]+([.][0-9]*)?') then 0 else 1 end) as bigint) as invalid_count from t where v is not null
+    union all select 'v', 'convert_to_boolean', case when sum(case when lower(trim(v)) in ({YES_NO}) then 0 else 1 end) > 0 then 'rejected' else 'executed' end, cast(sum(case when lower(trim(v)) in ({YES_NO}) then 0 else 1 end) as bigint) from t where v is not null
+    union all select * from (values ('v', 'convert_to_datetime', 'skipped', cast(null as bigint)), ('o_orderkey', 'convert_to_numeric', 'skipped', null), ('absent', 'convert_to_boolean', 'skipped', null), ('v', 'classify_as_categorical', 'executed', null), ('o_orderkey', 'classify_as_categorical', 'needs_review', null), ('v', 'review_skewness', 'needs_review', null), ('o_orderkey', 'preserve_identifier', 'skipped', null))
+    union all select '', 'report_duplicate_columns', 'executed', null
+    union all select '', 'report_duplicate_rows', case when count(*) > 0 then 'needs_review' else 'executed' end, null from (select 1 from t group by o_orderkey, trim(v) having count(*) > 1)"""
+)
+def execution_statuses(spark, sf_dir):
+    """Every status that an action can end with: executed, rejected for its losses, skipped, or left for review."""
+    plan = Plan([Action([c], a, conf) for c, a, conf in TRIED], "raw_profile")
+    _, log = executor.execute(dirty(spark, sf_dir, "text_booleans"), plan)
+    rows = [(",".join(e["columns"]), e["action"], e["status"], e.get("invalid_count")) for e in log if e["action"] != "strip_whitespace"]
+    return spark.createDataFrame(rows, "column_name string, action string, status string, invalid_count long")
+
+
 LOG_SQL = (
     f"with t as ({DIRTY['text_numbers'][1]}), {profile_sql('t', PLAN_KINDS[:3])}, actions as ("
     + " union all ".join(f"select name as columns, '{action}' as action, numeric_like from typed where {when}" for action, when, _ in PLAN_RULES)
