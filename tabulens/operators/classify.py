@@ -8,7 +8,7 @@ ACCEPT = 0.80
 HIGH_CARDINALITY, LOW_CARDINALITY = 0.90, 0.20
 LEGACY_ACCEPT = 70.0
 
-# Fixed value: names that say a column identifies rows.
+# Names that say a column identifies rows, here and in the older profile.
 ID_NAME = re.compile(r"(^|[_\s-])(id|uuid|guid|identifier|code|account_number|reference_number)($|[_\s-])", re.IGNORECASE)
 LEGACY_ID_WORDS = ("id", "identifier", "uuid", "guid", "customer_code", "employee_code", "product_code", "account_number", "reference_number")
 

@@ -64,7 +64,8 @@ def _group(find: Callable[[View], list[str]], low: int, high: float = float("inf
     return found
 
 
-#: rule_id, chart_type, columns, confidence, priority, reason; in the order of listing.
+#: rule_id, chart_type, columns, confidence, priority, reason; in the order of listing. Ids, types, limits, confidences and
+#: priorities are fixed values, which readers of a profile rely on.
 RULES = (
     ("NUMERIC_HISTOGRAM", "histogram", _each("numeric"), 0.95, "high", "shows how the values are distributed"),
     ("NUMERIC_BOX_PLOT", "box_plot", _each("numeric"), 0.95, "medium", "shows median, quartiles and outliers"),

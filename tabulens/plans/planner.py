@@ -55,7 +55,7 @@ def _dated(p: dict, o: dict) -> bool:
     return p["datetime_like_percentage"] >= CONVERT_AT and _text(p) and p["semantic_type"] == "datetime" and not p["mixed_format_warning"] and sure
 
 
-#: In the order in which a column's actions are listed.
+#: In the order in which a column's actions are listed. Their ids and limits are fixed values.
 RULES = (
     Rule("strip_whitespace", lambda p, o: p["whitespace_count"] > 0, lambda p: p["whitespace_count"] / max(1, p["rows"]) * 100, lambda p: f"{p['whitespace_count']} values have outer white space."),
     Rule("review_index_column", lambda p, o: p["is_index_like"], _certain, lambda p: "The column repeats the row number."),

@@ -207,7 +207,7 @@ def case_variations(spark, sf_dir):
     return spark.createDataFrame([(p["has_case_variations"], p["variable_length"])], "has_case_variations boolean, variable_length boolean")
 
 
-NUMBER_SQL = r"(regexp_full_match(trim(v), '[+-]?(?:\d+(?:\.\d*)?|\.\d+)') or regexp_full_match(trim(v), '[+-]?(?:(?:\d{1,3}(?:,\d{3})+)|(?:\d{1,3}(?:,\d{2})*,\d{3}))(?:\.\d+)?'))"
+NUMBER_SQL = "(" + " or ".join(f"regexp_full_match(trim(v), '{p.strip('^$')}')" for p in (text.PLAIN_NUMBER, text.GROUPED_NUMBER)) + ")"
 
 
 @query(cte("text_numbers") + f"select round(100.0 * sum(case when {NUMBER_SQL} then 1 else 0 end) / count(v), 4) as numeric_like, cast(sum(case when {NUMBER_SQL} then 1 else 0 end) as bigint) as parsed, round(sum(case when {NUMBER_SQL} then try_cast(replace(trim(v), ',', '') as double) end), 2) as total from t")
