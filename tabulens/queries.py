@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulens import pipeline
 from tabulens.functions import text
-from tabulens.operators import chart_data, executor, gram, legacy, mixed, raw_profile, row_order, selection, statistics, structure, summary, transforms
+from tabulens.operators import chart_data, executor, gram, legacy, mixed, profile_state, raw_profile, row_order, selection, statistics, structure, summary, transforms
 from tabulens.operators.columns import cells_of, distinct_measures, duplicate_rows, identical_pairs, rounded, share, value_counts
 from tabulens.plans import charts, evidence
 from tabulens.plans.planner import Action, Plan, plan_cleaning
@@ -373,6 +373,43 @@ def before_after_diff(spark, sf_dir):
     return spark.createDataFrame([("v", c["unique_count"]["before"], c["unique_count"]["after"], c["null_percentage"]["after"])], "column_name string, unique_before long, unique_after long, null_percentage double")
 
 
+# --- mergeable profiles -------------------------------------------------------------------------------------------
+
+STATED = ("l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag")
+#: A state's number of a text is its length; its skewness is 0 where all numbers are equal.
+STATE_SQL = (
+    "'@c' as column_name, cast(count(*) as bigint) as n_rows, cast(count(*) - count(@c) as bigint) as null_count, round(avg(@v), 4) as mean, round(stddev_samp(@v), 4) as std, "
+    "case when count(@v) < 3 then null when min(@v) = max(@v) then 0.0 else round(skewness(@v), 4) end as skewness, cast(min(@v) as double) as low, cast(max(@v) as double) as high from lineitem"
+)
+
+
+def state_sql(c: str, by: str = "") -> str:
+    return f"select {by and by + ', '}" + STATE_SQL.replace("@v", "length(@c)" if c == "l_returnflag" else "cast(@c as double)").replace("@c", c) + (" group by all" if by else "")
+
+
+def monthly_states(spark, sf_dir):
+    """Profile states of line items by month of shipment."""
+    df = table(spark, sf_dir, "lineitem").select(*STATED, F.year("l_shipdate").alias("ship_year"), F.month("l_shipdate").alias("ship_month"))
+    return profile_state.states(df, ["ship_year", "ship_month"])
+
+
+def stated(merged: DataFrame, *by: str) -> DataFrame:
+    found = profile_state.measures(merged)
+    return found.select(*by, F.col("column").alias("column_name"), F.col("rows").alias("n_rows"), F.col("nulls").alias("null_count"), *(F.round(c, 4).alias(c) for c in ("mean", "std", "skewness")), "low", "high")
+
+
+@query(" union all ".join(state_sql(c) for c in STATED))
+def merged_profile(spark, sf_dir):
+    """The profile of a table from the states of its months."""
+    return stated(profile_state.merge(monthly_states(spark, sf_dir)))
+
+
+@query(" union all ".join(state_sql(c, "cast(year(l_shipdate) as int) as ship_year") for c in STATED))
+def yearly_profiles(spark, sf_dir):
+    """The profile of every year from the states of its months."""
+    return stated(profile_state.merge(monthly_states(spark, sf_dir), ["ship_year"]), "ship_year")
+
+
 # --- chart data ---------------------------------------------------------------------------------------------------
 
 MEASURED = ("l_quantity", "l_extendedprice", "l_discount")
