@@ -79,18 +79,20 @@ def test_a_new_day_costs_its_own_rows(spark, tmp_path):
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(float("inf"), True, None, [1]), (2.0, None, None, None)], "a double, b boolean, n string, l array<int>").withColumn("column", F.lit("clash")).withColumn("rows", F.current_date())
+    df = spark.createDataFrame([(float("inf"), True, None, [1]), (2.0, None, None, None)], "a double, b boolean, s string, l array<int>").withColumn("column", F.lit("clash")).withColumn("rows", F.current_date())
     found = by_column(profile_state.states(df))
     assert (found["a"]["n"], found["a"]["high"], found["a"]["unique_count"]) == (1, 2.0, 2)
     assert (found["b"]["mean"], found["b"]["std"], found["b"]["skewness"]) == (1.0, None, None)
-    assert (found["n"]["nulls"], found["n"]["mean"], found["n"]["quantiles"]) == (2, None, None)
+    assert (found["s"]["nulls"], found["s"]["mean"], found["s"]["quantiles"]) == (2, None, None)
     assert (found["l"]["nulls"], found["l"]["n"], found["l"]["unique_count"]) == (1, 0, 1)
     assert found["column"]["quantiles"] == [5.0, 5.0, 5.0] and found["rows"]["rows"] == 2
     empty = by_column(profile_state.merge(profile_state.states(df.limit(0))))
     assert empty["a"]["rows"] == 0 and empty["a"]["mean"] is None and empty["a"]["null_percentage"] == 0.0
-    assert profile_state.states(df.limit(0), ["n"]).count() == 0
+    assert profile_state.states(df.limit(0), ["s"]).count() == 0
     wide = spark.range(3).select(*(F.col("id").alias(f"c{i}") for i in range(60)))
     assert by_column(profile_state.states(wide)).keys() == {f"c{i}" for i in range(60)}
     with pytest.raises(ValueError):
-        profile_state.states(df.select("n"), ["n"])
+        profile_state.states(df.select("s"), ["s"])
+    with pytest.raises(ValueError):
+        profile_state.states(df, ["column"])
     assert math.isclose(profile_state.DISTINCT_ERROR, 0.0115, abs_tol=1e-4)
