@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -151,6 +152,26 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def union(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends, in order, of the disjoint stretches that the spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def meets(stretches: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    """Whether a to b has a character in common with one of the stretches."""
+    starts, ends = stretches
+    k = bisect_right(ends, a)
+    return k < len(ends) and starts[k] < b
+
+
 def found_spans(docs: DataFrame) -> DataFrame:
     """(key, base, more) for docs (key, text): base spans (kind, start, end), candidates (kind, start, end, pattern)."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
@@ -161,9 +182,9 @@ def found_spans(docs: DataFrame) -> DataFrame:
             base, extra = [], []
             for t in texts(part, "text"):
                 own = sorted(base_spans(t), key=lambda s: (KINDS.index(s[0]), s[1]))
-                taken, rest = sorted((a, b) for _, a, b in own), []
+                taken, rest = union([(a, b) for _, a, b in own]), []
                 for kind, a, b in sorted(candidates(t), key=lambda s: s[1]):
-                    if not any(a < y and x < b for x, y in taken):
+                    if not meets(taken, a, b):
                         rest.append({"kind": kind, "start": a, "end": b, "pattern": votes(kind, t, a, b)})
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
                 extra.append(rest)
@@ -210,46 +231,62 @@ def classifier(rows: list[tuple[str, str, int]]) -> set[tuple[str, str]]:
     return accepted
 
 
+def settled(found: DataFrame, accepted: set[tuple[str, str]]) -> DataFrame:
+    """(key, base, every): the base spans and, of the candidates with accepted patterns, those that begin after the one kept before them; linear in a text's spans."""
+    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    rank = {kind: i for i, kind in enumerate(KINDS)}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            every = []
+            for base, more in zip(part.column("base").to_pylist(), part.column("more").to_pylist(), strict=True):
+                at = 0
+                for m in more:  # in order of start
+                    if (m["kind"], m["pattern"]) in accepted and m["start"] >= at:
+                        at = m["end"]
+                        base.append({"kind": m["kind"], "start": m["start"], "end": at})
+                every.append(sorted(base, key=lambda s: (rank[s["kind"]], s["start"], s["end"])))
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("base"), pa.array(every, pa.list_(span))], ["key", "base", "every"])
+
+    return found.mapInArrow(run, with_fields(found.select("key", "base"), "every array<struct<kind:string,start:int,end:int>>"))
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, base_spans and all_spans, arrays of (kind, start, end) in the order of KINDS, then start."""
     source = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     found = cut(found_spans(source), "pii-spans")
     counted = found.select(F.explode("more").alias("m")).groupBy("m.kind", "m.pattern").count().collect()
     accepted = classifier([(r["kind"], r["pattern"], r["count"]) for r in counted])
-    names = [f"{k}/{p}" for k, p in sorted(accepted)]
-    kept = F.filter("more", lambda m: F.concat(m["kind"], F.lit("/"), m["pattern"]).isin(names) if names else F.lit(False))
-    free = F.aggregate(  # candidates come in order of start
-        kept,
-        F.struct(F.filter(kept, lambda m: F.lit(False)).alias("out"), F.lit(0).alias("at")),
-        lambda acc, m: F.when(m["start"] < acc["at"], acc).otherwise(F.struct(F.concat(acc["out"], F.array(m)).alias("out"), m["end"].alias("at"))),
-        lambda acc: acc["out"],
-    )
-    plain = F.transform(free, lambda m: F.struct(m["kind"], m["start"], m["end"]))
-    order = F.array(*map(F.lit, KINDS))
-    ranked = F.array_sort(F.transform(F.concat("base", plain), lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    every = F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.select(F.col("key").alias(id_col), F.col("base").alias("base_spans"), every.alias("all_spans"))
+    return settled(found, accepted).select(F.col("key").alias(id_col), F.col("base").alias("base_spans"), F.col("every").alias("all_spans"))
 
 
 def digest(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def masked(text: str, spans: list[dict]) -> str:
+    """The text with each stretch of overlapping spans replaced by the kind of the first."""
+    out, at = [], 0
+    for start, end, kind in sorted((s["start"], s["end"], s["kind"]) for s in spans):
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def masked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets, overlapping ones as one of the first's kind; the columns stay, n_chars follows the text."""
     names = docs.columns
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    found = find_personal_data(row, "key", "text")
-    free = F.aggregate(
-        F.array_sort(F.transform("all_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))).otherwise(
-            F.struct(F.concat(acc["out"], F.substring(F.col(f"key.`{text_col}`"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("at"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(f"key.`{text_col}`"), acc["at"] + 1, F.lit(2147483647))),
-    )
-    text = F.when(F.size("all_spans") > 0, free).otherwise(F.col(f"key.`{text_col}`"))
-    with_text = found.withColumn("masked", text)
+    found = find_personal_data(row, "key", "text").select("key", F.col(f"key.`{text_col}`").cast("string").alias("text"), "all_spans")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], "text"):
+                out = [t if t is None else masked(t, s) for t, s in zip(part.column("text").to_pylist(), part.column("all_spans").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(out, pa.string())], ["key", "masked"])
+
+    with_text = found.mapInArrow(run, with_fields(found.select("key"), "masked string"))
     return with_text.select(*(F.col("masked").alias(c) if c == text_col else F.length("masked").cast("long").alias(c) if c == "n_chars" else F.col(f"key.`{c}`").alias(c) for c in names))
 
 
