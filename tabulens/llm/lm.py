@@ -125,8 +125,8 @@ def normal(text: str) -> bytes:
     return text.encode().lower()
 
 
-def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, blob) for batches of (key, text, train): the rows of a block, compressed."""
+def blocks(batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(block, blob) for batches of (key, text, train): the rows of a block of about block_bytes, compressed."""
 
     def closed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
@@ -140,7 +140,7 @@ def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text", SLICE_BYTES):
         parts.append(part)
         size += part.column("text").nbytes
-        if size >= BLOCK_BYTES:
+        if size >= block_bytes:
             yield closed(parts)
             parts, size = [], 0
     if parts:
@@ -411,15 +411,15 @@ def upper_levels(rows: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return [(top, top_ones, mixed_with(weighted.sum(axis=0, keepdims=True), top - top_ones, top_ones)[1]), (total, ones, stop)]
 
 
-def gathered(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct n-grams of packed lists, and the sums of their counts; merged as they come in."""
+def gathered(blobs: Iterable[bytes], merge_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct n-grams of packed lists, and the sums of their counts; merged whenever merge_rows are held."""
     codes, counts, held = [], [], 0
     for blob in blobs:
         own, cnt = unpacked(blob, np.uint64, np.uint32)
         codes.append(np.cumsum(own, dtype=np.uint64))
         counts.append(cnt.astype(np.int64))
         held += len(own)
-        if held >= MERGE_ROWS:
+        if held >= merge_rows:
             found = merged(np.concatenate(codes), np.concatenate(counts))
             codes, counts, held = [found[0]], [found[1]], 0
     return merged(np.concatenate(codes), np.concatenate(counts))
@@ -430,11 +430,11 @@ def middle_group(keys: np.ndarray) -> np.ndarray:
     return ((keys >> np.uint64(8 * (HEAD - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(MIDDLE)
 
 
-def gram_values(held: DataFrame, shards: int) -> DataFrame:
+def gram_values(held: DataFrame, shards: int, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """(block, shard, blob): the log10 probabilities of a block's n-grams, in the order in which it sent them."""
 
     def heads_of(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes = Subtree(*gathered(x for b in batches for x in b.column("blob").to_pylist())).heads()
+        nodes = Subtree(*gathered((x for b in batches for x in b.column("blob").to_pylist()), merge_rows)).heads()
         order = np.lexsort((nodes[0], group := middle_group(nodes[0])))
         nodes, cuts = [x[order] for x in nodes], np.bincount(group.astype(np.int64), minlength=MIDDLE)
         ends = np.cumsum(cuts)
@@ -481,7 +481,7 @@ def gram_values(held: DataFrame, shards: int) -> DataFrame:
         parts = [unpacked(b, np.uint64, np.float64, np.float64) for b in above.column("blob").to_pylist()]
         keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         order = np.argsort(keys)
-        codes, cnt = gathered(blobs)
+        codes, cnt = gathered(blobs, merge_rows)
         value = Subtree(codes, cnt).carried(keys[order], *(np.concatenate([p[k] for p in parts])[order] for k in (1, 2)))
         value = rounded(value)
         found = [packed(*value[:, np.searchsorted(codes, np.cumsum(unpacked(b, np.uint64, np.uint32)[0], dtype=np.uint64))]) for b in blobs]
@@ -544,12 +544,16 @@ def score_block(group: pa.Table, shards: int) -> pa.Table:
     return pa.table([pa.chunked_array(keys), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "n_tokens", "n_known", "raw", "score", "n_symbols"])
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (the end mark is a byte). The rows that train admits are learned from; all are scored."""
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, merge_rows: int = MERGE_ROWS) -> DataFrame:
+    """Per row: id_col, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (the end mark is a byte). The rows that train admits are learned from; all are scored.
+
+    Texts go into blocks of about block_bytes, n-grams to shards of about shard_bytes of text, and a shard merges its lists
+    whenever it holds merge_rows n-grams; the scores don't depend on these.
+    """
     source = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-size // SHARD_BYTES))
-    held = cut(source.mapInArrow(blocks, "block string, blob binary"), "ctw-blocks")
+    shards = max(1, -(-size // shard_bytes))
+    held = cut(source.mapInArrow(lambda batches: blocks(batches, block_bytes), "block string, blob binary"), "ctw-blocks")
     tokens = token_counts(held, shards)
     facts = tokens.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds"))).first()
     n, v = facts["tokens"], facts["kinds"]
@@ -559,7 +563,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def of_kind(df: DataFrame, kind: int, shard: Column, words: Column = nothing) -> DataFrame:
         return df.select("block", F.lit(kind).cast("byte").alias("kind"), shard.cast("int").alias("shard"), words.alias("words"), "blob")
 
-    rows = of_kind(held, PAYLOAD, F.lit(0)).unionByName(of_kind(gram_values(held, shards), GRAM, F.col("shard"))).unionByName(of_kind(tokens, TOKEN, F.col("shard"), F.col("words")))
+    rows = of_kind(held, PAYLOAD, F.lit(0)).unionByName(of_kind(gram_values(held, shards, merge_rows), GRAM, F.col("shard"))).unionByName(of_kind(tokens, TOKEN, F.col("shard"), F.col("words")))
     kind = source.schema["key"].dataType.simpleString()
     found = rows.groupBy("block").applyInArrow(lambda t: score_block(t, shards), f"key {kind}, n_tokens long, n_known long, raw double, score double, n_symbols long")
     base = F.col("raw") - F.col("n_tokens") * float(np.log10(n + 0.1 * (v + 1)))

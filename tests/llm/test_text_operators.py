@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +160,33 @@ def test_lm_base_is_exact_and_model_is_proper(spark, prose, edges, empty):
         assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
         assert got[i].score < 0
     assert lm.score_texts(empty, F.lit(True)).count() == 0
+    # Null and repeated ids, repeated rows, clashing columns: a row in, a row out, equal texts with equal scores.
+    found = collections.defaultdict(set)
+    rows = lm.score_texts(edges, F.col("score") == 1).collect()
+    for r in rows:
+        found[r.doc_id if r.doc_id is None else r.doc_id % len(EDGES)].add((r.n_tokens, r.score))
+    assert len(rows) == 2 * len(EDGES) + 1 and all(len(x) == 1 for x in found.values())
+    assert found[0] == found[1]  # a null text is the empty text
+
+
+def test_lm_blocks_close_within_a_partition():
+    batch = pa.RecordBatch.from_pydict({"key": list(range(50)), "text": ["abcdefghij" * 5] * 50, "train": [True] * 50})
+    whole, parts = (list(lm.blocks(iter([batch.slice(k, 5) for k in range(0, 50, 5)]), size)) for size in (1 << 20, 600))
+    assert len(whole) == 1 and len(parts) == 4
+    keys = [k for b in parts for blob in b.column("blob").to_pylist() for x in lm.opened(blob) for k in x.column("key").to_pylist()]
+    assert keys == list(range(50))
+
+
+def test_lm_lists_merge_early_to_the_same_counts():
+    rnd = np.random.default_rng(3)
+    lists = [lm.distinct(rnd.integers(0, 400, 300).astype(np.uint64)) for _ in range(9)]
+    blobs = [lm.packed(lm.steps(codes), counts) for codes, counts in lists]
+    want = collections.Counter()
+    for codes, counts in lists:
+        want.update(dict(zip(codes.tolist(), counts.tolist(), strict=True)))
+    for rows in (1, 500, 1 << 22):
+        codes, counts = lm.gathered(iter(blobs), rows)
+        assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == want and (np.diff(codes.astype(np.int64)) > 0).all()
 
 
 def plain_context_tree(learned, scored):
@@ -201,16 +230,13 @@ def plain_context_tree(learned, scored):
     return [sum(bits(*split(*g)) for g in grams(t)) for t in scored]
 
 
-def test_context_tree_against_plain_recursion(spark, monkeypatch):
+def test_context_tree_against_plain_recursion(spark):
     rnd = random.Random(4)
     rows = [(i, "".join(rnd.choice("abcaB \xe9") for _ in range(rnd.randint(0, 60)))) for i in range(40)] + [(40, "ab" * 200), (41, "ab" * 200), (42, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain_context_tree([t or "" for i, t in rows if i % 10], [t or "" for _, t in rows])
     for shard, block, rows_held in ((lm.SHARD_BYTES, lm.BLOCK_BYTES, lm.MERGE_ROWS), (100, 300, 50)):  # one shard; many shards and blocks
-        monkeypatch.setattr(lm, "SHARD_BYTES", shard)
-        monkeypatch.setattr(lm, "BLOCK_BYTES", block)
-        monkeypatch.setattr(lm, "MERGE_ROWS", rows_held)
-        got = {r.doc_id: r.score for r in lm.score_texts(df, F.col("doc_id") % 10 != 0).collect()}
+        got = {r.doc_id: r.score for r in lm.score_texts(df, F.col("doc_id") % 10 != 0, block_bytes=block, shard_bytes=shard, merge_rows=rows_held).collect()}
         assert [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-5)
     nothing = {r.doc_id: r.score for r in lm.score_texts(df, F.lit(False)).collect()}
     assert nothing[42] == pytest.approx(8 * math.log10(0.5), rel=2e-5)
@@ -271,6 +297,37 @@ def test_long_secrets_are_found_and_masked(spark):
     assert {r.text for r in pii.masked_documents(df).collect()} == {'token = "[secret]" end'}
 
 
+def test_many_spans_stay_linear_and_right(spark, monkeypatch):
+    """Base spans, candidates and masks of long lists of contacts against plain scans of all pairs of spans; a text of 30 000 contacts takes seconds."""
+    rnd = random.Random(12)
+    pieces = ["ann@mail.example", "10.2.3.4", "+44 20 7946 0958", "4111 1111 1111 1111", "(555) 234-7890", "123-45-6789", "Dr Anna Berg", "key=abcdEFGH0123456789ijkl", "plain", "@", "+", "7"]
+    rows = [(i, "".join(rnd.choice(pieces) + rnd.choice([" ", "", "\n", ", "]) for _ in range(rnd.randint(0, 60)))) for i in range(60)]
+    monkeypatch.setattr(pii, "classifier", lambda rows: {(k, p) for k, p, _ in rows if k != "ssn"})
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    masks = {r.doc_id: r.text for r in pii.masked_documents(df).collect()}
+    for i, t in rows:
+        want = [tuple(s) for s in got[i].base_spans]
+        taken = [(a, b) for _, a, b in want]
+        last = 0
+        for kind, a, b in sorted(pii.candidates(t), key=lambda s: s[1]):
+            if kind != "ssn" and a >= last and not any(a < y and x < b for x, y in taken):
+                want.append((kind, a, b))
+                last = b
+        assert [tuple(s) for s in got[i].all_spans] == sorted(want, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        marks, at = {}, 0
+        for a, b, kind in sorted((a, b, k) for k, a, b in want):
+            if a >= at:
+                marks[a] = kind
+            at = max(at, b)
+        inside = {k for _, a, b in want for k in range(a, b)}
+        assert masks[i] == "".join(f"[{marks[k]}]" if k in marks else "" if k in inside else c for k, c in enumerate(t))
+    long = spark.createDataFrame([(1, ", ".join(f"a{k}@mail.example (555) 234-{k % 10000:04d}" for k in range(30_000)))], "doc_id long, text string")
+    start = time.monotonic()
+    assert pii.masked_documents(long).first().text.count("[email]") == 30_000
+    assert time.monotonic() - start < 60
+
+
 def test_overlapping_spans_are_masked_whole(spark, monkeypatch):
     df = spark.createDataFrame([(1, "pay 4111 1111 1111 1111@mail.example.com now"), (2, "Dr Anna4abcdefghij1234567890 end")], "doc_id long, text string")
     monkeypatch.setattr(pii, "classifier", lambda rows: {(k, p) for k, p, _ in rows})
