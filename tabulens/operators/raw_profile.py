@@ -94,10 +94,11 @@ def index_like(df: DataFrame, original: str, name: str, physical: str, rows: int
     return (r[0], r[1], r[2], r[3]) == (0, rows - 1, rows, rows) and row_order.in_order(df, c) is not False
 
 
-def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None = None, approximate: int = 0) -> dict:
+def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None = None, approximate: int = 0, checked: dict | None = None) -> dict:
     """The profile of df as a dict: row_count, columns in order, null_summary, pairs and warnings.
 
-    original_names are the header names where df's were normalised. approximate > 0 takes sketched quartiles.
+    original_names are the header names where df's were normalised. approximate > 0 takes sketched quartiles. checked is
+    what structure.check reported of df, whose equal and index columns needn't be looked for again.
     """
     names = original_names or df.columns
     types = mixed.type_counts(df) if mixed.names(df) else {}
@@ -124,7 +125,8 @@ def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None =
     quarts = quantiles(df, measured, (0.25, 0.75), rows, approximate)
     fences = {n: b for n, (a, z) in quarts.items() if a is not None and z != a and (b := outlier_bounds(a, z))}
     late = aggregate(df, {(n, "out"): F.count_if(outside(measured[n], b)) for n, b in fences.items()})
-    same = identical_pairs(df)
+    checked = None if types else checked  # texts of variants are compared here alone
+    same = [tuple(p) for p in checked["duplicate_value_columns"]] if checked else identical_pairs(df)
     twins = {n for pair in same for n in pair}
 
     columns = []
@@ -167,7 +169,7 @@ def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None =
             "variable_length": bool(get("shortest") != get("longest")),
             "id_name_signal": classify.named_like_id(original),
             "is_categorical": rows > 0 and ratio <= classify.LOW_CARDINALITY and d["unique"] > 1,
-            "is_index_like": index_like(df, original, n, k, rows),
+            "is_index_like": n in checked["index_like_columns"] if checked else index_like(df, original, n, k, rows),
             "format_signatures": signatures,
             "mixed_format_warning": len(signatures) > 1,
             "ambiguous_date_warning": "numeric_date" in signatures and not {"iso_date", "named_date"} & set(signatures),

@@ -5,7 +5,7 @@ Nothing is raised: a fault ends the run with its stage, type and message under p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from tabulens.operators import executor, mixed, raw_profile, statistics, structure, summary
 from tabulens.plans import charts, evidence, report
@@ -22,7 +22,7 @@ def run(spark: SparkSession, source: str | DataFrame, data_loss_threshold: float
             frame, out["structure"] = structure.check(source)
             out["ingestion"] = {"errors": out["structure"]["errors"], "warnings": out["structure"]["warnings"]}
             if not out["ingestion"]["errors"]:
-                out["raw_profile"] = raw_profile.profile(frame, "raw", source.columns, approximate)
+                out["raw_profile"] = raw_profile.profile(frame, "raw", source.columns, approximate, out["structure"])
                 out["plan"] = plan_cleaning(out["raw_profile"], frame.columns, date_dayfirst)
             frame = mixed.as_text(frame)
         else:
@@ -34,12 +34,15 @@ def run(spark: SparkSession, source: str | DataFrame, data_loss_threshold: float
         out["raw_frame"] = frame
         stage = "preprocessing"
         before = executor.fingerprint(frame)
-        cleaned, out["execution_log"] = executor.execute(frame, out["plan"], data_loss_threshold, case_strategy, date_dayfirst, out["structure"]["original_columns"])
-        cleaned = cleaned.persist()
+        steps, out["execution_log"] = executor.audit(frame, out["plan"], data_loss_threshold, case_strategy, date_dayfirst, out["structure"]["original_columns"])
+        seen = Observation("raw")  # the pass that makes the cleaned frame sees the raw one
+        cleaned = executor.apply(frame.observe(seen, *executor.row_marks(frame)), steps).persist()
         out["cleaned_frame"] = cleaned
-        out["raw_snapshot_unchanged"] = executor.fingerprint(frame) == before
+        rows = cleaned.count()
+        after = tuple(int(seen.get[m]) for m in ("rows", "xor", "sum"))
+        out["raw_snapshot_unchanged"] = after == before
         stage = "validation"
-        if faults := executor.validate(frame, cleaned):
+        if faults := executor.validate(frame, cleaned, (after[0], rows)):
             raise ValueError("; ".join(faults))
         stage = "summary"
         out["summary"] = summary.summarise(out["raw_profile"], cleaned, out["execution_log"], approximate)

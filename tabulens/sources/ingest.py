@@ -204,7 +204,7 @@ def ingest(spark: SparkSession, path: str, date_dayfirst: bool | None = None, ap
             out.report["errors"] += out.structure["errors"]
             return out
         out.report["warnings"] += out.structure["warnings"]
-        out.profile = raw_profile.profile(named, "raw", header, approximate)
+        out.profile = raw_profile.profile(named, "raw", header, approximate, out.structure)
         out.plan = plan_cleaning(out.profile, named.columns, date_dayfirst)
         out.report |= {"row_count": out.profile["row_count"], "column_count": out.profile["column_count"]}
         out.frame = mixed.as_text(named)

@@ -1,5 +1,6 @@
 import pytest
 
+from tabulens import pipeline
 from tabulens.operators import executor, legacy, raw_profile, structure, summary
 from tabulens.plans.planner import Action, Plan, plan_cleaning, plan_legacy
 
@@ -151,3 +152,28 @@ def test_legacy(spark):
     assert ("word", "replace_null_like") in [(a.columns[0], a.action) for a in plan.actions]
     df = executor.execute_legacy(spark.createDataFrame(rows, "rate string, price string, ok string, word string, paid string"), plan)
     assert df.where("word is null").count() == 1
+
+
+def test_cleaning_scans_once_and_groups_once(spark, monkeypatch):
+    """All steps are audited by one aggregate; duplicates take one grouping; the log is that of the steps taken one after the other."""
+    rows = [(" 1,200 ", "Yes", "A", "x"), ("NA", "no", " a", None), ("3", " TRUE", "b", ""), ("4.5", "f", "B ", "y")]
+    df = spark.createDataFrame(rows, "num string, flag string, name string, rest string")
+    scans = []
+    for name in ("aggregate", "duplicate_rows"):
+        monkeypatch.setattr(executor, name, lambda *a, real=getattr(executor, name), name=name: (scans.append(name), real(*a))[1])
+    plan = Plan([Action(["num"], "replace_null_like", 1.0), Action(["num"], "convert_to_numeric", 0.9), Action(["flag"], "convert_to_boolean", 0.9), Action(["name"], "normalize_case", 1.0), Action(["flag"], "normalize_case", 1.0)], "raw_profile")
+    cleaned, log = executor.execute(df, plan, 0.3)
+    assert sorted(scans) == ["aggregate", "duplicate_rows"]
+    told = {(e["action"], *e["columns"]): e for e in log}
+    assert told["replace_null_like", "num"]["values_nulled"] == 1 and told["strip_whitespace", "name"]["values_changed"] == 2
+    assert (told["convert_to_numeric", "num"]["status"], told["convert_to_numeric", "num"]["invalid_count"]) == ("executed", 0)
+    assert told["convert_to_boolean", "flag"]["status"] == "rejected"
+    assert told["normalize_case", "name"]["values_changed"] == 2 and told["normalize_case", "flag"]["values_changed"] == 2
+    assert [tuple(r) for r in cleaned.collect()] == [(1200.0, "yes", "a", "x"), (None, "no", "a", None), (3.0, "true", "b", ""), (4.5, "f", "b", "y")]
+    clash = df.withColumnRenamed("rest", "stripped 0")
+    assert executor.execute(clash, plan)[0].columns == clash.columns
+
+
+def test_the_pass_that_cleans_sees_the_raw_rows(spark):
+    out = pipeline.run(spark, spark.createDataFrame([(f" {i % 7}", i) for i in range(40)], "a string, b int"))
+    assert out["pipeline_error"] is None and out["raw_snapshot_unchanged"] is True and out["cleaned_frame"].count() == 40
