@@ -8,6 +8,9 @@ bytes that end there, so the model is a table of such n-grams, built and looked
 1. Texts are packed in blocks of about BLOCK_BYTES. A block lists its distinct n-grams with their counts in training
    texts, sorted, packed and dealt to shards by a hash of their HEAD latest context bytes, and its distinct tokens, by
    a hash of theirs. The lists follow from the block alone, so they are made anew where they are needed, not kept.
+   A block sends at most FAN lists: where there are more shards, a list goes to a range of shards, and a node of the
+   exchange merges those of about FAN blocks and sends at most FAN lists on, until a list has one shard (Route). So
+   the number of lists is that of blocks times FAN times the levels, and grows with the input times its logarithm.
 2. A shard merges what all blocks sent it. It holds whole subtrees, which settle the depths from HEAD down. The nodes of
    depth HEAD go, packed, to groups by their two latest bytes, which settle the depths from two to HEAD; depths 0 and 1
    have at most 65 792 nodes, which Spark sums and all tasks share. On the way back each node of depth HEAD gets the
@@ -16,8 +19,8 @@ bytes that end there, so the model is a table of such n-grams, built and looked
    leading one), in the order in which it sent them; a shard of tokens answers with counts. The block scores its texts.
 
 What is shuffled are the distinct n-grams of each block, at about two bytes on the way there and three on the way back,
-and its distinct tokens: they grow with the input. There is a shard for each SHARD_BYTES of text. A node that the
-training texts never reached passes its decision to the node above it.
+and its distinct tokens: they grow with the input. There is a shard for each SHARD_BYTES of text. Answers go back the
+way the lists came. A node that the training texts never reached passes its decision to the node above it.
 
 Defined results: a null text is the empty text, whose only token and symbol is the end. The base score and the model
 read all training texts. Without training texts every count is 0 and each decision has probability one half. Rows are
@@ -30,6 +33,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +46,13 @@ from tabulens.llm.common import cut, id_remainder, slices, table, texts
 
 #: An n-gram of DEPTH context bytes and the symbol fills a 64-bit number.
 DEPTH, HEAD = 7, 4
-BLOCK_BYTES, SHARD_BYTES = 14 << 20, 4 << 20
+BLOCK_BYTES, SHARD_BYTES = 10 << 20, 8 << 20
 #: Bytes of text that are listed, and that are looked up, at a time.
 SLICE_BYTES, LOOKUP_BYTES = 1 << 19, 1 << 18
+#: Lists that a block, or a node of the exchange, sends at most.
+FAN = 256
+#: Passes in which a block lists its n-grams; each holds its share of them.
+PASSES = 4
 #: Groups of the nodes of depth HEAD.
 MIDDLE = 64
 #: N-grams that a shard gathers before it merges them.
@@ -54,11 +62,56 @@ END = 0xFF
 #: The end as a token; no word can be empty.
 END_TOKEN = b""
 
-PAYLOAD, GRAM, TOKEN, CARRY = 0, 1, 2, 3
+PAYLOAD, GRAM, TOKEN, CARRY, ANSWER = 0, 1, 2, 3, 4
+#: steps and counts of a list of n-grams.
+LIST = (np.uint64, np.int64)
 #: key, total, ones and weighted log probability of nodes.
 NODES = (np.uint64, np.int64, np.int64, np.float64)
 
 
+@dataclass(frozen=True)
+class Route:
+    """The way of lists from blocks to shards: at level k a list is for a range of fan**(levels - k) shards, its region, and
+    the lists of about fan**k blocks, a chunk, are merged in a region. At the last level a region is a shard."""
+
+    blocks: int
+    shards: int
+    fan: int
+
+    @property
+    def levels(self) -> int:
+        found = 1
+        while self.fan**found < self.shards:
+            found += 1
+        return found
+
+    def width(self, level: int) -> int:
+        return self.fan ** (self.levels - level)
+
+    def chunk(self, block: str) -> int:
+        """The chunk of a block at the first level; at the next one it is that divided by fan."""
+        return zlib.crc32(block.encode()) % -(-self.blocks // self.fan) if self.levels > 1 else 0
+
+
+#: A list: the region and chunk that it goes to, the block or node that it comes from.
+LISTED = "shard int, chunk int, block string, kind byte, blob binary"
+
+
+def listed(shards: list[int], chunk: int, block: str, kind: int, blobs: list[bytes]) -> pa.RecordBatch:
+    n = len(shards)
+    return pa.RecordBatch.from_pydict({"shard": pa.array(shards, pa.int32()), "chunk": pa.array([chunk] * n, pa.int32()), "block": pa.array([block] * n, pa.string()), "kind": pa.array([kind] * n, pa.int8()), "blob": pa.array(blobs, pa.binary())})
+
+
+def node_name(shard: int, chunk: int) -> str:
+    return f"{shard}.{chunk}"
+
+
+def to_nodes(answers: DataFrame) -> DataFrame:
+    """Answers (block, shard, blob) to nodes as rows of LISTED for the region and chunk of their node; part: the region that answers."""
+    place = F.split("block", "[.]")
+    return answers.select(place[0].cast("int").alias("shard"), place[1].cast("int").alias("chunk"), "block", F.lit(ANSWER).cast("byte").alias("kind"), "blob", F.col("shard").alias("part"))
+
+
 def packed(*columns: np.ndarray) -> bytes:
     """Arrays of one length as bytes, like bytes of all values side by side, compressed."""
     planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
@@ -107,17 +160,28 @@ def merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
-def by_shard(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted codes: their places, in the order of shard, then code, and the number of codes of each shard."""
+def by_region(codes: np.ndarray, route: Route, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted codes: their places, in the order of region, then code; the regions that have any, and where each one's end."""
     if not len(codes):
-        return np.empty(0, np.int64), np.zeros(shards, np.int64)
+        return (np.empty(0, np.int64),) * 3
     head = codes >> np.uint64(8 * (DEPTH + 1 - HEAD))
     starts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
     sizes = np.diff(starts, append=len(codes))
-    shard = (((head[starts] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    starts, own = starts[order], sizes[order]
-    return np.repeat(starts - (np.cumsum(own) - own), own) + np.arange(len(codes)), np.bincount(shard, sizes, shards).astype(np.int64)
+    shard = (((head[starts] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(route.shards)).astype(np.int64)
+    region = shard // route.width(level)
+    order = np.argsort(region, kind="stable")
+    region, starts, own = region[order], starts[order], sizes[order]
+    last = np.flatnonzero(np.concatenate([region[1:] != region[:-1], [True]]))
+    return np.repeat(starts - (np.cumsum(own) - own), own) + np.arange(len(codes)), region[last], np.cumsum(own)[last]
+
+
+def gram_parts(codes: np.ndarray, counts: np.ndarray, route: Route, level: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Regions of a level, and the lists of n-grams and counts for them, some at a time."""
+    order, regions, ends = by_region(codes, route, level)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    for a in range(0, len(regions), 256):
+        own = [order[i:j] for i, j in zip(starts[a : a + 256], ends[a : a + 256], strict=True)]
+        yield regions[a : a + 256].tolist(), [packed(steps(codes[x]), counts[x].astype(np.int64)) for x in own]
 
 
 def normal(text: str) -> bytes:
@@ -156,26 +220,27 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different codes, and how often they occur; sorts codes in place."""
     codes.sort()
     starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]]))
-    return codes[starts], np.diff(starts, append=len(codes)).astype(np.uint32)
+    return codes[starts], np.diff(starts, append=len(codes))
 
 
 def distinct_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct n-grams of a block, and their counts in training texts; in two passes by the latest context byte, to hold half of them at a time."""
+    """The sorted distinct n-grams of a block, and their counts in training texts; in PASSES by the latest context byte, to hold a share of them at a time."""
     seen = {True: np.zeros(256, np.int64), False: np.zeros(256, np.int64)}
-    parts = [([normal(t) for t in texts(part, "text")], part.column("train").to_numpy(zero_copy_only=False)) for part in opened(blob)]
-    for batch, train in parts:
+    for part in opened(blob):
+        train = part.column("train").to_pylist()
+        batch = [normal(t) for t in texts(part, "text")]
         for own, n in seen.items():
-            some = [t for t, learned in zip(batch, train.tolist(), strict=True) if learned == own]
+            some = [t for t, learned in zip(batch, train, strict=True) if learned == own]
             n += np.bincount(np.frombuffer(b"".join(some), np.uint8), minlength=256)
             n[END] += len(some)
     total = np.cumsum(seen[True] + seen[False])
-    middle = int(np.searchsorted(total, total[-1] // 2)) + 1
+    bounds = sorted({0, 256, *(int(np.searchsorted(total, total[-1] * k // PASSES)) + 1 for k in range(1, PASSES))})
     codes, counts = [], []
-    for low, high in ((0, middle), (middle, 256)):
+    for low, high in zip(bounds, bounds[1:], strict=False):
         every, at = {own: np.empty(int(n[low:high].sum()), np.uint64) for own, n in seen.items()}, {True: 0, False: 0}
-        for batch, train in parts:
-            own_codes, n = symbols(batch)
-            train = np.repeat(train, n)
+        for part in opened(blob):
+            own_codes, n = symbols([normal(t) for t in texts(part, "text")])
+            train = np.repeat(part.column("train").to_numpy(zero_copy_only=False), n)
             latest = own_codes >> np.uint64(8 * DEPTH)
             inside = (latest >= low) & (latest < high)
             for own in (True, False):
@@ -191,23 +256,51 @@ def distinct_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(codes), np.concatenate(counts)
 
 
-def gram_lists(held: DataFrame, shards: int) -> DataFrame:
-    """(shard, block, kind, blob): the n-grams, as steps, that each block sends to each shard, and their counts."""
+def gram_lists(held: DataFrame, route: Route) -> DataFrame:
+    """LISTED: the n-grams, as steps, that each block sends to each region of the first level, and their counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                codes, counts = distinct_grams(blob)
-                order, sizes = by_shard(codes, shards)
-                ends = np.cumsum(sizes)
-                full = np.flatnonzero(sizes)
-                for a in range(0, len(full), 256):
-                    part = full[a : a + 256]
-                    own = [order[ends[s] - sizes[s] : ends[s]] for s in part]
-                    blobs = [packed(steps(codes[x]), counts[x]) for x in own]
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array(part, pa.int32()), "block": [name] * len(part), "kind": pa.array([GRAM] * len(part), pa.int8()), "blob": pa.array(blobs, pa.binary())})
+                for regions, blobs in gram_parts(*distinct_grams(blob), route, 1):
+                    yield listed(regions, route.chunk(name), name, GRAM, blobs)
+
+    return held.mapInArrow(run, LISTED)
 
-    return held.mapInArrow(run, "shard int, block string, kind byte, blob binary")
+
+def grams_sent_on(lists: DataFrame, route: Route, level: int, merge_rows: int) -> DataFrame:
+    """LISTED: the lists that nodes of a level, each a region and chunk, make for the regions of the next one."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, chunk = (k.as_py() for k in key)
+        found = gathered((x for b in batches for x in b.column("blob").to_pylist()), merge_rows)
+        for regions, blobs in gram_parts(*found, route, level + 1):
+            yield listed(regions, chunk // route.fan, node_name(region, chunk), GRAM, blobs)
+
+    return lists.groupBy("shard", "chunk").applyInArrow(run, LISTED)
+
+
+def gram_answers(lists: DataFrame, answers: DataFrame, route: Route, level: int, merge_rows: int) -> DataFrame:
+    """(block, shard, blob): what nodes of a level answer the lists that they got, from the answers to theirs."""
+
+    def run(group: pa.Table) -> pa.Table:
+        kind = group.column("kind").to_numpy()
+        own, below = group.filter(pa.array(kind == GRAM)), group.filter(pa.array(kind == ANSWER)).sort_by("part")
+        blobs = own.column("blob").to_pylist()
+        codes, _ = gathered(blobs, merge_rows)
+        value = np.empty((3, len(codes)), np.uint8)
+        order = by_region(codes, route, level + 1)[0]
+        value[:, order] = np.concatenate([unpacked(b, np.uint8, np.uint8, np.uint8) for b in below.column("blob").to_pylist()], axis=1)
+        return answered(own, codes, value)
+
+    both = lists.withColumn("part", F.lit(None).cast("int")).unionByName(to_nodes(answers))
+    return both.groupBy("shard", "chunk").applyInArrow(run, "block string, shard int, blob binary")
+
+
+def answered(lists: pa.Table, codes: np.ndarray, value: np.ndarray) -> pa.Table:
+    """(block, shard, blob) for lists of n-grams among the sorted codes, whose values are three rows of bytes."""
+    found = [packed(*value[:, np.searchsorted(codes, np.cumsum(unpacked(b, *LIST)[0], dtype=np.uint64))]) for b in lists.column("blob").to_pylist()]
+    return pa.table({"block": lists.column("block"), "shard": lists.column("shard"), "blob": pa.array(found, pa.binary())})
 
 
 def counted_tokens(blob: bytes) -> Counter:
@@ -225,44 +318,84 @@ def counted_tokens(blob: bytes) -> Counter:
     return seen
 
 
-def tokens_by_shard(tokens: Iterable[bytes], shards: int) -> list[list[bytes]]:
-    """The tokens of each shard, sorted; a token holds no blank, so blanks can join a list."""
-    out: list[list[bytes]] = [[] for _ in range(shards)]
-    for w in sorted(tokens):
-        out[zlib.crc32(w) % shards].append(w)
-    return out
+def packed_tokens(counts: dict[bytes, int], words: list[bytes]) -> bytes:
+    """Words and their counts, compressed; a token holds no blank, so blanks join them."""
+    joined = b" ".join(words)
+    values = np.array([counts[w] for w in words], np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(len(joined).to_bytes(8, "little") + joined + values)
 
 
-def token_counts(held: DataFrame, shards: int) -> DataFrame:
-    """(block, shard, words, blob, tokens, kinds): the tokens that a block has of a shard, and their counts in all training
-    texts; the sum over all blocks and number of these stand at one block of each shard, and 0 at the others."""
+def unpacked_tokens(blob: bytes) -> tuple[list[bytes], np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    end = 8 + int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(data, np.uint8, offset=end).reshape(8, -1)
+    return data[8:end].split(b" "), np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+
+def token_parts(counts: dict[bytes, int], route: Route, level: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Regions of a level, and the lists of tokens for them, some at a time."""
+    own: dict[int, list[bytes]] = {}
+    for w in sorted(counts):
+        own.setdefault(zlib.crc32(w) % route.shards // route.width(level), []).append(w)
+    regions = list(own)
+    for a in range(0, len(regions), 256):
+        yield regions[a : a + 256], [packed_tokens(counts, own[r]) for r in regions[a : a + 256]]
+
+
+def summed_tokens(blobs: Iterable[bytes]) -> dict[bytes, int]:
+    total: dict[bytes, int] = {}
+    for blob in blobs:
+        words, counts = unpacked_tokens(blob)
+        for w, k in zip(words, counts.tolist(), strict=True):
+            total[w] = total.get(w, 0) + k
+    return total
+
+
+def token_counts(held: DataFrame, route: Route) -> tuple[DataFrame, int, int]:
+    """(block, shard, blob): the tokens that a block has of a region, and their counts in all training texts; the number of
+    tokens and of distinct ones in the training texts."""
+
+    def lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                seen = counted_tokens(blob)
-                own = [(s, ws) for s, ws in enumerate(tokens_by_shard(seen, shards)) if ws]
-                for a in range(0, len(own), 256):
-                    part = own[a : a + 256]
-                    lists = [squeeze(b" ".join(ws)) for _, ws in part]
-                    counts = [packed(np.array([seen[w] for w in ws], np.int64)) for _, ws in part]
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([s for s, _ in part], pa.int32()), "block": [name] * len(part), "words": pa.array(lists, pa.binary()), "counts": pa.array(counts, pa.binary())})
-
-    def count(group: pa.Table) -> pa.Table:
-        expand = zstandard.ZstdDecompressor().decompress
-        total: dict[bytes, int] = {}
-        lists = group.column("words").to_pylist()
-        for words, counts in zip(lists, group.column("counts").to_pylist(), strict=True):
-            for w, k in zip(expand(words).split(b" "), unpacked(counts, np.int64)[0].tolist(), strict=True):
-                total[w] = total.get(w, 0) + k
-        blobs = [packed(np.array([total[w] for w in expand(x).split(b" ")], np.int64)) for x in lists]
-        facts = [np.zeros(len(lists), np.int64) for _ in range(2)]
-        facts[0][0], facts[1][0] = sum(total.values()), sum(map(bool, total.values()))
-        return pa.table([group.column("block"), group.column("shard"), group.column("words"), pa.array(blobs, pa.binary()), *map(pa.array, facts)], names=["block", "shard", "words", "blob", "tokens", "kinds"])
-
-    sent = held.mapInArrow(run, "shard int, block string, words binary, counts binary")
-    return cut(sent.groupBy("shard").applyInArrow(count, "block string, shard int, words binary, blob binary, tokens long, kinds long"), "ctw-tokens")
+                for regions, blobs in token_parts(counted_tokens(blob), route, 1):
+                    yield listed(regions, route.chunk(name), name, TOKEN, blobs)
+
+    def sent_on(level: int):
+        def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            region, chunk = (k.as_py() for k in key)
+            total = summed_tokens(x for b in batches for x in b.column("blob").to_pylist())
+            for regions, blobs in token_parts(total, route, level + 1):
+                yield listed(regions, chunk // route.fan, node_name(region, chunk), TOKEN, blobs)
+
+        return run
+
+    def filled(own: pa.Table, total: dict[bytes, int], facts: bool) -> pa.Table:
+        blobs = [packed_tokens(total, unpacked_tokens(x)[0]) for x in own.column("blob").to_pylist()]
+        tokens, kinds = np.zeros(len(blobs), np.int64), np.zeros(len(blobs), np.int64)
+        if facts:
+            tokens[0], kinds[0] = sum(total.values()), sum(map(bool, total.values()))
+        return pa.table([own.column("block"), own.column("shard"), pa.array(blobs, pa.binary()), pa.array(tokens), pa.array(kinds)], names=["block", "shard", "blob", "tokens", "kinds"])
+
+    def at_shard(group: pa.Table) -> pa.Table:
+        return filled(group, summed_tokens(group.column("blob").to_pylist()), True)
+
+    def at_node(group: pa.Table) -> pa.Table:
+        kind = group.column("kind").to_numpy()
+        below = group.filter(pa.array(kind == ANSWER))
+        return filled(group.filter(pa.array(kind == TOKEN)), summed_tokens(below.column("blob").to_pylist()), False)
+
+    kinds = "block string, shard int, blob binary, tokens long, kinds long"
+    sent = [held.mapInArrow(lists, LISTED)]
+    for level in range(1, route.levels):
+        sent.append(cut(sent[-1].groupBy("shard", "chunk").applyInArrow(sent_on(level), LISTED), "ctw-token-lists"))
+    found = cut(sent[-1].groupBy("shard").applyInArrow(at_shard, kinds), "ctw-tokens")
+    facts = found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds"))).first()
+    answers = found.select("block", "shard", "blob")
+    for level in range(route.levels - 1, 0, -1):
+        both = sent[level - 1].withColumn("part", F.lit(None).cast("int")).unionByName(to_nodes(answers))
+        answers = both.groupBy("shard", "chunk").applyInArrow(at_node, kinds).select("block", "shard", "blob")
+    return answers, facts["tokens"], facts["kinds"]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -415,9 +548,9 @@ def gathered(blobs: Iterable[bytes], merge_rows: int) -> tuple[np.ndarray, np.nd
     """The sorted distinct n-grams of packed lists, and the sums of their counts; merged whenever merge_rows are held."""
     codes, counts, held = [], [], 0
     for blob in blobs:
-        own, cnt = unpacked(blob, np.uint64, np.uint32)
+        own, cnt = unpacked(blob, *LIST)
         codes.append(np.cumsum(own, dtype=np.uint64))
-        counts.append(cnt.astype(np.int64))
+        counts.append(cnt)
         held += len(own)
         if held >= merge_rows:
             found = merged(np.concatenate(codes), np.concatenate(counts))
@@ -430,8 +563,11 @@ def middle_group(keys: np.ndarray) -> np.ndarray:
     return ((keys >> np.uint64(8 * (HEAD - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(MIDDLE)
 
 
-def gram_values(held: DataFrame, shards: int, merge_rows: int = MERGE_ROWS) -> DataFrame:
+def gram_values(held: DataFrame, route: Route, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """(block, shard, blob): the log10 probabilities of a block's n-grams, in the order in which it sent them."""
+    sent = [gram_lists(held, route)]
+    for level in range(1, route.levels):
+        sent.append(cut(grams_sent_on(sent[-1], route, level, merge_rows), "ctw-lists"))
 
     def heads_of(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = Subtree(*gathered((x for b in batches for x in b.column("blob").to_pylist()), merge_rows)).heads()
@@ -444,7 +580,7 @@ def gram_values(held: DataFrame, shards: int, merge_rows: int = MERGE_ROWS) -> D
         shard = [key[0].as_py()] * len(full)
         yield pa.RecordBatch.from_pydict({"middle": pa.array(full, pa.int32()), "shard": pa.array(shard, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    heads = cut(gram_lists(held, shards).groupBy("shard").applyInArrow(heads_of, "middle int, shard int, blob binary"), "ctw-heads")
+    heads = cut(sent[-1].groupBy("shard").applyInArrow(heads_of, "middle int, shard int, blob binary"), "ctw-heads")
 
     def middle(blobs: list[bytes]) -> tuple[dict[int, tuple], np.ndarray, list[int]]:
         """The levels from HEAD to two, the order that sorts the nodes of the blobs, and the number of nodes of each blob."""
@@ -477,17 +613,18 @@ def gram_values(held: DataFrame, shards: int, merge_rows: int = MERGE_ROWS) -> D
     def values(group: pa.Table) -> pa.Table:
         kind = group.column("kind").to_numpy()
         own, above = group.filter(pa.array(kind == GRAM)), group.filter(pa.array(kind == CARRY))
-        blobs = own.column("blob").to_pylist()
         parts = [unpacked(b, np.uint64, np.float64, np.float64) for b in above.column("blob").to_pylist()]
         keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         order = np.argsort(keys)
-        codes, cnt = gathered(blobs, merge_rows)
+        codes, cnt = gathered(own.column("blob").to_pylist(), merge_rows)
         value = Subtree(codes, cnt).carried(keys[order], *(np.concatenate([p[k] for p in parts])[order] for k in (1, 2)))
-        value = rounded(value)
-        found = [packed(*value[:, np.searchsorted(codes, np.cumsum(unpacked(b, np.uint64, np.uint32)[0], dtype=np.uint64))]) for b in blobs]
-        return pa.table({"block": own.column("block"), "shard": own.column("shard"), "blob": pa.array(found, pa.binary())})
+        return answered(own, codes, rounded(value))
 
-    return gram_lists(held, shards).unionByName(carried).groupBy("shard").applyInArrow(values, "block string, shard int, blob binary")
+    lists = sent[-1].select("shard", "block", "kind", "blob")
+    answers = lists.unionByName(carried).groupBy("shard").applyInArrow(values, "block string, shard int, blob binary")
+    for level in range(route.levels - 1, 0, -1):
+        answers = gram_answers(sent[level - 1], answers, route, level, merge_rows)
+    return answers
 
 
 def rounded(values: np.ndarray) -> np.ndarray:
@@ -505,23 +642,22 @@ def restored(blob: bytes) -> np.ndarray:
     return bits.view("<f4").ravel()
 
 
-def score_block(group: pa.Table, shards: int) -> pa.Table:
-    """Scores of the texts of one block, from its rows (block, kind, shard, words, blob): its texts, and the answers of all shards."""
+def score_block(group: pa.Table, route: Route) -> pa.Table:
+    """Scores of the texts of one block, from its rows (block, kind, shard, blob): its texts, and the answers of all regions."""
     kind, shard = group.column("kind").to_numpy(), group.column("shard").to_numpy()
 
-    def blobs(k: int, column: str = "blob") -> list[bytes]:
+    def blobs(k: int) -> list[bytes]:
         own = group.filter(pa.array(kind == k)).take(pa.array(np.argsort(shard[kind == k])))
-        return own.column(column).to_pylist()
+        return own.column("blob").to_pylist()
 
     (payload,) = blobs(PAYLOAD)
     known_codes = distinct_grams(payload)[0]
     grams = np.empty(len(known_codes), np.float32)
-    grams[by_shard(known_codes, shards)[0]] = np.concatenate([restored(b) for b in blobs(GRAM)])
+    grams[by_region(known_codes, route, 1)[0]] = np.concatenate([restored(b) for b in blobs(GRAM)])
 
-    expand = zstandard.ZstdDecompressor().decompress
     known: dict[bytes, float] = {}
-    for words, counts in zip(blobs(TOKEN, "words"), blobs(TOKEN), strict=True):
-        known.update(zip(expand(words).split(b" "), np.log10(unpacked(counts, np.int64)[0] + 0.1).tolist(), strict=True))
+    for words, counts in map(unpacked_tokens, blobs(TOKEN)):
+        known.update(zip(words, np.log10(counts + 0.1).tolist(), strict=True))
     unknown, end = float(np.log10(0.1)), known[END_TOKEN]
     keys, rows = [], []
     for batch in opened(payload):
@@ -544,28 +680,24 @@ def score_block(group: pa.Table, shards: int) -> pa.Table:
     return pa.table([pa.chunked_array(keys), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "n_tokens", "n_known", "raw", "score", "n_symbols"])
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, merge_rows: int = MERGE_ROWS) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, merge_rows: int = MERGE_ROWS, fan: int = FAN) -> DataFrame:
     """Per row: id_col, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (the end mark is a byte). The rows that train admits are learned from; all are scored.
 
     Texts go into blocks of about block_bytes, n-grams to shards of about shard_bytes of text, and a shard merges its lists
-    whenever it holds merge_rows n-grams; the scores don't depend on these.
+    whenever it holds merge_rows n-grams; a block or node sends at most fan lists. The scores don't depend on these.
     """
     source = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-size // shard_bytes))
     held = cut(source.mapInArrow(lambda batches: blocks(batches, block_bytes), "block string, blob binary"), "ctw-blocks")
-    tokens = token_counts(held, shards)
-    facts = tokens.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds"))).first()
-    n, v = facts["tokens"], facts["kinds"]
-
-    nothing = F.lit(None).cast("binary")
+    route = Route(max(1, held.count()), max(1, -(-size // shard_bytes)), fan)
+    tokens, n, v = token_counts(held, route)
 
-    def of_kind(df: DataFrame, kind: int, shard: Column, words: Column = nothing) -> DataFrame:
-        return df.select("block", F.lit(kind).cast("byte").alias("kind"), shard.cast("int").alias("shard"), words.alias("words"), "blob")
+    def of_kind(df: DataFrame, kind: int, shard: Column) -> DataFrame:
+        return df.select("block", F.lit(kind).cast("byte").alias("kind"), shard.cast("int").alias("shard"), "blob")
 
-    rows = of_kind(held, PAYLOAD, F.lit(0)).unionByName(of_kind(gram_values(held, shards, merge_rows), GRAM, F.col("shard"))).unionByName(of_kind(tokens, TOKEN, F.col("shard"), F.col("words")))
+    rows = of_kind(held, PAYLOAD, F.lit(0)).unionByName(of_kind(gram_values(held, route, merge_rows), GRAM, F.col("shard"))).unionByName(of_kind(tokens, TOKEN, F.col("shard")))
     kind = source.schema["key"].dataType.simpleString()
-    found = rows.groupBy("block").applyInArrow(lambda t: score_block(t, shards), f"key {kind}, n_tokens long, n_known long, raw double, score double, n_symbols long")
+    found = rows.groupBy("block").applyInArrow(lambda t: score_block(t, route), f"key {kind}, n_tokens long, n_known long, raw double, score double, n_symbols long")
     base = F.col("raw") - F.col("n_tokens") * float(np.log10(n + 0.1 * (v + 1)))
     bits = F.col("score") * (-1 / float(np.log10(2))) / F.col("n_symbols")
     return found.select(F.col("key").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))

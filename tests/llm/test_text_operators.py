@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulens.llm import bpe, language, licences, lm, pii, quality, toxicity
-from tabulens.llm.common import bounded_sample
+from tabulens.llm.common import bounded_sample, cut
 
 EDGES = [None, "", "   \n\t", "a", "word " * 30_000, "x" * 5_000, "a b c a b c a b c", "ünï códe 漢字 \U0001f600\x1c\x85", "line one\nline two\nline one\n\n"]
 
@@ -235,13 +235,41 @@ def test_context_tree_against_plain_recursion(spark):
     rows = [(i, "".join(rnd.choice("abcaB \xe9") for _ in range(rnd.randint(0, 60)))) for i in range(40)] + [(40, "ab" * 200), (41, "ab" * 200), (42, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain_context_tree([t or "" for i, t in rows if i % 10], [t or "" for _, t in rows])
-    for shard, block, rows_held in ((lm.SHARD_BYTES, lm.BLOCK_BYTES, lm.MERGE_ROWS), (100, 300, 50)):  # one shard; many shards and blocks
-        got = {r.doc_id: r.score for r in lm.score_texts(df, F.col("doc_id") % 10 != 0, block_bytes=block, shard_bytes=shard, merge_rows=rows_held).collect()}
+    base = None
+    # one shard; many shards and blocks; lists sent on by nodes of the exchange, over three levels
+    for shard, block, rows_held, fan in ((lm.SHARD_BYTES, lm.BLOCK_BYTES, lm.MERGE_ROWS, lm.FAN), (100, 300, 50, 64), (100, 300, 50, 3)):
+        found = lm.score_texts(df, F.col("doc_id") % 10 != 0, block_bytes=block, shard_bytes=shard, merge_rows=rows_held, fan=fan).collect()
+        got = {r.doc_id: r.score for r in found}
         assert [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-5)
+        own = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in found)
+        assert own == (base := base or own)
     nothing = {r.doc_id: r.score for r in lm.score_texts(df, F.lit(False)).collect()}
     assert nothing[42] == pytest.approx(8 * math.log10(0.5), rel=2e-5)
 
 
+def test_lm_lists_grow_with_blocks_not_with_blocks_times_shards(spark):
+    assert [lm.Route(1, n, 4).levels for n in (1, 4, 5, 16, 17, 64, 65)] == [1, 1, 2, 2, 3, 3, 4]
+    rnd = random.Random(8)
+    text = lambda: "".join(rnd.choice("abcdefghij ") for _ in range(100))
+    counts = []
+    for n in (60, 240):
+        df = spark.createDataFrame([(i, text(), True) for i in range(n)], "key long, text string, train boolean").repartition(n // 4)
+        held = cut(df.mapInArrow(lambda batches: lm.blocks(batches, 400), "block string, blob binary"), "test-blocks")
+        route = lm.Route(held.count(), n, 4)
+        lists = [lm.gram_lists(held, route)]
+        for level in range(1, route.levels):
+            lists.append(lm.grams_sent_on(lists[-1], route, level, 1000))
+        rows = [x.count() for x in lists]
+        assert rows[0] <= 4 * route.blocks and all(r <= 4 * (route.blocks + n) for r in rows)
+        # Every shard gets its own n-grams, and all of them.
+        sent = lists[-1].collect()
+        assert {r["shard"] for r in sent} <= set(range(n)) and max(collections.Counter(r["shard"] for r in sent).values()) <= 4
+        grams = {c for r in sent for c in np.cumsum(lm.unpacked(r.blob, *lm.LIST)[0], dtype=np.uint64).tolist()}
+        assert grams == {c for b in held.collect() for c in lm.distinct_grams(b.blob)[0].tolist()}
+        counts.append(sum(rows) / n / route.levels)
+    assert counts[1] <= 1.5 * counts[0]
+
+
 def test_context_tree_packs_what_it_sends():
     codes = np.sort(np.random.default_rng(1).integers(0, 2**64, 500, np.uint64))
     assert (np.cumsum(lm.unpacked(lm.packed(lm.steps(codes), codes), np.uint64, np.uint64)[0], dtype=np.uint64) == codes).all()
