@@ -46,9 +46,9 @@ from tabulens.llm.common import cut, id_remainder, slices, table, texts
 
 #: An n-gram of DEPTH context bytes and the symbol fills a 64-bit number.
 DEPTH, HEAD = 7, 4
-BLOCK_BYTES, SHARD_BYTES = 10 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 14 << 20, 8 << 20
 #: Bytes of text that are listed, and that are looked up, at a time.
-SLICE_BYTES, LOOKUP_BYTES = 1 << 19, 1 << 18
+SLICE_BYTES, LOOKUP_BYTES = 1 << 19, 1 << 19
 #: Lists that a block, or a node of the exchange, sends at most.
 FAN = 256
 #: Passes in which a block lists its n-grams; each holds its share of them.
