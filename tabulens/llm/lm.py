@@ -52,7 +52,7 @@ SLICE_BYTES, LOOKUP_BYTES = 1 << 19, 1 << 19
 #: Lists that a block, or a node of the exchange, sends at most.
 FAN = 256
 #: Passes in which a block lists its n-grams; each holds its share of them.
-PASSES = 4
+PASSES = 3
 #: Groups of the nodes of depth HEAD.
 MIDDLE = 64
 #: N-grams that a shard gathers before it merges them.
