@@ -18,16 +18,19 @@ NUMERIC_DATE = r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}$"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 UNIT = r"[A-Za-z%²$€£₹]+"
 MEASURE = r"\d|[%$€£₹²]"
+#: The signature of a number without a unit.
+NO_UNIT = "unit:none"
 
 #: What generic numeric coercion takes: also exponents and infinities.
 GENERIC_NUMBER = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
 
 #: All white space that Python's str.strip takes off.
-SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    """Only the ends of a cell are looked at; a regular expression would try every place of it."""
+    return F.btrim(c, F.lit(SPACE))
 
 
 def token(c: Column) -> Column:
@@ -125,15 +128,28 @@ def is_currency(c: Column) -> Column:
 
 
 def date_signature(c: Column) -> Column:
-    s = strip(c)
+    return date_in(strip(c))
+
+
+def date_in(s: Column) -> Column:
+    """date_signature of a stripped cell."""
     named = s.rlike("[A-Za-z]{3,9}") & F.lower(s).rlike("|".join(MONTHS))
     return F.when(s.rlike(ISO_DATE), "iso_date").when(s.rlike(NUMERIC_DATE), "numeric_date").when(named, "named_date")
 
 
+def has_unit(s: Column) -> Column:
+    """Whether a stripped cell is a measure with units."""
+    return s.rlike(MEASURE) & s.rlike(UNIT)
+
+
+def units_in(s: Column) -> Column:
+    """The signature of a stripped cell that has units."""
+    return F.concat(F.lit("unit:"), F.array_join(F.array_sort(F.transform(F.regexp_extract_all(s, F.lit(UNIT), F.lit(0)), F.lower)), " "))
+
+
 def unit_signature(c: Column) -> Column:
     s = strip(c)
-    units = F.array_join(F.array_sort(F.transform(F.regexp_extract_all(s, F.lit(UNIT), F.lit(0)), F.lower)), " ")
-    return F.when(s.rlike(MEASURE), F.when(units != "", F.concat(F.lit("unit:"), units)).when(to_number(s).isNotNull(), F.lit("unit:none")))
+    return F.when(has_unit(s), units_in(s)).when(s.rlike(MEASURE) & number_in(s).isNotNull(), F.lit(NO_UNIT))
 
 
 def is_strict_float(c: Column) -> Column:

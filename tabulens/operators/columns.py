@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulens.functions import stats, text
+from tabulens.operators.row_order import placed
 
 #: Columns whose aggregates go into one plan; wider tables take several.
 BATCH = 25
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 #: Rows up to which quantiles are exact in one aggregate, which holds a count of every value; beyond, all columns' brackets are narrowed together.
 PERCENTILE_ROWS = 5_000_000
 
@@ -47,6 +51,18 @@ def present(df: DataFrame, name: str) -> Column:
     return F.nanvl(col(name), F.lit(None)) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else col(name)
 
 
+@contextlib.contextmanager
+def short_methods(df: DataFrame) -> Iterator[None]:
+    """Jobs under Spark's limit for the JVM's compiler: it leaves methods over 8 000 bytes interpreted, as which a plan of many expressions runs ten times longer than split up."""
+    conf = df.sparkSession.conf
+    before = conf.get(METHOD_LIMIT)
+    conf.set(METHOD_LIMIT, str(min(int(before), 8_000)))
+    try:
+        yield
+    finally:
+        conf.set(METHOD_LIMIT, before)
+
+
 def aggregate(df: DataFrame, wanted: dict[tuple[str, str], Column]) -> dict[tuple[str, str], object]:
     """One row of aggregates by (column, metric), in batches of columns."""
     names = list(dict.fromkeys(c for c, _ in wanted))
@@ -58,6 +74,20 @@ def aggregate(df: DataFrame, wanted: dict[tuple[str, str], Column]) -> dict[tupl
     return found
 
 
+@contextlib.contextmanager
+def spread(df: DataFrame) -> Iterator[DataFrame]:
+    """df for several passes: over all cores, held for them, where its files make fewer tasks than there are cores; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.is_cached or not placed(df)[1] or df.rdd.getNumPartitions() >= cores:
+        yield df
+        return
+    held = df.repartition(cores).persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, value, n) of the non-null values of each column, as text; one shuffle of pre-aggregated counts."""
     cells = [F.struct(F.lit(n).alias("column"), present(df, n).cast("string").alias("value")) for n in names]
@@ -80,16 +110,17 @@ def cell_marks(df: DataFrame, names: list[str], blanks: bool = False) -> DataFra
     """
     none = F.lit(None).cast("long")
     cells = []
-    for n, k in kinds(df):
-        if n not in names:
-            continue
-        c = present(df, n)
-        shown = text.strip(c) if k == "string" else None
+    own = [(n, k) for n, k in kinds(df) if n in names]
+    # Under names of their own, so that a text is stripped once.
+    rows = df.select(*(present(df, n).alias(f"c{i}") for i, (n, _) in enumerate(own)), *(text.strip(col(n)).alias(f"s{i}") for i, (n, k) in enumerate(own) if k == "string"))
+    for i, (n, k) in enumerate(own):
+        c = F.col(f"c{i}")
+        shown = F.col(f"s{i}") if k == "string" else None
         shown = shown if shown is None or blanks else F.when(shown != "", shown)
         hashed = lambda x: F.when(x.isNotNull(), F.xxhash64(x))
         forms = (none, none) if shown is None else (hashed(shown), hashed(F.lower(shown)))
         cells.append(F.struct(F.lit(n).alias("column"), F.when(c.isNotNull(), F.xxhash64(c)).alias("mark1"), F.xxhash64(F.lit(1), c).alias("mark2"), forms[0].alias("stripped"), forms[1].alias("folded")))
-    long = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where("mark1 is not null")
+    long = rows.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where("mark1 is not null")
     return long.groupBy("column", "mark1", "mark2").agg(F.max("stripped").alias("stripped"), F.max("folded").alias("folded"))
 
 

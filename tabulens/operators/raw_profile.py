@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabulens.functions import stats, text
 from tabulens.operators import classify, gram, mixed, row_order
-from tabulens.operators.columns import aggregate, cells_of, col, distinct_measures, identical_pairs, kinds, outlier_bounds, outside, present, quantiles, rounded, share, value_counts
+from tabulens.operators.columns import aggregate, cells_of, col, distinct_measures, identical_pairs, kinds, outlier_bounds, outside, present, quantiles, rounded, share, spread, value_counts
 
 SAMPLES, OUTLIER_LIST = 5, 1_000
 HIGH_MISSING, HIGH_SKEW, HIGH_CORRELATION = 50.0, 1.0, 0.95
@@ -52,8 +52,8 @@ def text_cells(df: DataFrame, about: dict[str, int], rows: int) -> DataFrame:
 def text_measures(counts: DataFrame, only: tuple[str, ...] = ()) -> dict[str, dict]:
     """What the cells of each text column look like (or some of it), from rows (column, value, n); the state of a column is bounded."""
     cells = counts.select("column", "value", "n", text.strip(F.col("value")).alias("stripped"))
-    cells = cells.select("*", F.lower("stripped").alias("token"), text.date_signature(F.col("stripped")).alias("date"), text.unit_signature(F.col("stripped")).alias("unit"))
     value, stripped, token, size = F.col("value"), F.col("stripped"), F.col("token"), F.char_length("value")
+    cells = cells.select("*", F.lower("stripped").alias("token"), text.date_in(stripped).alias("date"), text.number_in(stripped).isNotNull().alias("number"), text.has_unit(stripped).alias("unit"))
 
     def cases(which: Column) -> Column:
         return F.sum(F.when(which, F.col("n")).otherwise(0))
@@ -67,15 +67,24 @@ def text_measures(counts: DataFrame, only: tuple[str, ...] = ()) -> dict[str, di
         "shortest": F.min(size),
         "longest": F.max(size),
         **{f"null_like:{word}": cases(token == word) for word in text.NULL_WORDS},
-        "numeric_like": cases(text.number_in(stripped).isNotNull()),
+        "numeric_like": cases(F.col("number")),
         "datetime_like": cases(text.timestamp_in(stripped).isNotNull()),
         "boolean_like": cases(text.boolean_in(token).isNotNull()),
         **{f"signature:{x}": cases(F.col("date") == x) for x in SIGNATURES},
-        "first_unit": F.min("unit"),
-        "last_unit": F.max("unit"),
+        "units": cases(F.col("unit")),
+        "no_unit": cases(~F.col("unit") & F.col("number") & stripped.rlike(text.MEASURE)),
     }
     rows = cells.groupBy("column").agg(*(e.alias(m) for m, e in wanted.items() if not only or m in only)).collect()
-    return {r["column"]: r.asDict() for r in rows}
+    found = {r["column"]: r.asDict() for r in rows}
+    if any(f.get("units") for f in found.values()):
+        # Apart, for the least and the greatest text of a group take a sort: that of the cells with units, not of all.
+        named = counts.select("column", text.strip(F.col("value")).alias("stripped")).where(text.has_unit(stripped)).select("column", text.units_in(stripped).alias("unit"))
+        for r in named.groupBy("column").agg(F.min("unit").alias("first_unit"), F.max("unit").alias("last_unit")).collect():
+            found[r["column"]] |= {"first_unit": r["first_unit"], "last_unit": r["last_unit"]}
+    for f in found.values():
+        if f.get("no_unit"):
+            f["first_unit"], f["last_unit"] = min(f.get("first_unit", text.NO_UNIT), text.NO_UNIT), max(f.get("last_unit", text.NO_UNIT), text.NO_UNIT)
+    return found
 
 
 def numeric_view(c: Column, physical: str) -> Column | None:
@@ -100,6 +109,12 @@ def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None =
     original_names are the header names where df's were normalised. approximate > 0 takes sketched quartiles. checked is
     what structure.check reported of df, whose equal and index columns needn't be looked for again.
     """
+    with spread(df) as held:
+        return _profile(held, df, kind, original_names, approximate, checked)
+
+
+def _profile(df: DataFrame, source: DataFrame, kind: str, original_names: list[str] | None, approximate: int, checked: dict | None) -> dict:
+    """profile() of df; source is the same table in the order of its files."""
     names = original_names or df.columns
     types = mixed.type_counts(df) if mixed.names(df) else {}
     own_strings, dtypes = mixed.strings_only(df) if types else df, {f.name: f.dataType.simpleString() for f in df.schema}
@@ -119,12 +134,17 @@ def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None =
         texts = text_measures(value_counts(own_strings, list(types)))
         cells |= {n: NO_TEXT | texts.get(n, {}) | {m: cells[n][m] for m in parsed if n in cells} for n in types}
     views = {n: v for n, k in flat if (v := numeric_view(col(n), k)) is not None}
-    views = {n: F.when(~F.isnan(v), v) for n, v in views.items()}
-    first = aggregate(df, {(n, m): e for n, v in views.items() for m, e in (("n", F.count(v)), ("skew", stats.adjusted_skewness(v)))})
+    # Numbers are parsed once and held for the passes over them.
+    numbers = df.select(*(v.alias(n) for n, v in views.items())).persist() if views else df
+    views = {n: F.when(~F.isnan(col(n)), col(n)) for n in views}
+    first = aggregate(numbers, {(n, m): e for n, v in views.items() for m, e in (("n", F.count(v)), ("skew", stats.adjusted_skewness(v)))})
     measured = {n: v for n, v in views.items() if first[n, "n"] >= MIN_OUTLIER_ROWS}
-    quarts = quantiles(df, measured, (0.25, 0.75), rows, approximate)
+    quarts = quantiles(numbers, measured, (0.25, 0.75), rows, approximate)
     fences = {n: b for n, (a, z) in quarts.items() if a is not None and z != a and (b := outlier_bounds(a, z))}
-    late = aggregate(df, {(n, "out"): F.count_if(outside(measured[n], b)) for n, b in fences.items()})
+    late = aggregate(numbers, {(n, "out"): F.count_if(outside(measured[n], b)) for n, b in fences.items()})
+    correlated = correlation_warnings(numbers, [n for n, k in flat if k == "numeric"])
+    if views:
+        numbers.unpersist()
     checked = None if types else checked  # texts of variants are compared here alone
     same = [tuple(p) for p in checked["duplicate_value_columns"]] if checked else identical_pairs(df)
     twins = {n for pair in same for n in pair}
@@ -169,7 +189,7 @@ def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None =
             "variable_length": bool(get("shortest") != get("longest")),
             "id_name_signal": classify.named_like_id(original),
             "is_categorical": rows > 0 and ratio <= classify.LOW_CARDINALITY and d["unique"] > 1,
-            "is_index_like": n in checked["index_like_columns"] if checked else index_like(df, original, n, k, rows),
+            "is_index_like": n in checked["index_like_columns"] if checked else index_like(source, original, n, k, rows),
             "format_signatures": signatures,
             "mixed_format_warning": len(signatures) > 1,
             "ambiguous_date_warning": "numeric_date" in signatures and not {"iso_date", "named_date"} & set(signatures),
@@ -184,7 +204,6 @@ def profile(df: DataFrame, kind: str = "raw", original_names: list[str] | None =
         p["warnings"] = column_warnings(exact)
         columns.append(p)
 
-    correlated = correlation_warnings(df, [n for n, k in flat if k == "numeric"])
     return {
         "profile_type": kind,
         "row_count": rows,
