@@ -623,8 +623,9 @@ def log_transform(spark, sf_dir):
 
 @query(PLAN_SQL)
 def plan_actions(spark, sf_dir):
-    df = dirty(spark, sf_dir, "text_numbers").join(dirty(spark, sf_dir, "dirty_orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("v").alias("priority")), "l_orderkey")
+    df = dirty(spark, sf_dir, "text_numbers").join(dirty(spark, sf_dir, "dirty_orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("v").alias("priority")), "l_orderkey").persist()  # joined once for all passes
     plan = plan_cleaning(raw_profile.profile(df), df.columns)
+    df.unpersist()
     return spark.createDataFrame([(a.columns[0], a.action, float(a.confidence)) for a in plan.actions], "column_name string, action string, confidence double")
 
 
