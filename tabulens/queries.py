@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabulens import pipeline
 from tabulens.functions import text
 from tabulens.operators import chart_data, executor, gram, legacy, mixed, profile_state, raw_profile, row_order, selection, statistics, structure, summary, transforms
-from tabulens.operators.columns import cells_of, distinct_measures, duplicate_rows, identical_pairs, rounded, share, value_counts
+from tabulens.operators.columns import cells_of, distinct_measures, duplicate_rows, identical_pairs, rounded, share, spread, value_counts
 from tabulens.plans import charts, evidence
 from tabulens.plans.planner import Action, Plan, plan_cleaning
 
@@ -587,9 +587,10 @@ MIXED = """select o_orderkey, case when o_orderkey % 7 = 0 then concat('"', o_or
 )
 def mixed_types(spark, sf_dir):
     """What the profile says of a column of JSON cells of several types."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    df = spark.sql(MIXED).select(F.parse_json("cell").alias("cell"))
-    p, counts = raw_profile.profile(df)["columns"][0], mixed.type_counts(df)["cell"]
+    with spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")) as orders:
+        orders.createOrReplaceTempView("orders")
+        df = spark.sql(MIXED).select(F.parse_json("cell").alias("cell"))
+        p, counts = raw_profile.profile(df)["columns"][0], mixed.type_counts(df)["cell"]
     row = (p["mixed_type_count"], p["has_mixed_types"], p["null_count"], p["string_count"], counts["bool"], counts["float"], counts["int"], p["null_like_count"])
     return spark.createDataFrame([row], "mixed_type_count long, has_mixed_types boolean, null_count long, string_count long, n_bool long, n_float long, n_int long, null_like_count long")
 
