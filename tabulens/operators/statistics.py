@@ -31,10 +31,14 @@ def numeric_statistics(df: DataFrame, names: list[str], rows: int | None = None,
     shapes = dict(kinds(df))
     values = {n: as_number(df, n, shapes[n]) for n in names}
     rows = df.count() if rows is None else rows
+    # Parsed once and held for the passes over them.
+    df = df.select(*(v.alias(n) for n, v in values.items())).persist()
+    values = {n: col(n) for n in names}
     found = aggregate(df, {(n, m): e for n, v in values.items() for m, e in numeric_aggregates(v).items()})
     quarts = quantiles(df, values, (0.25, 0.5, 0.75), rows, approximate)
     fences = {n: b for n, q in quarts.items() if (b := outlier_bounds(q[0], q[2]))}
     out = aggregate(df, {(n, "o"): F.count_if(outside(values[n], b)) for n, b in fences.items()})
+    df.unpersist()
     result = {}
     for n in names:
         q1, median, q3 = quarts[n]
@@ -49,11 +53,12 @@ def categorical_statistics(df: DataFrame, names: list[str], limit: int = TOP) ->
     """Count, distinct values, the most frequent one and the first ten, off one table of value counts; ties by value."""
     if not names:
         return {}
-    counts = value_counts(df, names)
+    counts = value_counts(df, names).persist()
     totals = {r["column"]: r for r in counts.groupBy("column").agg(F.sum("n").alias("count"), F.count("*").alias("unique")).collect()}
     first: dict[str, list] = {n: [] for n in names}
     for r in top_values(counts, limit).orderBy("column", "rank").collect():
         first[r["column"]].append((r["value"], r["n"]))
+    counts.unpersist()
     out = {}
     for n in names:
         count = totals[n]["count"] if n in totals else 0

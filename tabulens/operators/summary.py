@@ -27,11 +27,14 @@ def compare(raw: dict, cleaned: dict, log: list[dict]) -> list[dict]:
     return out
 
 
-def summarise(raw: dict, cleaned_frame: DataFrame, log: list[dict], approximate: int = 0) -> dict:
-    """The report on a cleaning: diffs, changed and excluded columns, statuses, and what statistics may use."""
+def summarise(raw: dict, cleaned_frame: DataFrame, log: list[dict], approximate: int = 0, unchanged: bool = False) -> dict:
+    """The report on a cleaning: diffs, changed and excluded columns, statuses, and what statistics may use.
+
+    unchanged says that the cleaned frame is the raw one, whose profile then holds for both.
+    """
     if raw.get("profile_type") != "raw":
         raise ValueError("a raw profile is needed")
-    cleaned = raw_profile.profile(cleaned_frame, "cleaned", approximate=approximate)
+    cleaned = raw | {"profile_type": "cleaned"} if unchanged else raw_profile.profile(cleaned_frame, "cleaned", approximate=approximate)
     columns = compare(raw, cleaned, log)
     name = lambda c: c["column_after"] or c["column_before"]
     excluded = [{"column": name(c), "reasons": [f"semantic type is {c['after']['semantic_type']}"]} for c in columns if c["after"] and c["after"]["semantic_type"] in LEFT_OUT]

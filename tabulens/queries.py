@@ -657,8 +657,8 @@ def profile_measures(spark, sf_dir):
 
 @query(charts_sql("orders", ORDER_KINDS) + " select * from charts")
 def chart_candidates(spark, sf_dir):
-    df = table(spark, sf_dir, "orders")
-    found = statistics.statistical_profile(df, summary.summarise(raw_profile.profile(df), df, []))
+    with spread(table(spark, sf_dir, "orders")) as df:
+        found = statistics.statistical_profile(df, summary.summarise(raw_profile.profile(df), df, [], unchanged=True))
     return spark.createDataFrame([(c.rule_id, c.chart_type, ",".join(c.columns), c.confidence, c.priority) for c in charts.candidates(found)], "rule_id string, chart_type string, columns string, confidence double, priority string")
 
 
@@ -682,8 +682,8 @@ def constant_column(spark, sf_dir):
 
 @query(charts_sql("part", PART_KINDS) + " select rule_id, cast(count(*) as bigint) as n from charts group by rule_id")
 def evidence_groups(spark, sf_dir):
-    df = table(spark, sf_dir, "part")
-    found = statistics.statistical_profile(df, summary.summarise(raw_profile.profile(df), df, []))
+    with spread(table(spark, sf_dir, "part")) as df:
+        found = statistics.statistical_profile(df, summary.summarise(raw_profile.profile(df), df, [], unchanged=True))
     groups = evidence.grouped(evidence.chart_evidence(found, charts.candidates(found)))
     return spark.createDataFrame([(k, len(v)) for k, v in groups.items()], "rule_id string, n long")
 
