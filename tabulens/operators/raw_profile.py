@@ -53,7 +53,10 @@ def text_measures(counts: DataFrame, only: tuple[str, ...] = ()) -> dict[str, di
     """What the cells of each text column look like (or some of it), from rows (column, value, n); the state of a column is bounded."""
     cells = counts.select("column", "value", "n", text.strip(F.col("value")).alias("stripped"))
     value, stripped, token, size = F.col("value"), F.col("stripped"), F.col("token"), F.char_length("value")
-    cells = cells.select("*", F.lower("stripped").alias("token"), text.date_in(stripped).alias("date"), text.number_in(stripped).isNotNull().alias("number"), text.has_unit(stripped).alias("unit"))
+    # A plain number is no date and has no unit, so it meets one pattern alone.
+    cells = cells.select("*", F.lower("stripped").alias("token"), stripped.rlike(text.PLAIN_NUMBER).alias("plain"))
+    plain = F.col("plain")
+    cells = cells.select("*", F.when(~plain, text.date_in(stripped)).alias("date"), (plain | stripped.rlike(text.GROUPED_NUMBER)).alias("number"), (~plain & text.has_unit(stripped)).alias("unit"))
 
     def cases(which: Column) -> Column:
         return F.sum(F.when(which, F.col("n")).otherwise(0))
@@ -68,7 +71,7 @@ def text_measures(counts: DataFrame, only: tuple[str, ...] = ()) -> dict[str, di
         "longest": F.max(size),
         **{f"null_like:{word}": cases(token == word) for word in text.NULL_WORDS},
         "numeric_like": cases(F.col("number")),
-        "datetime_like": cases(text.timestamp_in(stripped).isNotNull()),
+        "datetime_like": cases(~plain & text.timestamp_in(stripped).isNotNull()),
         "boolean_like": cases(text.boolean_in(token).isNotNull()),
         **{f"signature:{x}": cases(F.col("date") == x) for x in SIGNATURES},
         "units": cases(F.col("unit")),

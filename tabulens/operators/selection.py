@@ -2,6 +2,7 @@
 
 1. One pass takes each column's count, range and a sketch, whose quantiles bracket the wanted ranks.
 2. One pass counts the values below and in each bracket; a bracket that missed its rank is widened and counted again.
+   A bracket of one value that holds its rank is the answer, however many rows it has.
 3. Each further pass cuts every open bracket into BINS bins of equal width and counts them, with their least and greatest
    values. The bin of a rank is its next bracket; it is the answer once its values are equal.
 
@@ -11,7 +12,9 @@ Only values in brackets are shuffled, as counts by bin; the driver gets a row a
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +46,9 @@ def counted(df: DataFrame, columns: dict[str, Column], brackets: list[Bracket])
 def histograms(df: DataFrame, columns: dict[str, Column], brackets: list[Bracket], bins: int) -> list[list]:
     """For each bracket its filled bins in order: rows (bin, n, low, high)."""
     cells = [F.struct(F.lit(at).alias("bracket"), columns[n].alias("v"), bin_of(columns[n], low, high, bins).alias("bin")) for at, (n, low, high) in enumerate(brackets)]
-    inside = df.select(F.explode(F.filter(F.array(*cells), lambda c: c["bin"].isNotNull())).alias("c")).select("c.*")
+    # Brackets hold few rows, so most are dropped before any cell is made.
+    near = functools.reduce(operator.or_, (columns[n].between(low, high) for n, low, high in brackets))
+    inside = df.where(near).select(F.explode(F.filter(F.array(*cells), lambda c: c["bin"].isNotNull())).alias("c")).select("c.*")
     rows = inside.groupBy("bracket", "bin").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()  # at most a row a bin
     out: list[list] = [[] for _ in brackets]
     for r in sorted(rows, key=lambda r: (r["bracket"], r["bin"])):
@@ -85,6 +90,9 @@ def joint_quantiles(df: DataFrame, columns: dict[str, Column], q: tuple[float, .
                 again[n, rank] = (facts[n, "low"], low)
             elif rank >= less + held:
                 again[n, rank] = (high, facts[n, "high"])
+            elif low == high:
+                known[n, rank] = low
+                del open_ranks[n, rank]
             else:
                 open_ranks[n, rank], below[n, rank] = (low, high), less
         missed = again

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulens.functions import text
-from tabulens.operators import columns, gram, raw_profile, statistics, summary
+from tabulens.operators import columns, gram, raw_profile, selection, statistics, summary
 
 
 def counting(df):
@@ -72,3 +72,13 @@ def test_few_splits_are_spread_over_all_cores(spark, tmp_path):
     assert not held.is_cached and raw == raw_profile.profile(df)
     found = [statistics.statistical_profile(df, summary.summarise(raw, df, [], unchanged=u)) for u in (False, True)]
     assert found[0] == found[1] and found[0]["categorical"]["g"]["count"] == 1000
+
+
+def test_brackets_of_one_value_take_no_histogram(spark, monkeypatch):
+    cut = []
+    plain = selection.histograms
+    monkeypatch.setattr(selection, "histograms", lambda df, c, brackets, bins: cut.extend(brackets) or plain(df, c, brackets, bins))
+    df = spark.range(4000).select((F.col("id") % 3).cast("double").alias("few"), F.col("id").cast("double").alias("many"))
+    got = selection.joint_quantiles(df, {n: F.col(n) for n in df.columns}, (0.25, 0.5, 0.75))
+    assert got == {"few": [0.0, 1.0, 2.0], "many": [999.75, 1999.5, 2999.25]}
+    assert all(n == "many" for n, _, _ in cut)
