@@ -30,6 +30,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Pieces that a worker remembers, and the longest of them.
 CACHE_PIECES, CACHE_CHARS = 300_000, 40
+#: Pairs of tokens whose compatibility a worker remembers (some 150 bytes each).
+CACHE_PAIRS = 300_000
+#: Bytes of text that are decoded at a time: the table of their bytes' places takes 16 times as much.
+DECODED_BYTES = 1 << 20
 
 
 def default_path() -> str:
@@ -119,7 +123,7 @@ class BacktrackingBPE:
                 before, x = x, self.halves[x][1]
             else:
                 before, y = y + 1, self.halves[y][0]
-        if len(self.compatible) < 1_000_000:
+        if len(self.compatible) < CACHE_PAIRS:
             self.compatible[a, b] = ok
         return ok
 
@@ -188,7 +192,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", DECODED_BYTES):
             packed = [bpe.encode(t) for t in texts(part, "text")]
             ids = np.frombuffer(b"".join(packed), np.int32)
             edges = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])])

@@ -427,3 +427,18 @@ def test_digest_matches_its_definition(spark):
     df = spark.createDataFrame([([("email", 3, 10), ("ip", 11, 18)],), ([],)], "s array<struct<kind:string,start:int,end:int>>")
     got = [r[0] for r in df.select(F.sha2(pii.digest("s"), 256)).collect()]
     assert got == [hashlib.sha256(b"email:3:10,ip:11:18").hexdigest(), hashlib.sha256(b"").hexdigest()]
+
+
+def test_bpe_decodes_bounded_slices(monkeypatch):
+    """A worker's memory doesn't follow the batch: slices of a megabyte, and a bounded memory of pairs."""
+    import pyarrow as pa
+
+    from tabulens.llm import bpe
+    from tabulens.llm.common import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["word " * 100_000] * 8)], ["text"])
+    assert [p.num_rows for p in slices([batch], "text", bpe.DECODED_BYTES)] and max(p.num_rows for p in slices([batch], "text", bpe.DECODED_BYTES)) <= 3
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 10)
+    coder = bpe.BacktrackingBPE(bpe.default_path())
+    plain = bpe.load(bpe.default_path())
+    assert coder.encode("unrememberable differentiation of pairs") == plain.encode("unrememberable differentiation of pairs") and len(coder.compatible) <= 10
