@@ -231,33 +231,43 @@ def classifier(rows: list[tuple[str, str, int]]) -> set[tuple[str, str]]:
     return accepted
 
 
+def every_span(base: list[dict], more: list[dict], accepted: set[tuple[str, str]]) -> list[dict]:
+    """The base spans and, of the candidates with accepted patterns, those that begin after the one kept before them; linear in a text's spans."""
+    every, at = list(base), 0
+    for m in more:  # in order of start
+        if (m["kind"], m["pattern"]) in accepted and m["start"] >= at:
+            at = m["end"]
+            every.append({"kind": m["kind"], "start": m["start"], "end": at})
+    return sorted(every, key=lambda s: (KINDS.index(s["kind"]), s["start"], s["end"]))
+
+
+def spans_of(part: pa.RecordBatch, accepted: set[tuple[str, str]]) -> list[list[dict]]:
+    """All spans of each row of a batch of (base, more)."""
+    return [every_span(b, m, accepted) for b, m in zip(part.column("base").to_pylist(), part.column("more").to_pylist(), strict=True)]
+
+
 def settled(found: DataFrame, accepted: set[tuple[str, str]]) -> DataFrame:
-    """(key, base, every): the base spans and, of the candidates with accepted patterns, those that begin after the one kept before them; linear in a text's spans."""
+    """(key, base, every): the base spans and all spans of a text."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    rank = {kind: i for i, kind in enumerate(KINDS)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            every = []
-            for base, more in zip(part.column("base").to_pylist(), part.column("more").to_pylist(), strict=True):
-                at = 0
-                for m in more:  # in order of start
-                    if (m["kind"], m["pattern"]) in accepted and m["start"] >= at:
-                        at = m["end"]
-                        base.append({"kind": m["kind"], "start": m["start"], "end": at})
-                every.append(sorted(base, key=lambda s: (rank[s["kind"]], s["start"], s["end"])))
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("base"), pa.array(every, pa.list_(span))], ["key", "base", "every"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("base"), pa.array(spans_of(part, accepted), pa.list_(span))], ["key", "base", "every"])
 
     return found.mapInArrow(run, with_fields(found.select("key", "base"), "every array<struct<kind:string,start:int,end:int>>"))
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, base_spans and all_spans, arrays of (kind, start, end) in the order of KINDS, then start."""
-    source = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+def spans_and_patterns(source: DataFrame) -> tuple[DataFrame, set[tuple[str, str]]]:
+    """The spans found in source (key, text), written as a table, and the patterns to accept."""
     found = cut(found_spans(source), "pii-spans")
     counted = found.select(F.explode("more").alias("m")).groupBy("m.kind", "m.pattern").count().collect()
-    accepted = classifier([(r["kind"], r["pattern"], r["count"]) for r in counted])
-    return settled(found, accepted).select(F.col("key").alias(id_col), F.col("base").alias("base_spans"), F.col("every").alias("all_spans"))
+    return found, classifier([(r["kind"], r["pattern"], r["count"]) for r in counted])
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id_col, base_spans and all_spans, arrays of (kind, start, end) in the order of KINDS, then start."""
+    found = settled(*spans_and_patterns(docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))))
+    return found.select(F.col("key").alias(id_col), F.col("base").alias("base_spans"), F.col("every").alias("all_spans"))
 
 
 def digest(spans: str):
@@ -278,13 +288,14 @@ def masked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with every span of the text replaced by its kind in brackets, overlapping ones as one of the first's kind; the columns stay, n_chars follows the text."""
     names = docs.columns
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    found = find_personal_data(row, "key", "text").select("key", F.col(f"key.`{text_col}`").cast("string").alias("text"), "all_spans")
+    found, accepted = spans_and_patterns(row)
+    found = found.select("key", F.col(f"key.`{text_col}`").cast("string").alias("text"), "base", "more")
 
+    # Spans are settled and masked by one function: with two a task holds two workers, and all of them stay for later stages.
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices([batch], "text"):
-                out = [t if t is None else masked(t, s) for t, s in zip(part.column("text").to_pylist(), part.column("all_spans").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(out, pa.string())], ["key", "masked"])
+        for part in slices(batches, "text"):
+            out = [t if t is None else masked(t, s) for t, s in zip(part.column("text").to_pylist(), spans_of(part, accepted), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(out, pa.string())], ["key", "masked"])
 
     with_text = found.mapInArrow(run, with_fields(found.select("key"), "masked string"))
     return with_text.select(*(F.col("masked").alias(c) if c == text_col else F.length("masked").cast("long").alias(c) if c == "n_chars" else F.col(f"key.`{c}`").alias(c) for c in names))

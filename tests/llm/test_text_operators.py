@@ -364,6 +364,15 @@ def test_overlapping_spans_are_masked_whole(spark, monkeypatch):
     assert pii.masked_documents(df).where("doc_id = 1").first().text == "pay [card] now"
 
 
+def test_masking_takes_one_python_worker_a_task(spark, monkeypatch):
+    """Two functions in one task would take two workers, which stay and then hold the tables of later stages twice."""
+    monkeypatch.setattr(pii, "classifier", lambda rows: {(k, p) for k, p, _ in rows})
+    df = spark.createDataFrame([(1, "key=abcdEFGH0123456789ijkl to ann@mail.example"), (2, None)], "doc_id long, text string")
+    masks = pii.masked_documents(df)
+    assert masks._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: r.text for r in masks.collect()} == {1: "[secret] to [email]", 2: None}
+
+
 def test_accepted_patterns_do_not_depend_on_the_size_of_the_corpus():
     rnd = random.Random(9)
     for _ in range(20):
