@@ -7,7 +7,8 @@ bytes that end there, so the model is a table of such n-grams, built and looked
 
 1. Texts are packed in blocks of about BLOCK_BYTES. A block lists its distinct n-grams with their counts in training
    texts, sorted, packed and dealt to shards by a hash of their HEAD latest context bytes, and its distinct tokens, by
-   a hash of theirs. The lists follow from the block alone, so they are made anew where they are needed, not kept.
+   a hash of theirs. The lists of n-grams are kept by shard, for both visits to it; those that a block needs to score its
+   texts follow from the block alone and are made anew there.
    A block sends at most FAN lists: where there are more shards, a list goes to a range of shards, and a node of the
    exchange merges those of about FAN blocks and sends at most FAN lists on, until a list has one shard (Route). So
    the number of lists is that of blocks times FAN times the levels, and grows with the input times its logarithm.
@@ -42,7 +43,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import cut, id_remainder, slices, table, texts
+from tabulens.llm.common import cut, id_remainder, shared_dir, slices, table, texts
 
 #: An n-gram of DEPTH context bytes and the symbol fills a 64-bit number.
 DEPTH, HEAD = 7, 4
@@ -62,7 +63,7 @@ END = 0xFF
 #: The end as a token; no word can be empty.
 END_TOKEN = b""
 
-PAYLOAD, GRAM, TOKEN, CARRY, ANSWER = 0, 1, 2, 3, 4
+PAYLOAD, GRAM, TOKEN, ANSWER = 0, 1, 2, 3
 #: steps and counts of a list of n-grams.
 LIST = (np.uint64, np.int64)
 #: key, total, ones and weighted log probability of nodes.
@@ -226,11 +227,13 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def distinct_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct n-grams of a block, and their counts in training texts; in PASSES by the latest context byte, to hold a share of them at a time."""
     seen = {True: np.zeros(256, np.int64), False: np.zeros(256, np.int64)}
+    parts = []
     for part in opened(blob):
-        train = part.column("train").to_pylist()
+        train = part.column("train").to_numpy(zero_copy_only=False)
         batch = [normal(t) for t in texts(part, "text")]
+        parts.append((batch, train))
         for own, n in seen.items():
-            some = [t for t, learned in zip(batch, train, strict=True) if learned == own]
+            some = [t for t, learned in zip(batch, train.tolist(), strict=True) if learned == own]
             n += np.bincount(np.frombuffer(b"".join(some), np.uint8), minlength=256)
             n[END] += len(some)
     total = np.cumsum(seen[True] + seen[False])
@@ -238,13 +241,13 @@ def distinct_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     codes, counts = [], []
     for low, high in zip(bounds, bounds[1:], strict=False):
         every, at = {own: np.empty(int(n[low:high].sum()), np.uint64) for own, n in seen.items()}, {True: 0, False: 0}
-        for part in opened(blob):
-            own_codes, n = symbols([normal(t) for t in texts(part, "text")])
-            train = np.repeat(part.column("train").to_numpy(zero_copy_only=False), n)
-            latest = own_codes >> np.uint64(8 * DEPTH)
-            inside = (latest >= low) & (latest < high)
-            for own in (True, False):
-                some = own_codes[inside & (train == own)]
+        wanted = np.zeros(256, bool)
+        wanted[low:high] = True
+        for batch, train in parts:
+            own_codes, n = symbols(batch)
+            inside = wanted[(own_codes >> np.uint64(8 * DEPTH)).astype(np.uint8)]
+            own_codes, learned = own_codes[inside], np.repeat(train, n)[inside]
+            for own, some in ((True, own_codes[learned]), (False, own_codes[~learned])):
                 every[own][at[own] : at[own] + len(some)] = some
                 at[own] += len(some)
         learned, times = distinct(every.pop(True))
@@ -256,6 +259,20 @@ def distinct_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(codes), np.concatenate(counts)
 
 
+def kept_by_region(lists: DataFrame, *keys: str) -> DataFrame:
+    """The lists, each region in one partition, written to the shared folder: both visits to a region read them there, so a block lists its n-grams once for both."""
+    spark = lists.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    # A checkpoint of an adaptive plan forgets how its rows are dealt, and each visit would shuffle them again.
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return lists.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def gram_lists(held: DataFrame, route: Route) -> DataFrame:
     """LISTED: the n-grams, as steps, that each block sends to each region of the first level, and their counts."""
 
@@ -283,9 +300,8 @@ def grams_sent_on(lists: DataFrame, route: Route, level: int, merge_rows: int) -
 def gram_answers(lists: DataFrame, answers: DataFrame, route: Route, level: int, merge_rows: int) -> DataFrame:
     """(block, shard, blob): what nodes of a level answer the lists that they got, from the answers to theirs."""
 
-    def run(group: pa.Table) -> pa.Table:
-        kind = group.column("kind").to_numpy()
-        own, below = group.filter(pa.array(kind == GRAM)), group.filter(pa.array(kind == ANSWER)).sort_by("part")
+    def run(own: pa.Table, below: pa.Table) -> pa.Table:
+        below = below.sort_by("part")
         blobs = own.column("blob").to_pylist()
         codes, _ = gathered(blobs, merge_rows)
         value = np.empty((3, len(codes)), np.uint8)
@@ -293,8 +309,8 @@ def gram_answers(lists: DataFrame, answers: DataFrame, route: Route, level: int,
         value[:, order] = np.concatenate([unpacked(b, np.uint8, np.uint8, np.uint8) for b in below.column("blob").to_pylist()], axis=1)
         return answered(own, codes, value)
 
-    both = lists.withColumn("part", F.lit(None).cast("int")).unionByName(to_nodes(answers))
-    return both.groupBy("shard", "chunk").applyInArrow(run, "block string, shard int, blob binary")
+    both = lists.groupBy("shard", "chunk").cogroup(to_nodes(answers).groupBy("shard", "chunk"))
+    return both.applyInArrow(run, "block string, shard int, blob binary")
 
 
 def answered(lists: pa.Table, codes: np.ndarray, value: np.ndarray) -> pa.Table:
@@ -565,7 +581,7 @@ def middle_group(keys: np.ndarray) -> np.ndarray:
 
 def gram_values(held: DataFrame, route: Route, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """(block, shard, blob): the log10 probabilities of a block's n-grams, in the order in which it sent them."""
-    sent = [gram_lists(held, route)]
+    sent = [kept_by_region(gram_lists(held, route), *(["shard", "chunk"] if route.levels > 1 else ["shard"]))]
     for level in range(1, route.levels):
         sent.append(cut(grams_sent_on(sent[-1], route, level, merge_rows), "ctw-lists"))
 
@@ -607,12 +623,9 @@ def gram_values(held: DataFrame, route: Route, merge_rows: int = MERGE_ROWS) ->
         blobs = [packed(steps(keys[e - n : e]), fixed[e - n : e], share[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
         return pa.table({"shard": group.column("shard"), "blob": pa.array(blobs, pa.binary())})
 
-    none = F.lit(None).cast("string").alias("block")
-    carried = heads.groupBy("middle").applyInArrow(carry, "shard int, blob binary").select("shard", none, F.lit(CARRY).cast("byte").alias("kind"), "blob")
+    carried = heads.groupBy("middle").applyInArrow(carry, "shard int, blob binary")
 
-    def values(group: pa.Table) -> pa.Table:
-        kind = group.column("kind").to_numpy()
-        own, above = group.filter(pa.array(kind == GRAM)), group.filter(pa.array(kind == CARRY))
+    def values(own: pa.Table, above: pa.Table) -> pa.Table:
         parts = [unpacked(b, np.uint64, np.float64, np.float64) for b in above.column("blob").to_pylist()]
         keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         order = np.argsort(keys)
@@ -620,8 +633,7 @@ def gram_values(held: DataFrame, route: Route, merge_rows: int = MERGE_ROWS) ->
         value = Subtree(codes, cnt).carried(keys[order], *(np.concatenate([p[k] for p in parts])[order] for k in (1, 2)))
         return answered(own, codes, rounded(value))
 
-    lists = sent[-1].select("shard", "block", "kind", "blob")
-    answers = lists.unionByName(carried).groupBy("shard").applyInArrow(values, "block string, shard int, blob binary")
+    answers = sent[-1].groupBy("shard").cogroup(carried.groupBy("shard")).applyInArrow(values, "block string, shard int, blob binary")
     for level in range(route.levels - 1, 0, -1):
         answers = gram_answers(sent[level - 1], answers, route, level, merge_rows)
     return answers

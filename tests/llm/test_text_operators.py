@@ -270,6 +270,17 @@ def test_lm_lists_grow_with_blocks_not_with_blocks_times_shards(spark):
     assert counts[1] <= 1.5 * counts[0]
 
 
+@pytest.mark.parametrize("fan", [256, 2])
+def test_lm_blocks_list_their_grams_once_for_both_visits(spark, fan):
+    df = spark.createDataFrame([(i, f"some text {i} " * 5, i % 3 > 0) for i in range(40)], "key long, text string, train boolean")
+    held = cut(df.mapInArrow(lambda batches: lm.blocks(batches, 400), "block string, blob binary"), "test-blocks")
+    answers = lm.gram_values(held, lm.Route(held.count(), 4, fan))
+    plan = answers._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "FlatMapCoGroupsInArrow" in plan  # the listing is behind us
+    assert fan < 4 or plan.count("Exchange hashpartitioning(shard") == 1  # and so is the shuffle of lists; carried coefficients take the other
+    assert {r.block for r in answers.collect()} == {r.block for r in held.collect()}
+
+
 def test_context_tree_packs_what_it_sends():
     codes = np.sort(np.random.default_rng(1).integers(0, 2**64, 500, np.uint64))
     assert (np.cumsum(lm.unpacked(lm.packed(lm.steps(codes), codes), np.uint64, np.uint64)[0], dtype=np.uint64) == codes).all()
