@@ -1,7 +1,8 @@
 """N-gram Jaccard join (op7): documents linked where their word shingle sets have Jaccard similarity of 0.75 or more.
 
 1. Each whole text gives its set of 64-bit shingle hashes. Documents with equal sets collapse into one node, so copies
-   cost nothing further. Each task also counts its shingles in BUCKETS hash buckets; the sums, as powers of two, give
+   cost nothing further. A node's id is the set's 64-bit fingerprint, so keys and signatures go where they are needed
+   without a table of nodes that holds them. Each task also counts its shingles in BUCKETS hash buckets; the sums, as powers of two, give
    every shingle a class of frequency in a table of BUCKETS bytes that all tasks share, whatever the input.
 2. A node's search keys are its first n // 4 + 1 shingles in the order of class, then hash: under any order that all
    nodes share, two linked sets have one of these in common, and this one puts common passages last. The nodes that
@@ -134,6 +135,11 @@ def list_column(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), pa.int64()))
 
 
+def fingerprint(hashes: np.ndarray) -> list[int]:
+    """Two numbers that tell sets apart; the first one alone names a node."""
+    return np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64).tolist()
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     size = max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else LEAST_BITS
     bits = np.zeros(size, np.uint8)
@@ -186,7 +192,7 @@ def shingled(docs: DataFrame) -> DataFrame:
             key_kind = part.column("key").type
             sets = shingle_sets(texts(part, "text"))
             np.add.at(load, bucket(np.concatenate(sets), BUCKETS), 1)
-            f1, f2 = zip(*(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist() for s in sets), strict=True)
+            f1, f2 = zip(*map(fingerprint, sets), strict=True)
             named = {"key": part.column("key"), "t1": part.column("t1"), "t2": part.column("t2"), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "n": pa.array(list(map(len, sets)), pa.int64())}
             yield pa.RecordBatch.from_pydict(named | {c: pa.nulls(part.num_rows, schema.field(c).type) for c in ("chunk", "load")})
         if load is not None:
@@ -216,23 +222,36 @@ def frequency_classes(loads: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def keyed(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(key, t1, t2, f1, f2, n, keys, sig) for docs (key, t1, t2, text) with words: the set's fingerprint, size, search keys and signature."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # BUCKETS bytes
+def of_sets(docs: DataFrame, name: str, found) -> DataFrame:
+    """(id, n, name) for docs (text): the set's fingerprint, size and the array that found makes of it; sets without
+    shingles are left out, and a task gives each set once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in slices(batches, "text"):
-            rows = []
+            rows = {}
             for s in shingle_sets(texts(part, "text")):
-                order = np.argsort(shared.value[bucket(s, len(shared.value))], kind="stable")[: len(s) // 4 + 1]
-                rows.append((*np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist(), len(s), s[order].view(np.int64), signature(s).view(np.int64)))
-            f1, f2, n, keys, sig = zip(*rows, strict=True)
-            named = {c: part.column(c) for c in ("key", "t1", "t2")}
-            named |= {"f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "n": pa.array(n, pa.int64()), "keys": list_column(keys), "sig": list_column(sig)}
-            yield pa.RecordBatch.from_pydict(named)
+                if len(s) and (own := fingerprint(s)[0]) not in seen:
+                    seen.add(own)
+                    rows[own] = len(s), found(s).view(np.int64)
+            if rows:
+                n, arrays = zip(*rows.values(), strict=True)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(list(rows), pa.int64()), "n": pa.array(n, pa.int64()), name: list_column(arrays)})
 
-    kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, t1 long, t2 long, f1 long, f2 long, n long, keys array<long>, sig array<long>").where("n > 0")
+    return docs.select("text").mapInArrow(run, f"id long, n long, {name} array<long>")
+
+
+def keyed(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(id, n, keys) of the sets of docs (text): their search keys, in order."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes)  # BUCKETS bytes
+    return of_sets(docs, "keys", lambda s: s[np.argsort(shared.value[bucket(s, len(shared.value))], kind="stable")[: len(s) // 4 + 1]])
+
+
+def signed(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, sig) of the sets in members, for docs (text): their signatures."""
+    ids = cut(members.select("id").distinct(), "jaccard-ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
+    return of_sets(docs, "sig", signature).join(side, "id", "left_semi").select("id", "sig").dropDuplicates(["id"])
 
 
 def node_sets(rows: DataFrame) -> DataFrame:
@@ -257,7 +276,7 @@ def band(n: str):
 
 
 def tiled(nodes: DataFrame) -> DataFrame:
-    """(tile, id, band, m) of the tiles with m > 1 members, for nodes (id, n, keys); of tiles with the same members, the least alone.
+    """(tile, id, band, m) of the tiles with m > 1 members, for nodes (id, n, keys), which may repeat; of tiles with the same members, the least alone.
 
     Sets of sizes x and y are linked if they share 3 / 7 * (x + y) elements. If the first shared key has the place i in the
     order of the first set (j in the other's), they share x - i at most, so y <= (4 * x - 7 * i) / 3, the reach of that set,
@@ -268,7 +287,9 @@ def tiled(nodes: DataFrame) -> DataFrame:
     reach = F.floor((100 * F.col("n").cast("long") - (100 + PERCENT) * F.col("place")) / F.lit(PERCENT)).cast("int")
     of_tile = Window.partitionBy("tile")
     least = F.min(F.when(F.col("reach") >= F.col("n"), F.col("n"))).over(of_tile)
-    rows = by_place.select("tile", "id", "n", reach.alias("reach")).withColumn("least", least).where("reach >= least")
+    # Keys are dealt by tile once; repeated nodes go there, and not by a shuffle of whole key lists.
+    dealt = by_place.select("tile", "id", "n", reach.alias("reach")).repartition("tile").distinct()
+    rows = dealt.withColumn("least", least).where("reach >= least")
     rows = rows.select("tile", "id", band("n").alias("band"))
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), "id")).over(of_tile).alias(name) for seed, name in ((1, "x1"), (2, "x2"))]
     shared = cut(rows.select("*", F.count("*").over(of_tile).alias("m"), *marks).where("m > 1"), "jaccard-members")
@@ -492,11 +513,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = frequency_classes(every.where("chunk is not null").select("chunk", "load"))
 
     # One node for each set; its text is that of its smallest row.
-    nodes = keyed(source, order).groupBy("f1", "f2").agg(F.min(F.struct("key", "t1", "t2")).alias("rep"), F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "keys", "sig")))
-    nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "jaccard-nodes")
+    nodes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("key", "t1", "t2")).alias("rep"), F.min("key").alias("least"), F.first("n").alias("n"))
+    nodes = cut(nodes.withColumn("id", F.col("f1")), "jaccard-nodes")
 
-    members = tiled(nodes)
-    shared = cut(nodes.select("id", "n", "sig", "rep").join(members.select("id").distinct(), "id", "left_semi"), "jaccard-shared")
+    members = tiled(keyed(source, order))
+    shared = cut(nodes.select("id", "n", "rep").join(signed(source, members), "id"), "jaccard-shared")
     tried = bounded(star_pairs(members), shared)
     links = exact_links(tried, shared, source)
     split = cut(still_split(members, components(links)), "jaccard-split")

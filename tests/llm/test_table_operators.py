@@ -237,3 +237,14 @@ def test_pipeline_stages(spark):
     for _, stage in cp.STAGES:
         nothing = cut(stage(spark, nothing, ""), "test", lasting=True)
         assert nothing.count() == 0
+
+
+def test_search_keys_are_never_written_with_the_nodes(spark, monkeypatch):
+    """Keys are a quarter of all shingles: they are shuffled once, by tile, and stand in no table; copies still are one node."""
+    written = []
+    monkeypatch.setattr(jaccard, "cut", lambda df, name, cut=jaccard.cut: (written.append((name, df.columns)), cut(df, name))[1])
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (2, text), (3, text + " more"), (4, "other words stand alone here"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_join(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert written and not any("keys" in columns for _, columns in written)
