@@ -47,6 +47,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Hash buckets in which shingles are counted, and the parts in which the counts are summed.
 BUCKETS, CHUNKS = 1 << 22, 64
+#: Upper bits of a key that name its tile.
+TILE_BITS = 40
 #: Sizes of a band differ by less than this factor; it must be above 100 / PERCENT.
 BAND = 1.34
 #: A block holds nodes of this weight in all; a node weighs its set's size, and BLOCK_LEAST at least.
@@ -287,8 +289,10 @@ def tiled(nodes: DataFrame) -> DataFrame:
     reach = F.floor((100 * F.col("n").cast("long") - (100 + PERCENT) * F.col("place")) / F.lit(PERCENT)).cast("int")
     of_tile = Window.partitionBy("tile")
     least = F.min(F.when(F.col("reach") >= F.col("n"), F.col("n"))).over(of_tile)
-    # Keys are dealt by tile once; repeated nodes go there, and not by a shuffle of whole key lists.
-    dealt = by_place.select("tile", "id", "n", reach.alias("reach")).repartition("tile").distinct()
+    # Keys are dealt by tile once, by TILE_BITS of them; keys alike in these share a tile, in which a node has its longest reach.
+    tile = F.shiftrightunsigned("tile", 64 - TILE_BITS).alias("tile")
+    dealt = by_place.select(tile, "id", "n", reach.alias("reach")).repartition("tile")
+    dealt = dealt.groupBy("tile", "id").agg(F.max("n").alias("n"), F.max("reach").alias("reach"))
     rows = dealt.withColumn("least", least).where("reach >= least")
     rows = rows.select("tile", "id", band("n").alias("band"))
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), "id")).over(of_tile).alias(name) for seed, name in ((1, "x1"), (2, "x2"))]
