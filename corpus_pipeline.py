@@ -3,6 +3,7 @@
 STAGES lists (name, function) in order. A function takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of docs. run() writes what each stage returns as a Parquet table and reads it back for the
 next. A stage's result must be written before the next stage is called, which deletes the former's intermediate tables.
+Results are computed when they are written, so a stage leaves the session with its limit of Arrow batches set (bound_batches).
 SQL can't express the stages, so ORACLE_SQL is None and the tests hold them against brute force.
 
 Every stage handles empty tables, null texts and ids, repeated rows and further columns as its operator defines it.
@@ -16,15 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulens.llm import bpe, jaccard, language, mixing, pii
-from tabulens.llm.common import cut, remove, table, written
+from tabulens.llm.common import bound_batches, cut, remove, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected; a null lang takes the prediction."""
     model = language.fit(docs)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("text").alias("text"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("doc"), "text")  # the text goes to Python once
     kept = language.identify(packed, model).where(~F.col("rejected"))
-    return kept.select(*(F.coalesce("doc.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
+    own = {c: F.col(f"doc.`{c}`") for c in docs.columns if c != "text"} | {"lang": F.coalesce("doc.lang", "lang_pred"), "text": F.col("text")}
+    return kept.select(*(own[c].alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +60,7 @@ def _tidy(stage):
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         remove(spark, _done_with)
+        bound_batches(spark)
         start = len(written)
         out = stage(spark, docs, sf_dir)
         _done_with[:] = written[start:]

@@ -183,15 +183,35 @@ class BacktrackingBPE:
 
 @functools.lru_cache(maxsize=4)
 def load(path: str) -> BacktrackingBPE:
+    """The vocabulary at path, for use outside of Spark's workers."""
     return BacktrackingBPE(path)
 
 
+class Tokenizer:
+    """The vocabulary at path, which a worker reads when it first encodes with it.
+
+    It is a broadcast's value: workers stay for the stages that follow, and Spark takes a broadcast, and with it the tables
+    and the remembered pieces, from a worker whose next task doesn't use it.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __reduce__(self):
+        return Tokenizer, (self.path,)
+
+    @functools.cached_property
+    def bpe(self) -> BacktrackingBPE:
+        return BacktrackingBPE(self.path)
+
+
 def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, ids (array of int) of the whole text, and decoded, the text that these ids give back."""
     source = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(tokenizer))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer)
+        bpe = shared.value.bpe
         for part in slices(batches, "text", DECODED_BYTES):
             packed = [bpe.encode(t) for t in texts(part, "text")]
             ids = np.frombuffer(b"".join(packed), np.int32)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -68,6 +69,32 @@ def cut(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark's limit of the bytes of a batch that it sends to Python.
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> bool:
+    """From now on batches reach Python with SLICE_BYTES at most, or one row; a limit that the session has set stays. Returns whether it had none.
+
+    Spark's own limits are 10 000 rows and 64 MB, which the JVM and the worker of every task hold.
+    """
+    free = spark.conf.get(BATCH_LIMIT, None) is None
+    if free:
+        spark.conf.set(BATCH_LIMIT, SLICE_BYTES)
+    return free
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """bound_batches for what runs meanwhile."""
+    free = bound_batches(spark)
+    try:
+        yield
+    finally:
+        if free:
+            spark.conf.unset(BATCH_LIMIT)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of a slice have about limit bytes; a longer text is a slice of its own."""
     import numpy as np

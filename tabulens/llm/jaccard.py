@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import cut, slices, table, texts
+from tabulens.llm.common import cut, slices, small_batches, table, texts
 
 SHINGLE = 5
 #: Least similarity: 100 * intersection >= PERCENT * union.
@@ -292,9 +292,9 @@ def tiled(nodes: DataFrame) -> DataFrame:
     # Keys are dealt by tile once, by TILE_BITS of them; keys alike in these share a tile, in which a node has its longest reach.
     tile = F.shiftrightunsigned("tile", 64 - TILE_BITS).alias("tile")
     dealt = by_place.select(tile, "id", "n", reach.alias("reach")).repartition("tile")
-    dealt = dealt.groupBy("tile", "id").agg(F.max("n").alias("n"), F.max("reach").alias("reach"))
-    rows = dealt.withColumn("least", least).where("reach >= least")
-    rows = rows.select("tile", "id", band("n").alias("band"))
+    # Most tiles have one node: these go before the rows of a node in a tile are joined, so that a task holds its rows once.
+    several = dealt.select("*", least.alias("least"), F.min("id").over(of_tile).alias("x"), F.max("id").over(of_tile).alias("y")).where("x <> y and reach >= least")
+    rows = several.groupBy("tile", "id").agg(F.max("n").alias("n")).select("tile", "id", band("n").alias("band"))
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), "id")).over(of_tile).alias(name) for seed, name in ((1, "x1"), (2, "x2"))]
     shared = cut(rows.select("*", F.count("*").over(of_tile).alias("m"), *marks).where("m > 1"), "jaccard-members")
     kept = shared.groupBy("m", "x1", "x2").agg(F.min("tile").alias("tile"))
@@ -511,6 +511,11 @@ def text_marks(text_col: str) -> list:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: key (its id), t1, t2, n (the set's size), component (null for the empty set) and component_id."""
+    with small_batches(docs.sparkSession):
+        return _classes(docs, id_col, text_col)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(F.col(id_col).alias("key"), *text_marks(text_col), F.col(text_col).cast("string").alias("text"))
     every = cut(shingled(source), "jaccard-rows")
     rows = every.where("chunk is null").drop("chunk", "load")

@@ -2,13 +2,15 @@
 
 import collections
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tabulens.llm import ann, jaccard, mixing
-from tabulens.llm.common import cut
+from tabulens.llm import ann, bpe, common, jaccard, mixing
+from tabulens.llm.common import SLICE_BYTES, cut
 
 
 def text(rnd, n):
@@ -248,3 +250,57 @@ def test_search_keys_are_never_written_with_the_nodes(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_join(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
     assert written and not any("keys" in columns for _, columns in written)
+
+
+def test_tables_of_bpe_leave_the_workers(spark):
+    """Workers stay for the stages that follow; the vocabulary's tables must not stay in them."""
+    df = spark.range(0, 40, 1, 4).select(F.col("id").alias("doc_id"), F.lit("some text here").alias("text"))
+    assert bpe.encode_and_decode(df, bpe.default_path()).where(F.size("ids") == 3).count() == 40
+
+    def held(batches):
+        import gc
+
+        rows = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_pydict({"rows": [rows], "tables": [sum(type(x).__name__ == "BacktrackingBPE" for x in gc.get_objects())]})
+
+    found = df.mapInArrow(held, "rows long, tables long").collect()
+    assert sum(r.rows for r in found) == 40 and sum(r.tables for r in found) == 0
+
+
+def test_batches_of_texts_are_bounded(spark, monkeypatch):
+    """A batch has SLICE_BYTES of rows at most, in op7 and in what the stages of the pipeline leave to be computed."""
+    import corpus_pipeline as cp
+
+    limit, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    monkeypatch.setattr(jaccard, "cut", lambda df, name, cut=jaccard.cut: (seen.append(spark.conf.get(limit, None)), cut(df, name))[1])
+    monkeypatch.setattr(cp, "_done_with", [])
+    df = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 500).alias("text"), F.lit("en").alias("lang"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    try:
+        spark.conf.unset(limit)
+        assert jaccard.jaccard_join(df.limit(50)).where("component_id = 0").count() == 50
+        assert seen and set(seen) == {str(SLICE_BYTES)} and spark.conf.get(limit, None) is None
+        cp.STAGES[0][1](spark, df, "")
+        found = df.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r.rows for r in found) == 4000 and max(r.bytes for r in found) <= 1.01 * SLICE_BYTES  # with the marks of nulls
+        spark.conf.set(limit, 1 << 20)  # a user's limit stays
+        with common.small_batches(spark):
+            assert spark.conf.get(limit) == str(1 << 20)
+        assert spark.conf.get(limit) == str(1 << 20)
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_keys_of_one_node_alone_are_not_grouped(spark, monkeypatch):
+    """Tiles of one node, the most of them, go before rows are grouped by tile and node, also where copies repeat the node."""
+    plans = []
+    monkeypatch.setattr(jaccard, "cut", lambda df, name, cut=jaccard.cut: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), cut(df, name))[1])
+    nodes = spark.createDataFrame([(1, 8, [1 << 40, 2 << 40, 3 << 40]), (1, 8, [1 << 40, 2 << 40, 3 << 40]), (2, 8, [2 << 40, 4 << 40, 4 << 40])], "id long, n long, keys array<long>")
+    got = {(r.tile, r.id, r.m) for r in jaccard.tiled(nodes).collect()}
+    assert got == {((2 << 40) >> 24, 1, 2), ((2 << 40) >> 24, 2, 2)}
+    plan = dict(plans)["jaccard-members"]  # from the last step up to the first
+    assert re.search(r"Aggregate \[tile.*Filter[^\n]*>= least.*Window", plan, re.S)
